@@ -15,6 +15,12 @@ def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_min_max_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.neardup import near_duplicate_digest
+
+    return near_duplicate_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.mixing import mix_digest
 
@@ -33,6 +39,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in sorted(named, key=lambda f: int(f.__name__[2:].split("_")[0]))}
 
 
+OP7_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + least(2, len(w)) - 1], ' ') AS s
+  FROM words, LATERAL (SELECT unnest(generate_series(1, greatest(len(w) - 1, 1))) AS i) WHERE len(w) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id AS node, doc_id AS seen FROM words
+  UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.seen
+), lowest AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT w.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, l.component_id, w.doc_id = l.component_id AS kept
+FROM words w LEFT JOIN sizes s USING (doc_id) JOIN lowest l ON l.node = w.doc_id
+"""
+
 OP10_SQL = r"""
 WITH words AS (
   SELECT item_id, regexp_extract_all(lower_az, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -60,4 +88,4 @@ FROM docs LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 
 def oracle_sql() -> dict[str, str]:
     """Name -> DuckDB SQL with the same result."""
-    return {"op10_wu_manber": OP10_SQL}
+    return {"op7_min_max_hash": OP7_SQL, "op10_wu_manber": OP10_SQL}
