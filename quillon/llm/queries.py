@@ -15,6 +15,12 @@ def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.recompression import remove_repeats_digest
+
+    return remove_repeats_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_min_max_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.neardup import near_duplicate_digest
 
@@ -39,6 +45,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in sorted(named, key=lambda f: int(f.__name__[2:].split("_")[0]))}
 
 
+OP6_SQL = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), windows AS (
+  SELECT r, doc_id, i, md5(array_to_string(w[i : i + 19], ' ')) AS h
+  FROM words, LATERAL (SELECT unnest(generate_series(1, len(w) - 19)) AS i) WHERE len(w) >= 20
+), ranked AS (
+  SELECT r, doc_id, i, min((doc_id, i)) OVER (PARTITION BY h) AS first FROM windows
+), gone AS (
+  SELECT DISTINCT r, unnest(generate_series(i, i + 19)) AS k FROM ranked WHERE (doc_id, i) > first
+), lists AS (SELECT r, list(k) AS ks FROM gone GROUP BY r),
+kept AS (
+  SELECT w.r, w.doc_id, len(w.w) AS n, coalesce(len(ks), 0) AS n_removed,
+    list_filter(w.w, lambda x, k: ks IS NULL OR NOT list_contains(ks, k)) AS left_over
+  FROM words w LEFT JOIN lists USING (r)
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(left_over, ' '), '')) AS kept_sha256 FROM kept
+"""
+
 OP7_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -88,4 +114,4 @@ FROM docs LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 
 def oracle_sql() -> dict[str, str]:
     """Name -> DuckDB SQL with the same result."""
-    return {"op7_min_max_hash": OP7_SQL, "op10_wu_manber": OP10_SQL}
+    return {"op6_recompression": OP6_SQL, "op7_min_max_hash": OP7_SQL, "op10_wu_manber": OP10_SQL}
