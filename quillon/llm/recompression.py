@@ -28,7 +28,7 @@ from quillon.llm.words import NOT_BLANK, as_signed, blocks, hashes, mix, owners,
 #: Words in a window.
 WINDOW = 20
 #: Rounds of pair naming after the round of runs.
-ROUNDS = 6
+ROUNDS = 4
 _NO_ID = -(1 << 63)
 
 
