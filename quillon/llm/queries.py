@@ -15,6 +15,12 @@ def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.ogg import media_digest
+
+    return media_digest(table(spark, sf_dir, "documents"))
+
+
 def op6_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.recompression import remove_repeats_digest
 
