@@ -21,6 +21,12 @@ def op4_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.langid import language_digest
+
+    return language_digest(table(spark, sf_dir, "documents"))
+
+
 def op6_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.recompression import remove_repeats_digest
 
