@@ -15,6 +15,12 @@ def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.licenses import license_digest
+
+    return license_digest(table(spark, sf_dir, "documents"))
+
+
 def op4_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.ogg import media_digest
 
@@ -45,6 +51,12 @@ def op8_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_neighbour_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.quality import quality_digest
+
+    return quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.decontam import contamination_digest
 
