@@ -15,6 +15,12 @@ def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.warc import archive_digest
+
+    return archive_digest(table(spark, sf_dir, "pages"))
+
+
 def op3_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.licenses import license_digest
 
@@ -69,6 +75,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in sorted(named, key=lambda f: int(f.__name__[2:].split("_")[0]))}
 
 
+OP2_SQL = """
+WITH full_pages AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), groups AS (
+  SELECT payload_digest, max(page_id) AS original FROM full_pages WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN original IS NULL OR page_id = original OR payload_bytes < 1000 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> original AND payload_bytes >= 1000 THEN original END AS refers_to
+FROM full_pages LEFT JOIN groups USING (payload_digest)
+"""
+
 OP6_SQL = r"""
 WITH words AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
@@ -138,4 +156,4 @@ FROM docs LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 
 def oracle_sql() -> dict[str, str]:
     """Name -> DuckDB SQL with the same result."""
-    return {"op6_recompression": OP6_SQL, "op7_min_max_hash": OP7_SQL, "op10_wu_manber": OP10_SQL}
+    return {"op2_warc_revisits": OP2_SQL, "op6_recompression": OP6_SQL, "op7_min_max_hash": OP7_SQL, "op10_wu_manber": OP10_SQL}
