@@ -43,8 +43,12 @@ def rolling_mean(c: Column, n: int, least: int, spec: WindowSpec) -> Column:
 def autocorrelation(ret: Column, n: int = 21, least: int = 10) -> Column:
     """Correlation of returns with those a row before, in the last n rows; 0 where there are too few."""
     frame, whole = by_id().rowsBetween(-(n - 2), 0), by_id().rowsBetween(-(n - 1), 0)
-    r = _gated(F.corr(ret, F.lag(ret).over(by_id())).over(frame), F.count(ret).over(whole), least)
-    return F.coalesce(F.nanvl(r, F.lit(0.0)), F.lit(0.0))
+    before = F.lag(ret).over(by_id())
+    now = F.when(before.isNotNull(), ret)
+    before = F.when(ret.isNotNull(), before)
+    # A frame without variance has no correlation; the quotient then is null rather than an error.
+    r = F.try_divide(F.covar_samp(now, before).over(frame), F.stddev_samp(now).over(frame) * F.stddev_samp(before).over(frame))
+    return F.coalesce(_gated(r, F.count(ret).over(whole), least), F.lit(0.0))
 
 
 def forward_return(ret: Column, h: int) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -26,17 +27,29 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def _query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+def _query(sql: str | None = None, name: str | None = None, times: tuple[str, ...] = ()) -> Callable[[Query], Query]:
+    """Register a query. Dates and times (columns `times`) leave both engines as text, which compares alike."""
+
     def add(f: Query) -> Query:
         key = name or f.__name__
-        _QUERIES[key] = f
+        _QUERIES[key] = lambda spark, d: _as_text(f(spark, d))
         if sql:
-            _SQL[key] = sql
+            listed = sql[sql.rfind("SELECT") :].split(" FROM ")[0]
+            dates = re.findall(r"(?:SELECT|DISTINCT|,)\s+(date|mat_date_h\d+)\s*(?=,|$)", listed) + re.findall(r" AS (first_date|last_date)\b", listed)
+            swaps = [f"CAST({c} AS VARCHAR) AS {c}" for c in dict.fromkeys(dates)] + [f"strftime(\"{c}\", '%Y-%m-%d %H:%M:%S.%f') AS \"{c}\"" for c in times]
+            _SQL[key] = f"SELECT * REPLACE ({', '.join(swaps)}) FROM ({sql})" if swaps else sql
         return f
 
     return add
 
 
+def _as_text(df: DataFrame) -> DataFrame:
+    kinds = dict(df.dtypes)
+    texts = {c: F.col(c).cast("string") for c, k in kinds.items() if k == "date"}
+    texts |= {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c, k in kinds.items() if k.startswith("timestamp")}
+    return df.withColumns(texts) if texts else df
+
+
 def _r(c: str | Column, name: str | None = None, digits: int = 6) -> Column:
     """Rounded for comparison between engines; -0.0 becomes 0.0."""
     column = F.col(c) if isinstance(c, str) else c
@@ -706,19 +719,19 @@ def raw_quotes_panel(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Event time.
-@_query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+@_query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2", times=("start",))
 def events_tumbling(spark: SparkSession, d: str) -> DataFrame:
     return ev.tumbling(table(spark, d, "events")).select("start", "event_type", "n", _r("total", digits=4))
 
 
-@_query("SELECT date_trunc('day', ts) - to_days(k) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, (VALUES (0), (1)) v(k) GROUP BY 1, 2")
+@_query("SELECT date_trunc('day', ts) - to_days(k) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, (VALUES (0), (1)) v(k) GROUP BY 1, 2", times=("start",))
 def events_sliding(spark: SparkSession, d: str) -> DataFrame:
     return ev.sliding(table(spark, d, "events")).select("start", "event_type", "n", _r("total", digits=4))
 
 
 @_query("""WITH m AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM m)
-SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, k""", times=("start", "end"))
 def events_session(spark: SparkSession, d: str) -> DataFrame:
     return ev.sessions(table(spark, d, "events"))
 
