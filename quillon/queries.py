@@ -27,24 +27,27 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def _query(sql: str | None = None, name: str | None = None, times: tuple[str, ...] = ()) -> Callable[[Query], Query]:
-    """Register a query. Dates and times (columns `times`) leave both engines as text, which compares alike."""
+def _query(sql: str | None = None, name: str | None = None, times: tuple[str, ...] = (), totals: tuple[str, ...] = ()) -> Callable[[Query], Query]:
+    """Register a query. Dates, times (columns `times`) and keys whose null means all rows (`totals`) leave
+    both engines as text, which compares alike."""
 
     def add(f: Query) -> Query:
         key = name or f.__name__
-        _QUERIES[key] = lambda spark, d: _as_text(f(spark, d))
+        _QUERIES[key] = lambda spark, d: _as_text(f(spark, d), totals)
         if sql:
             listed = sql[sql.rfind("SELECT") :].split(" FROM ")[0]
             dates = re.findall(r"(?:SELECT|DISTINCT|,)\s+(date|mat_date_h\d+)\s*(?=,|$)", listed) + re.findall(r" AS (first_date|last_date)\b", listed)
             swaps = [f"CAST({c} AS VARCHAR) AS {c}" for c in dict.fromkeys(dates)] + [f"strftime(\"{c}\", '%Y-%m-%d %H:%M:%S.%f') AS \"{c}\"" for c in times]
+            swaps += [f"coalesce(CAST({c} AS VARCHAR), 'all') AS {c}" for c in totals]
             _SQL[key] = f"SELECT * REPLACE ({', '.join(swaps)}) FROM ({sql})" if swaps else sql
         return f
 
     return add
 
 
-def _as_text(df: DataFrame) -> DataFrame:
+def _as_text(df: DataFrame, totals: tuple[str, ...] = ()) -> DataFrame:
     kinds = dict(df.dtypes)
+    df = df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("all")) for c in totals}) if totals else df
     texts = {c: F.col(c).cast("string") for c, k in kinds.items() if k == "date"}
     texts |= {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c, k in kinds.items() if k.startswith("timestamp")}
     return df.withColumns(texts) if texts else df
@@ -406,7 +409,7 @@ def by_horizon_table(spark: SparkSession, d: str) -> DataFrame:
     return A.by_horizon(_fixed(spark, d)).select("h", _r("mean_loss"), _r("coverage"), _r("mean_width"), "n_days")
 
 
-@_query(f"WITH {FIXED} SELECT h, round(avg(loss_scaled), 6) AS mean_loss, round(median(loss_scaled), 6) AS median_loss, round(quantile_cont(loss_scaled, 0.99), 6) AS p99_loss, round(avg(covered), 6) AS coverage, round(avg(width_scaled), 6) AS mean_width, count(DISTINCT id) AS n_ids, count(DISTINCT date) AS n_dates, count(*) AS n FROM fixed GROUP BY ROLLUP (h)")
+@_query(f"WITH {FIXED} SELECT h, round(avg(loss_scaled), 6) AS mean_loss, round(median(loss_scaled), 6) AS median_loss, round(quantile_cont(loss_scaled, 0.99), 6) AS p99_loss, round(avg(covered), 6) AS coverage, round(avg(width_scaled), 6) AS mean_width, count(DISTINCT id) AS n_ids, count(DISTINCT date) AS n_dates, count(*) AS n FROM fixed GROUP BY ROLLUP (h)", totals=("h",))
 def overall_rollup(spark: SparkSession, d: str) -> DataFrame:
     return A.summary(_fixed(spark, d)).select("h", *[_r(c) for c in ("mean_loss", "median_loss", "p99_loss", "coverage", "mean_width")], "n_ids", "n_dates", "n")
 
@@ -447,7 +450,7 @@ def observation_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(f"""WITH {FIXED}, daily AS (SELECT h, date, sum(covered) AS k, count(*) AS n FROM fixed GROUP BY h, date), every AS (SELECT * FROM daily UNION ALL SELECT NULL, date, sum(k), sum(n) FROM daily GROUP BY date)
-SELECT h, round(sum(k) / sum(n), 6) AS coverage, CAST(sum(n) AS BIGINT) AS n, CAST(sum(k) AS BIGINT) AS hits, round(min(k / n), 6) AS min_daily, round(max(k / n), 6) AS max_daily, round(stddev_samp(k / n), 6) AS std_daily FROM every GROUP BY h""")
+SELECT h, round(sum(k) / sum(n), 6) AS coverage, CAST(sum(n) AS BIGINT) AS n, CAST(sum(k) AS BIGINT) AS hits, round(min(k / n), 6) AS min_daily, round(max(k / n), 6) AS max_daily, round(stddev_samp(k / n), 6) AS std_daily FROM every GROUP BY h""", totals=("h",))
 def coverage_stats(spark: SparkSession, d: str) -> DataFrame:
     return A.coverage_statistics(_fixed(spark, d)).select("h", _r("coverage"), "n", "hits", _r("min_daily"), _r("max_daily"), _r("std_daily"))
 
@@ -544,7 +547,7 @@ def counterfactual_policies(spark: SparkSession, d: str) -> DataFrame:
     return baskets.groupBy("policy").agg(_r(F.avg("v"), "mean_return", 7), _r(F.coalesce(F.stddev_samp("v"), F.lit(0.0)), "std_return", 7), F.count(F.lit(1)).alias("n_obs"))
 
 
-@_query(f"WITH {FIXED}, r AS (SELECT h, date, sum(y / h * index_weight) / (sum(index_weight) + 1e-12) AS v FROM fixed GROUP BY h, date UNION ALL SELECT NULL, date, sum(y / h * index_weight) / (sum(index_weight) + 1e-12) FROM fixed GROUP BY date) SELECT h, date, round(v, 8) + 0 AS v FROM r")
+@_query(f"WITH {FIXED}, r AS (SELECT h, date, sum(y / h * index_weight) / (sum(index_weight) + 1e-12) AS v FROM fixed GROUP BY h, date UNION ALL SELECT NULL, date, sum(y / h * index_weight) / (sum(index_weight) + 1e-12) FROM fixed GROUP BY date) SELECT h, date, round(v, 8) + 0 AS v FROM r", totals=("h",))
 def learned_policy_returns(spark: SparkSession, d: str) -> DataFrame:
     return causal.learned_returns(_fixed(spark, d)).select("h", "date", _r("v", digits=8))
 
@@ -626,7 +629,7 @@ def performance_table(spark: SparkSession, d: str) -> DataFrame:
     return stats.performance_table(models, draws=200)
 
 
-@_query()
+@_query(totals=("h",))
 def binomial_test(spark: SparkSession, d: str) -> DataFrame:
     return A.coverage_statistics(_fixed(spark, d)).select("h", "hits", "n", stats.binomial_p_value("hits", "n", F.lit(1 - CFG.alpha)).alias("p_value"))
 
@@ -657,13 +660,13 @@ o3 AS (SELECT o2.*, b.q AS q_b, coalesce(e.q, q0.q0) AS q_e, CASE WHEN o2.mom_b
 
 
 @_query(f"""WITH {OPE} SELECT h_e, round(avg(q_e), 8) + 0 AS "DM", round(avg(iw * yy), 8) + 0 AS "IPS", round(avg(q_e + iw * (yy - q_b)), 8) + 0 AS "DR", round(sum(q_e * index_weight) / (sum(index_weight) + 1e-18), 8) + 0 AS "DM_w",
-  round(sum(iw * yy) / (sum(iw) + 1e-12), 8) + 0 AS "IPS_sn", round(pow(sum(iw), 2) / (sum(iw * iw) + 1e-18), 4) AS ess, count(*) AS n FROM o3 GROUP BY ROLLUP (h_e)""")
+  round(sum(iw * yy) / (sum(iw) + 1e-12), 8) + 0 AS "IPS_sn", round(pow(sum(iw), 2) / (sum(iw * iw) + 1e-18), 4) AS ess, count(*) AS n FROM o3 GROUP BY ROLLUP (h_e)""", totals=("h_e",))
 def ope_dr_groupmean(spark: SparkSession, d: str) -> DataFrame:
     out = ope.evaluate_group_mean(_ope_rows(spark, d), CFG)
     return out.select("h_e", *[_r(c, digits=8) for c in ("DM", "IPS", "DR", "DM_w", "IPS_sn")], _r("ess", digits=4), "n")
 
 
-@_query()
+@_query(totals=("h_e",))
 def ope_dr_forest(spark: SparkSession, d: str) -> DataFrame:
     return ope.evaluate_forest(_ope_rows(spark, d), _scored(spark, d), replace(CFG, folds=2), trees=10)[1]
 
