@@ -136,6 +136,6 @@ def value_function(features: DataFrame, choices: DataFrame, cfg: Config = Config
             w = F.col("index_weight")
             labelled = labelled.groupBy("date").agg(*[(F.sum(F.col(c) * w) / (F.sum(w) + 1e-12)).alias(c) for c in (*CONTEXT[:-1], "label")], F.sum(w).alias("index_weight"))
         fitted = crossfit(labelled.withColumn("__w", F.greatest("index_weight", F.lit(1e-12))), CONTEXT, "label", folds, "__w", trees=trees, seed=cfg.seed)
-        one = fitted.agg(F.lit(h).alias("h"), F.avg("label").alias("mean_y"), F.avg("oof").alias("mean_oof"), F.when(F.count(F.lit(1)) > 2, F.corr("label", "oof")).alias("corr"), F.count(F.lit(1)).alias("n"), F.count_distinct("fold").alias("folds"))
+        one = fitted.agg(F.lit(h).alias("h"), F.avg("label").alias("mean_y"), F.avg("oof").alias("mean_oof"), F.when(F.count(F.lit(1)) > 2, F.try_divide(F.covar_samp("label", "oof"), F.stddev_samp("label") * F.stddev_samp("oof"))).alias("corr"), F.count(F.lit(1)).alias("n"), F.count_distinct("fold").alias("folds"))
         results = one if results is None else results.unionByName(one)
     return results

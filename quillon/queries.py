@@ -583,7 +583,7 @@ def newey_west_fixed_lags(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"""WITH {INDEX}, num AS (SELECT h, loss_scaled AS v, row_number() OVER (PARTITION BY h ORDER BY date) AS rn, count(*) OVER (PARTITION BY h) AS n FROM index_series),
 sizes AS (SELECT h, max(n) AS n, avg(v) AS mean FROM num GROUP BY h),
-draws AS (SELECT h, n, b, j, i, (CAST(b AS BIGINT) * 1103515245 + CAST(j AS BIGINT) * 97764355 % 9223372036854775807 + 123) % n AS s FROM sizes, range(200) t(b), range(1000) u(j), range(5) w(i) WHERE j < ceil(n / CAST(5 AS DOUBLE)) AND j * 5 + i < n),
+draws AS (SELECT h, n, b, j, i, (CAST(b AS BIGINT) * 1103515245 + CAST(j AS BIGINT) * 97760055 + 123) % n AS s FROM sizes, range(200) t(b), range(1000) u(j), range(5) w(i) WHERE j < ceil(n / CAST(5 AS DOUBLE)) AND j * 5 + i < n),
 m AS (SELECT d.h, b, avg(v) AS m FROM draws d JOIN num ON num.h = d.h AND num.rn = (d.s + d.i) % d.n + 1 GROUP BY d.h, b)
 SELECT h, any_value(n) AS n, round(any_value(mean), 7) AS mean, round(quantile_cont(m, 0.025), 7) AS ci_lo, round(quantile_cont(m, 0.975), 7) AS ci_hi FROM m JOIN sizes USING (h) GROUP BY h""")
 def block_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
@@ -706,8 +706,8 @@ def ablation_overview(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Raw quotes.
-@_query(f"""WITH {PANEL} SELECT date, id, round(index_weight, 6) AS index_weight, round(ret, 6) + 0 AS ret, CAST(dense_rank() OVER (ORDER BY sector_id + 100) - 1 AS INTEGER) AS sector_id
-FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM panel) WHERE n >= 290""")
+@_query(f"""WITH {PANEL}, counted AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM panel)
+SELECT date, id, round(index_weight, 6) AS index_weight, round(ret, 6) + 0 AS ret, CAST(dense_rank() OVER (ORDER BY sector_id + 100) - 1 AS INTEGER) AS sector_id FROM counted WHERE n >= 290""")
 def raw_quotes_panel(spark: SparkSession, d: str) -> DataFrame:
     p = sales_panel(spark, d)
     percent = lambda c: F.concat(F.translate(F.format_string("%.14f", c * 100), ".", ","), F.lit("%"))

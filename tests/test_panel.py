@@ -36,7 +36,7 @@ def test_future_returns_do_not_reach_features(spark):
 
 
 def test_ranks_with_ties_and_small_sections(spark):
-    rows = [("a", float(v)) for v in (1, 1, 2, 3, 3, 3, 4, 5, 6, None, 7)] + [("b", float(v)) for v in range(9)]
+    rows = [("a", v) for v in (1.0, 1.0, 2.0, 3.0, 3.0, 3.0, 4.0, 5.0, 6.0, None, 7.0)] + [("b", float(v)) for v in range(9)]
     df = spark.createDataFrame(rows, "date string, x double").withColumn("p", windows.percentile_rank(F.col("x")))
     got = {(r.date, r.x): r.p for r in df.collect()}
     assert got[("a", 1.0)] == 0.15 and got[("a", 3.0)] == 0.5 and got[("a", None)] == 0.5 and got[("a", 7.0)] == 1.0

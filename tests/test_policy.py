@@ -81,7 +81,7 @@ def test_head_and_calibrator():
 
 def test_runs_side_by_side(spark):
     frame = _slice()
-    frame["x"] = frame["x"].map(list)
+    frame["x"] = frame["x"].map(lambda x: [float(v) for v in x])
     train = frame.assign(date=[d - datetime.timedelta(60) for d in frame["date"]]).drop(columns=[c for c in frame if c.startswith(("alive", "mat"))])
     cfg = replace(CFG, train_end="2019-12-31", test_start="2020-01-01")
     rows = pd.concat([train, frame.drop(columns=[c for c in frame if c.startswith(("alive", "mat"))])])
