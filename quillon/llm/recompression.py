@@ -8,8 +8,10 @@ stand again, the same symbol stands over them. The exchange between tasks is of
 
 A window of 20 words chooses, among the symbols whose stretch it holds whole, one of the highest level,
 ties to the smallest name; so equal windows choose the same symbol at the same place. Single words are
-level 0, so every window has a choice. Names that occur once drop out; windows whose name occurs again
-are confirmed by 96 further bits of the window itself and ordered by document and start.
+level 0, so every window has a choice. Names that occur once drop out. Where a name stands again in
+the same surroundings (all words of the windows that chose it), those windows are repeats at once.
+Where surroundings differ, the first place of each is checked window by window. Names, surroundings
+and windows are told apart by 91 bits or more; documents and starts give the order.
 """
 
 from __future__ import annotations
@@ -129,15 +131,24 @@ def choose(words: np.ndarray, first: np.ndarray, window: int = WINDOW) -> tuple[
     return starts, chosen[starts], place[starts]
 
 
+# A run of windows is packed into a long: 27 bits that differ by use, then its first window's place in
+# the text (32 bits), then the number of windows (5 bits; a symbol serves 20 at most).
+_COUNT_BITS, _PLACE_BITS = 5, 37
+#: What is known of a row of symbols: nothing yet, that its windows stand earlier, that they need a check.
+_OPEN, _LATER, _CHECK = 0, 1, 2
+
+
 def _row_offsets(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
 
 
 def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(name, id, v, first window, windows, again) of each symbol that windows of a text choose.
+    """(name, x, id, s): a row per symbol that windows of a text choose.
 
-    Of a name that a block of texts holds several times, one row bears the name and is marked; the
-    other rows bear names of their own and are marked, so no name has more rows than there are blocks.
+    x packs bits of a hash of all words of those windows (the surroundings) with their place; s is 4
+    times the version plus what is known. In a block of texts a name is borne by one row only. Others
+    of the same surroundings stand later; those of other surroundings need a check, and so do all of
+    that name. They bear names of their own, so no name has more rows than there are blocks.
     """
     for batch in batches:
         for part, data, offsets in blocks(batch):
@@ -146,53 +157,55 @@ def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, name, place = choose(words, first)
             if not len(starts):
                 continue
+            # Windows that choose one symbol are one row, from the first to the last of them.
             fresh = np.ones(len(starts), dtype=bool)
             fresh[1:] = (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1) | (name[1:] != name[:-1])
             heads = np.flatnonzero(fresh)
-            order = heads[np.lexsort((starts[heads], place[heads], name[heads]))]
-            # Runs of windows that choose one symbol are one row, from the first to the last of them.
-            new = np.ones(len(order), dtype=bool)
-            new[1:] = (name[order][1:] != name[order][:-1]) | (place[order][1:] != place[order][:-1])
-            run_end = np.append(heads[1:], len(starts)) - 1
-            end_of = np.zeros(len(starts), dtype=np.int64)
-            end_of[heads] = starts[run_end]
+            end_of = starts[np.append(heads[1:], len(starts)) - 1]
+            order = np.lexsort((starts[heads], place[heads], name[heads]))
+            heads, end_of = heads[order], end_of[order]
+            new = np.ones(len(heads), dtype=bool)
+            new[1:] = (name[heads][1:] != name[heads][:-1]) | (place[heads][1:] != place[heads][:-1])
             at = np.flatnonzero(new)
-            low, high = starts[order[at]], np.maximum.reduceat(end_of[order], at)
-            names = name[order[at]]
-            other = np.zeros(len(names), dtype=bool)
-            other[1:] = names[1:] == names[:-1]
-            again = other.copy()
-            again[:-1] |= other[1:]
-            names = np.where(other, mix(names ^ mix(low.astype(np.uint64), 71), 72), names)
-            text = np.searchsorted(first, low, side="right") - 1
+            low, high, names = starts[heads[at]], np.maximum.reduceat(end_of, at), name[heads[at]]
+            around = (sequence_hashes(words, low, high + WINDOW, 4) >> np.uint64(_PLACE_BITS)).astype(np.int64)
             ids, versions = _row_offsets(part)
+            text = np.searchsorted(first, low, side="right") - 1
+            own, start = ids[text], low - first[text]
+            order = np.lexsort((start, own, around, names))
+            low, high, names, around, text, own, start = (z[order] for z in (low, high, names, around, text, own, start))
+            same_name, same = np.zeros(len(names), dtype=bool), np.zeros(len(names), dtype=bool)
+            same_name[1:] = names[1:] == names[:-1]
+            same[1:] = same_name[1:] & (around[1:] == around[:-1])
+            head = np.maximum.accumulate(np.where(same, 0, np.arange(len(names))))
+            later = same & ((own != own[head]) | (start != start[head]))
+            group = np.cumsum(~same_name) - 1
+            several = np.bincount(group, weights=same_name & ~same) > 0
+            known = np.where(later, _LATER, np.where(several[group] | same, _CHECK, _OPEN))
+            names = np.where(same_name, mix(names ^ mix(low.astype(np.uint64), 71), 72), names)
+            x = (around << _PLACE_BITS) | (start << _COUNT_BITS) | (high - low + 1)
             yield pa.RecordBatch.from_pydict(
-                {
-                    "name": pa.array(as_signed(names)),
-                    "id": pa.array(ids[text]),
-                    "v": pa.array(versions[text]),
-                    "a": pa.array((low - first[text]).astype(np.int32)),
-                    "c": pa.array((high - low + 1).astype(np.int32)),
-                    "again": pa.array(again),
-                }
+                {"name": pa.array(as_signed(names)), "x": pa.array(x), "id": pa.array(own), "s": pa.array((versions[text] * 4 + known).astype(np.int32))}
             )
 
 
 def _marked(part: pa.RecordBatch, column: str, first: np.ndarray, window: int) -> np.ndarray:
-    """First words (in the block) of the windows that a text's list of (v, first, number) names, ascending."""
+    """First words (in the block) of the windows that a text's list of runs names, ascending.
+
+    A run's upper bits are the version of the text that it belongs to.
+    """
     lists = part.column(part.schema.get_field_index(column))
-    flat, bounds = lists.flatten(), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    text = np.repeat(np.arange(part.num_rows), bounds)
-    v, a, c = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
-    mine = v == part.column(1).to_numpy(zero_copy_only=False)[text]
-    s = ranges(first[:-1][text[mine]] + a[mine], c[mine])
-    owner = np.repeat(text[mine], c[mine])
-    inside = s + window <= first[1:][owner]
-    return np.unique(s[inside])
+    runs = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    text = np.repeat(np.arange(part.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    mine = runs >> _PLACE_BITS == part.column(1).to_numpy(zero_copy_only=False)[text]
+    runs, text = runs[mine], text[mine]
+    count = runs & ((1 << _COUNT_BITS) - 1)
+    s = ranges(first[:-1][text] + (runs >> _COUNT_BITS & 0xFFFFFFFF), count)
+    return np.unique(s[s + window <= first[1:][np.repeat(text, count)]])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(w1, w2, id, v, start, again) of the windows whose symbol stands elsewhere too.
+    """(w, x, id, s) of the windows to check: 64 bits of the window's hash, then 27 more packed with its place.
 
     Of a window that a block of texts holds several times, the first bears its hash; the others stand
     later, so they are marked and bear hashes of their own.
@@ -201,30 +214,24 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in blocks(batch):
             begins, ends, first = split(data, offsets, NOT_BLANK)
             words = hashes(data, begins, ends)
-            s = _marked(part, "found", first, WINDOW)
-            if not len(s):
+            at = _marked(part, "found", first, WINDOW)
+            if not len(at):
                 continue
-            w1 = sequence_hashes(words, s, s + WINDOW, 1)
-            w2 = (sequence_hashes(words, s, s + WINDOW, 2) >> np.uint64(33)).astype(np.int32)
+            w = sequence_hashes(words, at, at + WINDOW, 1)
+            more = (sequence_hashes(words, at, at + WINDOW, 2) >> np.uint64(_PLACE_BITS)).astype(np.int64)
             ids, versions = _row_offsets(part)
-            text = np.searchsorted(first, s, side="right") - 1
-            own_id, start = ids[text], s - first[text]
-            order = np.lexsort((start, own_id, w2, w1))
-            w1, w2, own_id, start, text = w1[order], w2[order], own_id[order], start[order], text[order]
-            alike = np.zeros(len(w1), dtype=bool)
-            alike[1:] = (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1])
-            head = np.maximum.accumulate(np.where(alike, 0, np.arange(len(w1))))
-            again = alike & ((own_id != own_id[head]) | (start != start[head]))
-            w1 = np.where(again, mix(w1 ^ mix(s[order].astype(np.uint64), 73), 74), w1)
+            text = np.searchsorted(first, at, side="right") - 1
+            own, start = ids[text], at - first[text]
+            order = np.lexsort((start, own, more, w))
+            w, more, own, start, text, at = (z[order] for z in (w, more, own, start, text, at))
+            alike = np.zeros(len(w), dtype=bool)
+            alike[1:] = (w[1:] == w[:-1]) & (more[1:] == more[:-1])
+            head = np.maximum.accumulate(np.where(alike, 0, np.arange(len(w))))
+            later = alike & ((own != own[head]) | (start != start[head]))
+            w = np.where(later, mix(w ^ mix(at.astype(np.uint64), 73), 74), w)
+            x = (more << _PLACE_BITS) | (start << _COUNT_BITS) | 1
             yield pa.RecordBatch.from_pydict(
-                {
-                    "w1": pa.array(as_signed(w1)),
-                    "w2": pa.array(w2),
-                    "id": pa.array(own_id),
-                    "v": pa.array(versions[text]),
-                    "a": pa.array(start.astype(np.int32)),
-                    "again": pa.array(again),
-                }
+                {"w": pa.array(as_signed(w)), "x": pa.array(x), "id": pa.array(own), "s": pa.array((versions[text] * 4 + later * _LATER).astype(np.int32))}
             )
 
 
@@ -266,15 +273,25 @@ def _remove(docs: DataFrame, finish, schema: str) -> DataFrame:  # noqa: ANN001
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.col("text"), F.xxhash64("text").alias("th"))
     base = keyed.withColumn("v", F.dense_rank().over(Window.partitionBy("id").orderBy("th"))).select("id", "v", "text")
 
-    symbols = base.mapInArrow(_symbols, "name long, id long, v int, a int, c int, again boolean")
-    same_name = Window.partitionBy("name")
-    shared = symbols.withColumn("n", F.count(F.lit(1)).over(same_name)).withColumn("known", F.max("again").over(same_name)).where("n > 1 or known")
-    candidates = shared.groupBy("id").agg(F.collect_list(F.struct("v", "a", "c")).alias("found"))
-
-    windows = base.join(candidates, "id").mapInArrow(_windows, "w1 long, w2 int, id long, v int, a int, again boolean")
-    first = F.min(F.struct("id", "a")).over(Window.partitionBy("w1", "w2"))
-    later = windows.withColumn("first", first).where("again or id > first.id or (id = first.id and a > first.a)")
-    repeats = later.groupBy("id").agg(F.collect_list(F.struct(F.col("v"), F.col("a"), F.lit(1).alias("c"))).alias("found"))
+    bits, place = F.shiftright("x", _PLACE_BITS), F.col("x").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    run = (F.shiftleft(F.shiftright("s", 2).cast("long"), _PLACE_BITS) + place).alias("run")
+    known = F.col("s").bitwiseAND(F.lit(3))
+
+    # Symbols: of equal names with equal surroundings all but the first stand later; names with
+    # several surroundings need a check of the first of each.
+    # Rows are unpacked behind the exchange, so that they travel packed.
+    symbols = base.mapInArrow(_symbols, "name long, x long, id long, s int").repartition("name").withColumns({"bits": bits, "at": place})
+    same_name, same = Window.partitionBy("name"), Window.partitionBy("name", "bits")
+    judged = symbols.withColumn("several", (F.min("bits").over(same_name) != F.max("bits").over(same_name)) | (F.max(known).over(same_name) == _CHECK))
+    judged = judged.withColumn("first", F.min(F.struct("id", "at")).over(same))
+    is_later = (known == _LATER) | (F.struct("id", "at") > F.col("first"))
+    judged = judged.select("id", run, is_later.alias("later"), F.col("several")).where("later or several")
+    candidates = judged.where("not later").groupBy("id").agg(F.collect_list("run").alias("found"))
+
+    windows = base.join(candidates, "id").mapInArrow(_windows, "w long, x long, id long, s int").repartition("w").withColumns({"bits": bits, "at": place})
+    first = F.min(F.struct("id", "at")).over(Window.partitionBy("w", "bits"))
+    checked = windows.withColumn("first", first).where((known == _LATER) | (F.struct("id", "at") > F.col("first"))).select("id", run)
+    repeats = judged.where("later").select("id", "run").unionByName(checked).groupBy("id").agg(F.collect_list("run").alias("found"))
     return base.join(repeats, "id", "left").mapInArrow(finish, schema)
 
 
