@@ -26,7 +26,8 @@ def select_variants(runs: Sequence[Run], wanted: Sequence[str | Mapping] | None)
 
 def overview(scores: DataFrame, panel: DataFrame, draws: int = 2000) -> tuple[DataFrame, DataFrame]:
     """(overview, differences) of every run in the log against `base`. Runs are few."""
-    index = security_to_index(with_weights(scores, panel), ("run", "date", "h"))
+    # A row per run, date and horizon, read once per run and table below; the runs behind it are not repeated.
+    index = security_to_index(with_weights(scores, panel), ("run", "date", "h")).persist()
     base = index.where("run = 'base'")
     tables, diffs = None, None
     for (name,) in index.select("run").where("run <> 'base'").distinct().orderBy("run").collect():
