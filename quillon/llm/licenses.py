@@ -223,7 +223,7 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
 
 
 def license_digest(docs: DataFrame) -> DataFrame:
-    """Per document: words, the different licenses (sorted, comma-joined), their number, words covered from the first match to its end."""
+    """Per document: words, the different licenses (sorted, comma-joined), their number, the best containment."""
     found = scan_licenses(docs.select("doc_id", "text"))
     names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"])))
     return found.select(
