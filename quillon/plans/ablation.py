@@ -25,20 +25,12 @@ def select_variants(runs: Sequence[Run], wanted: Sequence[str | Mapping] | None)
 
 
 def overview(scores: DataFrame, panel: DataFrame, draws: int = 2000) -> tuple[DataFrame, DataFrame]:
-    """(overview, differences) of every run in the log against `base`. Runs are few."""
-    # A row per run, date and horizon, read once per run and table below; the runs behind it are not repeated.
+    """(overview, differences) of every run in the log against `base`; a log without variants raises ValueError."""
+    # A row per run, date and horizon, read by every table below; the runs behind it are not repeated.
     index = security_to_index(with_weights(scores, panel), ("run", "date", "h")).persist()
-    base = index.where("run = 'base'")
-    tables, diffs = None, None
-    for (name,) in index.select("run").where("run <> 'base'").distinct().orderBy("run").collect():
-        variant = index.where(F.col("run") == name)
-        table = compare_variant(base, variant, draws=draws).withColumn("variant", F.lit(name))
-        diff = paired_differences(base, variant).select("date", "h", "d_loss_scaled").withColumn("variant", F.lit(name))
-        tables = table if tables is None else tables.unionByName(table)
-        diffs = diff if diffs is None else diffs.unionByName(diff)
-    if tables is None:
-        raise ValueError("the log holds no variant")
-    return tables, diffs
+    base, variants = index.where("run = 'base'"), index.where("run <> 'base'").withColumnRenamed("run", "variant")
+    diffs = paired_differences(base, variants, ["variant"]).select("date", "h", "d_loss_scaled", "variant")
+    return compare_variant(base, variants, ["variant"], draws=draws), diffs
 
 
 def run_ablation(features: DataFrame, cfg: Config = Config(), wanted: Sequence[str | Mapping] | None = None, draws: int = 2000) -> tuple[DataFrame, DataFrame]:

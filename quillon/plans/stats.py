@@ -166,25 +166,30 @@ def diebold_mariano(pairs: DataFrame, by: Sequence[str] = (), h: int = 1, max_la
     return out.select(*by, "n", F.col("mean").alias("diff_mean"), "nw_se", "dm_stat", t_p_value("dm_stat", n - 1).alias("p_value"))
 
 
-def paired_differences(base: DataFrame, variant: DataFrame) -> DataFrame:
-    """(date, h, d_loss_scaled) of two index series on their common keys; none raises ValueError."""
+def paired_differences(base: DataFrame, variants: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., date, h, d_loss_scaled) of index series on the keys common with the base; none raises ValueError."""
     a = base.select("date", "h", F.col("loss_scaled").alias("loss_base"))
-    out = a.join(variant.select("date", "h", F.col("loss_scaled").alias("loss_var")), ["date", "h"]).withColumn("d_loss_scaled", F.col("loss_var") - F.col("loss_base"))
+    out = a.join(variants.select(*by, "date", "h", F.col("loss_scaled").alias("loss_var")), ["date", "h"]).withColumn("d_loss_scaled", F.col("loss_var") - F.col("loss_base"))
     if out.isEmpty():
         raise ValueError("no common (date, h)")
     return out
 
 
-def compare_variant(base: DataFrame, variant: DataFrame, block: int = 5, draws: int = 2000, alpha: float = 0.05) -> DataFrame:
-    """Overall (scope 'all': horizons averaged by date) and by horizon: means, difference, HAC t, bootstrap interval."""
-    d = paired_differences(base, variant)
-    cells = d.select(F.concat(F.lit("h="), F.col("h").cast("string")).alias("scope"), "date", "loss_base", "loss_var", F.col("d_loss_scaled").alias("v"))
-    total = d.groupBy("date").agg(F.avg("loss_base").alias("loss_base"), F.avg("loss_var").alias("loss_var"), F.avg("d_loss_scaled").alias("v"))
+def compare_variant(base: DataFrame, variants: DataFrame, by: Sequence[str] = (), block: int = 5, draws: int = 2000, alpha: float = 0.05) -> DataFrame:
+    """Overall (scope 'all': horizons averaged by date) and by horizon: means, difference, HAC t, bootstrap interval.
+
+    With `by`, all variants that it tells apart are compared side by side.
+    """
+    by = list(by)
+    d = paired_differences(base, variants, by)
+    cells = d.select(*by, F.concat(F.lit("h="), F.col("h").cast("string")).alias("scope"), "date", "loss_base", "loss_var", F.col("d_loss_scaled").alias("v"))
+    total = d.groupBy(*by, "date").agg(F.avg("loss_base").alias("loss_base"), F.avg("loss_var").alias("loss_var"), F.avg("d_loss_scaled").alias("v"))
     both = cells.unionByName(total.withColumn("scope", F.lit("all")))
-    means = both.groupBy("scope").agg(F.avg("loss_base").alias("mean_loss_base"), F.avg("loss_var").alias("mean_loss_var"))
-    hac = newey_west(both, ["scope"]).select("scope", "n", F.col("mean").alias("mean_diff"), F.col("nw_se").alias("hac_se"), (F.col("mean") / F.col("nw_se")).alias("hac_t"))
-    boot = block_bootstrap(both, ["scope"], block, draws, alpha).select("scope", F.col("ci_lo").alias("mbb_ci_lo"), F.col("ci_hi").alias("mbb_ci_hi"))
-    return means.join(hac, "scope").join(boot, "scope")
+    key = [*by, "scope"]
+    means = both.groupBy(*key).agg(F.avg("loss_base").alias("mean_loss_base"), F.avg("loss_var").alias("mean_loss_var"))
+    hac = newey_west(both, key).select(*key, "n", F.col("mean").alias("mean_diff"), F.col("nw_se").alias("hac_se"), F.try_divide("mean", "nw_se").alias("hac_t"))
+    boot = block_bootstrap(both, key, block, draws, alpha).select(*key, F.col("ci_lo").alias("mbb_ci_lo"), F.col("ci_hi").alias("mbb_ci_hi"))
+    return means.join(hac, key).join(boot, key)
 
 
 def performance_table(scores: DataFrame, block: int = 20, draws: int = 1000, alpha: float = 0.10) -> DataFrame:
