@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.words import ALNUM_LOWER, LOWER, blocks, hashes, mix, ranges, sequence_hashes, split
+from quillon.llm.words import ALNUM_LOWER, LOWER, blocks, hashes, ranges, sequence_hashes, split
 
 #: Words in a shingle, the share of a template's shingles that a match needs, the chance to miss one.
 SHINGLE, CONTAINMENT, MISS = 5, 0.8, 1e-5
