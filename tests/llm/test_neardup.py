@@ -49,7 +49,7 @@ def test_against_a_plain_version(spark):
 
 
 def test_leftovers_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "LARGE", 2)
+    monkeypatch.setattr(neardup, "LARGE", 3)
     monkeypatch.setattr(neardup, "BLOCK_CLASSES", 3)
     texts = _texts(2)
     assert _found(documents(spark, texts)) == _plain(texts)
