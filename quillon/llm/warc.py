@@ -164,8 +164,11 @@ def resolve(records: DataFrame) -> DataFrame:
     """
     responses = records.where("record_type = 'response'").groupBy("record").agg(F.max(F.struct("digest", "bytes", "page_id")).alias("o"))
     known = responses.select(F.col("record").alias("refers_record"), F.col("o.digest").alias("o_digest"), F.col("o.bytes").alias("o_bytes"), F.col("o.page_id").alias("o_page"))
-    both = records.join(known, "refers_record", "left")
+    # Responses refer to nothing; a key of their own spreads them over tasks.
     revisit = F.col("record_type") == "revisit"
+    own = F.concat(F.lit("-"), F.coalesce("record", "page_id", F.lit("")))
+    keyed = records.withColumn("key", F.coalesce(F.when(revisit, F.col("refers_record")), own))
+    both = keyed.join(known.withColumnRenamed("refers_record", "key"), "key", "left")
     matches = revisit & (F.col("o_digest") == F.col("stated_digest"))
     return both.select(
         F.col("page_id").cast("long").alias("page_id"),
