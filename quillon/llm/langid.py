@@ -296,9 +296,16 @@ def classify(tagger: Tagger | None, data: np.ndarray, offsets: np.ndarray) -> tu
 
 
 def train(docs: DataFrame, max_docs: int = MAX_TRAINING_DOCS, max_bytes: int = MAX_TRAINING_BYTES) -> Tagger | None:
-    """Fit on at most `max_docs` labelled documents outside the held-out fold, chosen by a hash of their text."""
-    fits = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes) & (fold_of(F.col("doc_id")) != HELD_OUT))
-    rows = fits.select("lang", "text", F.xxhash64("text").alias("h")).orderBy("h", "lang").limit(max_docs).collect()
+    """Fit on at most `max_docs` labelled documents outside the held-out fold, the smallest by a hash of the text.
+
+    Equal texts count once.
+    """
+    h = F.xxhash64("text")
+    fits = docs.select("doc_id", "text", "lang", h.alias("h")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes) & (fold_of(F.col("doc_id")) != HELD_OUT))
+    # Hashes are chosen first, so that no more than max_docs texts come to the driver however many tasks there are.
+    chosen = fits.groupBy("h").agg(F.min("lang").alias("lang")).orderBy("h").limit(max_docs)
+    rows = fits.join(F.broadcast(chosen), ["h", "lang"], "left_semi").groupBy("h").agg(F.min("lang").alias("lang"), F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: r["h"])
     return fit([(r["lang"], r["text"]) for r in rows])
 
 
