@@ -10,8 +10,8 @@ A window of 20 words chooses, among the symbols whose stretch it holds whole, on
 ties to the smallest name; so equal windows choose the same symbol at the same place. Single words are
 level 0, so every window has a choice. Names that occur once drop out. Where a name stands again in
 the same surroundings (all words of the windows that chose it), those windows are repeats at once.
-Where surroundings differ, the first place of each is checked window by window. Names, surroundings
-and windows are told apart by 91 bits or more; documents and starts give the order.
+Where surroundings differ, the first place of each is checked window by window. Surroundings and
+windows are each told apart by 91 bits of their own, names not counted; documents and starts give the order.
 """
 
 from __future__ import annotations
@@ -143,12 +143,12 @@ def _row_offsets(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(name, x, id, s): a row per symbol that windows of a text choose.
+    """(name, around, x, id, s): a row per symbol that windows of a text choose.
 
-    x packs bits of a hash of all words of those windows (the surroundings) with their place; s is 4
-    times the version plus what is known. In a block of texts a name is borne by one row only. Others
-    of the same surroundings stand later; those of other surroundings need a check, and so do all of
-    that name. They bear names of their own, so no name has more rows than there are blocks.
+    around is 64 bits of all words of those windows (the surroundings), x packs 27 more with their
+    place; s is 4 times the version plus what is known. In a block of texts a name is borne by one row
+    only. Others of the same surroundings stand later; those of other surroundings need a check, and so
+    do all of that name. They bear names of their own, so no name has more rows than there are blocks.
     """
     for batch in batches:
         for part, data, offsets in blocks(batch):
@@ -168,24 +168,31 @@ def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new[1:] = (name[heads][1:] != name[heads][:-1]) | (place[heads][1:] != place[heads][:-1])
             at = np.flatnonzero(new)
             low, high, names = starts[heads[at]], np.maximum.reduceat(end_of, at), name[heads[at]]
-            around = (sequence_hashes(words, low, high + WINDOW, 4) >> np.uint64(_PLACE_BITS)).astype(np.int64)
+            around = sequence_hashes(words, low, high + WINDOW, 6)
+            more = (sequence_hashes(words, low, high + WINDOW, 4) >> np.uint64(_PLACE_BITS)).astype(np.int64)
             ids, versions = _row_offsets(part)
             text = np.searchsorted(first, low, side="right") - 1
             own, start = ids[text], low - first[text]
-            order = np.lexsort((start, own, around, names))
-            low, high, names, around, text, own, start = (z[order] for z in (low, high, names, around, text, own, start))
+            order = np.lexsort((start, own, more, around, names))
+            low, high, names, around, more, text, own, start = (z[order] for z in (low, high, names, around, more, text, own, start))
             same_name, same = np.zeros(len(names), dtype=bool), np.zeros(len(names), dtype=bool)
             same_name[1:] = names[1:] == names[:-1]
-            same[1:] = same_name[1:] & (around[1:] == around[:-1])
+            same[1:] = same_name[1:] & (around[1:] == around[:-1]) & (more[1:] == more[:-1])
             head = np.maximum.accumulate(np.where(same, 0, np.arange(len(names))))
             later = same & ((own != own[head]) | (start != start[head]))
             group = np.cumsum(~same_name) - 1
             several = np.bincount(group, weights=same_name & ~same) > 0
             known = np.where(later, _LATER, np.where(several[group] | same, _CHECK, _OPEN))
             names = np.where(same_name, mix(names ^ mix(low.astype(np.uint64), 71), 72), names)
-            x = (around << _PLACE_BITS) | (start << _COUNT_BITS) | (high - low + 1)
+            x = (more << _PLACE_BITS) | (start << _COUNT_BITS) | (high - low + 1)
             yield pa.RecordBatch.from_pydict(
-                {"name": pa.array(as_signed(names)), "x": pa.array(x), "id": pa.array(own), "s": pa.array((versions[text] * 4 + known).astype(np.int32))}
+                {
+                    "name": pa.array(as_signed(names)),
+                    "around": pa.array(as_signed(around)),
+                    "x": pa.array(x),
+                    "id": pa.array(own),
+                    "s": pa.array((versions[text] * 4 + known).astype(np.int32)),
+                }
             )
 
 
@@ -280,9 +287,10 @@ def _remove(docs: DataFrame, finish, schema: str) -> DataFrame:  # noqa: ANN001
     # Symbols: of equal names with equal surroundings all but the first stand later; names with
     # several surroundings need a check of the first of each.
     # Rows are unpacked behind the exchange, so that they travel packed.
-    symbols = base.mapInArrow(_symbols, "name long, x long, id long, s int").repartition("name").withColumns({"bits": bits, "at": place})
-    same_name, same = Window.partitionBy("name"), Window.partitionBy("name", "bits")
-    judged = symbols.withColumn("several", (F.min("bits").over(same_name) != F.max("bits").over(same_name)) | (F.max(known).over(same_name) == _CHECK))
+    symbols = base.mapInArrow(_symbols, "name long, around long, x long, id long, s int").repartition("name").withColumns({"bits": bits, "at": place})
+    same_name, same = Window.partitionBy("name"), Window.partitionBy("name", "around", "bits")
+    several = [F.min(c).over(same_name) != F.max(c).over(same_name) for c in ("around", "bits")]
+    judged = symbols.withColumn("several", several[0] | several[1] | (F.max(known).over(same_name) == _CHECK))
     judged = judged.withColumn("first", F.min(F.struct("id", "at")).over(same))
     is_later = (known == _LATER) | (F.struct("id", "at") > F.col("first"))
     judged = judged.select("id", run, is_later.alias("later"), F.col("several")).where("later or several")

@@ -67,3 +67,10 @@ def test_equal_windows_choose_the_same_symbol_at_the_same_place():
         alone = recompression.choose(shared, np.array([0, 20]))
         i = int(np.flatnonzero(starts == cut)[0])
         assert (name[i], place[i] - cut) == (alone[1][0], alone[2][0])
+
+
+def test_surroundings_that_share_27_bits_are_told_apart(spark):
+    # Found by search: the 12 words in the middle stand in surroundings whose 27 bits in x agree, and no window repeats.
+    texts = [" ".join([f"a{i}.{j}" for j in range(18)] + [f"s{j}" for j in range(12)] + [f"b{i}.{j}" for j in range(18)]) for i in (75118, 166142)]
+    for parts in (1, 2):
+        assert [r[2] for r in _found(documents(spark, texts).repartition(parts))] == [0, 0]
