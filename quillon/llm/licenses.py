@@ -1,11 +1,13 @@
 """License scans: MinHash bands over overlapping text windows, then exact shingle containment.
 
-Templates are grouped by length. For a group, a text is covered by overlapping windows somewhat longer
-than the longest template, each a quarter of a template after the one before, so any passage as long
-as a template lies whole in some window. From the containment to be found follows the least Jaccard similarity of
-such a window and its template, and from that the number of bands under which they share one with
-the wanted probability. Shared bands only name candidates: a match needs the containment itself,
-counted on the full sets of 5-word shingles.
+A template may stand in a text with words put in: a match is a passage of at most `SPREAD` times the
+template's words that holds the wanted share of its shingles. (A template that is too short to be split
+and keep that share stands in one piece.) Templates are grouped by length. For a group, a text is covered
+by overlapping windows, each a quarter of a template after the one before, so long that any such passage
+lies whole in some window. From the containment to be found follows the least Jaccard similarity of such
+a window and its template, and from that the number of bands under which they share one with the wanted
+probability. Shared bands only name candidates: a match needs the containment itself, counted on the
+full sets of 5-word shingles over passages of the windows.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ SHINGLE, CONTAINMENT, MISS = 5, 0.8, 1e-5
 #: Values in a band. A shared minimum is already a shared run of 5 words, which is rare outside of a
 #: match; longer bands would need several times as many hash evaluations for the same chance to miss.
 BAND_ROWS = 1
+#: How many times a template's own words the passage may have that it is found in.
+SPREAD = 3
 #: Words in a block, the unit in which windows begin and end; templates of a group differ by this factor.
 BLOCK, GROUP_FACTOR = 2, 1.35
 
@@ -71,14 +75,15 @@ def bands_needed(similarity: float, rows: int = BAND_ROWS, miss: float = MISS) -
 
 @dataclass(frozen=True)
 class Group:
-    """Templates of about one length: (number, shingle set), window and step in blocks, bands."""
+    """Templates of about one length: (number, shingle set, shingles that a match spans at most), cells in a
+    window, blocks in a cell, and of each band the values of its templates."""
 
     numbers: list[int]
     sets: list[np.ndarray]
+    reach: list[int]
     window: int
     step: int
-    bands: int
-    keys: list[dict[int, list[int]]]
+    keys: list[list[tuple[int, ...]]]
 
 
 class Scanner:
@@ -89,89 +94,134 @@ class Scanner:
         self.containment = containment
         batch = pa.RecordBatch.from_pydict({"text": pa.array([t for _, t in templates], pa.string())})
         sets: list[np.ndarray] = []
+        spans: list[int] = []
         for part, data, offsets in blocks(batch):
-            own, bounds = shingles(*normal_words(data, offsets))
+            words, first = normal_words(data, offsets)
+            own, bounds = shingles(words, first)
             sets += [np.unique(own[bounds[i] : bounds[i + 1]]) for i in range(part.num_rows)]
+            spans += np.diff(first).tolist()
+        # Words put in cost a template the SHINGLE - 1 shingles across that place.
+        splits = [len(x) - math.ceil(containment * len(x) - 1e-9) >= SHINGLE - 1 for x in sets]
+        reach = [max(1, n * (SPREAD if split_ else 1) - SHINGLE + 1) for n, split_ in zip(spans, splits, strict=True)]
         order = [i for i in sorted(range(len(sets)), key=lambda i: len(sets[i])) if len(sets[i])]
         drafts: list[list[int]] = []
         for i in order:
-            if drafts and len(sets[i]) <= max(len(sets[drafts[-1][0]]) * GROUP_FACTOR, len(sets[drafts[-1][0]]) + 1):
+            if drafts and splits[i] == splits[drafts[-1][0]] and len(sets[i]) <= max(len(sets[drafts[-1][0]]) * GROUP_FACTOR, len(sets[drafts[-1][0]]) + 1):
                 drafts[-1].append(i)
             else:
                 drafts.append([i])
         self.groups, shapes = [], []
         for members in drafts:
-            longest, shortest = len(sets[members[-1]]), len(sets[members[0]])
-            step = max(1, longest // 4 // BLOCK)
-            window = -(-(longest - 1) // BLOCK) + step
-            shared = math.ceil(containment * shortest - 1e-9)
-            shapes.append((members, window, step, bands_needed(shared / (window * BLOCK + shortest - shared))))
+            step = max(1, len(sets[members[-1]]) // 4 // BLOCK)
+            # A passage begins anywhere in its first cell.
+            window = -(-(max(reach[m] for m in members) - 1) // (step * BLOCK)) + 1
+            shared = {m: math.ceil(containment * len(sets[m]) - 1e-9) for m in members}
+            least = min(shared[m] / (window * step * BLOCK + len(sets[m]) - shared[m]) for m in members)
+            shapes.append((members, window, step, bands_needed(least)))
         n_bands = max((s[3] for s in shapes), default=0)
         draw = np.random.Generator(np.random.PCG64(17))
         self.factor = draw.integers(0, 1 << 32, n_bands * BAND_ROWS, dtype=np.uint32) | np.uint32(1)
         self.add = draw.integers(0, 1 << 32, n_bands * BAND_ROWS, dtype=np.uint32)
         for members, window, step, bands in shapes:
-            keys: list[dict[int, list[int]]] = []
-            for b in range(bands):
-                table: dict[int, list[int]] = {}
-                for m in members:
-                    table.setdefault(self._band([int(self.values(sets[m], b * BAND_ROWS + r).min()) for r in range(BAND_ROWS)]), []).append(m)
-                keys.append(table)
-            self.groups.append(Group(members, [sets[m] for m in members], window, step, bands, keys))
-
-    def values(self, members: np.ndarray, i: int) -> np.ndarray:
-        """The i-th hash of every shingle."""
-        y = (members >> np.uint64(32)).astype(np.uint32) * self.factor[i] + self.add[i]
-        y ^= y >> np.uint32(15)
-        return y * np.uint32(0x2C1B3C6D)
+            upper = [self.upper(sets[m]) for m in members]
+            keys = [sorted({tuple(int(self.values(u, b * BAND_ROWS + r).min()) for r in range(BAND_ROWS)) for u in upper}) for b in range(bands)]
+            self.groups.append(Group(members, [sets[m] for m in members], [reach[m] for m in members], window, step, keys))
 
     @staticmethod
-    def _band(values: list[int]) -> int:
-        key = 0
-        for v in values:
-            key = key << 32 | v
-        return key
+    def upper(members: np.ndarray) -> np.ndarray:
+        """The half of a shingle's hash that bands are made from."""
+        return (members >> np.uint64(32)).astype(np.uint32)
+
+    def values(self, upper: np.ndarray, i: int) -> np.ndarray:
+        """The i-th hash of every shingle."""
+        y = upper * self.factor[i]
+        y += self.add[i]
+        y ^= y >> np.uint32(15)
+        y *= np.uint32(0x2C1B3C6D)
+        return y
 
     def candidates(self, members: np.ndarray, bounds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-        """(text, first shingle, end shingle, group) of the windows that share a band with a template of a group."""
-        count = np.diff(bounds)
-        per_text = -(-count // BLOCK)
-        block_of = np.concatenate(([0], np.cumsum(per_text)))
-        text = np.repeat(np.arange(len(count)), per_text)
-        begin = bounds[:-1][text] + ranges(np.zeros(len(count), dtype=np.int64), per_text) * BLOCK
-        if not len(begin):
+        """(text, first shingle, end shingle, group) of the windows that share a band with a template of a group.
+
+        Windows of a text that overlap are given as one.
+        """
+        full = np.flatnonzero(np.diff(bounds))
+        edge = np.append(bounds[:-1][full], bounds[-1])
+        per_text = -(-np.diff(edge) // BLOCK)
+        if not len(full):
             return []
-        plans, hit = [], []
+        block_of = np.concatenate(([0], np.cumsum(per_text)))
+        begin = edge[:-1][np.repeat(np.arange(len(full)), per_text)] + ranges(np.zeros(len(full), dtype=np.int64), per_text) * BLOCK
+        cells, hit, short = [], [], []
         for g in self.groups:
-            n = np.where(per_text > g.window, -(-(per_text - g.window) // g.step) + 1, (per_text > 0).astype(np.int64))
-            t = np.repeat(np.arange(len(count)), n)
-            # The last window ends with the text, so that it is whole too.
-            first = block_of[:-1][t] + np.minimum(ranges(np.zeros(len(count), dtype=np.int64), n) * g.step, np.maximum(per_text[t] - g.window, 0))
-            last = np.minimum(first + g.window, block_of[1:][t])
-            edges = np.empty(2 * len(first), dtype=np.int64)
-            edges[0::2], edges[1::2] = first, last
-            plans.append((t, first, last, edges))
-            hit.append(np.zeros(len(first), dtype=bool))
-        n_bands = max(g.bands for g in self.groups)
-        for b in range(n_bands):
-            lows = [np.append(np.minimum.reduceat(self.values(members, b * BAND_ROWS + r), begin), np.uint32(0)) for r in range(BAND_ROWS)]
+            n = -(-per_text // g.step)
+            cells.append((n, np.repeat(block_of[:-1], n) + ranges(np.zeros(len(full), dtype=np.int64), n) * g.step))
+            hit.append(np.zeros(max(int(n.sum()) - g.window + 1, 0), dtype=bool))
+            short.append(np.zeros(len(full), dtype=bool))
+        upper = self.upper(members)
+        for b in range(max(len(g.keys) for g in self.groups)):
+            lows = [np.minimum.reduceat(self.values(upper, b * BAND_ROWS + r), begin) for r in range(BAND_ROWS)]
+            whole = [np.minimum.reduceat(x, block_of[:-1]) for x in lows]
             for k, g in enumerate(self.groups):
-                if b >= g.bands:
+                if b >= len(g.keys):
                     continue
-                wanted = np.array(sorted(g.keys[b]), dtype=np.uint64)
-                key = np.minimum.reduceat(lows[0], plans[k][3])[0::2].astype(np.uint64)
-                for low in lows[1:]:
-                    key = key << np.uint64(32) | np.minimum.reduceat(low, plans[k][3])[0::2].astype(np.uint64)
-                hit[k] |= wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
+                least = [self._least(np.minimum.reduceat(x, cells[k][1]) if g.step > 1 else x, g.window) for x in lows]
+                for key in g.keys[b]:
+                    hit[k] |= np.logical_and.reduce([x == v for x, v in zip(least, key, strict=True)])
+                    short[k] |= np.logical_and.reduce([x == v for x, v in zip(whole, key, strict=True)])
         out = []
-        for k, (t, first, last, _) in enumerate(plans):
+        for k, g in enumerate(self.groups):
+            n = cells[k][0]
+            cell_of = np.concatenate(([0], np.cumsum(n)))
             at = np.flatnonzero(hit[k])
-            if len(at):
-                low = begin[first[at]]
-                high = np.minimum(begin[last[at] - 1] + BLOCK, bounds[1:][t[at]])
-                out.append((t[at], low, high, k))
+            t = np.searchsorted(cell_of, at, side="right") - 1
+            inside = at + g.window <= cell_of[1:][t]
+            at, t = at[inside], t[inside]
+            fresh = np.ones(len(at), dtype=bool)
+            fresh[1:] = (t[1:] != t[:-1]) | (at[1:] > at[:-1] + g.window)
+            head = np.flatnonzero(fresh)
+            tail = np.append(head[1:], len(at))[: len(head)] - 1
+            last = np.minimum(cells[k][1][at[tail]] + g.window * g.step, block_of[1:][t[tail]]) - 1
+            # A text of fewer cells than a window is one.
+            small = np.flatnonzero(short[k] & (n < g.window))
+            texts = np.concatenate((t[head], small))
+            low = np.concatenate((begin[cells[k][1][at[head]]], edge[:-1][small]))
+            high = np.concatenate((np.minimum(begin[last] + BLOCK, edge[1:][t[tail]]), edge[1:][small]))
+            if len(texts):
+                out.append((full[texts], low, high, k))
         return out
 
+    @staticmethod
+    def _least(x: np.ndarray, window: int) -> np.ndarray:
+        """The least value of every run of `window` entries."""
+        if len(x) < window:
+            return x[:0]
+        width = 1
+        while 2 * width <= window:
+            x = np.minimum(x[:-width], x[width:])
+            width *= 2
+        return np.minimum(x[: len(x) - (window - width)], x[window - width :])
+
+    @staticmethod
+    def _best(at: np.ndarray, which: np.ndarray, reach: int) -> tuple[int, int, int]:
+        """(different shingles, first, last) of the first passage of at most `reach` shingles with most different ones.
+
+        `at` holds the places of a template's shingles, `which` which ones they are.
+        """
+        places, kinds = at.tolist(), which.tolist()
+        held: dict[int, int] = {}
+        best, left = (0, 0, 0), 0
+        for place, kind in zip(places, kinds, strict=True):
+            held[kind] = held.get(kind, 0) + 1
+            while place - places[left] >= reach or held[kinds[left]] > 1:
+                held[kinds[left]] -= 1
+                if not held[kinds[left]]:
+                    del held[kinds[left]]
+                left += 1
+            if len(held) > best[0]:
+                best = (len(held), places[left], place)
+        return best
+
     def scan(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int, int, float]]]]:
         """Words of each text, and its matches (template, first word, end word, containment): the best of each template."""
         words, first = normal_words(data, offsets)
@@ -181,12 +231,16 @@ class Scanner:
             g = self.groups[k]
             for t, low, high in zip(texts.tolist(), lows.tolist(), highs.tolist(), strict=True):
                 own = members[low:high]
-                for number, wanted in zip(g.numbers, g.sets, strict=True):
-                    at = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own)
-                    share = len(np.unique(own[at])) / len(wanted)
+                for number, wanted, reach in zip(g.numbers, g.sets, g.reach, strict=True):
+                    which = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
+                    at = np.flatnonzero(wanted[which] == own)
+                    if len(np.unique(which[at])) < self.containment * len(wanted) - 1e-9:
+                        continue
+                    n, head, last = self._best(at, which[at], reach)
+                    share = n / len(wanted)
                     if share >= self.containment - 1e-12:
-                        start = low - bounds[t] + int(at[0])
-                        end = min(low - bounds[t] + int(at[-1]) + SHINGLE, int(first[t + 1] - first[t]))
+                        start = low - bounds[t] + head
+                        end = min(low - bounds[t] + last + SHINGLE, int(first[t + 1] - first[t]))
                         best = found[t].get(number)
                         if best is None or (-share, start, end) < (-best[0], best[1], best[2]):
                             found[t][number] = (share, int(start), int(end))

@@ -59,3 +59,34 @@ def test_odd_rows(spark):
     assert len(rows) == len(odd_texts()) and all(r.matches == [] for r in rows)
     assert max(r.n_words for r in rows) == len(words("word " * 30_000))
     assert licenses.license_digest(docs.limit(0)).count() == 0
+
+
+def test_words_put_into_a_notice():
+    draw, scanner = random.Random(11), licenses.Scanner()
+    for number, inserted in ((12, (10, 10)), (9, (20,)), (3, (12,)), (13, (20,)), (12, (130,))):
+        name, template = licenses.TEMPLATES[number]
+        wanted, hit = set(_sets([template])[0].tolist()), 0
+        for _ in range(60):
+            w = template.split()
+            for n in inserted:
+                at = draw.randrange(1, len(w))
+                w[at:at] = [f"x{draw.randint(0, 9999)}" for _ in range(n)]
+            text = " ".join([f"a{i}" for i in range(draw.randint(0, 200))] + w + [f"b{i}" for i in range(draw.randint(0, 200))])
+            share = len(wanted & set(_sets([text])[0].tolist())) / len(wanted)
+            data = np.frombuffer(text.encode(), dtype=np.uint8)
+            found = {n: c for n, _, _, c in scanner.scan(data, np.array([0, len(data)]))[1][0]}
+            assert (found.get(number, 0.0) == share) if share >= 0.8 else number not in found
+            hit += share >= 0.8
+        assert hit > 5, name
+
+
+def test_a_passage_longer_than_its_reach_is_no_match():
+    # Up to four words at the ends can go without losing the share.
+    template = [f"t{i}" for i in range(44)]
+    scanner = licenses.Scanner((("T", " ".join(template)),))
+    for inserted, found in ((0, True), (88, True), (93, False), (500, False)):
+        for before in range(60):
+            text = " ".join([f"a{i}" for i in range(before)] + template[:22] + [f"x{i}" for i in range(inserted)] + template[22:] + ["z"] * 70)
+            data = np.frombuffer(text.encode(), dtype=np.uint8)
+            matches = scanner.scan(data, np.array([0, len(data)]))[1][0]
+            assert [(s, e) for _, s, e, _ in matches] == ([(before, before + 44 + inserted)] if found else [])
