@@ -93,6 +93,11 @@ def spread_alignment(features: DataFrame, choices: DataFrame, momentum: str, h:
     return common.crossJoin(F.broadcast(middle)).agg(F.avg("spread").alias("mean_spread"), F.avg(agree).alias("mean_alignment"), F.count(F.lit(1)).alias("n")).withColumn("momentum", F.lit(momentum))
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """`df` for many reads: in the session's checkpoint folder, so that plans of models stay small, or cached if it has none."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def crossfit(rows: DataFrame, inputs: Sequence[str], label: str, folds: DataFrame, weight: str | None = None, also: dict[str, Sequence[str]] | None = None, trees: int = 60, depth: int = 6, leaf: int = 20, seed: int = 42) -> DataFrame:
     """`rows` with `oof`: forest predictions by models that saw no row of the row's fold, its purge or embargo.
 
@@ -128,13 +133,15 @@ def value_function(features: DataFrame, choices: DataFrame, cfg: Config = Config
     signal = F.round(_pick(F.col("chosen"), momenta, lambda m: f"{m}_z"), 8)
     rows = features.join(acted, "date").withColumn("__s", signal).where("__s is not null")
     chosen = rows.withColumn("__t", day_quantile(F.col("__s"), 1 - cfg.top_fraction)).where("__s >= round(__t, 8)").na.fill(0.0, list(CONTEXT))
-    folds = purged_folds(chosen, cfg.folds, cfg.purge, cfg.embargo)
+    chosen = keep(chosen.select("date", "id", *CONTEXT, *[f"y_h{h}" for h in cfg.horizons]))
     results = None
     for h in cfg.horizons:
         labelled = chosen.where(f"y_h{h} is not null").select("date", "id", *CONTEXT, (F.col(f"y_h{h}") / h).alias("label"))
         if not pointwise:
             w = F.col("index_weight")
             labelled = labelled.groupBy("date").agg(*[(F.sum(F.col(c) * w) / (F.sum(w) + 1e-12)).alias(c) for c in (*CONTEXT[:-1], "label")], F.sum(w).alias("index_weight"))
+        # Labels of long horizons end early, so each horizon's own dates make its folds.
+        folds = purged_folds(labelled, cfg.folds, cfg.purge, cfg.embargo)
         fitted = crossfit(labelled.withColumn("__w", F.greatest("index_weight", F.lit(1e-12))), CONTEXT, "label", folds, "__w", trees=trees, seed=cfg.seed)
         one = fitted.agg(F.lit(h).alias("h"), F.avg("label").alias("mean_y"), F.avg("oof").alias("mean_oof"), F.when(F.count(F.lit(1)) > 2, F.try_divide(F.covar_samp("label", "oof"), F.stddev_samp("label") * F.stddev_samp("oof"))).alias("corr"), F.count(F.lit(1)).alias("n"), F.count_distinct("fold").alias("folds"))
         results = one if results is None else results.unionByName(one)

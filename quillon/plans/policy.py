@@ -269,6 +269,8 @@ def variant_runs(cfg: Config) -> list[Run]:
         "conf_window=125": replace(cfg, conf_window=125),
         "conf_window=500": replace(cfg, conf_window=500),
         "lambda_recency=0.01": replace(cfg, lambda_recency=0.01),
+        "lambda_recency=0.02": replace(cfg, lambda_recency=0.02),
+        "lam_bandit=0.5": replace(cfg, lam_bandit=0.5),
     }
     return [Run("base", "bandit", cfg), *(Run(name, "bandit", c) for name, c in changes.items())]
 

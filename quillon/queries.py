@@ -668,12 +668,12 @@ def ope_dr_groupmean(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(totals=("h_e",))
 def ope_dr_forest(spark: SparkSession, d: str) -> DataFrame:
-    return ope.evaluate_forest(_ope_rows(spark, d), _scored(spark, d), replace(CFG, folds=2), trees=10)[1]
+    return ope.evaluate_forest(_ope_rows(spark, d), _scored(spark, d), CFG)[1]
 
 
 @_query()
 def value_function_oof(spark: SparkSession, d: str) -> DataFrame:
-    return causal.value_function(_scored(spark, d), _choices(spark, d), replace(CFG, horizons=(21,), folds=2), trees=10)
+    return causal.value_function(_scored(spark, d), _choices(spark, d), CFG)
 
 
 @_query(f"WITH {ACTIONS} SELECT DISTINCT momentum || '|h=' || h AS arm FROM (SELECT momentum, h FROM actions UNION ALL SELECT momentum, h FROM choices)")
@@ -701,8 +701,7 @@ def baseline_runs(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def ablation_overview(spark: SparkSession, d: str) -> DataFrame:
-    wanted = ["alpha=0.2", "conf_window=125"]
-    return ablation.run_ablation(_feature_table(spark, d), CFG, wanted, draws=100)[0]
+    return ablation.run_ablation(_feature_table(spark, d), CFG)[0]
 
 
 # Raw quotes.

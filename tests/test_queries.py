@@ -35,3 +35,39 @@ def test_same_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", ["significance_table", "performance_table", "binomial_test", "bandit_run"])
 def test_runs(spark, name):
     assert queries()[name](spark, SF).count() > 0
+
+
+def test_value_function_has_every_horizon(spark):
+    # Over the dates of all labels the last fold of the longest horizon had no row to train on.
+    from quillon.plans.causal import CONTEXT, value_function
+
+    day, value = "date_add(date'2000-01-03', cast(d.id * 7 as int))", "cast(hash(d.id, i.id) % 100 / 1000.0 as double)"
+    labels = [f"case when d.id < {60 - h // 2} then {value} end as y_h{h}" for h in (10, 21, 42, 63)]
+    rows = spark.range(60).alias("d").crossJoin(spark.range(12).alias("i"))
+    features = rows.selectExpr(f"{day} as date", "cast(i.id as string) as id", "cast(i.id as double) as mom_w10_z", *[f"{value} as {c}" for c in CONTEXT], *labels)
+    for w in (21, 42, 63):
+        features = features.withColumn(f"mom_w{w}_z", features["mom_w10_z"])
+    choices = features.selectExpr("date", "'mom_w10' as momentum", "21 as h").distinct()
+    found = {r.h: (r.n, r.folds) for r in value_function(features, choices, trees=2).collect()}
+    assert found == {h: (3 * (60 - h // 2), 3) for h in (10, 21, 42, 63)}
+
+
+def test_registered_over_the_whole_job(monkeypatch):
+    from quillon import queries as q
+
+    seen = {}
+    monkeypatch.setattr(q.ope, "evaluate_forest", lambda *a, **k: (None, seen.setdefault("ope", (a[2], k)) and _Frame()))
+    monkeypatch.setattr(q.causal, "value_function", lambda *a, **k: seen.setdefault("value", (a[2], k)) and _Frame())
+    monkeypatch.setattr(q.ablation, "run_ablation", lambda *a, **k: (seen.setdefault("ablation", (a[1:], k)) and _Frame(), None))
+    for name in ("_ope_rows", "_scored", "_choices", "_feature_table"):
+        monkeypatch.setattr(q, name, lambda *_: None)
+    monkeypatch.setattr(q, "_as_text", lambda df, totals=(): df)
+    for name in ("ope_dr_forest", "value_function_oof", "ablation_overview"):
+        queries()[name](None, SF)
+    assert seen == {"ope": (q.CFG, {}), "value": (q.CFG, {}), "ablation": ((q.CFG,), {})}
+    names = {r.name for r in q.policy.variant_runs(q.CFG)}
+    assert {"alpha=0.05", "alpha=0.2", "conf_window=125", "lambda_recency=0.02", "lam_bandit=0.5"} <= names
+
+
+class _Frame:
+    """Stands for a query's result."""
