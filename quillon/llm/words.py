@@ -6,6 +6,7 @@ stores them, so the cost per word is a few array operations and no Python object
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,11 @@ import pyarrow.compute as pc
 BLOCK_BYTES = 2 << 20
 
 _M64 = (1 << 64) - 1
-_BYTE_BASE = 0x9E3779B97F4A7C15 | 1
-_WORD_BASE = 0xD6E8FEB86659FD93 | 1
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Longest word (bytes) that is hashed side by side with others; longer ones are hashed each by itself.
+LANE_BYTES = 64
+#: Masks that keep the first n bytes of eight read as a little-endian number.
+_FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def _byte_class(members: list[tuple[int, int]]) -> np.ndarray:
@@ -35,29 +39,6 @@ ALNUM_LOWER = ~_byte_class([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
 LOWER = np.arange(256, dtype=np.uint8) + 32 * _byte_class([(0x41, 0x5A)]).astype(np.uint8)
 
 
-class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown as needed."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            made = []
-            for base in (self.base, self.inverse):
-                steps = np.full(n, base, dtype=np.uint64)
-                steps[0] = 1
-                made.append(np.cumprod(steps, dtype=np.uint64))
-            if n > 4 * BLOCK_BYTES:
-                return made[0], made[1]
-            self.up, self.down = made
-        return self.up[:n], self.down[:n]
-
-
-_BYTE_POWERS, _WORD_POWERS = Powers(_BYTE_BASE), Powers(_WORD_BASE)
-
-
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (the finaliser of splitmix64)."""
     x = x + np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) & _M64)
@@ -107,24 +88,52 @@ def split(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes; equal words have equal hashes in every process."""
-    up, down = _BYTE_POWERS.of(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts], 1) ^ mix((ends - starts).astype(np.uint64), 2)
+    """A 64-bit hash of each word's bytes; equal words have equal hashes in every process.
 
+    Eight bytes at a time are mixed in by a bijection, so different words of up to 8 bytes and one
+    length never share a hash, and no pattern of a longer word cancels out, as it may in a sum. Words
+    of more than LANE_BYTES bytes are hashed by BLAKE2b.
+    """
+    length = ends - starts
+    out = mix(length.astype(np.uint64), 1)
+    if not len(starts):
+        return out
+    room = np.zeros(len(data) + 8, dtype=np.uint8)
+    room[: len(data)] = data
+    eights = np.ndarray(len(data) + 1, dtype="<u8", buffer=room, strides=(1,))
+    live = np.flatnonzero(length <= LANE_BYTES)
+    at, left, state = starts[live], length[live], out[live]
+    while len(live):
+        state = mix(state ^ (eights[at] & _FIRST[np.minimum(left, 8)]), 2)
+        out[live] = state
+        more = left > 8
+        live, at, left, state = live[more], at[more] + 8, left[more] - 8, state[more]
+    for i in np.flatnonzero(length > LANE_BYTES):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
 
-def sequence_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
-    """A 64-bit hash of each run of word hashes [start, end)."""
-    up, down = _WORD_POWERS.of(len(words) + 1)
-    total = np.zeros(len(words) + 1, dtype=np.uint64)
-    np.cumsum((mix(words, salt + 11) if salt else words) * up[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts], 3 + salt) ^ mix((ends - starts).astype(np.uint64), 5 + salt)
 
+def sequence_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of each run of word hashes [start, end).
 
-def sizes_of(offsets: np.ndarray) -> np.ndarray:
-    """How many entries each text has."""
-    return np.diff(offsets)
+    Runs of 1, 2, 4, ... words are hashed everywhere, each from its two halves; a run of any length is
+    the two such runs that begin and end with it. Memory and time grow with the logarithm of the longest.
+    """
+    length = ends - starts
+    out = mix(length.astype(np.uint64), 5 + salt)
+    if not len(starts):
+        return out
+    power, size = (mix(words, salt + 11) if salt else words), 1
+    longest = int(length.max())
+    while size <= longest:
+        now = np.flatnonzero((length >= size) & (length < 2 * size))
+        if len(now):
+            out[now] = mix(out[now] ^ mix(power[starts[now]] * _STEP + power[ends[now] - size], 3), 4)
+        if 2 * size > longest:
+            break
+        power = mix(power[:-size] * _STEP + power[size:], 6)
+        size *= 2
+    return out
 
 
 def owners(offsets: np.ndarray) -> np.ndarray:
