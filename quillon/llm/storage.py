@@ -41,7 +41,9 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -51,7 +53,8 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files behind a DataFrame that `cut` returned."""
-    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        drop_path(df.sparkSession, folder)
+def drop_cut(*tables: DataFrame | None) -> None:
+    """Delete the files behind DataFrames that `cut` returned; None is passed over."""
+    for df in tables:
+        if df is not None:
+            drop_path(df.sparkSession, df.cut_path)
