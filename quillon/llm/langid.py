@@ -5,9 +5,10 @@ potential sums learned weights of its affixes, its byte n-grams and its entry in
 training words; learned transitions tie neighbouring words. A document's language is the one with
 the largest share of its words, and its score is that share.
 
-The model is fitted on a bounded sample of labelled documents. Their words, cut into pieces that are
-shuffled and laid end to end, make training sequences in which languages switch, so that transitions
-between languages are learned as well. Labels, sources and ids take no part in a prediction.
+The model is fitted in one task on a sample of labelled documents, bounded in rows by language, of any
+length. Pieces of each, shuffled and laid end to end, make training sequences in which languages switch,
+so that transitions between languages are learned as well. Labels, sources and ids take no part in a
+prediction.
 
 Long texts are cut into stretches that are run side by side: each stretch's transfer matrix is found
 first, stretches are chained, and then marginals follow inside each, exactly as in one long pass.
@@ -15,6 +16,7 @@ first, stretches are chained, and then marginals follow inside each, exactly as
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,13 +25,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.storage import cut, drop_cut
 from quillon.llm.words import LOWER, blocks, hashes, mix, ranges, split
 
-#: Documents to fit on at most, and the largest text (bytes) taken for that.
-MAX_TRAINING_DOCS, MAX_TRAINING_BYTES = 1500, 32_768
-#: Training sequences at most, and words in one (also in a stretch of a text that is run side by side).
-MAX_SEQUENCES, STRETCH = 6000, 64
+#: Documents to fit on, dealt evenly to the languages, and how many each language may have at least.
+MAX_TRAINING_DOCS, LEAST_PER_LANGUAGE = 1600, 40
+#: Pieces of a longer text that are learned from (a shorter one is learned whole), and the words in a piece.
+PIECES, PIECE_WORDS = 8, (6, 60)
+#: Words in a training sequence, and in a stretch of a text that is run side by side.
+STRETCH = 64
 STEPS, RATE, RIDGE = 45, 0.15, 1e-5
+#: Numbers in one array of the fit at most: sequences are worked in slabs of this size.
+_SLAB = 1 << 20
 GRAM_BITS = 14
 #: Rows whose crc32(doc_id) mod 4 is this are held out.
 FOLDS, HELD_OUT = 4, 2
@@ -166,81 +173,40 @@ def marginals(potentials: np.ndarray, first: np.ndarray, transitions: np.ndarray
     return out
 
 
-def fit(rows: list[tuple[str, str]], seed: int = 11) -> Tagger | None:
-    """Fit to (language, text) rows by gradient ascent on the likelihood of shuffled pieces."""
+def fit(rows: list[tuple[str, list[str]]], seed: int = 11) -> Tagger | None:
+    """Fit to (language, pieces of text) rows by gradient ascent on the likelihood of the shuffled pieces."""
     labels = sorted({lang for lang, _ in rows})
     if not labels:
         return None
-    batch = pa.RecordBatch.from_pydict({"text": pa.array([t for _, t in rows], pa.string())})
-    names, places = [], {}
-    kept: list[bytes] = []
-    row = 0
-    draw = np.random.default_rng(seed)
-    pieces: list[tuple[np.ndarray, int]] = []
-    for part, data, offsets in blocks(batch):
-        low = LOWER[data]
-        starts, ends, first = split(low, offsets, _LETTERS)
-        name = hashes(low, starts, ends)
-        raw = low.tobytes()
-        for i in range(part.num_rows):
-            own = name[first[i] : first[i + 1]]
-            for j in range(first[i], first[i + 1]):
-                h = int(name[j])
-                if h not in places:
-                    places[h] = len(kept)
-                    kept.append(raw[starts[j] : ends[j]])
-                    names.append(h)
-            label, at = labels.index(rows[row][0]), 0
-            while at < len(own):
-                n = int(draw.integers(6, 61))
-                pieces.append((own[at : at + n], label))
-                at += n
-            row += 1
-    if not pieces:
-        return Tagger(labels, np.zeros(((4 << GRAM_BITS) + 1, len(labels)), dtype=np.float32), np.zeros((len(labels),) * 2, dtype=np.float32), np.zeros(0, dtype=np.uint64))
-    draw.shuffle(pieces)
-    stream = np.concatenate([p for p, _ in pieces])
-    truth = np.repeat([y for _, y in pieces], [len(p) for p, _ in pieces])
-    n = min(MAX_SEQUENCES, max(1, len(stream) // STRETCH))
-    size = min(STRETCH, len(stream))
-    stream, truth = stream[: n * size], truth[: n * size].reshape(n, size)
-    word_names, inverse = np.unique(stream, return_inverse=True)
-    text = [kept[places[int(h)]] for h in word_names]
-    joined = np.frombuffer(b"".join(text), dtype=np.uint8)
-    ends = np.cumsum([len(t) for t in text])
-    starts = ends - [len(t) for t in text]
-    often = np.bincount(inverse, minlength=len(word_names)) >= 2
-    lexicon = word_names[often]
-    features, bounds = _features(joined, starts, ends, lexicon, word_names)
+    pieces = [(piece, labels.index(lang)) for lang, own in rows for piece in own]
+    order = np.random.default_rng(seed).permutation(len(pieces))
+    raw = [pieces[i][0].encode() for i in order]
+    data = LOWER[np.frombuffer(b"".join(raw), dtype=np.uint8)]
+    starts, ends, first = split(data, np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64), _LETTERS)
+    k = len(labels)
+    if not len(starts):
+        return Tagger(labels, np.zeros(((4 << GRAM_BITS) + 1, k), dtype=np.float32), np.zeros((k, k), dtype=np.float32), np.zeros(0, dtype=np.uint64))
+    word_names, place, inverse = _unique_words(data, starts, ends)
+    truth = np.repeat(np.array([pieces[i][1] for i in order]), np.diff(first))
+    # The last sequence is filled up with words from the beginning.
+    size = min(STRETCH, len(truth))
+    n = -(-len(truth) // size)
+    at = np.arange(n * size) % len(truth)
+    inverse, truth = inverse.ravel()[at].reshape(n, size), truth[at].reshape(n, size)
+    lexicon = word_names[np.bincount(inverse.ravel(), minlength=len(word_names)) >= 2]
+    features, bounds = _features(data, starts[place], ends[place], lexicon, word_names)
     owner = np.repeat(np.arange(len(word_names)), np.diff(bounds))
-    k, width = len(labels), (4 << GRAM_BITS) + len(lexicon) + 1
-    inverse = inverse.reshape(n, size)
+    width = (4 << GRAM_BITS) + len(lexicon) + 1
     weights, transitions = np.zeros((width, k)), np.zeros((k, k))
     moments = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(transitions), np.zeros_like(transitions)]
+    seen = np.bincount(truth[:, :-1].ravel() * k + truth[:, 1:].ravel(), minlength=k * k).reshape(k, k)
+    slab = max(1, _SLAB // (size * k))
     for turn in range(1, STEPS + 1):
         per_word = _sum_rows(weights, features, bounds)
-        p = per_word[inverse]
-        e, step = np.exp(p - p.max(axis=2, keepdims=True)), np.exp(transitions - transitions.max())
-        alpha, beta = np.empty_like(e), np.empty_like(e)
-        state = np.full((n, k), 1 / k)
-        for t in range(size):
-            state = _scaled((state @ step) * e[:, t])
-            alpha[:, t] = state
-        state = np.ones((n, k))
-        pairs = np.zeros((k, k))
-        for t in range(size - 1, -1, -1):
-            beta[:, t] = state
-            back = state * e[:, t]
-            if t:
-                joint = alpha[:, t - 1, :, None] * step[None] * back[:, None, :]
-                pairs += (joint / np.maximum(joint.sum(axis=(1, 2), keepdims=True), 1e-30)).sum(axis=0)
-            state = _scaled(back @ step.T)
-        gain = -_scaled(alpha * beta)
-        gain[np.arange(n)[:, None], np.arange(size)[None], truth] += 1
-        flat = np.stack([np.bincount(inverse.ravel(), gain[:, :, y].ravel(), len(word_names)) for y in range(k)], axis=1)
+        flat, pairs = np.zeros((len(word_names), k)), np.zeros((k, k))
+        for low in range(0, n, slab):
+            _expect(per_word, transitions, inverse[low : low + slab], truth[low : low + slab], flat, pairs)
         up = np.stack([np.bincount(features, flat[owner, y], width) for y in range(k)], axis=1) / n - RIDGE * weights
-        seen = np.zeros((k, k))
-        np.add.at(seen, (truth[:, :-1].ravel(), truth[:, 1:].ravel()), 1)
         up_t = (seen - pairs) / n - RIDGE * transitions
         for value, gradient, a, b in ((weights, up, moments[0], moments[1]), (transitions, up_t, moments[2], moments[3])):
             a += 0.1 * (gradient - a)
@@ -250,16 +216,39 @@ def fit(rows: list[tuple[str, str]], seed: int = 11) -> Tagger | None:
     return Tagger(labels, weights.astype(np.float32), transitions.astype(np.float32), lexicon)
 
 
-def _label(shared, columns: int):  # noqa: ANN001, ANN202
-    """For mapInArrow over (..., text): the other columns, the language and the score."""
+def _expect(per_word: np.ndarray, transitions: np.ndarray, inverse: np.ndarray, truth: np.ndarray, flat: np.ndarray, pairs: np.ndarray) -> None:
+    """Add to `flat` the labels that each word has less those expected, and to `pairs` the transitions expected."""
+    (n, size), k = inverse.shape, len(transitions)
+    p = per_word[inverse]
+    e, step = np.exp(p - p.max(axis=2, keepdims=True)), np.exp(transitions - transitions.max())
+    alpha, beta = np.empty_like(e), np.empty_like(e)
+    state = np.full((n, k), 1 / k)
+    for t in range(size):
+        state = _scaled((state @ step) * e[:, t])
+        alpha[:, t] = state
+    state = np.ones((n, k))
+    for t in range(size - 1, -1, -1):
+        beta[:, t] = state
+        back = state * e[:, t]
+        if t:
+            joint = alpha[:, t - 1, :, None] * step[None] * back[:, None, :]
+            pairs += (joint / np.maximum(joint.sum(axis=(1, 2), keepdims=True), 1e-30)).sum(axis=0)
+        state = _scaled(back @ step.T)
+    gain = -_scaled(alpha * beta)
+    gain[np.arange(n)[:, None], np.arange(size)[None], truth] += 1
+    for y in range(k):
+        flat[:, y] += np.bincount(inverse.ravel(), gain[:, :, y].ravel(), len(flat))
+
+
+def _label(shared, text: str, keep: list[str]):  # noqa: ANN001, ANN202
+    """For mapInArrow: the columns `keep`, the language and the score of the column `text`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger: Tagger | None = shared.value
         for batch in batches:
-            for part, data, offsets in blocks(batch, "__text"):
+            for part, data, offsets in blocks(batch, text):
                 predicted, score = classify(tagger, data, offsets)
-                arrays = [part.column(i) for i in range(columns)]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(predicted, pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names[:columns], "__lang", "__score"])
+                yield pa.RecordBatch.from_arrays([*part.select(keep).columns, pa.array(predicted, pa.string()), pa.array(score, pa.float64())], names=[*keep, "__lang", "__score"])
 
     return run
 
@@ -295,38 +284,97 @@ def classify(tagger: Tagger | None, data: np.ndarray, offsets: np.ndarray) -> tu
     return predicted, score
 
 
-def train(docs: DataFrame, max_docs: int = MAX_TRAINING_DOCS, max_bytes: int = MAX_TRAINING_BYTES) -> Tagger | None:
-    """Fit on at most `max_docs` labelled documents outside the held-out fold, the smallest by a hash of the text.
+def _cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, lang, pieces): a text's pieces to learn from, drawn by a seed from its hash."""
+    low, high = PIECE_WORDS
+    for batch in batches:
+        for part, data, offsets in blocks(batch):
+            starts, ends, first = split(data, offsets, _LETTERS)
+            raw, out = data.tobytes(), []
+            for i, h in enumerate(part.column(0).to_pylist()):
+                a, z = int(first[i]), int(first[i + 1])
+                draw = np.random.default_rng(h % (1 << 64))
+                if z - a <= PIECES * (low + high) // 2:
+                    size = draw.integers(low, high + 1, z - a)
+                    begin = a + np.concatenate(([0], np.cumsum(size)))
+                    begin = begin[begin < z]
+                else:
+                    size = draw.integers(low, high + 1, PIECES)
+                    begin = a + draw.integers(0, z - a - high, PIECES)
+                out.append([raw[starts[j] : ends[min(j + int(m), z) - 1]].decode(errors="replace") for j, m in zip(begin.tolist(), size, strict=False)])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.list_(pa.string()))], names=["h", "lang", "pieces"])
+
+
+def _fit_in_task(per_language: int):  # noqa: ANN202
+    """For mapInArrow over one partition of (h, lang, pieces): the fitted model as one binary value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((h, lang, own) for b in batches for h, lang, own in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        held: dict[str, int] = {}
+        chosen = []
+        for _, lang, own in rows:
+            held[lang] = held.get(lang, 0) + 1
+            if held[lang] <= per_language:
+                chosen.append((lang, own))
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(fit(chosen))], pa.binary())})
+
+    return run
 
-    Equal texts count once.
-    """
-    h = F.xxhash64("text")
-    fits = docs.select("doc_id", "text", "lang", h.alias("h")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes) & (fold_of(F.col("doc_id")) != HELD_OUT))
-    # Hashes are chosen first, so that no more than max_docs texts come to the driver however many tasks there are.
-    chosen = fits.groupBy("h").agg(F.min("lang").alias("lang")).orderBy("h").limit(max_docs)
-    rows = fits.join(F.broadcast(chosen), ["h", "lang"], "left_semi").groupBy("h").agg(F.min("lang").alias("lang"), F.min("text").alias("text")).collect()
-    rows.sort(key=lambda r: r["h"])
-    return fit([(r["lang"], r["text"]) for r in rows])
 
+def train(docs: DataFrame, max_docs: int = MAX_TRAINING_DOCS) -> Tagger | None:
+    """Fit on a sample of the labelled documents outside the held-out fold, in one task of the cluster.
 
-def label_languages(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
-    """`docs` with lang_pred and score. Null texts are `und`; columns of those names are replaced."""
+    Languages get equal shares of `max_docs`, LEAST_PER_LANGUAGE at least, and of each language a draw by
+    a hash of the text is taken, whatever its length. Equal texts count once, under the label that most
+    of them have (ties: the smaller). No labelled text gives None, under which all documents are `und`.
+    """
+    spark = docs.sparkSession
+    fits = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id")) != HELD_OUT)).select(F.xxhash64("text").alias("h"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    counted = fits.groupBy("h", "lang").agg((-F.count(F.lit(1))).alias("n"))
+    votes = cut(counted.groupBy("h").agg(F.min(F.struct("n", "lang")).alias("v")).select("h", "v.lang"), "votes")
+    sizes = votes.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per label of the model
+    if not sizes:
+        return None
+    each = max(LEAST_PER_LANGUAGE, max_docs // len(sizes))
+    # Half as many again are drawn as are needed, so that hardly a language falls short of its share.
+    draws = spark.createDataFrame([(r["lang"], int(min(1.0, 1.5 * each / r["n"]) * (1 << 30))) for r in sizes], "lang string, upto long")
+    chosen = votes.join(F.broadcast(draws), "lang").where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < F.col("upto")).select("h", "lang")
+    texts = fits.drop("lang").join(F.broadcast(chosen), "h").select("h", "lang", "text")  # some 1.5 * max_docs rows of two values
+    pieces = texts.mapInArrow(_cut_pieces, "h long, lang string, pieces array<string>").dropDuplicates(["h"])
+    found = pieces.repartition(1).mapInArrow(_fit_in_task(each), "model binary").collect()
+    drop_cut(votes)
+    return pickle.loads(found[0]["model"]) if found else None
+
+
+def label_languages(docs: DataFrame, tagger: Tagger | None, keep: list[str] | None = None) -> DataFrame:
+    """`docs` (columns `keep`, by default all) with lang_pred and score, which replace columns of those names.
+
+    Null texts, and texts without letters, are `und` with score 0. Ids and labels are not looked at, so
+    null ids and rows that repeat are labelled each by its text; an empty table gives an empty one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
-    plain = docs.drop("lang_pred", "score")
-    named = plain.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(plain.columns)], F.col("text").alias("__text"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.schema.fields[:-1])
-    out = named.mapInArrow(_label(shared, len(plain.columns)), f"{schema}, __lang string, __score double")
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(plain.columns)], F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    wanted = [c for c in names if keep is None or c in keep]
+    numbered = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c in wanted or c == "text"])
+    kinds = {f.name: f.dataType.simpleString() for f in numbered.schema.fields}
+    inner = {c: f"c{names.index(c)}" for c in wanted}
+    schema = "".join(f"{i} {kinds[i]}, " for i in inner.values())
+    out = numbered.mapInArrow(_label(shared, f"c{names.index('text')}", list(inner.values())), f"{schema}__lang string, __score double")
+    return out.select(*[F.col(i).alias(c) for c, i in inner.items()], F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
 def language_digest(docs: DataFrame) -> DataFrame:
-    """The contract's columns for every document."""
+    """The contract's columns for every document; nulls and repeated rows as in `label_languages`."""
     narrow = docs.select("doc_id", (fold_of(F.col("doc_id")) == HELD_OUT).alias("held_out"), "text")
-    return label_languages(narrow, train(docs)).select("doc_id", "held_out", "lang_pred", "score")
+    return label_languages(narrow, train(docs), ["doc_id", "held_out"])
 
 
-def keep_known_languages(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """The rows of `docs` whose language is told with a share of `least` of their words, in their own columns."""
-    names = [F.col(f"`{c}`").alias(f"d_{c}") for c in docs.columns]
-    judged = label_languages(docs.select(*names, "text"), train(docs))
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*[F.col(f"`d_{c}`").alias(c) for c in docs.columns])
+def keep_known_languages(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` whose language is told, in their own columns: those that are `und` go.
+
+    Null and empty texts go, and all rows if nothing is labelled; rows that repeat are all kept.
+    """
+    names = docs.columns
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"d_{c}") for c in names if c != "text"], "text")
+    judged = label_languages(plain, train(docs))
+    return judged.where(F.col("lang_pred") != UNKNOWN).select(*[F.col(f"`d_{c}`" if c != "text" else "text").alias(c) for c in names])

@@ -62,3 +62,14 @@ def test_odd_rows(spark):
     assert langid.language_digest(docs.limit(0)).count() == 0
     kept = langid.keep_known_languages(docs.withColumnRenamed("source", "score"))
     assert "score" in kept.columns and {r.doc_id for r in kept.collect()} == set(range(4, 14)) - {8}
+
+
+def test_long_texts_and_rare_languages_are_learned_from(spark):
+    draw = random.Random(2)
+    rows = [(i, _text(draw, "aa", 20), "aa", "s", 0) for i in range(400)]
+    rows += [(1000 + i, _text(draw, "bb", 12_000), "bb", "s", 0) for i in range(12)]
+    rows += [(2000 + i, "ñeñoñu ñuñe", "aa" if i % 3 else "cc", "s", 0) for i in range(30)]
+    found = {r.doc_id: r.lang_pred for r in langid.language_digest(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(found[1000 + i] == "bb" for i in range(12)) and all(found[i] == "aa" for i in range(400))
+    # Of one text's labels the one that most rows have counts.
+    assert found[2000] == "aa"
