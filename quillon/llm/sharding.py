@@ -1,19 +1,20 @@
 """Sharding by histogram sort.
 
-Rows are ordered by a pair of longs (a text's hash, then the document's id), so equal texts lie side
-by side. The driver keeps candidate boundaries (probes) between keys. In each round every partition
+Rows are ordered by three longs (a text's hash, then the document's id, then a hash of the row's place
+in the input), so equal texts lie side by side. The driver keeps candidate boundaries (probes) between keys. In each round every partition
 counts the exact bytes and rows that fall between neighbouring probes, the counts are added up, and
 probes move into the intervals that still hold a splitter, until each splitter is within tolerance.
 Only counts travel in these rounds. The rows move once, at the end, to ranges finer than a shard; as
 the rows below each range are known from the same counts, slots follow without another pass.
 
 A boundary runs between groups of equal texts where tolerance allows, and through a group (by
-document id) where the group is too large for that, so no group of copies has to fit in one task.
+document id, and among rows that are alike in both by their place) where the group is too large for
+that, so no group of copies has to fit in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,8 +35,9 @@ ROWS_PER_RANGE = 500_000
 #: Probes put into an interval that still holds a splitter.
 PROBES = 32
 
-_SIGN = 1 << 63
-_ID = 1 << 64
+_SIGN, _LOW = 1 << 63, (1 << 64) - 1
+#: Longs in a key.
+_PARTS = 3
 
 
 @dataclass(frozen=True)
@@ -49,84 +51,74 @@ class Splitters:
     rounds: int
 
 
-def _pack(high: np.ndarray, low: np.ndarray) -> list[int]:
-    """Pairs of longs as Python numbers that sort alike."""
-    return [((int(a) + _SIGN) << 64) | (int(b) + _SIGN) for a, b in zip(high, low, strict=True)]
+def _pack(parts: Sequence[int]) -> int:
+    """Longs, the major one first, as one Python number that sorts alike."""
+    out = 0
+    for part in parts:
+        out = out << 64 | (int(part) + _SIGN)
+    return out
 
 
-def _unpack(keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    return (
-        np.array([(k >> 64) - _SIGN for k in keys], dtype=np.int64),
-        np.array([(k & (_ID - 1)) - _SIGN for k in keys], dtype=np.int64),
-    )
+def _unpack(keys: list[int]) -> list[np.ndarray]:
+    """An array of longs for each part of the keys."""
+    return [np.array([(k >> (64 * (_PARTS - 1 - i)) & _LOW) - _SIGN for k in keys], dtype=np.int64) for i in range(_PARTS)]
 
 
-def _interval(high: np.ndarray, low: np.ndarray, probe_high: np.ndarray, probe_low: np.ndarray) -> np.ndarray:
-    """How many probes are at or below each key."""
-    at = np.searchsorted(probe_high, high, side="left")
-    upto = np.searchsorted(probe_high, high, side="right")
+def _interval(keys: list[np.ndarray], probes: list[np.ndarray]) -> np.ndarray:
+    """How many probes are at or below each key; both are given by their parts, the major one first."""
+    at, upto = (np.searchsorted(probes[0], keys[0], side=side) for side in ("left", "right"))
+    if len(keys) == 1:
+        return upto
     tied = np.flatnonzero(upto > at)
-    if len(tied):
-        for h in np.unique(high[tied]):
-            here = tied[high[tied] == h]
-            a, b = np.searchsorted(probe_high, h, side="left"), np.searchsorted(probe_high, h, side="right")
-            at[here] = a + np.searchsorted(probe_low[a:b], low[here], side="right")
+    for value in np.unique(keys[0][tied]):
+        here = tied[keys[0][tied] == value]
+        a, b = at[here[0]], upto[here[0]]
+        at[here] = a + _interval([k[here] for k in keys[1:]], [p[a:b] for p in probes[1:]])
     return at
 
 
-def _counter(probe_high: np.ndarray, probe_low: np.ndarray):
+def _counter(probes: list[np.ndarray]):  # noqa: ANN202
     """For mapInArrow: bytes, rows, first and last key of every interval, added up over the partition."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, list[int]] = {}
+        sums: dict[int, list] = {}
         for batch in batches:
-            high, low, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            at = _interval(high, low, probe_high, probe_low)
-            order = np.lexsort((low, high, at))
-            at, high, low, size = at[order], high[order], low[order], size[order]
+            *keys, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(_PARTS + 1))
+            at = _interval(keys, probes)
+            order = np.lexsort((*reversed(keys), at))
+            at, keys, size = at[order], [k[order] for k in keys], size[order]
             heads = np.flatnonzero(np.diff(at, prepend=-1))
             tails = np.append(heads[1:], len(at)) - 1
             if not len(heads):
                 continue
             weight, rows = np.add.reduceat(size, heads), tails - heads + 1
-            for i, a, z, w, n in zip(at[heads], heads, tails, weight, rows, strict=True):
-                first, last = (int(high[a]), int(low[a])), (int(high[z]), int(low[z]))
-                old = sums.get(int(i))
-                sums[int(i)] = [int(w), int(n), first, last] if old is None else [old[0] + int(w), old[1] + int(n), min(old[2], first), max(old[3], last)]
-        keys = sorted(sums)
-        yield pa.RecordBatch.from_pydict(
-            {
-                "at": pa.array(keys, pa.int32()),
-                "bytes": pa.array([sums[k][0] for k in keys], pa.int64()),
-                "rows": pa.array([sums[k][1] for k in keys], pa.int64()),
-                "first_h": pa.array([sums[k][2][0] for k in keys], pa.int64()),
-                "first_l": pa.array([sums[k][2][1] for k in keys], pa.int64()),
-                "last_h": pa.array([sums[k][3][0] for k in keys], pa.int64()),
-                "last_l": pa.array([sums[k][3][1] for k in keys], pa.int64()),
-            }
-        )
+            for i, a, z, w, n in zip(at[heads].tolist(), heads, tails, weight.tolist(), rows.tolist(), strict=True):
+                first, last = tuple(int(k[a]) for k in keys), tuple(int(k[z]) for k in keys)
+                old = sums.get(i)
+                sums[i] = [w, n, first, last] if old is None else [old[0] + w, old[1] + n, min(old[2], first), max(old[3], last)]
+        at = sorted(sums)
+        columns = {"at": pa.array(at, pa.int32()), "bytes": pa.array([sums[k][0] for k in at], pa.int64()), "rows": pa.array([sums[k][1] for k in at], pa.int64())}
+        for name, which in (("first", 2), ("last", 3)):
+            columns |= {f"{name}{i}": pa.array([sums[k][which][i] for k in at], pa.int64()) for i in range(_PARTS)}
+        yield pa.RecordBatch.from_pydict(columns)
 
     return count
 
 
 def _count(keys: DataFrame, probes: list[int]) -> dict[int, tuple[int, int, int, int]]:
     """One round: interval -> (bytes, rows, first key, last key). The result has a row per interval at most."""
-    high, low = _unpack(probes)
-    found = (
-        keys.mapInArrow(_counter(high, low), "at int, bytes long, rows long, first_h long, first_l long, last_h long, last_l long")
-        .groupBy("at")
-        .agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"), F.min(F.struct("first_h", "first_l")).alias("first"), F.max(F.struct("last_h", "last_l")).alias("last"))
-        .collect()
-    )
-    return {r["at"]: (r["bytes"], r["rows"], *_pack([r["first"][0]], [r["first"][1]]), *_pack([r["last"][0]], [r["last"][1]])) for r in found}
+    ends = [f"{name}{i}" for name in ("first", "last") for i in range(_PARTS)]
+    counted = keys.mapInArrow(_counter(_unpack(probes)), "at int, bytes long, rows long, " + ", ".join(f"{e} long" for e in ends))
+    found = counted.groupBy("at").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"), F.min(F.struct(*ends[:_PARTS])).alias("first"), F.max(F.struct(*ends[_PARTS:])).alias("last")).collect()
+    return {r["at"]: (r["bytes"], r["rows"], _pack(r["first"]), _pack(r["last"])) for r in found}
 
 
 def find_splitters(keys: DataFrame, n_shards: int, tolerance: float = TOLERANCE, ranges_per_shard: int | None = None) -> Splitters:
     """Splitters for `n_shards` shards of near-equal bytes, each cut further into ranges.
 
-    `keys` has three long columns without nulls: major key, minor key, bytes. It is read once a round.
+    `keys` has four long columns without nulls: the parts of the key, bytes. It is read once a round.
     """
-    probes = [i << 116 for i in range(1, 1 << 12)]
+    probes = [i << (64 * _PARTS - 12) for i in range(1, 1 << 12)]
     chosen: dict[int, int] = {}
     rounds, per, targets = 0, 1, []
     while True:
@@ -153,11 +145,10 @@ def find_splitters(keys: DataFrame, n_shards: int, tolerance: float = TOLERANCE,
             first, last = counts[i][2], counts[i][3]
             if min(low, high)[0] <= slack or first == last:
                 chosen[t] = min(low, high)[1]
-            elif first >> 64 == last >> 64:  # inside one group of equal major keys
-                fresh |= {first + (last - first) * j // PROBES + 1 for j in range(PROBES)}
-            else:  # between groups while there are several
-                a, b = (first >> 64) + 1, last >> 64
-                fresh |= {(a + (b - a) * j // PROBES) << 64 for j in range(PROBES + 1)}
+            else:  # probe the first part in which the interval's keys differ: between groups while there are several
+                shift = next(64 * p for p in range(_PARTS - 1, -1, -1) if first >> 64 * p != last >> 64 * p)
+                a, b = (first >> shift) + 1, last >> shift
+                fresh |= {(a + (b - a) * j // PROBES) << shift for j in range(PROBES + 1)}
         if not fresh:
             break
         probes = sorted(fresh.union(probes))
@@ -178,30 +169,29 @@ def histogram_sort(rows: DataFrame, major: str, minor: str, size: str, n_shards:
     """`rows` with `shard` (int) and `slot` (long, gapless from 0 in each shard, in key order).
 
     `major`, `minor` and `size` name long columns without nulls. Shards are near equal in the sum of
-    `size`. Rows with both keys equal stay together and share their shard; they are ordered by their
-    size, and the result is the same whichever of them comes first. An empty table gives an empty
-    one. Other columns pass through; columns named like the helper ones used here are kept as well,
-    as the helpers have names of their own.
+    `size`. Rows with both keys equal are told apart by their place in the input (partition and row), so
+    they are cut like others; `rows` must therefore come from files or another source that is read alike
+    each time. An empty table gives an empty one. Other columns pass through.
     """
-    keys = cut(rows.select(F.col(major).alias("h"), F.col(minor).alias("l"), F.col(size).alias("n")), "shard-keys")
+    placed = rows.withColumn("__t", F.xxhash64(F.monotonically_increasing_id()))
+    keys = cut(placed.select(F.col(major).alias("h"), F.col(minor).alias("l"), F.col("__t").alias("t"), F.col(size).alias("n")), "shard-keys")
     splitters = find_splitters(keys, n_shards, tolerance, ranges_per_shard)
     drop_cut(keys)
     spark = rows.sparkSession
-    high, low = _unpack(splitters.keys)
     shard_of, below = np.array(splitters.shard_of), np.array(splitters.rows_below, dtype=np.int64)
     first_of_shard = np.array([below[np.searchsorted(shard_of, s, side="left")] for s in shard_of], dtype=np.int64)
-    shared = spark.sparkContext.broadcast((high, low, shard_of.astype(np.int32), below - first_of_shard))  # MAX_RANGES rows at most
+    shared = spark.sparkContext.broadcast((_unpack(splitters.keys), shard_of.astype(np.int32), below - first_of_shard))  # MAX_RANGES rows at most
 
     @F.pandas_udf("range int, shard int, before long")
-    def place(h, m):  # noqa: ANN001, ANN202
+    def place(h, m, t):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        probe_high, probe_low, shards, before = shared.value
-        at = _interval(h.to_numpy(), m.to_numpy(), probe_high, probe_low)
+        probes, shards, before = shared.value
+        at = _interval([x.to_numpy() for x in (h, m, t)], probes)
         return pd.DataFrame({"range": at.astype(np.int32), "shard": shards[at], "before": before[at]})
 
-    placed = rows.withColumn("__place", place(F.col(major), F.col(minor)))
-    order = Window.partitionBy("__place.range").orderBy(major, minor, size)
+    placed = placed.withColumn("__place", place(F.col(major), F.col(minor), F.col("__t")))
+    order = Window.partitionBy("__place.range").orderBy(major, minor, "__t")
     kept = [F.col(f"`{c}`") for c in rows.columns]
     return placed.withColumn("__rank", F.row_number().over(order)).select(
         *kept,
@@ -223,7 +213,10 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, tolerance: float = TOLER
 
 
 def shard_digest(docs: DataFrame, n_shards: int = 8) -> DataFrame:
-    """The contract's columns for every document: only these travel, not the texts."""
+    """The contract's columns for every document: only these travel, not the texts.
+
+    Nulls, repeated rows and empty tables are as in `shard_documents`; grown_shard is null under this law.
+    """
     major, minor = key_columns(F.col("text"), F.col("doc_id"))
     rows = docs.select(
         F.col("doc_id"),

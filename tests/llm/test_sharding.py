@@ -1,3 +1,5 @@
+import zlib
+
 import pandas as pd
 
 from quillon.llm import sharding
@@ -31,6 +33,23 @@ def test_a_hot_group_is_split_and_small_groups_stay_whole(spark):
     assert (split > 1).sum() <= 7
 
 
+def test_rows_that_repeat_are_cut_as_well(spark):
+    rows = [(None, None)] * 4000 + [(i, f"text {i}") for i in range(4000)] + [(7, "one row many times over")] * 3000
+    found = sharding.shard_digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 8).toPandas()
+    assert len(found) == len(rows)
+    _laws(found, 0.01 * found["size"].sum() / 8 + 30)
+
+
+def test_against_the_rows_themselves(spark):
+    """Sizes, checksums and the order inside each shard, computed plainly."""
+    texts = [f"{'é' * (i % 7)} text {i % 50}" for i in range(500)] + odd_texts()
+    found = sharding.shard_digest(documents(spark, texts), 8).toPandas().set_index("doc_id")
+    raw = [(t or "").encode() for t in texts]
+    assert found["size"].sort_index().tolist() == [len(x) + 1 for x in raw]
+    assert found["text_crc32"].sort_index().tolist() == [zlib.crc32(x) for x in raw]
+    assert found.groupby("text_crc32")["shard"].nunique().gt(1).sum() <= 7
+
+
 def test_odd_rows_and_names(spark):
     docs = documents(spark, odd_texts())
     found = sharding.shard_digest(docs, 8).toPandas().set_index("doc_id")
