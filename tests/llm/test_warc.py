@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 
 import pytest
@@ -37,11 +38,26 @@ def test_archives_are_rewritten_with_fresh_headers(spark):
     lost = warc.rewrite_archives(spark, first, second, written="2030-01-01T00:00:00Z")
     assert lost.count() == 0
     assert _tuples(warc.resolve(warc.read_archives(spark, second))) == _tuples(warc.resolve(warc.read_archives(spark, first)))
-    raw = b"".join(warc._inflate(bytes(r.content)) for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(second).collect())
-    records = list(warc.parse_records(raw))
+    pieces = (x for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(second).collect() for x in warc._inflate(bytes(r.content)))
+    records = list(warc.parse_records(pieces))
     assert {h["warc-date"] for h, _ in records} == {"2030-01-01T00:00:00Z"} and len(records) == 6
 
 
+def test_page_ids_that_repeat(spark):
+    rows = [(5, "u", "A" * 1500), (5, "v", "B" * 1500), (3, "w", "A" * 1500), (2, "x", "B" * 1500), (5, "u", "A" * 1500), (1, "y", "C" * 1500), (1, "y", "C" * 1500)]
+    assert _tuples(warc.archive_digest(spark.createDataFrame(rows, "page_id long, url string, html string"))) == _plain(rows)
+
+
+def test_pieces_of_any_size_and_members_are_read_alike(monkeypatch):
+    record = b"WARC/1.1\r\nContent-Length: 5\r\n\r\nab\r\n\r\r\n\r\n"
+    raw = gzip.compress(record) + gzip.compress(record * 3)
+    for size in (1, 3, 1 << 20):
+        monkeypatch.setattr(warc, "_PIECE", size)
+        assert [block for _, block in warc.parse_records(warc._inflate(raw))] == [b"ab\r\n\r"] * 4
+    with pytest.raises(ValueError):
+        list(warc._inflate(raw[:-9]))
+
+
 def test_a_revisit_without_its_original(spark):
     alone = spark.createDataFrame([("<urn:uuid:1>", "revisit", "<urn:uuid:2>", "ab", 12, None, 0, "5", "u")], "record string, record_type string, refers_record string, stated_digest string, stated_bytes long, digest string, bytes long, page_id string, url string")
     r = warc.resolve(alone).first()
@@ -50,6 +66,6 @@ def test_a_revisit_without_its_original(spark):
 
 def test_damage_raises():
     with pytest.raises(ValueError):
-        list(warc.parse_records(b"WARC/1.1\r\nContent-Length: 5\r\n\r\nabc\r\n\r\n"))
+        list(warc.parse_records([b"WARC/1.1\r\nContent-Length: 5\r\n\r\nabc\r\n\r\n"]))
     with pytest.raises(ValueError):
-        list(warc.parse_records(b"junk"))
+        list(warc.parse_records([b"junk"]))
