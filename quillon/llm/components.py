@@ -24,14 +24,14 @@ def components(links: DataFrame) -> DataFrame:
             above = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
             parent = parent.join(above, "up").select("node", F.col("top").alias("up"))
         parent = cut(parent, "parents")
-        if labels is None:
-            labels = parent
-        else:
-            moved = labels.join(parent.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left")
+        old_labels, labels = labels, parent
+        if old_labels is not None:
+            moved = old_labels.join(parent.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left")
             labels = cut(moved.select("node", F.coalesce("top", "up").alias("up")), "labels")
         left = edges.join(parent.select(F.col("node").alias("a"), F.col("up").alias("x")), "a").join(parent.select(F.col("node").alias("b"), F.col("up").alias("y")), "b")
         old, edges = edges, cut(left.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
-        drop_cut(old)
+        drop_cut(old, old_labels, parent if labels is not parent else None)
+    drop_cut(edges)
     if labels is None:
         return links.sparkSession.createDataFrame([], "node long, component long")
     return labels.select("node", F.col("up").alias("component"))

@@ -5,12 +5,16 @@ a shingle and gives two signature values, the minimum and the maximum over the s
 cost 64 evaluations. 32 bands of 4 values each retrieve candidates; two sets of Jaccard similarity
 0.8 share no band with a chance of (1 - 0.8 ** 4) ** 32, under 1 in 10 million.
 
-Documents with equal sets form one class, told from exact fingerprints, and one member stands for it.
-In a bucket, each class is compared with the bucket's first one, on full sets, unless sizes or sketches
-(a bit of each signature value) rule a link out. Buckets whose classes
-have not all come together then compare what is left: each class outside the bucket's largest
-component with every class of another component (in blocks, by an index of their shingles, where
-that would make many pairs), so every pair that shares a band is either compared, ruled out or already connected. Links are contracted to components by rounds of joins.
+Documents with equal sets form one class, told from exact fingerprints; classes bear numbers, and one
+member's text stands for each. In a bucket, each class is compared with the bucket's first one, on full
+sets, unless sizes or sketches (a bit of each signature value) rule a link out. Buckets whose classes
+have not all come together then compare what is left: each class outside the bucket's largest component
+with every class of another component (in blocks, by an index of their shingles, where that would make
+many pairs). So every pair that shares a band is compared, ruled out by its sizes and sketches, or
+connected already, whatever its bucket's size. Links are contracted to components by rounds of joins.
+
+Texts move once to the classes that share a bucket, and once more for each pair; a leader's text is sent
+once for a bounded load of members, and what is compared streams through a task, sorted by leader.
 """
 
 from __future__ import annotations
@@ -32,8 +36,10 @@ PERMUTATIONS, BAND_ROWS = 64, 4
 BANDS = 2 * PERMUTATIONS // BAND_ROWS
 #: Bits in which the sketches of two sets may differ at most to be compared on the sets themselves.
 MOST_DIFFERENT = 33
-#: Pairs that a bucket leaves from which they are compared in blocks, and classes in a block.
-LARGE, BLOCK_CLASSES = 2000, 1000
+#: Pairs that a bucket leaves from which they are compared in blocks.
+LARGE = 2000
+#: Shingles in a block, and of the members that are compared with one copy of a leader's text (one class may have more).
+BLOCK_SHINGLES, LOAD_SHINGLES = 200_000, 500_000
 
 _DRAW = np.random.Generator(np.random.PCG64(7))
 _FACTOR = _DRAW.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
@@ -128,35 +134,42 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _intersection(one: np.ndarray, other: np.ndarray) -> int:
+    """How many numbers two ascending arrays without repeats share."""
+    if not len(one) or not len(other):
+        return 0
+    return int((one[np.minimum(np.searchsorted(one, other), len(one) - 1)] == other).sum())
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of texts whose full sets are similar enough; rows of one leader follow one another."""
-    last: tuple[object, np.ndarray] = (None, np.zeros(0, dtype=np.uint64))
+    """Links (a, b) from rows (leader, member, text) in which a leader's own text precedes its members'."""
+    held = np.zeros(0, dtype=np.uint64)
     for batch in batches:
-        leaders = batch.column(0).to_pylist()
-        texts = batch.column(batch.schema.get_field_index("leader_text"))
-        good = []
-        row = 0
-        for part, data, offsets in blocks(batch, "member_text"):
+        for part, data, offsets in blocks(batch):
             members, bounds = shingle_sets(data, offsets)
+            leader, member = (part.column(i).to_numpy() for i in range(2))
+            good = np.zeros(part.num_rows, dtype=bool)
             for i in range(part.num_rows):
-                leader = leaders[row]
-                if last[0] != leader:
-                    raw = np.frombuffer((texts[row].as_py() or "").encode(), dtype=np.uint8)
-                    last = (leader, shingle_sets(raw, np.array([0, len(raw)]))[0])
                 own = members[bounds[i] : bounds[i + 1]]
-                at = np.minimum(np.searchsorted(last[1], own), max(len(last[1]) - 1, 0))
-                both = int((last[1][at] == own).sum()) if len(last[1]) and len(own) else 0
-                good.append(100 * both >= PERCENT * (len(own) + len(last[1]) - both) and both > 0)
-                row += 1
-        mask = pa.array(good, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(mask)
+                if leader[i] == member[i]:
+                    held = own.copy()
+                else:
+                    both = _intersection(held, own)
+                    good[i] = both > 0 and 100 * both >= PERCENT * (len(own) + len(held) - both)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(good))
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (leader, member) that hold on full sets, as links (a, b). A hot leader's rows are a skewed join's."""
-    with_member = pairs.join(texts.select(F.col("id").alias("member"), F.col("text").alias("member_text")), "member")
-    both = with_member.join(texts.select(F.col("id").alias("leader"), F.col("text").alias("leader_text")), "leader")
-    return both.select("leader", "member", "leader_text", "member_text").mapInArrow(_verify, "a long, b long")
+    """The pairs (leader, member, n: the member's size) that hold on full sets, as links (a, b).
+
+    Members are dealt to groups of about LOAD_SHINGLES for each leader, so a leader of very many members
+    is no hot key; each group gets the leader's text once, and its rows are compared as they stream by.
+    """
+    load = pairs.groupBy("leader").agg(F.ceil(F.sum("n") / LOAD_SHINGLES).alias("groups"))
+    dealt = pairs.join(load, "leader").select("leader", "member", F.pmod(F.xxhash64("member"), F.col("groups")).alias("part"))
+    rows = dealt.unionByName(dealt.select("leader", F.col("leader").alias("member"), "part").distinct())
+    with_text = rows.join(texts.withColumnRenamed("rep", "member"), "member").select("leader", "member", "text", "part", (F.col("leader") != F.col("member")).alias("later"))
+    return with_text.repartition("leader", "part").sortWithinPartitions("leader", "part", "later").select("leader", "member", "text").mapInArrow(_verify, "a long, b long")
 
 
 def _fits(one: str, other: str) -> str:
@@ -175,11 +188,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("th"), F.col("text"))
 
 
-def _class_texts(keyed: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, text) of the classes' first members that occur in the pairs."""
-    ends = pairs.select(F.col("leader").alias("id")).unionByName(pairs.select(F.col("member").alias("id"))).distinct()
-    wanted = classes.select(F.col("rep").alias("id"), "th").join(ends, "id", "left_semi")
-    return keyed.join(wanted, ["id", "th"], "left_semi").dropDuplicates(["id", "th"]).select("id", "text")
+def _told(pairs: DataFrame, classes: DataFrame, ends: tuple[str, str] = ("leader", "member")) -> DataFrame:
+    """`pairs` whose two classes fit, with the second's size as n."""
+    for end, prefix in zip(ends, "xy", strict=True):
+        pairs = pairs.join(classes.select(F.col("rep").alias(end), *[F.col(c).alias(f"{prefix}{c}") for c in ("n", "s1", "s2")]), end)
+    return pairs.where(_fits("x", "y")).select(*ends, F.col("yn").alias("n"))
 
 
 def _pairs_left(open_rows: DataFrame, tried: DataFrame) -> DataFrame:
@@ -188,31 +201,30 @@ def _pairs_left(open_rows: DataFrame, tried: DataFrame) -> DataFrame:
     outside = open_rows.where("c <> main").select("key", *[F.col(c).alias(f"x{c}") for c in columns])
     anyone = open_rows.select("key", *[F.col(c).alias(f"y{c}") for c in columns])
     crossed = outside.join(anyone, "key").where(f"xc <> yc and {_fits('x', 'y')}")
-    pairs = crossed.select(F.least("xrep", "yrep").alias("leader"), F.greatest("xrep", "yrep").alias("member")).distinct()
-    return cut(pairs.join(tried, ["leader", "member"], "left_anti"), "rest")
+    size = F.when(F.col("xrep") > F.col("yrep"), F.col("xn")).otherwise(F.col("yn"))
+    pairs = crossed.select(F.least("xrep", "yrep").alias("leader"), F.greatest("xrep", "yrep").alias("member"), size.alias("n")).distinct()
+    return pairs.join(tried.select("leader", "member"), ["leader", "member"], "left_anti")
 
 
-def _block_links(open_rows: DataFrame, keyed: DataFrame, classes: DataFrame) -> DataFrame:
+def _block_links(open_rows: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) of what is left in buckets that would make many pairs: their classes outside the main
     component, with any class that shares a bucket of that component.
 
-    The classes of a component's buckets are dealt to blocks of about BLOCK_CLASSES, and the outside
-    ones to slices of as many; each block meets each slice in a group of its own. A block indexes its members by shingle and counts every outside set's exact
-    intersections with all of them at once, so no pair is a row: only links come out, one for each
-    outside class and component met in a block.
+    The classes of a component's buckets are dealt to blocks of about BLOCK_SHINGLES, and the outside
+    ones to slices of as many; each block meets each slice in a group of its own. A block indexes its
+    members by shingle and counts every outside set's exact intersections with all of them at once, so
+    no pair is a row: only links come out, one for each outside class and component met in a block.
     """
-    spread = open_rows.groupBy("main", "rep").agg(F.min("c").alias("c"))
-    asks = F.sum((F.col("c") != F.col("main")).cast("int"))
-    count = lambda n: F.greatest(F.ceil(n / BLOCK_CLASSES), F.lit(1)).cast("int")
-    dealt = spread.join(spread.groupBy("main").agg(count(F.count(F.lit(1))).alias("blocks"), count(asks).alias("slices")), "main")
+    spread = open_rows.groupBy("main", "rep").agg(*[F.min(c).alias(c) for c in ("c", "n", "s1", "s2")])
+    asked = F.when(F.col("c") != F.col("main"), F.col("n")).otherwise(0)
+    count = lambda n: F.greatest(F.ceil(n / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    dealt = spread.join(spread.groupBy("main").agg(count(F.sum("n")).alias("blocks"), count(F.sum(asked)).alias("slices")), "main")
     deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     member = dealt.withColumns({"block": deal("blocks"), "slice": every("slices"), "query": F.lit(False)})
     query = dealt.where("c <> main").withColumns({"block": every("blocks"), "slice": deal("slices"), "query": F.lit(True)})
-    rows = member.unionByName(query).select("main", "block", "slice", "query", F.col("rep").alias("id"), "c")
-    wanted = classes.select(F.col("rep").alias("id"), "th").join(spread.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    texts = keyed.join(wanted, ["id", "th"], "left_semi").dropDuplicates(["id", "th"]).select("id", "text")
-    return rows.join(texts, "id").groupBy("main", "block", "slice").applyInArrow(_compare_block, "a long, b long")
+    rows = member.unionByName(query).select("main", "block", "slice", "query", "rep", "c", "s1", "s2")
+    return rows.join(texts, "rep").groupBy("main", "block", "slice").applyInArrow(_compare_block, "a long, b long")
 
 
 def _compare_block(block: pa.Table) -> pa.Table:
@@ -223,7 +235,7 @@ def _compare_block(block: pa.Table) -> pa.Table:
         for part, data, offsets in blocks(batch):
             members, bounds = shingle_sets(data, offsets)
             sets += [members[bounds[i] : bounds[i + 1]] for i in range(part.num_rows)]
-    ids, parts, asks = (block.column(c).to_numpy() for c in ("id", "c", "query"))
+    ids, parts, asks, s1, s2 = (block.column(c).to_numpy() for c in ("rep", "c", "query", "s1", "s2"))
     held = np.flatnonzero(~asks)
     size = np.array([len(sets[i]) for i in held], dtype=np.int64)
     flat = np.concatenate([sets[i] for i in held]) if len(held) else np.zeros(0, dtype=np.uint64)
@@ -236,62 +248,86 @@ def _compare_block(block: pa.Table) -> pa.Table:
         low, high = np.searchsorted(flat, own, side="left"), np.searchsorted(flat, own, side="right")
         both = np.bincount(owner[ranges(low, high - low)], minlength=len(held))
         near = np.flatnonzero((100 * both >= PERCENT * (len(own) + size - both)) & (both > 0) & (parts[held] != parts[q]))
-        if len(near):
-            _, once = np.unique(parts[held[near]], return_index=True)
+        at = held[near]
+        at = at[np.bitwise_count(s1[at] ^ s1[q]).astype(int) + np.bitwise_count(s2[at] ^ s2[q]) <= MOST_DIFFERENT]
+        if len(at):
+            _, once = np.unique(parts[at], return_index=True)
             left += [ids[q]] * len(once)
-            right += ids[held[near[once]]].tolist()
+            right += ids[at[once]].tolist()
     return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(id, th, n, component) for every row: id (null: the smallest long), text hash, set size, component.
-
-    A row without words has an empty set and a component of its own id. Rows that share an id are
-    judged each by its own text. Columns other than doc_id and text are not read.
-    """
-    keyed = _keyed(docs)
-    features = cut(keyed.mapInArrow(_features, "id long, th long, n long, a long, b long, s1 long, s2 long, bands array<long>"), "features")
-    grouped = features.where("n > 0").groupBy("n", "a", "b").agg(F.min(F.struct("id", "th")).alias("first"), F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.min("bands").alias("bands"))
-    classes = cut(grouped.select("n", "a", "b", "first.id", "first.th", "s1", "s2", "bands").withColumnRenamed("id", "rep"), "classes")
-    members = cut(classes.select("rep", "n", "s1", "s2", F.explode("bands").alias("key")), "buckets")
-    found = members.groupBy("key").agg(F.min(F.struct("rep", "n", "s1", "s2")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    leaders = found.select("key", F.col("f.rep").alias("leader"), *[F.col(f"f.{c}").alias(f"l{c}") for c in ("n", "s1", "s2")])
-    stars = members.select("key", F.col("rep").alias("member"), *[F.col(c).alias(f"m{c}") for c in ("n", "s1", "s2")]).join(leaders, "key")
-    tried = cut(stars.where(f"member <> leader and {_fits('m', 'l')}").select("leader", "member").distinct(), "pairs")
-    links = cut(_linked(tried, _class_texts(keyed, classes, tried)), "verified")
+def _class_components(docs: DataFrame, features: DataFrame) -> DataFrame:
+    """(n, a, b, component) of every class: component is the smallest (id, th) of all that its links reach."""
+    grouped = features.where("n > 0").groupBy("n", "a", "b").agg(F.min(F.struct("id", "th", "s1", "s2", "bands")).alias("f"))
+    classes = cut(grouped.select(F.monotonically_increasing_id().alias("rep"), "n", "a", "b", "f.*"), "classes")
+
+    # Buckets of several classes, and the first class of each.
+    buckets = classes.select(F.explode("bands").alias("key"), "rep")
+    found = buckets.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    shared = cut(buckets.join(found.select("key", "leader"), "key"), "buckets")
+    wanted = shared.select("rep").distinct().join(classes.select("rep", "id", "th"), "rep")
+    texts = cut(_keyed(docs).join(wanted, ["id", "th"]).dropDuplicates(["id", "th"]).select("rep", "text"), "texts")
+    stars = shared.where("rep <> leader").select("leader", F.col("rep").alias("member")).distinct()
+    tried = cut(_told(stars, classes), "pairs")
+    links = cut(_linked(tried, texts), "verified")
     reached = components(links)
 
     # What the stars leave: buckets that hold classes of several components.
-    labelled = members.join(reached.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "s1", "s2", F.coalesce("component", "rep").alias("c"))
+    labelled = shared.join(reached.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     parts = labelled.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
     mixed = parts.groupBy("key").agg(F.max(F.struct("k", "c")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("k").alias("all")).where("parts > 1 and all > 2")
-    open_rows = cut(labelled.join(mixed.select("key", F.col("main.c").alias("main"), ((F.col("all") - F.col("main.k")) * F.col("all") >= LARGE).alias("large")), "key"), "open")
-    drop_cut(members)
-    rest = _pairs_left(open_rows.where("not large"), tried)
-    more = _linked(rest, _class_texts(keyed, classes, rest)).unionByName(_block_links(open_rows.where("large"), keyed, classes))
-    more = cut(more.distinct(), "verified")
-    if not more.isEmpty():
-        reached = components(links.unionByName(more))
-    named = features.join(classes.select("n", "a", "b", "rep"), ["n", "a", "b"], "left")
-    placed = named.join(reached.withColumnRenamed("node", "rep"), "rep", "left")
-    return placed.select("id", "th", "n", F.coalesce("component", "rep", "id").alias("component"))
+    left = labelled.join(mixed.select("key", F.col("main.c").alias("main"), ((F.col("all") - F.col("main.k")) * F.col("all") >= LARGE).alias("large")), "key")
+    open_rows = cut(left.join(classes.select("rep", "n", "s1", "s2"), "rep"), "open")
+    rest = cut(_pairs_left(open_rows.where("not large"), tried), "rest")
+    late = cut(_linked(rest, texts).unionByName(_block_links(open_rows.where("large"), texts)).distinct(), "verified")
+    more = late
+
+    # Those links join components that are known already.
+    for end in ("a", "b"):
+        known = reached.select(F.col("node").alias(end), F.col("component").alias("in"))
+        more = more.join(known, end, "left").withColumn(end, F.coalesce("in", end)).drop("in")
+    again = components(more)
+    first = classes.join(reached.withColumnRenamed("node", "rep"), "rep", "left").withColumn("node", F.coalesce("component", "rep")).drop("component")
+    placed = first.join(again, "node", "left").select("n", "a", "b", "id", "th", F.coalesce("component", "node").alias("c"))
+    lowest = placed.groupBy("c").agg(F.min(F.struct("id", "th")).alias("component"))
+    named = cut(placed.join(lowest, "c").select("n", "a", "b", "component"), "components")
+    drop_cut(classes, shared, texts, tried, links, open_rows, rest, late)
+    return named
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(id, th, n, component) for every row: id (null: the smallest long), text hash, set size, component.
+
+    A component is named by its smallest (id, th). A row without words has an empty set and a component
+    of its own. Rows that share an id are judged each by its own text; rows alike in both share all. An
+    empty table gives an empty one. Columns other than doc_id and text are not read.
+    """
+    features = cut(_keyed(docs).mapInArrow(_features, "id long, th long, n long, a long, b long, s1 long, s2 long, bands array<long>"), "features")
+    named = _class_components(docs, features)
+    placed = features.select("id", "th", "n", "a", "b").join(named, ["n", "a", "b"], "left")
+    return placed.select("id", "th", "n", F.coalesce("component", F.struct("id", "th")).alias("component"))
 
 
 def near_duplicate_digest(docs: DataFrame) -> DataFrame:
-    """The contract's columns for every document."""
+    """The contract's columns for every document; nulls and repeated rows as in `near_duplicates`."""
     none = F.lit(_NO_ID)
     found = near_duplicates(docs)
     return found.select(
         F.nullif(F.col("id"), none).alias("doc_id"),
         F.col("n").alias("n_shingles"),
-        F.nullif(F.col("component"), none).alias("component_id"),
-        (F.col("id") == F.col("component")).alias("kept"),
+        F.nullif(F.col("component.id"), none).alias("component_id"),
+        (F.col("id") == F.col("component.id")).alias("kept"),
     )
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each component of `docs`, that of the smallest id, in the columns of `docs`."""
-    chosen = near_duplicates(docs).where("id = component").groupBy("id").agg(F.min("th").alias("th"))
+    """One row of each component of `docs`, that of the smallest id, in the columns of `docs`.
+
+    Texts without words are linked with nothing and stay; of rows alike in id and text one stays. Texts
+    under a null id or one that repeats count each for itself.
+    """
+    chosen = near_duplicates(docs).where(F.struct("id", "th") == F.col("component")).select("id", "th").distinct()
     names = [F.col(f"`{c}`").alias(f"c_{c}") for c in docs.columns]
     rows = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("th"))
     kept = rows.join(chosen, ["id", "th"], "left_semi").dropDuplicates(["id", "th"])

@@ -50,7 +50,8 @@ def test_against_a_plain_version(spark):
 
 def test_leftovers_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "LARGE", 3)
-    monkeypatch.setattr(neardup, "BLOCK_CLASSES", 3)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 150)
+    monkeypatch.setattr(neardup, "LOAD_SHINGLES", 40)
     texts = _texts(2)
     assert _found(documents(spark, texts)) == _plain(texts)
 
