@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quillon.llm import mixing
@@ -45,6 +46,49 @@ def test_shares_come_near_targets(spark):
     assert found.set_index("doc_id")["taken"].sort_index().equals(again.set_index("doc_id")["taken"].sort_index())
 
 
+def test_the_whole_query_against_a_plain_version(spark):
+    """Sizes and targets by capped_targets; the words taken by block and shard, with plain quotients."""
+    draw = random.Random(6)
+    rows = [(i, " ".join("w" * draw.randint(1, 5) for _ in range(draw.randint(0, 400))), draw.choice(["z", "é", "a", None, "b"] if i % 50 else [f"rare{i}"])) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix_digest(docs).toPandas().merge(docs.toPandas(), on="doc_id")
+    names = sorted({r[2] for r in rows if r[2] is not None}, key=str.encode) + [None]
+    size = [sum(len(words(r[1])) for r in rows if r[2] == name) for name in names]
+    targets = mixing.capped_targets(size, [mixing.WEIGHTS[i % 3] for i in range(len(names))])
+    for name, n, target in zip(names, size, targets, strict=True):
+        own = found[found["source"].isna()] if name is None else found[found["source"] == name]
+        assert (own["source_size"] == n).all() and (own["target"] - target).abs().max() < 1e-6
+        assert abs(own["taken"].sum() - target) <= mixing.BLOCK_WORDS
+    assert (found["size"] == found["text"].map(lambda t: len(words(t)))).all() and (found["taken"] <= 3 * found["size"]).all()
+
+
+def test_seats_of_a_table_agree_with_the_plain_rule(spark):
+    draw = random.Random(9)
+    for n in (1, 3, 40):
+        weights = [draw.choice([0.0, 1.0, 2.0, 7.5, draw.random() * 90]) for _ in range(n)]
+        limits = [draw.randint(0, 60) for _ in range(n)]
+        table = spark.createDataFrame(list(zip(range(n), weights, limits, strict=True)), "number long, weight double, most long")
+        for seats in (0, 1, round(sum(weights)), 10_000):
+            got = [r.seats for r in mixing._seats(table, seats).orderBy("number").collect()]
+            want = [m if w else 0 for w, m in zip(weights, limits, strict=True)]
+            assert got == mixing.sainte_lague(weights, seats, want)
+
+
+def test_a_seeded_permutation():
+    for n in (1, 2, 5, 64, 1000, 1025):
+        at = np.arange(n)
+        assert sorted(mixing.permuted(at, np.full(n, n), np.full(n, 77, dtype=np.uint64)).tolist()) == at.tolist()
+
+
+def test_copies_keep_the_quota_of_each_source(spark):
+    draw = random.Random(12)
+    rows = [(i, " ".join("w" * draw.randint(1, 5) for _ in range(draw.randint(1, 300))), draw.choice("abcd")) for i in range(800)] + [(5000, "v " * 300, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {r.source: r.t for r in mixing.mix_sources(docs).groupBy("source").agg(F.sum("taken").alias("t")).collect()}
+    got = {r.source: r.t for r in mixing.mixed_copies(docs).groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("t")).collect()}
+    assert all(abs(got.get(s, 0) - t) <= 300 for s, t in taken.items())
+
+
 def test_odd_rows(spark):
     docs = documents(spark, odd_texts()).withColumn("taken", F.lit("x"))
     found = mixing.mix_sources(docs)
