@@ -12,6 +12,9 @@ level 0, so every window has a choice. Names that occur once drop out. Where a n
 the same surroundings (all words of the windows that chose it), those windows are repeats at once.
 Where surroundings differ, the first place of each is checked window by window. Surroundings and
 windows are each told apart by 91 bits of their own, names not counted; documents and starts give the order.
+
+A task remembers the bearers of common names, so of a passage that stands everywhere each task sends
+about one row: later places are settled where they are read, and no name is a hot key.
 """
 
 from __future__ import annotations
@@ -131,25 +134,88 @@ def choose(words: np.ndarray, first: np.ndarray, window: int = WINDOW) -> tuple[
     return starts, chosen[starts], place[starts]
 
 
-# A run of windows is packed into a long: 27 bits that differ by use, then its first window's place in
-# the text (32 bits), then the number of windows (5 bits; a symbol serves 20 at most).
+# A run of windows is packed into a long: 27 more bits of its hash, then its first window's place in the
+# text (32 bits), then the number of windows (5 bits; a symbol serves 20 at most).
 _COUNT_BITS, _PLACE_BITS = 5, 37
 #: What is known of a row of symbols: nothing yet, that its windows stand earlier, that they need a check.
 _OPEN, _LATER, _CHECK = 0, 1, 2
 
 
-def _row_offsets(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
+class Slots:
+    """Rows that a task remembers, by a slot of their key; those found again are kept longest."""
+
+    BITS = 18
+
+    def __init__(self, kinds: tuple[type, ...]):
+        n = 1 << self.BITS
+        self.columns = [np.zeros(n, dtype=kind) for kind in kinds]
+        self.filled, self.wanted = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+
+    def look(self, key: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Slots, and what they hold."""
+        slot = (mix(key, 75) >> np.uint64(64 - self.BITS)).astype(np.int64)
+        return slot, [c[slot] for c in self.columns]
+
+    def put(self, slot: np.ndarray, rows: tuple[np.ndarray, ...], found: np.ndarray, fresher: np.ndarray) -> None:
+        """Remember rows: those `fresher` than what was found, and others whose slots are not wanted any more."""
+        at = np.flatnonzero(fresher | (~found & ~self.wanted[slot]))
+        self.wanted[slot[~found]] = False
+        self.wanted[slot[found]] = True
+        for column, row in zip(self.columns, rows, strict=True):
+            column[slot[at]] = row[at]
+        self.filled[slot[at]] = True
+
+
+class Bearers(Slots):
+    """Rows (name, hash, more bits of it, document, start) that a task has given under their own names."""
+
+    def __init__(self) -> None:
+        super().__init__((np.uint64, np.uint64, np.int64, np.int64, np.int64))
+
+    def later(self, *rows: np.ndarray) -> np.ndarray:
+        """Which rows stand later than one remembered that is alike; the others may be remembered."""
+        slot, held = self.look(rows[0] * np.uint64(3) + rows[1])
+        same = self.filled[slot] & np.logical_and.reduce([h == r for h, r in zip(held[:3], rows[:3], strict=True)])
+        after = same & ((held[3] < rows[3]) | ((held[3] == rows[3]) & (held[4] < rows[4])))
+        self.put(slot, rows, same, same & ~after)
+        return after
+
+
+class Names(Slots):
+    """Names that a task has given, each with its first surroundings, and whether others have been given too."""
+
+    def __init__(self) -> None:
+        super().__init__((np.uint64, np.uint64, np.int64, bool))
+
+    def told(self, name: np.ndarray, around: np.ndarray, more: np.ndarray) -> np.ndarray:
+        """Which rows bear a name that the task has given in two surroundings already (no two of the rows share a name)."""
+        slot, held = self.look(name)
+        same = self.filled[slot] & (held[0] == name)
+        other = same & ((held[1] != around) | (held[2] != more))
+        out = other & held[3]
+        self.put(slot, (name, around, more, np.zeros(len(name), dtype=bool)), same, np.zeros(len(name), dtype=bool))
+        mine = other & (self.columns[0][slot] == name)  # a slot may have gone to another of the rows
+        self.columns[3][slot[mine]] = True
+        return out
+
+
+def _own(names: np.ndarray, *place: np.ndarray) -> np.ndarray:
+    """Names that rows bear alone, from their documents, texts and places."""
+    for i, part in enumerate(place):
+        names = mix(names ^ part.astype(np.uint64), 71 + i)
+    return names
 
 
 def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(name, around, x, id, s): a row per symbol that windows of a text choose.
+    """(name, around, x, id, th, known): a row per symbol that windows of a text choose.
 
     around is 64 bits of all words of those windows (the surroundings), x packs 27 more with their
-    place; s is 4 times the version plus what is known. In a block of texts a name is borne by one row
-    only. Others of the same surroundings stand later; those of other surroundings need a check, and so
-    do all of that name. They bear names of their own, so no name has more rows than there are blocks.
+    place. In a block of texts a name is borne by one row only. Others of the same surroundings stand
+    later; those of other surroundings need a check, and so do all of that name. They bear names of
+    their own, as do rows that stand later than one that the task remembers, and rows to check of a name
+    that it has given in two surroundings already.
     """
+    bearers, given = Bearers(), Names()
     for batch in batches:
         for part, data, offsets in blocks(batch):
             begins, ends, first = split(data, offsets, NOT_BLANK)
@@ -170,7 +236,7 @@ def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low, high, names = starts[heads[at]], np.maximum.reduceat(end_of, at), name[heads[at]]
             around = sequence_hashes(words, low, high + WINDOW, 6)
             more = (sequence_hashes(words, low, high + WINDOW, 4) >> np.uint64(_PLACE_BITS)).astype(np.int64)
-            ids, versions = _row_offsets(part)
+            ids, hashed = (part.column(i).to_numpy() for i in range(2))
             text = np.searchsorted(first, low, side="right") - 1
             own, start = ids[text], low - first[text]
             order = np.lexsort((start, own, more, around, names))
@@ -180,43 +246,51 @@ def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             same[1:] = same_name[1:] & (around[1:] == around[:-1]) & (more[1:] == more[:-1])
             head = np.maximum.accumulate(np.where(same, 0, np.arange(len(names))))
             later = same & ((own != own[head]) | (start != start[head]))
+            # Rows alike in document and text share what is found, so one of them is enough.
+            twin = same & ~later & (hashed[text] == hashed[text][head])
             group = np.cumsum(~same_name) - 1
-            several = np.bincount(group, weights=same_name & ~same) > 0
-            known = np.where(later, _LATER, np.where(several[group] | same, _CHECK, _OPEN))
-            names = np.where(same_name, mix(names ^ mix(low.astype(np.uint64), 71), 72), names)
+            several = np.bincount(group, weights=same_name & ~later & ~twin) > 0
+            known = np.where(later, _LATER, np.where(several[group], _CHECK, _OPEN))
+            alone = np.flatnonzero(~same_name & (known == _OPEN))
+            after = bearers.later(*(z[alone] for z in (names, around, more, own, start)))
+            known[alone[after]] = _LATER
+            apart = alone[~after]
+            apart = apart[given.told(names[apart], around[apart], more[apart])]
+            known[apart] = _CHECK
+            own_name = same_name
+            own_name[alone[after]] = own_name[apart] = True
+            names = np.where(own_name, _own(names, own, hashed[text], start), names)
             x = (more << _PLACE_BITS) | (start << _COUNT_BITS) | (high - low + 1)
+            names, around, x, own, text, known = (z[~twin] for z in (names, around, x, own, text, known))
             yield pa.RecordBatch.from_pydict(
                 {
                     "name": pa.array(as_signed(names)),
                     "around": pa.array(as_signed(around)),
                     "x": pa.array(x),
                     "id": pa.array(own),
-                    "s": pa.array((versions[text] * 4 + known).astype(np.int32)),
+                    "th": pa.array(hashed[text]),
+                    "known": pa.array(known.astype(np.int8)),
                 }
             )
 
 
 def _marked(part: pa.RecordBatch, column: str, first: np.ndarray, window: int) -> np.ndarray:
-    """First words (in the block) of the windows that a text's list of runs names, ascending.
-
-    A run's upper bits are the version of the text that it belongs to.
-    """
+    """First words (in the block) of the windows that a text's list of runs names, ascending."""
     lists = part.column(part.schema.get_field_index(column))
     runs = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     text = np.repeat(np.arange(part.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-    mine = runs >> _PLACE_BITS == part.column(1).to_numpy(zero_copy_only=False)[text]
-    runs, text = runs[mine], text[mine]
     count = runs & ((1 << _COUNT_BITS) - 1)
-    s = ranges(first[:-1][text] + (runs >> _COUNT_BITS & 0xFFFFFFFF), count)
+    s = ranges(first[:-1][text] + (runs >> _COUNT_BITS), count)
     return np.unique(s[s + window <= first[1:][np.repeat(text, count)]])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(w, x, id, s) of the windows to check: 64 bits of the window's hash, then 27 more packed with its place.
+    """(w, x, id, th, known) of the windows to check: 64 bits of the window's hash, 27 more packed with its place.
 
     Of a window that a block of texts holds several times, the first bears its hash; the others stand
-    later, so they are marked and bear hashes of their own.
+    later, so they are marked and bear hashes of their own, as do those later than a bearer remembered.
     """
+    bearers = Bearers()
     for batch in batches:
         for part, data, offsets in blocks(batch):
             begins, ends, first = split(data, offsets, NOT_BLANK)
@@ -226,7 +300,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             w = sequence_hashes(words, at, at + WINDOW, 1)
             more = (sequence_hashes(words, at, at + WINDOW, 2) >> np.uint64(_PLACE_BITS)).astype(np.int64)
-            ids, versions = _row_offsets(part)
+            ids, hashed = (part.column(i).to_numpy() for i in range(2))
             text = np.searchsorted(first, at, side="right") - 1
             own, start = ids[text], at - first[text]
             order = np.lexsort((start, own, more, w))
@@ -235,10 +309,12 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             alike[1:] = (w[1:] == w[:-1]) & (more[1:] == more[:-1])
             head = np.maximum.accumulate(np.where(alike, 0, np.arange(len(w))))
             later = alike & ((own != own[head]) | (start != start[head]))
-            w = np.where(later, mix(w ^ mix(at.astype(np.uint64), 73), 74), w)
+            alone = np.flatnonzero(~alike)
+            later[alone] = bearers.later(*(z[alone] for z in (w, w, more, own, start)))
+            w = np.where(later, _own(w, own, hashed[text], start), w)
             x = (more << _PLACE_BITS) | (start << _COUNT_BITS) | 1
             yield pa.RecordBatch.from_pydict(
-                {"w": pa.array(as_signed(w)), "x": pa.array(x), "id": pa.array(own), "s": pa.array((versions[text] * 4 + later * _LATER).astype(np.int32))}
+                {"w": pa.array(as_signed(w)), "x": pa.array(x), "id": pa.array(own), "th": pa.array(hashed[text]), "known": pa.array((later * _LATER).astype(np.int8))}
             )
 
 
@@ -276,31 +352,28 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _remove(docs: DataFrame, finish, schema: str) -> DataFrame:  # noqa: ANN001
-    # Rows that share an id are one document with versions; equal texts are one version.
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.col("text"), F.xxhash64("text").alias("th"))
-    base = keyed.withColumn("v", F.dense_rank().over(Window.partitionBy("id").orderBy("th"))).select("id", "v", "text")
-
-    bits, place = F.shiftright("x", _PLACE_BITS), F.col("x").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
-    run = (F.shiftleft(F.shiftright("s", 2).cast("long"), _PLACE_BITS) + place).alias("run")
-    known = F.col("s").bitwiseAND(F.lit(3))
+    # Rows that share an id are told apart by their text's hash; rows alike in both share their repeats.
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("th"), F.col("text"))
+    bits, run = F.shiftright("x", _PLACE_BITS), F.col("x").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    place = F.struct("id", "run")
 
     # Symbols: of equal names with equal surroundings all but the first stand later; names with
     # several surroundings need a check of the first of each.
     # Rows are unpacked behind the exchange, so that they travel packed.
-    symbols = base.mapInArrow(_symbols, "name long, around long, x long, id long, s int").repartition("name").withColumns({"bits": bits, "at": place})
+    symbols = base.mapInArrow(_symbols, "name long, around long, x long, id long, th long, known byte").repartition("name").withColumns({"bits": bits, "run": run})
     same_name, same = Window.partitionBy("name"), Window.partitionBy("name", "around", "bits")
     several = [F.min(c).over(same_name) != F.max(c).over(same_name) for c in ("around", "bits")]
-    judged = symbols.withColumn("several", several[0] | several[1] | (F.max(known).over(same_name) == _CHECK))
-    judged = judged.withColumn("first", F.min(F.struct("id", "at")).over(same))
-    is_later = (known == _LATER) | (F.struct("id", "at") > F.col("first"))
-    judged = judged.select("id", run, is_later.alias("later"), F.col("several")).where("later or several")
-    candidates = judged.where("not later").groupBy("id").agg(F.collect_list("run").alias("found"))
+    judged = symbols.withColumn("several", several[0] | several[1] | (F.max("known").over(same_name) == _CHECK))
+    judged = judged.withColumn("first", F.min(place).over(same))
+    later = (F.col("known") == _LATER) | (place > F.col("first"))
+    judged = judged.select("id", "th", "run", later.alias("later"), "several").where("later or several")
+    candidates = judged.where("not later").groupBy("id", "th").agg(F.collect_list("run").alias("found"))
 
-    windows = base.join(candidates, "id").mapInArrow(_windows, "w long, x long, id long, s int").repartition("w").withColumns({"bits": bits, "at": place})
-    first = F.min(F.struct("id", "at")).over(Window.partitionBy("w", "bits"))
-    checked = windows.withColumn("first", first).where((known == _LATER) | (F.struct("id", "at") > F.col("first"))).select("id", run)
-    repeats = judged.where("later").select("id", "run").unionByName(checked).groupBy("id").agg(F.collect_list("run").alias("found"))
-    return base.join(repeats, "id", "left").mapInArrow(finish, schema)
+    windows = base.join(candidates, ["id", "th"]).mapInArrow(_windows, "w long, x long, id long, th long, known byte").repartition("w").withColumns({"bits": bits, "run": run})
+    first = F.min(place).over(Window.partitionBy("w", "bits"))
+    checked = windows.withColumn("first", first).where((F.col("known") == _LATER) | (place > F.col("first"))).select("id", "th", "run")
+    repeats = judged.where("later").select("id", "th", "run").unionByName(checked).groupBy("id", "th").agg(F.collect_list("run").alias("found"))
+    return base.join(repeats, ["id", "th"], "left").drop("th").mapInArrow(finish, schema)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -308,7 +381,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A null text has no words. A null id counts as the smallest. Of rows that share an id, a window at
     the same place in both is in neither earlier than in the other. A text shorter than a window is
-    kept whole. Other columns are not read.
+    kept whole, and an empty table gives an empty one. Other columns are not read.
     """
     return _remove(docs, _kept, "id long, n_words long, n_removed long, kept binary").select(
         F.nullif(F.col("id"), F.lit(_NO_ID)).alias("doc_id"), "n_words", "n_removed", F.col("kept").cast("string").alias("kept")
@@ -316,7 +389,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats_digest(docs: DataFrame) -> DataFrame:
-    """The contract's columns for every document."""
+    """The contract's columns for every document; nulls and repeated rows as in `remove_repeats`."""
     return _remove(docs, _hashed, "id long, n_words long, n_removed long, kept_sha256 string").select(
         F.nullif(F.col("id"), F.lit(_NO_ID)).alias("doc_id"), "n_words", "n_removed", "kept_sha256"
     )
