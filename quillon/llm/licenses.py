@@ -33,7 +33,7 @@ SPREAD = 3
 #: Words in a block, the unit in which windows begin and end; templates of a group differ by this factor.
 BLOCK, GROUP_FACTOR = 2, 1.35
 
-# Notices and standard headers of public licenses, as their stewards publish them.
+# Short notices, and notices, grants and disclaimers of public licenses as their stewards publish them.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
@@ -49,6 +49,19 @@ TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("BSD", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"),
+    ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("GPL", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("ISC", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("MIT", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
 )
 
 
@@ -222,11 +235,26 @@ class Scanner:
                 best = (len(held), places[left], place)
         return best
 
+    def _all(self, at: np.ndarray, which: np.ndarray, reach: int, wanted: int) -> list[tuple[int, int, int]]:
+        """(different shingles, first, last) of passages that match and do not overlap: the best one, then those on either side."""
+        out, parts = [], [(at, which)]
+        while parts:
+            at, which = parts.pop()
+            if len(at) < self.containment * wanted - 1e-9:
+                continue
+            n, first, last = self._best(at, which, reach)
+            if n < self.containment * wanted - 1e-9:
+                continue
+            out.append((n, first, last))
+            for side in (at <= first - SHINGLE, at >= last + SHINGLE):
+                parts.append((at[side], which[side]))
+        return out
+
     def scan(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int, int, float]]]]:
-        """Words of each text, and its matches (template, first word, end word, containment): the best of each template."""
+        """Words of each text, and its matches (template, first word, end word, containment), in order; those of one template do not overlap."""
         words, first = normal_words(data, offsets)
         members, bounds = shingles(words, first)
-        found: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(len(offsets) - 1)]
+        found: list[dict[int, list[tuple[int, int, float]]]] = [{} for _ in range(len(offsets) - 1)]
         for texts, lows, highs, k in self.candidates(members, bounds):
             g = self.groups[k]
             for t, low, high in zip(texts.tolist(), lows.tolist(), highs.tolist(), strict=True):
@@ -234,17 +262,11 @@ class Scanner:
                 for number, wanted, reach in zip(g.numbers, g.sets, g.reach, strict=True):
                     which = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
                     at = np.flatnonzero(wanted[which] == own)
-                    if len(np.unique(which[at])) < self.containment * len(wanted) - 1e-9:
-                        continue
-                    n, head, last = self._best(at, which[at], reach)
-                    share = n / len(wanted)
-                    if share >= self.containment - 1e-12:
+                    for n, head, last in self._all(at, which[at], reach, len(wanted)):
                         start = low - bounds[t] + head
                         end = min(low - bounds[t] + last + SHINGLE, int(first[t + 1] - first[t]))
-                        best = found[t].get(number)
-                        if best is None or (-share, start, end) < (-best[0], best[1], best[2]):
-                            found[t][number] = (share, int(start), int(end))
-        return np.diff(first), [[(n, s, e, c) for n, (c, s, e) in sorted(x.items())] for x in found]
+                        found[t].setdefault(number, []).append((int(start), int(end), n / len(wanted)))
+        return np.diff(first), [[(n, *m) for n, own in sorted(x.items()) for m in sorted(own)] for x in found]
 
 
 def _run(shared, columns: int):  # noqa: ANN001, ANN202
@@ -263,7 +285,7 @@ def _run(shared, columns: int):  # noqa: ANN001, ANN202
 
 
 def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """`docs` with n_words and matches (license, first_word, end_word, containment), the best of each template.
+    """`docs` with n_words and matches (license, first_word, end_word, containment), all that do not overlap of each template.
 
     A text of fewer than 5 words is one shingle, as is such a template. Nulls and empty texts match
     nothing; rows that repeat match alike. Columns of the input with the new names are replaced.
@@ -277,7 +299,10 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
 
 
 def license_digest(docs: DataFrame) -> DataFrame:
-    """Per document: words, the different licenses (sorted, comma-joined), their number, the best containment."""
+    """Per document: words, the different licenses (sorted, comma-joined), their number, the best containment.
+
+    Null and empty texts have no words and match nothing; repeated rows and empty tables as in `scan_licenses`.
+    """
     found = scan_licenses(docs.select("doc_id", "text"))
     names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"])))
     return found.select(

@@ -40,6 +40,8 @@ MOST_DIFFERENT = 33
 LARGE = 2000
 #: Shingles in a block, and of the members that are compared with one copy of a leader's text (one class may have more).
 BLOCK_SHINGLES, LOAD_SHINGLES = 200_000, 500_000
+#: Keys over which the pairs of a leader with several loads are spread when they are dealt.
+SALTS = 64
 
 _DRAW = np.random.Generator(np.random.PCG64(7))
 _FACTOR = _DRAW.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
@@ -165,8 +167,11 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     Members are dealt to groups of about LOAD_SHINGLES for each leader, so a leader of very many members
     is no hot key; each group gets the leader's text once, and its rows are compared as they stream by.
     """
-    load = pairs.groupBy("leader").agg(F.ceil(F.sum("n") / LOAD_SHINGLES).alias("groups"))
-    dealt = pairs.join(load, "leader").select("leader", "member", F.pmod(F.xxhash64("member"), F.col("groups")).alias("part"))
+    hash_ = F.xxhash64("member")
+    load = pairs.groupBy("leader").agg(F.ceil(F.sum("n") / LOAD_SHINGLES).alias("groups")).where("groups > 1")
+    load = load.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    salted = pairs.withColumn("salt", F.pmod(F.shiftright(hash_, 32), F.lit(SALTS))).join(load, ["leader", "salt"], "left")
+    dealt = salted.select("leader", "member", F.pmod(hash_, F.coalesce("groups", F.lit(1))).alias("part"))
     rows = dealt.unionByName(dealt.select("leader", F.col("leader").alias("member"), "part").distinct())
     with_text = rows.join(texts.withColumnRenamed("rep", "member"), "member").select("leader", "member", "text", "part", (F.col("leader") != F.col("member")).alias("later"))
     return with_text.repartition("leader", "part").sortWithinPartitions("leader", "part", "later").select("leader", "member", "text").mapInArrow(_verify, "a long, b long")

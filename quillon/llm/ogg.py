@@ -1,7 +1,8 @@
 """Ogg media columns: texts stored as 8-bit samples in Ogg pages, and read back with all checks.
 
-A payload is cut into packets of 192 samples; even packets belong to logical stream A, odd ones to
-stream B. Each stream opens with a header packet on a page of its own, packs its packets into pages
+A payload is cut into packets of a multiple of 192 samples, so many that a file has some 32 of them;
+a long payload's packets take several lacing values and cross pages. Even packets belong to logical
+stream A, odd ones to stream B. Each stream opens with a header packet on a page of its own, packs its packets into pages
 by lacing values, and marks its last page. A page's granule position counts the stream's samples up
 to the end of the last packet that ends on it, from which timestamps follow. Pages of the streams
 alternate, as a multiplexed file has them.
@@ -20,8 +21,10 @@ from pyspark.sql import DataFrame
 
 from quillon.llm.words import blocks
 
-#: Samples (bytes) in a packet; payloads are padded to a multiple of it with blanks.
+#: Samples (bytes) in a frame; payloads are padded to a multiple of it with blanks.
 FRAME = 192
+#: Packets that a file should have; each holds whole frames.
+PACKETS = 32
 #: Samples a second, for timestamps.
 RATE = 8000
 #: Lacing values in a page at most, and the header packet's magic. Fixed values of the format.
@@ -52,9 +55,14 @@ def _page(flags: int, granule: int, serial: int, number: int, lacing: bytes, bod
     return bytes(raw)
 
 
-def _stream_pages(packets: list[bytes], serial: int) -> list[bytes]:
+def packet_size(n: int) -> int:
+    """Bytes in each packet of a payload of n bytes (the last may have fewer)."""
+    return max(1, -(-n // (FRAME * PACKETS))) * FRAME
+
+
+def _stream_pages(packets: list[bytes], serial: int, size: int = FRAME) -> list[bytes]:
     """A logical stream's pages: the header packet alone, then the others packed by lacing values."""
-    header = MAGIC + struct.pack("<II", RATE, FRAME)
+    header = MAGIC + struct.pack("<II", RATE, size)
     pages = [_page(FIRST, 0, serial, 0, bytes([len(header)]), header)]
     lacing, body, granule, done, begun = bytearray(), [], -1, 0, False
     flags = 0
@@ -80,9 +88,10 @@ def _stream_pages(packets: list[bytes], serial: int) -> list[bytes]:
 def encode(payload: bytes) -> bytes:
     """The payload as a multiplexed file of two logical streams; equal payloads give equal files."""
     serial = zlib.crc32(payload)
-    packets = [payload[i : i + FRAME] for i in range(0, len(payload), FRAME)]
-    a = _stream_pages(packets[0::2], serial)
-    b = _stream_pages(packets[1::2], serial ^ 0xFFFFFFFF)
+    size = packet_size(len(payload))
+    packets = [payload[i : i + size] for i in range(0, len(payload), size)]
+    a = _stream_pages(packets[0::2], serial, size)
+    b = _stream_pages(packets[1::2], serial ^ 0xFFFFFFFF, size)
     out = [a[0], b[0]]  # all headers come before any data
     for i in range(1, max(len(a), len(b))):
         out += a[i : i + 1] + b[i : i + 1]
@@ -184,7 +193,7 @@ def features(payload: bytes, streams: list[LogicalStream]) -> str:
 
 
 def padded(raw: bytes) -> bytes:
-    """`raw` with blanks to a positive multiple of a packet."""
+    """`raw` with blanks to a positive multiple of a frame."""
     return raw.ljust(max(1, -(-len(raw) // FRAME)) * FRAME, b" ")
 
 
@@ -213,23 +222,25 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _READ = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-_DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def store_media(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media binary) of every row of `docs`: its text as an Ogg file.
 
     A null text counts as empty, and an empty one is stored as one packet of blanks. Null ids stay
-    null; rows that repeat are stored each; other columns are not read.
+    null and keep their type; rows that repeat are stored each, no rows give none; other columns are not read.
     """
-    return docs.select("doc_id", "text").mapInArrow(_store, "doc_id long, n_bytes long, media binary")
+    rows = docs.select("doc_id", "text")
+    return rows.mapInArrow(_store, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def read_media(media: DataFrame) -> DataFrame:
     """Digests and features of stored files (doc_id, n_bytes, media); a damaged file raises OggError."""
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_read, _DIGEST)
+    rows = media.select("doc_id", "n_bytes", "media")
+    return rows.mapInArrow(_read, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {_DIGEST}")
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
-    """The contract's columns for every document."""
+    """The contract's columns for every document; nulls, repeated rows and empty tables as in `store_media`."""
     return read_media(store_media(docs))

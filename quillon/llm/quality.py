@@ -25,7 +25,8 @@ MAX_LABELLED = 4096
 #: Hashed features, latent dimensions, neighbours that vote, and the power of their similarity.
 FEATURES, DIMENSIONS, NEIGHBOURS, POWER = 2048, 48, 25, 8
 THRESHOLD = 0.7
-_ROWS = 512
+#: Rows that are multiplied at once, always as many, so that a score does not depend on its neighbours in a batch.
+_ROWS = 256
 
 # Bytes of a word's shape. Fixed classes: small, capital, digit, beyond ASCII, sentence mark, other.
 _SHAPE = np.full(256, 5, dtype=np.uint64)
@@ -114,14 +115,22 @@ def fit(counts: np.ndarray, labels: np.ndarray, seed: int = 5) -> Voters:
 
 
 def vote(voters: Voters, counts: np.ndarray) -> np.ndarray:
-    """The score of each count row: its neighbours' labels, weighted by their similarity."""
+    """The score of each count row (_ROWS at most): its neighbours' labels, weighted by their similarity.
+
+    Similarities are taken to 2 ** -16, and of equally near vectors those of smaller number vote.
+    """
+    n = len(counts)
     if not len(voters.vectors):
-        return np.full(len(counts), voters.prior)
-    vectors = _unit(_weighted(counts, voters.rarity).astype(np.float32) @ voters.basis)
-    likeness = vectors @ voters.vectors.T
+        return np.full(n, voters.prior)
+    full = np.zeros((_ROWS, FEATURES), dtype=np.float32)
+    full[:n] = counts
+    vectors = _unit(_weighted(full, voters.rarity).astype(np.float32) @ voters.basis)
+    likeness = np.rint((vectors @ voters.vectors.T)[:n] * 65536).astype(np.int64)
+    order = likeness * likeness.shape[1] + np.arange(likeness.shape[1])[::-1]
     k = min(NEIGHBOURS, likeness.shape[1])
-    near = np.argpartition(-likeness, k - 1, axis=1)[:, :k] if k < likeness.shape[1] else np.broadcast_to(np.arange(k), (len(counts), k))
-    weight = np.maximum(np.take_along_axis(likeness, near, axis=1), 0).astype(np.float64) ** POWER
+    near = np.argpartition(-order, k - 1, axis=1)[:, :k] if k < likeness.shape[1] else np.broadcast_to(np.arange(k), (n, k))
+    near = np.sort(near, axis=1)
+    weight = (np.maximum(np.take_along_axis(likeness, near, axis=1), 0) / 65536.0) ** POWER
     total = weight.sum(axis=1)
     score = np.where(total > 1e-9, (weight * voters.labels[near]).sum(axis=1) / np.maximum(total, 1e-9), voters.prior)
     return np.clip(np.where(counts.sum(axis=1) > 0, score, voters.prior), 0, 1)
@@ -178,6 +187,9 @@ def score_quality(docs: DataFrame, voters: Voters) -> DataFrame:
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The contract's columns for every document."""
+    """The contract's columns for every document; nulls, repeated rows and empty tables as in `score_quality`.
+
+    Without a labelled document outside the held-out fold every score is 0.5.
+    """
     narrow = docs.select("doc_id", (fold_of(F.col("doc_id")) == HELD_OUT).alias("held_out"), "text")
     return score_quality(narrow, learn(docs, labels)).select("doc_id", "held_out", "score", "predicted")

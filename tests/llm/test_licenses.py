@@ -90,3 +90,29 @@ def test_a_passage_longer_than_its_reach_is_no_match():
             data = np.frombuffer(text.encode(), dtype=np.uint8)
             matches = scanner.scan(data, np.array([0, len(data)]))[1][0]
             assert [(s, e) for _, s, e, _ in matches] == ([(before, before + 44 + inserted)] if found else [])
+
+
+def test_every_occurrence_is_given(spark):
+    template = licenses.TEMPLATES[3][1]
+    for gap in (0, 5, 400):
+        text = f"start {template} {'gap ' * gap}{template} end"
+        found = [m for m in licenses.scan_licenses(documents(spark, [text])).first().matches if m.license == "BSD-2-Clause"]
+        n = len(licenses.normal_words(*(np.frombuffer(template.encode(), dtype=np.uint8), np.array([0, len(template)])))[0])
+        assert [(m.first_word, m.end_word, m.containment) for m in found] == [(1, 1 + n, 1.0), (1 + n + gap, 1 + 2 * n + gap, 1.0)]
+
+
+def test_the_query_against_all_templates_counted_plainly(spark):
+    draw, texts = random.Random(3), []
+    for i in range(60):
+        name, template = licenses.TEMPLATES[i % len(licenses.TEMPLATES)]
+        w = template.split()
+        for _ in range(draw.choice([0, 0, 1, 2, 6])):
+            w[draw.randrange(len(w))] = "other"
+        texts.append(" ".join([f"a{j}" for j in range(draw.randint(0, 30))] + w + [f"b{j}" for j in range(draw.randint(0, 30))]))
+    sets, own = [set(s.tolist()) for s in _sets([t for _, t in licenses.TEMPLATES])], [set(s.tolist()) for s in _sets(texts)]
+    for r in licenses.license_digest(documents(spark, texts)).collect():
+        # Texts hold one template and filler, so all of a template's shingles lie within its reach.
+        shares = {n: len(s & own[r.doc_id - 1]) / len(s) for n, s in enumerate(sets)}
+        names = sorted({licenses.TEMPLATES[n][0] for n, share in shares.items() if share >= 0.8 - 1e-12})
+        assert (r.licenses, r.n_licenses) == (",".join(names), len(names))
+        assert abs(r.containment - max([s for s in shares.values() if s >= 0.8 - 1e-12], default=0.0)) < 1e-12

@@ -24,13 +24,42 @@ def test_checksum():
 
 
 def test_round_trip_and_times():
-    for frames in (1, 2, 3, 509, 510, 511, 1300):
+    for frames in (1, 2, 3, 31, 32, 33, 509, 1300, 12_000):
         payload = os.urandom(ogg.FRAME * frames)
-        back, streams = ogg.decode(ogg.encode(payload))
-        assert back == payload
+        media = ogg.encode(payload)
+        back, streams = ogg.decode(media)
+        assert back == payload and (frames < 12_000 or max(s.pages for s in streams) > len(streams[0].packets))
+        size = ogg.packet_size(len(payload))
+        sizes = [len(payload[i : i + size]) for i in range(0, len(payload), size)]
         for k, s in enumerate(streams):
-            own = len(range(k, frames, 2))
-            assert ogg.packet_times(s) == [(i + 1) * ogg.FRAME / ogg.RATE for i in range(own)]
+            ends = [sum(sizes[k::2][: i + 1]) for i in range(len(sizes[k::2]))]
+            assert ogg.packet_times(s) == [e / ogg.RATE for e in ends]
+
+
+def test_the_stored_form_is_read_by_the_format_alone():
+    """A reader of its own: pages by their fields, packets by lacing values, no code shared with the writer."""
+    for n in (192, 192 * 40, 192 * 9000):
+        payload, at, streams = os.urandom(n), 0, {}
+        media = ogg.encode(payload)
+        while at < len(media):
+            assert media[at : at + 4] == b"OggS" and media[at + 4] == 0
+            serial, number, crc = (int.from_bytes(media[at + i : at + i + 4], "little") for i in (14, 18, 22))
+            lacing = media[at + 27 : at + 27 + media[at + 26]]
+            end = at + 27 + len(lacing) + sum(lacing)
+            if n < 10_000:
+                assert crc == _bitwise(media[at : at + 22] + bytes(4) + media[at + 26 : end])
+            stream = streams.setdefault(serial, {"pages": 0, "packets": [b""]})
+            assert stream["pages"] == number
+            stream["pages"] += 1
+            body = at + 27 + len(lacing)
+            for value in lacing:
+                stream["packets"][-1] += media[body : body + value]
+                body += value
+                if value < 255:
+                    stream["packets"].append(b"")
+            at = end
+        a, b = (s["packets"][1:-1] for s in streams.values())
+        assert b"".join(x for pair in zip(a, b + [b""], strict=False) for x in pair) == payload
 
 
 def test_packets_over_many_segments_and_pages():
@@ -62,4 +91,6 @@ def test_columns(spark):
         r, media = rows[i + 1], ogg.encode(payload)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+    narrow = spark.createDataFrame([(1, 'a'), (None, None)], 'doc_id int, text string')
+    assert dict(ogg.media_digest(narrow).dtypes)['doc_id'] == 'int' and ogg.media_digest(narrow).count() == 2
     assert rows[4].feature == rows[5].feature and ogg.media_digest(docs.limit(0)).count() == 0

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from quillon.llm import quality
 from tests.llm.common import documents, odd_texts
 
@@ -37,3 +39,19 @@ def test_odd_rows(spark):
     assert quality.quality_digest(odd.limit(0), labels).count() == 0
     nothing = quality.quality_digest(odd.drop("score"), labels.limit(0)).collect()
     assert {r.score for r in nothing} == {0.5}
+
+
+def test_scores_against_a_plain_vote_and_in_any_batch(spark):
+    docs, labels = _tables(spark)
+    voters = quality.learn(docs, labels)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(120).collect()] + ["", "one"]
+    data = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
+    counts = quality.term_counts(data, np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts]))))
+    got = quality.vote(voters, counts)
+    assert got.tolist() == [float(quality.vote(voters, counts[i : i + 1])[0]) for i in range(len(texts))]
+    x = quality._unit(quality._weighted(counts, voters.rarity) @ voters.basis)
+    for i, row in enumerate((x @ voters.vectors.T).astype(float)):
+        near = sorted(range(len(row)), key=lambda j: (-round(row[j] * 65536), j))[: quality.NEIGHBOURS]
+        weights = [(max(round(row[j] * 65536), 0) / 65536) ** 8 for j in near]
+        want = sum(w * voters.labels[j] for w, j in zip(weights, near, strict=True)) / sum(weights) if counts[i].sum() else voters.prior
+        assert abs(got[i] - want) < 2e-3
