@@ -169,7 +169,7 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """
     hash_ = F.xxhash64("member")
     load = pairs.groupBy("leader").agg(F.ceil(F.sum("n") / LOAD_SHINGLES).alias("groups")).where("groups > 1")
-    load = load.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    load = load.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     salted = pairs.withColumn("salt", F.pmod(F.shiftright(hash_, 32), F.lit(SALTS))).join(load, ["leader", "salt"], "left")
     dealt = salted.select("leader", "member", F.pmod(hash_, F.coalesce("groups", F.lit(1))).alias("part"))
     rows = dealt.unionByName(dealt.select("leader", F.col("leader").alias("member"), "part").distinct())
