@@ -45,17 +45,41 @@ def rolling_adjustment(score: Column, by: Sequence[str], order: Sequence[str], w
     return F.when(F.size(values) >= warmup, index_quantile(values, q)).otherwise(F.lit(0.0))
 
 
+def kth_smallest(df: DataFrame, ranks: dict[str, int], bins: int = 1024, few: int = 10_000) -> dict[str, float]:
+    """Column -> its value of that rank (from 1), exactly, without ordering rows.
+
+    Each round counts every column's rows in equal bins of the interval that holds the rank, and goes on
+    in one bin, until it holds `few` rows or one value; those values are counted and the rank read off.
+    The driver sees counts of bins and of at most `few` values. Nulls must be gone.
+    """
+    ends = df.agg(*[f(c).alias(f"{n}_{c}") for c in ranks for n, f in (("low", F.min), ("high", F.max))]).first()
+    state = {c: (float(ends[f"low_{c}"]), float(ends[f"high_{c}"]), k) for c, k in ranks.items()}
+    done: dict[str, float] = {c: low for c, (low, high, _) in state.items() if low == high}
+    while open_ := [c for c in ranks if c not in done]:
+        at = {c: F.least(F.floor((F.col(c) - state[c][0]) / ((state[c][1] - state[c][0]) / bins)), F.lit(bins - 1)).cast("int") for c in open_}
+        rows = [F.when(F.col(c).between(state[c][0], state[c][1]), F.struct(F.lit(c).alias("c"), at[c].alias("bin"), F.col(c).alias("v"))) for c in open_]
+        long = df.select(F.explode(F.array_compact(F.array(*rows))).alias("r")).select("r.*")
+        counts = long.groupBy("c", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+        for c in open_:
+            left = state[c][2]
+            for r in sorted((r for r in counts if r["c"] == c), key=lambda r: r["bin"]):
+                if left <= r["n"]:
+                    state[c] = (r["low"], r["high"], left)
+                    if r["low"] == r["high"]:
+                        done[c] = r["low"]
+                    elif r["n"] <= few:
+                        values = df.where(F.col(c).between(r["low"], r["high"])).groupBy(c).count().orderBy(c).collect()
+                        done[c] = next(v[c] for i, v in enumerate(values) if sum(x["count"] for x in values[: i + 1]) >= left)
+                    break
+                left -= r["n"]
+    return done
+
+
 def batch_cqr(df: DataFrame, y: str, low: str, high: str, q: float) -> DataFrame:
     """One row: how far lower and upper bounds must move so that each side holds with level q."""
     below, above = F.greatest(F.col(low) - F.col(y), F.lit(0.0)), F.greatest(F.col(y) - F.col(high), F.lit(0.0))
     scored = df.where(f"{y} is not null and {low} is not null and {high} is not null").select(below.alias("a"), above.alias("b"))
-    n, ranks = scored.count(), {}
-    k = min(max(-int(-((n + 1) * q) // 1), 1), n) if n else 0
-    for c in ("a", "b"):
-        # The k-th smallest is the smallest value with k rows at or below it: counts per value, then a running sum.
-        counts = scored.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        up = F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
-        ranks[c] = counts.withColumn("up", up).where(F.col("up") >= k).agg(F.min(c).alias(c)) if n else None
-    if not n:
-        return df.sparkSession.createDataFrame([(0.0, 0.0)], "q_low double, q_high double")
-    return ranks["a"].crossJoin(ranks["b"]).select(F.col("a").alias("q_low"), F.col("b").alias("q_high"))
+    n = scored.count()
+    k = min(max(-int(-((n + 1) * q) // 1), 1), n)
+    found = kth_smallest(scored, {"a": k, "b": k}) if n else {"a": 0.0, "b": 0.0}
+    return df.sparkSession.createDataFrame([(found["a"], found["b"])], "q_low double, q_high double")

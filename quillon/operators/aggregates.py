@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators.windows import normalized_weight
@@ -37,12 +37,22 @@ def overall_loss(scores: DataFrame) -> DataFrame:
     return daily.agg(F.avg("loss").alias("overall_weighted"), F.count(F.lit(1)).alias("n"))
 
 
-def summary(scores: DataFrame) -> DataFrame:
-    """Overall and by horizon (h null: all): a rollup of mean, median and 99th percentile of losses, and more."""
+def percentile(c: str, q: float | Sequence[float], accuracy: int | None = None) -> Column:
+    """A percentile, or an array of them: interpolated and exact, which keeps each different value of a group in one
+    task, or with `accuracy` a value whose rank is off by at most rows / accuracy, in bounded memory."""
+    wanted = F.lit(q) if isinstance(q, float) else F.array(*[F.lit(x) for x in q])
+    return F.percentile_approx(c, wanted, F.lit(accuracy)) if accuracy else F.percentile(c, wanted)
+
+
+def summary(scores: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """Overall and by horizon (h null: all): a rollup of mean, median and 99th percentile of losses, and more.
+
+    `accuracy` is that of `percentile`; give it for logs of many rows.
+    """
     return scores.rollup("h").agg(
         F.avg("loss_scaled").alias("mean_loss"),
-        F.median("loss_scaled").alias("median_loss"),
-        F.percentile("loss_scaled", 0.99).alias("p99_loss"),
+        percentile("loss_scaled", 0.5, accuracy).alias("median_loss"),
+        percentile("loss_scaled", 0.99, accuracy).alias("p99_loss"),
         F.avg("covered").alias("coverage"),
         F.avg("width_scaled").alias("mean_width"),
         F.count_distinct("id").alias("n_ids"),
@@ -131,6 +141,20 @@ def histogram(df: DataFrame, c: str, low: float, high: float, bins: int) -> Data
     return df.where(F.col(c).between(low, high)).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def histogram_of_range(df: DataFrame, c: str, bins: int = 30) -> DataFrame:
+    """(bin from 0, low, high, n): equal bins between the least and the largest value; empty bins are given too.
+
+    Where all values are one, the range is half a unit to either side of it.
+    """
+    ends = df.agg(F.min(c).alias("a"), F.max(c).alias("b")).where("a is not null")
+    ends = ends.select(F.when(F.col("a") < F.col("b"), F.col("a")).otherwise(F.col("a") - 0.5).alias("a"), F.when(F.col("a") < F.col("b"), F.col("b")).otherwise(F.col("b") + 0.5).alias("b"))
+    step = (F.col("b") - F.col("a")) / bins
+    placed = df.where(F.col(c).isNotNull()).crossJoin(F.broadcast(ends)).select(F.least(F.floor((F.col(c) - F.col("a")) / step), F.lit(bins - 1)).cast("int").alias("bin"))  # ends: one row
+    every = ends.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "a", step.alias("step"))
+    counted = every.join(placed.groupBy("bin").agg(F.count(F.lit(1)).alias("k")), "bin", "left")
+    return counted.select("bin", (F.col("a") + F.col("bin") * F.col("step")).alias("low"), (F.col("a") + (F.col("bin") + 1) * F.col("step")).alias("high"), F.coalesce("k", F.lit(0)).alias("n"))
+
+
 def pivot_mean(df: DataFrame, row: str, column: str, values: Sequence, c: str) -> DataFrame:
     """Means of `c`, rows by `row` and columns by the given values of `column`."""
     return df.groupBy(row).pivot(column, list(values)).agg(F.avg(c))

@@ -101,3 +101,13 @@ def date_positions(df: DataFrame) -> DataFrame:
 def lagged_outcome(c: str, k: int, by: Sequence[str] = ("id",)) -> Column:
     """The value k rows before."""
     return F.lag(c, k).over(Window.partitionBy(*by).orderBy("date"))
+
+
+def running_number() -> Column:
+    """An id's rows counted from 0 in order of date."""
+    return F.row_number().over(by_id()) - 1
+
+
+def last_flags_mean(c: str, n: int = 60, by: Sequence[str] = ("run",), order: Sequence[str] = ("date", "id")) -> Column:
+    """Share of set flags among the last n (10 at least) rows of a run, the present one included, however few there are."""
+    return F.avg(F.col(c).cast("double")).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(-(max(10, n) - 1), 0))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import fixed_arm, regime
+from quillon.operators.aggregates import histogram_of_range, per_security, percentile
 from quillon.operators.windows import lagged_outcome, rolling_mean, rolling_std
 
 
@@ -18,6 +19,36 @@ def rolling_coverage(index: DataFrame, n: int = 60) -> DataFrame:
     return index.select("h", "date", rolling_mean(F.col("covered"), n, max(10, n // 3), spec).alias("coverage"))
 
 
+def daily_coverage(scores: DataFrame, n: int = 60, least: int = 10) -> DataFrame:
+    """(date, coverage, rolling): coverage of a date's rows, and its mean over the last n dates (null below `least`)."""
+    daily = scores.groupBy("date").agg(F.avg("covered").alias("coverage"))
+    return daily.select("date", "coverage", rolling_mean(F.col("coverage"), n, least, Window.orderBy("date")).alias("rolling"))  # a row per date
+
+
+def security_histogram(scores: DataFrame, column: str = "mean_loss", bins: int = 30) -> DataFrame:
+    """The histogram of a column of the table per security."""
+    return histogram_of_range(per_security(scores), column, bins)
+
+
+def index_context(index: DataFrame, n: int = 20, least: int = 5) -> DataFrame:
+    """(date, ret_vol20, bias) of a daily (date, index_return): the deviation of the last n dates, 0 below `least`, and 1."""
+    return index.select("date", rolling_std(F.col("index_return"), n, least, Window.orderBy("date")).alias("ret_vol20"), F.lit(1.0).alias("bias"))  # a row per date
+
+
+def bars(table: DataFrame, name: str, value: str, error: str | None = None) -> DataFrame:
+    """(place from 1, name, value, error): a bar chart's rows, the least value first, rows without a value left out.
+
+    For off-policy risk, counterfactual returns and ablation differences alike; each table has a row per bar.
+    """
+    place = F.row_number().over(Window.orderBy(value, name))
+    return table.where(F.col(value).isNotNull()).select(place.alias("place"), F.col(name).alias("name"), F.col(value).alias("value"), (F.col(error) if error else F.lit(None).cast("double")).alias("error"))
+
+
+def ablation_heatmap(overview: DataFrame, scopes: Sequence[str]) -> DataFrame:
+    """Mean difference to the base: a row per variant, a column per scope."""
+    return overview.groupBy("variant").pivot("scope", list(scopes)).agg(F.first("mean_diff"))
+
+
 def calibration_gap(index: DataFrame) -> DataFrame:
     """(h, coverage, nominal, gap)."""
     out = index.groupBy("h").agg(F.avg("covered").alias("coverage"), (1 - F.min("alpha")).alias("nominal"))
@@ -42,10 +73,9 @@ def coverage_heatmap(index: DataFrame, horizons: Sequence[int]) -> DataFrame:
     return index.groupBy("date").pivot("h", list(horizons)).agg(F.first("covered"))
 
 
-def loss_quartiles(scores: DataFrame) -> DataFrame:
-    """(h, q25, q50, q75): the boxes of losses by horizon."""
-    q = F.percentile("loss_scaled", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return scores.groupBy("h").agg(q.alias("q")).select("h", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"))
+def loss_quartiles(scores: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """(h, q25, q50, q75): the boxes of losses by horizon; `accuracy` is that of `aggregates.percentile`."""
+    return scores.groupBy("h").agg(percentile("loss_scaled", (0.25, 0.5, 0.75), accuracy).alias("q")).select("h", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"))
 
 
 def policy_evolution(choices: DataFrame) -> DataFrame:

@@ -34,13 +34,14 @@ class Checkpoint:
         return True
 
 
-def run_all(spark: SparkSession, panel: DataFrame, results: str, cfg: Config = Config(), with_ablation: bool = False, force: bool = False) -> dict[str, str]:
+def run_all(spark: SparkSession, panel: DataFrame, results: str, cfg: Config = Config(), with_ablation: bool = False, force: bool = False, panel_path: str | None = None) -> dict[str, str]:
     """Features, bandit, baselines, counterfactuals, off-policy evaluation, ablation and report under `results`.
 
-    Each step reads what earlier ones wrote, so a restart goes on where the last run stopped.
+    Each step reads what earlier ones wrote, so a restart goes on where the last run stopped. The settings
+    are saved beside the results, with the panel's path if it is given, for `files.resolve_panel_path`.
     """
     os.makedirs(results, exist_ok=True)
-    write_json({**asdict(cfg), "alpha_by_h": dict(cfg.alpha_by_h)}, os.path.join(results, "config_resolved.json"))
+    write_json({**asdict(cfg), "alpha_by_h": dict(cfg.alpha_by_h), **({"panel_path": panel_path} if panel_path else {})}, os.path.join(results, "config_resolved.json"))
     mark = Checkpoint(os.path.join(results, "checkpoint.json"))
     path = {n: os.path.join(results, f"{n}.parquet") for n in ("features", "policy_scores", "policy_choices", "baseline_scores", "calibrator_audit", "causal_summary", "ope_rows", "ope_summary", "ablation_overview", "ablation_diff", "leaderboard")}
     read = lambda n: spark.read.parquet(path[n])

@@ -226,24 +226,53 @@ def ffill_attributes(spark: SparkSession, d: str) -> DataFrame:
     return holes.select("date", "id", _r(windows.forward_fill("spread"), "spread"))
 
 
+def _raw(spark: SparkSession, d: str, level: bool = True) -> DataFrame:
+    """The sales panel as raw quotes under their headers: percents as text, sectors and issuers by name."""
+    day = F.to_date("l_shipdate")
+    levels = table(spark, d, "lineitem").groupBy(F.date_sub(day, F.weekday(day)).alias("date")).agg(F.sum("l_extendedprice").alias("level"))
+    names = table(spark, d, "nation").select(F.col("n_nationkey").alias("sector_id"), "n_name")
+    percent = lambda c: F.concat(F.translate(F.format_string("%.14f", c * 100), ".", ","), F.lit("%"))
+    rows = sales_panel(spark, d).join(names, "sector_id").join(levels, "date")
+    # The levels of all ids but the first are off: a date's first row by id counts.
+    first = F.col("id") == F.min("id").over(Window.partitionBy("date"))
+    week = F.floor(F.datediff("date", F.lit("1995-01-02").cast("date")) / 7)
+    return rows.select(
+        F.col("date").cast("string").alias("Data"),
+        F.col("id").alias("Debênture"),
+        percent(F.col("index_weight")).alias("Peso no índice (%)"),
+        percent(F.col("ret") * F.col("index_weight")).alias("MTM ponderado (%)"),
+        percent(F.lit(0.0)).alias("Carrego ponderado (%)"),
+        percent(F.col("spread")).alias("Spread de compra (%)"),
+        F.when((week + F.col("id").cast("long")) % 3 > 0, F.col("duration")).alias("Duração"),
+        *([F.when(first, F.col("level")).otherwise(F.col("level") + 1).alias("Índice (nível)"), F.lit(7.0).alias("Índice")] if level else []),
+        F.col("n_name").alias("Setor"),
+        F.col("n_name").alias("Emissor"),
+    )
+
+
 @_query("""WITH level AS (SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS date, sum(l_extendedprice) AS x FROM lineitem GROUP BY 1)
 SELECT date, round(coalesce(x / lag(x) OVER (ORDER BY date) - 1, 0), 6) AS index_return FROM level""")
 def index_return_pct(spark: SparkSession, d: str) -> DataFrame:
-    day = F.to_date("l_shipdate")
-    level = table(spark, d, "lineitem").groupBy(F.date_sub(day, F.weekday(day)).alias("date")).agg(F.sum("l_extendedprice").alias("x"))
-    return level.select("date", _r(F.coalesce(F.col("x") / F.lag("x").over(Window.orderBy("date")) - 1, F.lit(0.0)), "index_return"))
+    return panel_from_raw(_raw(spark, d), min_obs=1).select("date", _r("index_return")).distinct()
 
 
 @_query(f"WITH {PANEL} SELECT DISTINCT date, round(sum(ret * (index_weight + 1e-15)) OVER d / sum(index_weight + 1e-15) OVER d, 6) AS mean_return, round(CASE WHEN sum(index_weight) OVER d > 0 THEN sum(ret * (index_weight + 1e-12)) OVER d / sum(index_weight + 1e-12) OVER d END, 6) AS gated_return FROM panel WINDOW d AS (PARTITION BY date)")
 def index_return_weighted(spark: SparkSession, d: str) -> DataFrame:
-    p, ret, w = sales_panel(spark, d), F.col("ret"), F.col("index_weight")
-    mean = lambda e: F.sum(ret * (w + e)) / F.sum(w + e)
-    return p.groupBy("date").agg(_r(mean(1e-15), "mean_return"), _r(F.when(F.sum(w) > 0, mean(1e-12)), "gated_return"))
+    p = panel_from_raw(_raw(spark, d, level=False), min_obs=1)
+    gated = windows.weighted_mean_by(F.col("ret"), F.col("index_weight"), ["date"], 1e-12, need_weight=True)
+    return p.select("date", _r("index_return", "mean_return"), _r(gated, "gated_return")).distinct()
 
 
 @_query(f"WITH {PANEL} SELECT date, id, round(date_diff('day', date, max(date) OVER (PARTITION BY id)) / CAST(252 AS DOUBLE), 6) AS ttm FROM panel")
 def time_to_maturity(spark: SparkSession, d: str) -> DataFrame:
-    return sales_panel(spark, d).select("date", "id", _r(F.datediff(F.max("date").over(Window.partitionBy("id")), "date") / 252, "ttm"))
+    return panel_from_raw(_raw(spark, d), min_obs=1).select("date", "id", _r("ttm"))
+
+
+@_query(f"""WITH {PANEL}, raw AS (SELECT *, CASE WHEN (date_diff('day', DATE '1995-01-02', date) // 7 + CAST(id AS BIGINT)) % 3 > 0 THEN duration END AS seen FROM panel),
+held AS (SELECT *, last_value(seen IGNORE NULLS) OVER (PARTITION BY id ORDER BY date ROWS UNBOUNDED PRECEDING) AS kept FROM raw)
+SELECT date, id, round(spread, 6) AS spread, round(coalesce(kept, 0), 6) AS duration, CAST(index_weight > 0 AS INTEGER) AS active FROM held""")
+def raw_quotes_attributes(spark: SparkSession, d: str) -> DataFrame:
+    return panel_from_raw(_raw(spark, d), min_obs=1).select("date", "id", _r("spread"), _r("duration"), "active")
 
 
 for _w in W:
@@ -273,7 +302,7 @@ def percentile_ranks(spark: SparkSession, d: str) -> DataFrame:
     return _features(spark, d).select("date", "id", _r("spread_percentile"), _r("vol_percentile"))
 
 
-@_query(f"WITH {FEATURES} SELECT date, id, " + ", ".join(f"round(y_h{h}, 6) AS y_h{h}" for h in H) + " FROM feat")
+@_query(f"WITH {FEATURES} SELECT date, id, " + ", ".join(f"round(y_h{h}, 6) + 0 AS y_h{h}" for h in H) + " FROM feat")
 def forward_return_h(spark: SparkSession, d: str) -> DataFrame:
     return sales_panel(spark, d).select("date", "id", *[_r(windows.forward_return(F.col("ret"), h), f"y_h{h}") for h in H])
 
@@ -295,9 +324,11 @@ def context_vector(spark: SparkSession, d: str) -> DataFrame:
     return plan.add_context(_scored(spark, d)).select("date", "id", *[_r(F.col("x")[i], f"x{i}", 5) for i in range(10)])
 
 
-@_query("SELECT n_name AS sector, CAST(dense_rank() OVER (ORDER BY n_name) - 1 AS INTEGER) AS sector_id FROM nation")
+@_query(f"WITH {PANEL}, s AS (SELECT DISTINCT n_name AS sector FROM panel JOIN nation ON sector_id = n_nationkey) SELECT sector, CAST(dense_rank() OVER (ORDER BY sector) - 1 AS INTEGER) AS sector_id FROM s")
 def sector_codes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nation").select(F.col("n_name").alias("sector")).distinct().withColumn("sector_id", F.dense_rank().over(Window.orderBy("sector")) - 1)
+    raw = _raw(spark, d)
+    coded = panel_from_raw(raw, min_obs=1).select("id", "sector_id").distinct()
+    return coded.join(raw.select(F.col("Debênture").alias("id"), F.col("Setor").alias("sector")).distinct(), "id").select("sector", "sector_id").distinct()
 
 
 @_query(f"WITH {PANEL} SELECT CASE WHEN date <= DATE '{CFG.train_end}' THEN 'train' WHEN date >= DATE '{CFG.test_start}' THEN 'test' END AS part, count(*) AS n, min(date) AS first_date, max(date) AS last_date FROM panel GROUP BY 1")
@@ -466,6 +497,60 @@ def rolling_coverage_60(spark: SparkSession, d: str) -> DataFrame:
     return report.rolling_coverage(_index(spark, d)).select("h", "date", _r("coverage"))
 
 
+@_query(f"WITH {FIXED}, daily AS (SELECT date, avg(covered) AS c FROM fixed GROUP BY date) SELECT date, round(c, 6) AS coverage, round(CASE WHEN count(c) OVER w >= 10 THEN avg(c) OVER w END, 6) AS rolling FROM daily WINDOW w AS (ORDER BY date ROWS 59 PRECEDING)")
+def daily_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return report.daily_coverage(_fixed(spark, d)).select("date", _r("coverage"), _r("rolling"))
+
+
+@_query(f"""WITH {FIXED}, t AS (SELECT id, round(avg(loss_scaled), 6) AS m FROM fixed GROUP BY id), e AS (SELECT min(m) AS a, (max(m) - min(m)) / 30 AS step FROM t),
+c AS (SELECT CAST(least(floor((m - a) / step), 29) AS INTEGER) AS bin, count(*) AS k FROM t, e GROUP BY 1)
+SELECT CAST(b AS INTEGER) AS bin, round(a + b * step, 6) AS low, round(a + (b + 1) * step, 6) AS high, CAST(coalesce(k, 0) AS BIGINT) AS n FROM e, range(30) r(b) LEFT JOIN c ON c.bin = b""")
+def security_histogram(spark: SparkSession, d: str) -> DataFrame:
+    table_ = per_security_table(spark, d).select("id", "mean_loss")
+    return A.histogram_of_range(table_, "mean_loss", 30).select("bin", _r("low"), _r("high"), "n")
+
+
+@_query(f"WITH {PANEL}, daily AS (SELECT date, sum(ret * index_weight) / (sum(index_weight) + 1e-12) AS r FROM panel GROUP BY date) SELECT date, round(CASE WHEN count(r) OVER w >= 5 THEN stddev_samp(r) OVER w ELSE 0 END, 6) AS ret_vol20, CAST(1 AS DOUBLE) AS bias FROM daily WINDOW w AS (ORDER BY date ROWS 19 PRECEDING)")
+def index_context(spark: SparkSession, d: str) -> DataFrame:
+    daily = A.index_mean(sales_panel(spark, d), ("ret",)).select("date", F.col("ret").alias("index_return"))
+    return report.index_context(daily).select("date", _r("ret_vol20"), "bias")
+
+
+@_query(f"WITH {PANEL}, daily AS (SELECT date, sum(ret * index_weight) / (sum(index_weight) + 1e-12) AS r FROM panel GROUP BY date) SELECT date, round(CASE WHEN count(r) OVER w >= 10 THEN stddev_samp(r) OVER w ELSE 0 END, 6) AS vol FROM daily WINDOW w AS (ORDER BY date ROWS 59 PRECEDING)")
+def index_volatility(spark: SparkSession, d: str) -> DataFrame:
+    daily = A.index_mean(sales_panel(spark, d), ("ret",)).select("date", F.col("ret").alias("v"))
+    return report.index_volatility(daily).select("date", _r("vol"))
+
+
+@_query(f"WITH {PANEL} SELECT date, id, CAST(row_number() OVER (PARTITION BY id ORDER BY date) - 1 AS INTEGER) AS number FROM panel")
+def running_number(spark: SparkSession, d: str) -> DataFrame:
+    return sales_panel(spark, d).select("date", "id", windows.running_number().cast("int").alias("number"))
+
+
+@_query(f"WITH {FIXED} SELECT date, id, h, round(avg(covered) OVER (PARTITION BY h ORDER BY date, id ROWS 59 PRECEDING), 6) AS share FROM fixed")
+def last_flags_mean(spark: SparkSession, d: str) -> DataFrame:
+    return _fixed(spark, d).select("date", "id", "h", _r(windows.last_flags_mean("covered", 60, ("h",)), "share"))
+
+
+@_query(f"WITH {BOARD} SELECT CAST(row_number() OVER (ORDER BY round(mean_loss_scaled, 6), baseline) AS INTEGER) AS place, baseline AS name, round(mean_loss_scaled, 6) AS value FROM board")
+def leaderboard_bars(spark: SparkSession, d: str) -> DataFrame:
+    return report.bars(baseline_leaderboard(spark, d), "baseline", "mean_loss_scaled").select("place", "name", "value")
+
+
+@_query(f"""WITH {BOARD}, named AS (SELECT 'best_fixed' AS name, min(mean_loss_scaled) AS loss FROM board UNION ALL SELECT 'worst_fixed', max(mean_loss_scaled) FROM board)
+SELECT name, round(loss, 6) AS loss, round((loss - CAST(0.001 AS DOUBLE)) / nullif(loss, 0) * 100, 4) AS improvement_pct FROM named""")
+def improvements(spark: SparkSession, d: str) -> DataFrame:
+    return report.improvements(A.leaderboard(_arms(spark, d)), 0.001).select("name", _r("loss"), _r("improvement_pct", digits=4))
+
+
+@_query(f"""WITH {FIXED}, s AS (SELECT date, id, h, list(greatest(l - y, y - u, 0)) OVER (PARTITION BY h ORDER BY date, id ROWS BETWEEN 250 PRECEDING AND 1 PRECEDING) AS v FROM fixed)
+SELECT date, id, h, round(CASE WHEN len(v) >= 20 THEN list_sort(v)[least(CAST(floor(len(v) * CAST(0.9 AS DOUBLE)) AS INTEGER) + 1, len(v))] ELSE 0 END, 6) AS qhat FROM s""")
+def calibrator_by_horizon(spark: SparkSession, d: str) -> DataFrame:
+    """A horizon's calibrator over all ids: the quantile of its last 250 scores before each row."""
+    score = S.nonconformity(*[F.col(x) for x in ("y", "l", "u")])[2]
+    return _fixed(spark, d).select("date", "id", "h", _r(Q.rolling_adjustment(score, ["h"], ["date", "id"], 250, 0.9, 20), "qhat"))
+
+
 @_query(f"WITH {INDEX} SELECT h, round(avg(covered), 6) AS coverage, round(1 - min(alpha), 6) AS nominal, round(avg(covered) - (1 - min(alpha)), 6) AS gap FROM index_series GROUP BY h")
 def calibration_gap(spark: SparkSession, d: str) -> DataFrame:
     return report.calibration_gap(_index(spark, d)).select("h", _r("coverage"), _r("nominal"), _r("gap"))
@@ -502,11 +587,11 @@ def policy_evolution(spark: SparkSession, d: str) -> DataFrame:
     return report.policy_evolution(_choices(spark, d)).select("date", "momentum", "h", "code")
 
 
-@_query(f"WITH {TEST} SELECT date, round(avg(ret_vol20), 6) AS ctx_retvol20, round(avg(spread), 6) AS ctx_spread, round(avg(duration), 6) AS ctx_duration FROM test_rows GROUP BY date")
+@_query(f"WITH {TEST} SELECT date, round(avg(ret_vol20), 5) AS ctx_retvol20, round(avg(spread), 5) AS ctx_spread, round(avg(duration), 5) AS ctx_duration FROM test_rows GROUP BY date")
 def daily_context(spark: SparkSession, d: str) -> DataFrame:
     test = _test(spark, d)
     out = policy.daily_choices(_actions(test).select("date", "id", "momentum", "h"), test)
-    return out.select("date", _r("ctx_retvol20"), _r("ctx_spread"), _r("ctx_duration"))
+    return out.select("date", *[_r(c, digits=5) for c in ("ctx_retvol20", "ctx_spread", "ctx_duration")])
 
 
 @_query(f"""WITH {ACTIONS}, vol AS (SELECT DISTINCT date, round(idx_vol, 8) AS vol FROM test_rows), q AS (SELECT quantile_cont(vol, [1.0 / 3, 2.0 / 3]) AS q FROM vol),
@@ -581,14 +666,19 @@ def newey_west_fixed_lags(spark: SparkSession, d: str) -> DataFrame:
     return stats.newey_west(_index(spark, d).select("h", "date", F.col("loss_scaled").alias("v")), ["h"], 10).select("h", "n", _r("mean", digits=7), _r("nw_se", digits=7))
 
 
-@_query(f"""WITH {INDEX}, num AS (SELECT h, loss_scaled AS v, row_number() OVER (PARTITION BY h ORDER BY date) AS rn, count(*) OVER (PARTITION BY h) AS n FROM index_series),
-sizes AS (SELECT h, max(n) AS n, avg(v) AS mean FROM num GROUP BY h),
-draws AS (SELECT h, n, b, j, i, (CAST(b AS BIGINT) * 1103515245 + CAST(j AS BIGINT) * 97760055 + 123) % n AS s FROM sizes, range(200) t(b), range(1000) u(j), range(5) w(i) WHERE j < ceil(n / CAST(5 AS DOUBLE)) AND j * 5 + i < n),
-m AS (SELECT d.h, b, avg(v) AS m FROM draws d JOIN num ON num.h = d.h AND num.rn = (d.s + d.i) % d.n + 1 GROUP BY d.h, b)
-SELECT h, any_value(n) AS n, round(any_value(mean), 7) AS mean, round(quantile_cont(m, 0.025), 7) AS ci_lo, round(quantile_cont(m, 0.975), 7) AS ci_hi FROM m JOIN sizes USING (h) GROUP BY h""")
+def _boot_sql(series: str, by: str, block: int, draws: int, alpha: float, seed: int) -> str:
+    """Circular moving-block bootstrap of the mean of each series, with the library's block starts."""
+    return f"""bser AS ({series}), bnum AS (SELECT {by}, v, row_number() OVER (PARTITION BY {by} ORDER BY date) AS rn, count(*) OVER (PARTITION BY {by}) AS n FROM bser),
+bsizes AS (SELECT {by}, max(n) AS n, avg(v) AS mean FROM bnum GROUP BY {by}),
+bdraws AS (SELECT {by}, n, b, j, i, (CAST(b AS BIGINT) * 1103515245 + CAST(j AS BIGINT) * 97760055 + {seed}) % n AS s FROM bsizes, range({draws}) t(b), range(1000) u(j), range({block}) w(i) WHERE j < ceil(n / CAST({block} AS DOUBLE)) AND j * {block} + i < n),
+bmeans AS (SELECT d.{by}, b, avg(v) AS m FROM bdraws d JOIN bnum ON bnum.{by} = d.{by} AND bnum.rn = (d.s + d.i) % d.n + 1 GROUP BY d.{by}, b),
+boot AS (SELECT {by}, any_value(n) AS n, any_value(mean) AS mean, quantile_cont(m, {alpha / 2}) AS ci_lo, quantile_cont(m, {1 - alpha / 2}) AS ci_hi FROM bmeans JOIN bsizes USING ({by}) GROUP BY {by})"""
+
+
+@_query(f"WITH {INDEX}, {_boot_sql(_SERIES, 'h', 5, 2000, 0.05, 123)} SELECT h, n, round(mean, 7) AS mean, round(ci_lo, 7) AS ci_lo, round(ci_hi, 7) AS ci_hi FROM boot")
 def block_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     series = _index(spark, d).select("h", "date", F.col("loss_scaled").alias("v"))
-    return stats.block_bootstrap(series, ["h"], 5, 200).select("h", "n", _r("mean", digits=7), _r("ci_lo", digits=7), _r("ci_hi", digits=7))
+    return stats.block_bootstrap(series, ["h"], 5, 2000).select("h", "n", _r("mean", digits=7), _r("ci_lo", digits=7), _r("ci_hi", digits=7))
 
 
 def _variant_pair(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -601,11 +691,12 @@ pair AS (SELECT a.date, a.h, a.loss_scaled AS la, b.loss_scaled AS lb FROM arm_i
 _DIFFS = "SELECT 'h=' || h AS scope, date, (lb - la) * 1000000 AS v FROM pair UNION ALL SELECT 'all', date, avg(lb - la) * 1000000 FROM pair GROUP BY date"
 
 
-@_query(f"WITH {VARIANT}, {_nw_sql(_DIFFS, 'scope', _AUTO, f'({_AUTO} + 1)')} SELECT scope, n, round(mean, 4) + 0 AS mean_diff, round(nw_se, 4) AS hac_se FROM nw")
+@_query(f"""WITH {VARIANT}, {_nw_sql(_DIFFS, 'scope', _AUTO, f'({_AUTO} + 1)')}, {_boot_sql(_DIFFS, 'scope', 5, 2000, 0.05, 123)}
+SELECT scope, nw.n, round(nw.mean, 4) + 0 AS mean_diff, round(nw_se, 4) AS hac_se, round(nw.mean / nw_se, 5) + 0 AS hac_t, round(ci_lo, 4) + 0 AS mbb_ci_lo, round(ci_hi, 4) + 0 AS mbb_ci_hi FROM nw JOIN boot USING (scope)""")
 def paired_variant_diff(spark: SparkSession, d: str) -> DataFrame:
     base, variant = _variant_pair(spark, d)
-    out = stats.compare_variant(base, variant, draws=50)
-    return out.select("scope", "n", _r(F.col("mean_diff") * 1_000_000, "mean_diff", 4), _r(F.col("hac_se") * 1_000_000, "hac_se", 4))
+    out = stats.compare_variant(base, variant)
+    return out.select("scope", "n", *[_r(F.col(c) * 1_000_000, c, 4) for c in ("mean_diff", "hac_se", "mbb_ci_lo", "mbb_ci_hi")], _r("hac_t", digits=5))
 
 
 @_query(f"""WITH {VARIANT}, {_nw_sql("SELECT h, date, (la - lb) * 1000000 AS v FROM pair", 'h', 'least(10, a.n - 1)', '11')}
@@ -616,17 +707,38 @@ def diebold_mariano(spark: SparkSession, d: str) -> DataFrame:
     return stats.diebold_mariano(pairs, ["h"]).select("h", "n", _r("diff_mean", digits=4), _r("dm_stat", digits=4))
 
 
-@_query()
-def significance_table(spark: SparkSession, d: str) -> DataFrame:
+def _significance(spark: SparkSession, d: str) -> DataFrame:
     daily = A.security_to_index(_arms(spark, d), ("baseline", "date", "h")).groupBy("baseline", "date").agg(F.avg("loss_scaled").alias("loss"))
     mine = _index(spark, d).groupBy("date").agg(F.avg("loss_scaled").alias("loss"))
     return stats.significance_table(mine, daily)
 
 
 @_query()
+def significance_table(spark: SparkSession, d: str) -> DataFrame:
+    return _significance(spark, d)
+
+
+_BOARD_DAYS = ARMS + """, cells AS (SELECT baseline, date, h, sum(loss_scaled * w) / sum(w) AS loss FROM (SELECT *, index_weight / (sum(index_weight) OVER (PARTITION BY baseline, date, h) + 1e-12) AS w FROM arms) GROUP BY 1, 2, 3),
+arm_days AS (SELECT baseline, date, avg(loss) AS loss FROM cells GROUP BY 1, 2)"""
+_MINE = INDEX[len(TEST) :] + ", mine AS (SELECT date, avg(loss_scaled) AS loss FROM index_series GROUP BY date)"
+
+
+@_query(f"""WITH {_BOARD_DAYS}{_MINE}, pairs AS (SELECT baseline, a.date AS date, m.loss AS a, a.loss AS b FROM arm_days a JOIN mine m ON a.date = m.date),
+{_nw_sql("SELECT baseline, date, (a - b) * 1000000 AS v FROM pairs", 'baseline', 'least(10, a.n - 1)', '11')},
+means AS (SELECT baseline, avg(a) AS pl, avg(b) AS bl FROM pairs GROUP BY baseline)
+SELECT baseline, round(pl, 6) AS policy_loss, round(bl, 6) AS baseline_loss, round((bl - pl) / nullif(bl, 0) * 100, 4) + 0 AS improvement_pct, round(mean / nw_se * sqrt((n - 1 + CAST(0 AS DOUBLE)) / n), 3) + 0 AS dm_stat, n AS n_dates
+FROM means JOIN nw USING (baseline) WHERE n >= 10 AND nw_se > 1e-3""")
+def significance_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The significance table without p-values, for baselines whose losses differ from the policy's."""
+    out = _significance(spark, d).where("nw_se > 1e-9")
+    return out.select("baseline", _r("policy_loss"), _r("baseline_loss"), _r("improvement_pct", digits=4), _r("dm_stat", digits=3), "n_dates")
+
+
+@_query(f"""WITH {_BOARD_DAYS}, days AS (SELECT baseline AS model, date, loss * 1000000 AS v FROM arm_days), {_nw_sql('SELECT model, date, v FROM days', 'model', 'least(10, a.n - 1)', '11')}, {_boot_sql('SELECT model, date, v FROM days', 'model', 20, 1000, 0.10, 12345)}
+SELECT model, round(nw.mean / 1000000, 7) AS mean_loss, round(nw_se / 1000000, 7) AS nw_se, round(ci_lo / 1000000, 7) AS ci_lo, round(ci_hi / 1000000, 7) AS ci_hi FROM nw JOIN boot USING (model)""")
 def performance_table(spark: SparkSession, d: str) -> DataFrame:
     models = A.security_to_index(_arms(spark, d), ("baseline", "date", "h")).withColumnRenamed("baseline", "model")
-    return stats.performance_table(models, draws=200)
+    return stats.performance_table(models).select("model", *[_r(c, digits=7) for c in ("mean_loss", "nw_se", "ci_lo", "ci_hi")])
 
 
 @_query(totals=("h",))

@@ -46,6 +46,7 @@ RAW_HEADERS = {
     "sector": (("Setor", "Segmento"), "text"),
     "issuer": (("Emissor",), "text"),
     "rating": (("Rating",), "text"),
+    "return": (("return",), "number"),
 }
 
 

@@ -183,11 +183,13 @@ def read_json(path: str, default: Mapping | None = None) -> dict:
 
 
 def resolve_panel_path(results: str, default: str = "panel.parquet") -> str:
-    """The panel's path from the settings saved beside results, nested or flat, else the default."""
+    """The panel's path from the settings saved beside results (JSON as a run writes them, or YAML), nested or flat, else the default."""
     from quillon.config import load_yaml, lookup
 
-    try:
-        saved = load_yaml(os.path.join(results, "config_resolved.yaml"))
-    except OSError:
-        return default
+    saved = read_json(os.path.join(results, "config_resolved.json"))
+    if not saved:
+        try:
+            saved = load_yaml(os.path.join(results, "config_resolved.yaml"))
+        except OSError:
+            return default
     return lookup(saved, ("panel_path", "data.panel_path"), default)

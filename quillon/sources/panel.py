@@ -47,19 +47,22 @@ def quotes_to_panel(quotes: DataFrame, min_obs: int = 100, index_mode: str = "ro
     """The panel from normalised quotes (see `schema.normalize_quotes`).
 
     Attributes are carried forward per id; the return is MTM over weight (0 where the weight is not
-    positive); the index return is the index level's change. Where that is absent the weighted mean of
+    positive), or the column `return` where quotes have no MTM. The index return is the change of
+    `index_value`, of which each date's first row by id counts. Where that is absent the weighted mean of
     returns stands in: per row (`index_mode='row'`) or for all rows as soon as one lacks it ('all').
     Ids of fewer than `min_obs` rows go. The quality filters are off unless given.
     """
-    for name in ("index_weight", "weighted_mtm", "spread", "duration", "index_level", "sector", "issuer"):
+    has_mtm = "weighted_mtm" in quotes.columns
+    for name in ("index_weight", "weighted_mtm", "return", "spread", "duration", "index_value", "sector", "issuer"):
         if name not in quotes.columns:
             quotes = quotes.withColumn(name, F.lit(None).cast("string" if name in ("sector", "issuer") else "double"))
     own = Window.partitionBy("debenture_id")
     so_far = own.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     filled = quotes.withColumns({c: F.last(c, ignorenulls=True).over(so_far) for c in ("sector", "issuer", "spread", "duration")})
-    ratio = F.try_divide("weighted_mtm", "index_weight")
-    filled = filled.withColumn("ret", F.when(F.col("index_weight") > 0, F.coalesce(ratio, F.lit(0.0))).otherwise(F.lit(0.0)))
-    levels = quotes.where("index_level is not null").groupBy("date").agg(F.min("index_level").alias("level"))
+    ratio = F.try_divide("weighted_mtm", F.greatest("index_weight", F.lit(1e-15)))
+    total = F.when(F.col("index_weight") > 0, ratio) if has_mtm else F.col("return")
+    filled = filled.withColumn("ret", F.coalesce(total, F.lit(0.0)))
+    levels = quotes.where("index_value is not null").groupBy("date").agg(F.min_by("index_value", "debenture_id").alias("level"))
     # One row per date: few enough for one ordered pass.
     changes = levels.select("date", F.coalesce(F.col("level") / F.lag("level").over(Window.orderBy("date")) - 1, F.lit(0.0)).alias("level_return"))
     day = Window.partitionBy("date")
@@ -72,7 +75,7 @@ def quotes_to_panel(quotes: DataFrame, min_obs: int = 100, index_mode: str = "ro
         joined = joined.withColumn("index_return", F.coalesce("level_return", "mean_return"))
     codes = joined.where("sector is not null").select("sector").distinct()
     codes = codes.withColumn("sector_id", F.dense_rank().over(Window.orderBy("sector")) - 1)
-    panel = joined.join(F.broadcast(codes) if codes.count() < 100_000 else codes, "sector", "left").select(
+    panel = joined.join(codes, "sector", "left").select(
         "date",
         F.col("debenture_id").alias("id"),
         "ret",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,8 @@ def pair_outcomes(decisions: DataFrame, outcomes: DataFrame, wait: str = "90 day
 class RollingCalibrator(StatefulProcessor):
     """Per key: holds decisions until event time passes their maturity, scores them, and keeps the last scores.
 
-    Rows are (id, date, mat_ts, l, u, y). A row's outcome is used only when its timer fires.
+    Rows are (id, date, mat_ts, l, u, y). A row's outcome is used only when its timer fires. Rows with a
+    null or non-finite field never mature and are dropped.
     """
 
     def __init__(self, window: int = 250, warmup: int = 20, alpha: float = 0.1):
@@ -39,7 +41,8 @@ class RollingCalibrator(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         for frame in rows:
-            for r in frame.itertuples():
+            whole = frame.dropna(subset=["date", "mat_ts", "l", "u", "y"])
+            for r in whole[np.isfinite(whole[["l", "u", "y"]].astype(float)).all(axis=1)].itertuples():
                 at = int(pd.Timestamp(r.mat_ts).timestamp() * 1000)
                 self.pending.appendValue((r.date.to_pydatetime(), at, float(r.l), float(r.u), float(r.y)))
                 self.handle.registerTimer(at)
