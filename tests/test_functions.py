@@ -79,3 +79,18 @@ def test_tails():
                 assert abs(stats._binomial_tail(k, n, p) - sum(m for m in mass if m <= mass[k] * (1 + 1e-7))) < 1e-12
     assert abs(stats._t_tail(2.0, 10) - 0.07338803477074) < 1e-12 and stats._t_tail(0.0, 4) == pytest.approx(1.0)
     assert math.isnan(stats._t_tail(float("nan"), 3))
+
+
+def test_ranks_by_counts(spark):
+    import random
+
+    from quillon.functions.quantiles import kth_smallest
+
+    draw = random.Random(4)
+    rows = [(draw.choice([0.0, 0.0, draw.random(), draw.random() * 1e6]), -draw.random()) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    for k in (1, 2, 900, 1700, 2999, 3000):
+        for bins, few in ((7, 5), (1024, 10_000)):
+            got = kth_smallest(df, {"a": k, "b": 3001 - k}, bins, few)
+            assert got == {"a": sorted(r[0] for r in rows)[k - 1], "b": sorted(r[1] for r in rows)[3000 - k]}
+    assert kth_smallest(spark.createDataFrame([(1.5,)] * 9, "a double"), {"a": 4}) == {"a": 1.5}

@@ -8,7 +8,7 @@ from quillon.operators import aggregates as A
 from quillon.operators import splits, windows
 from quillon.plans import stats
 from quillon.schema import enforce_schema, normalize_quotes
-from quillon.sources.panel import quotes_to_panel
+from quillon.sources.panel import panel_from_raw, quotes_to_panel
 
 DAY = datetime.date(2020, 1, 6)
 
@@ -105,3 +105,17 @@ def test_weights_and_defaults(spark):
     for default in (0.0, 1.0):
         assert {r.id: r.index_weight for r in A.with_weights(s, p, default).collect()} == {"s0": 1.0, "zz": default}
     assert Config().alpha_for(10) == 0.1
+
+
+def test_index_return_comes_from_index_values(spark):
+    rows = [(f"2020-01-0{i + 1}", name, "10%", "0,1%", 100.0 + i + (5 if name == "b" else 0), 50.0) for i in range(4) for name in ("b", "a")]
+    raw = spark.createDataFrame(rows, "`Data` string, `Debênture` string, `Peso no índice (%)` string, `MTM ponderado (%)` string, `Índice (nível)` double, `Índice` double")
+    got = [r.index_return for r in panel_from_raw(raw, min_obs=1).where("id = 'a'").orderBy("date").collect()]
+    assert [round(x, 6) for x in got] == [0.0, round(1 / 100, 6), round(1 / 101, 6), round(1 / 102, 6)]
+    plain = panel_from_raw(raw.drop("Índice (nível)"), min_obs=1)
+    assert {round(r.index_return, 9) for r in plain.collect()} == {0.01}
+
+
+def test_plain_returns_stand_in_for_mtm(spark):
+    raw = spark.createDataFrame([("2020-01-01", "a", 0.5, 0.02), ("2020-01-02", "a", 0.0, -0.01), ("2020-01-03", "a", 0.5, None)], "`Data` string, `Debênture` string, `Peso no índice (%)` double, `return` double")
+    assert [r.ret for r in panel_from_raw(raw, min_obs=1).orderBy("date").collect()] == [0.02, -0.01, 0.0]

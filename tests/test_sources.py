@@ -45,6 +45,8 @@ def test_scans_and_sinks(spark, tmp_path):
     assert files.resolve_panel_path(str(tmp_path)) == "panel.parquet"
     (tmp_path / "config_resolved.yaml").write_text("data:\n  panel_path: p.parquet\n")
     assert files.resolve_panel_path(str(tmp_path)) == "p.parquet"
+    files.write_json({"panel_path": "q.parquet"}, str(tmp_path / "config_resolved.json"))
+    assert files.resolve_panel_path(str(tmp_path)) == "q.parquet"
     text = report.write_report(str(tmp_path / "r.md"), "T", {"A": df.orderBy("a"), "B": "words"})
     assert "| 1 | x |" in text and "words" in text and "r.md" in report.manifest(str(tmp_path))
 

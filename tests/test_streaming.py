@@ -49,8 +49,9 @@ def test_scores_wait_for_their_timers(spark, tmp_path):
     start = datetime.datetime(2024, 1, 1)
     path = str(tmp_path / "m")
     schema = "id string, date timestamp, mat_ts timestamp, l double, u double, y double"
+    bad = [("a", start, None, -1.0, 1.0, 0.0), ("a", start, start, -1.0, 1.0, None), ("a", start, start, float("nan"), 1.0, 0.0)]
     make = lambda days: [("a", start + datetime.timedelta(i), start + datetime.timedelta(i + 2), -1.0, 1.0, float(i)) for i in days]
-    spark.createDataFrame(make(range(30)), schema).coalesce(1).write.parquet(path)
+    spark.createDataFrame(make(range(30)) + bad, schema).coalesce(1).write.parquet(path)
     spark.createDataFrame(make(range(90, 92)), schema).coalesce(1).write.mode("append").parquet(path)
     spark.createDataFrame(make(range(200, 201)), schema).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
