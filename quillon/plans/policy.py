@@ -3,11 +3,13 @@
 The core is NumPy on one date at a time: state and a day's rows in, decisions out. State changes only
 between a date's decisions, so a date is one batch: each arm draws its parameters once per date, from
 a stream keyed by (seed, date, arm). Outcomes are applied in order of maturity, decision date and id.
-Many runs (policies, variants) go side by side, one task each, as a run's state is shared by all ids.
+Many runs (policies, variants) go side by side, one task each, as a run's state is shared by all ids;
+rows stream through it by date, so a task holds one date's rows and what has not matured yet.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
@@ -226,34 +228,81 @@ class Simulation:
 LOG = "run string, date date, id string, momentum string, h int, alpha double, y double, l double, u double, covered int, width double, loss double, width_scaled double, loss_scaled double, qhat double, buffer int, support int"
 
 
-def simulate(run: Run, train: pd.DataFrame, test: pd.DataFrame, sigma: dict[int, float]) -> Iterator[dict]:
-    """A whole run over a test slice sorted by (date, id): its matured scores."""
+def last_decision(run: Run, dates: Sequence) -> Any:
+    """The last of the ascending test dates on which a run decides; runs that learn first leave out the longest horizon."""
+    n = max(run.cfg.horizons)
+    return dates[-n - 1 if run.learns_first and len(dates) > n else -1] if len(dates) else None
+
+
+def steps(run: Run, sigma: dict[int, float], train: pd.DataFrame | None, days: Iterator[tuple[Any, pd.DataFrame]], last: Any) -> Iterator[list[dict]]:
+    """A whole run over (date, rows sorted by id) in order of date: the scores that mature at each step."""
     c = run.cfg
     sim = Simulation(run, sigma)
-    sim.pretrain([(np.asarray(x, dtype=float), {h: row[f"y_h{h}"] for h in c.horizons}) for x, row in zip(train["x"], train.to_dict("records"), strict=True)])
-    dates = sorted(test["date"].unique())
-    if run.learns_first and len(dates) > max(c.horizons):
-        dates = dates[: -max(c.horizons)]
-    groups = dict(iter(test.groupby("date", sort=True)))
+    if train is not None:
+        sim.pretrain([(np.asarray(x, dtype=float), {h: y for h, y in zip(c.horizons, targets, strict=True)}) for x, *targets in zip(train["x"], *(train[f"y_h{h}"] for h in c.horizons), strict=True)])
     factor = {h: {"none": 1.0, "per_h": 1 / h, "per_sqrt_h": h**-0.5, "per_sigma": 1 / sigma.get(h, 1.0)}[c.scale_mode] for h in c.horizons}
 
-    def finish(rows: list[dict]) -> Iterator[dict]:
-        for r in rows:
-            yield {"run": run.name, **r, "width_scaled": r["width"] * factor[r["h"]], "loss_scaled": r["loss"] * factor[r["h"]]}
+    def finish(rows: list[dict]) -> list[dict]:
+        return [{"run": run.name, **r, "width_scaled": r["width"] * factor[r["h"]], "loss_scaled": r["loss"] * factor[r["h"]]} for r in rows]
 
-    for day, date in enumerate(dates):
+    for day, (date, g) in enumerate(days):
+        if date > last:
+            continue
         if run.learns_first:
-            yield from finish(sim.learn(date))
-        g = groups[date]
+            yield finish(sim.learn(date))
         alive = g[[f"alive_h{h}" for h in c.horizons]].to_numpy(dtype=bool)
         maturity = g[[f"mat_date_h{h}" for h in c.horizons]].to_numpy(dtype=object)
         decisions = sim.decide(day, date, g["id"].tolist(), np.stack(g["x"].to_numpy()).astype(float), alive, maturity)
         sim.enqueue(decisions, {(i, h): y for h in c.horizons for i, y in zip(g["id"], g[f"y_h{h}"], strict=True)})
         if not run.learns_first:
-            yield from finish(sim.learn(date))
+            yield finish(sim.learn(date))
     if run.learns_first:
         for date in sorted(sim.pending):
-            yield from finish(sim.learn(date))
+            yield finish(sim.learn(date))
+
+
+def simulate(run: Run, train: pd.DataFrame, test: pd.DataFrame, sigma: dict[int, float]) -> Iterator[dict]:
+    """A whole run over a test slice sorted by (date, id): its matured scores."""
+    days = iter(test.groupby("date", sort=True))
+    for scored in steps(run, sigma, train, days, last_decision(run, sorted(test["date"].unique()))):
+        yield from scored
+
+
+def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """((run, test, date), rows) of neighbouring rows that are alike in these, over the bounds of batches."""
+    key, held = None, []
+    for batch in batches:
+        for k, rows in batch.groupby(["run", "test", "date"], sort=False):
+            if k != key and held:
+                yield key, pd.concat(held)
+                held = []
+            key = k
+            held.append(rows)
+    if held:
+        yield key, pd.concat(held)
+
+
+def _simulate_all(by_name: dict[str, Run], sigma: dict[int, float], last: dict[str, Any]):  # noqa: ANN202
+    """For mapInPandas over rows sorted by run, training rows first, date and id."""
+    names = [f.split()[0] for f in LOG.split(", ")]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for name, own in itertools.groupby(_stretches(batches), key=lambda s: s[0][0]):
+            sample: list[pd.DataFrame] = []
+            first = None
+            for (_, test, date), rows in own:
+                if test:
+                    first = (date, rows)
+                    break
+                sample.append(rows)
+            if first is None:
+                continue
+            days = itertools.chain([first], ((date, rows) for (_, _, date), rows in own))
+            for scored in steps(by_name[name], sigma, pd.concat(sample) if sample else None, days, last[name]):
+                if scored:
+                    yield pd.DataFrame(scored, columns=names)
+
+    return work
 
 
 def baseline_runs(cfg: Config) -> list[Run]:
@@ -276,28 +325,26 @@ def variant_runs(cfg: Config) -> list[Run]:
 
 
 def run_policies(features: DataFrame, runs: Sequence[Run], cfg: Config = Config()) -> DataFrame:
-    """Score logs of all runs, from the feature table. A task holds one run's test slice.
+    """Score logs of all runs, from the feature table. Each run is one task, to which its rows stream by date.
 
-    The slice is prepared and packed once; each run reads it by its key.
+    The slice is prepared and packed once; each run reads it by its number. No test rows give no scores.
     """
     slice_ = test_slice(features, cfg)
     columns = ["date", "id", "x", *(f"{p}_h{h}" for p in ("y", "alive", "mat_date") for h in cfg.horizons)]
-    train, _ = split_dates(features, cfg)
+    train, test = split_dates(features, cfg)
     spread = train.agg(*[F.stddev_samp(f"y_h{h}").alias(str(h)) for h in cfg.horizons]).first()
     sigma = {h: float(spread[str(h)] or 1.0) or 1.0 for h in cfg.horizons}
+    # The last dates only: as many as the longest horizon of any run has.
+    most = max(max(r.cfg.horizons) for r in runs) + 1
+    dates = [r["date"] for r in reversed(test.select("date").distinct().orderBy(F.desc("date")).limit(most).collect())]
     blank = [F.lit(None).cast(slice_.schema[c].dataType).alias(c) for c in columns if c.startswith(("alive", "mat_date"))]
     sample = sample_rows(train.where(" or ".join(f"y_h{h} is not null" for h in cfg.horizons)), cfg.pretrain_rows, cfg.seed)
-    rows = slice_.select(*columns, F.lit(False).alias("train")).unionByName(sample.select("date", "id", "x", *[f"y_h{h}" for h in cfg.horizons], *blank, F.lit(True).alias("train")))
+    rows = slice_.select(*columns, F.lit(True).alias("test")).unionByName(sample.select("date", "id", "x", *[f"y_h{h}" for h in cfg.horizons], *blank, F.lit(False).alias("test")))
     by_name = {r.name: r for r in runs}
-    keyed = rows.crossJoin(F.broadcast(features.sparkSession.createDataFrame([(n,) for n in by_name], "run string")))  # a few runs
-
-    def work(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        run = by_name[key[0]]
-        frame = frame.sort_values(["date", "id"], kind="stable")
-        log = list(simulate(run, frame[frame["train"]], frame[~frame["train"]], sigma))
-        return pd.DataFrame(log, columns=[f.split()[0] for f in LOG.split(", ")])
-
-    return keyed.repartition(len(by_name), "run").groupBy("run").applyInPandas(work, LOG)
+    numbered = features.sparkSession.createDataFrame(list(enumerate(by_name)), "number int, run string")
+    keyed = rows.crossJoin(F.broadcast(numbered)).repartitionById(len(by_name), F.col("number")).drop("number")  # a few runs
+    ordered = keyed.sortWithinPartitions("run", "test", "date", "id")
+    return ordered.mapInPandas(_simulate_all(by_name, sigma, {n: last_decision(r, dates) for n, r in by_name.items()}), LOG)
 
 
 def daily_choices(scores: DataFrame, features: DataFrame) -> DataFrame:

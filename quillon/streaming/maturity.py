@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-SCORED = "id string, date timestamp, l double, u double, y double, covered int, buffer int, qhat double"
+SCORED = "id string, date timestamp, l double, u double, y double, covered int, buffer int, qhat double, coverage double"
 
 
 def pair_outcomes(decisions: DataFrame, outcomes: DataFrame, wait: str = "90 days", delay: str = "1 day") -> DataFrame:
@@ -25,19 +25,21 @@ def pair_outcomes(decisions: DataFrame, outcomes: DataFrame, wait: str = "90 day
 
 
 class RollingCalibrator(StatefulProcessor):
-    """Per key: holds decisions until event time passes their maturity, scores them, and keeps the last scores.
+    """Per key: holds decisions until event time passes their maturity, scores them, and keeps the last scores
+    and the last flags of coverage, whose mean goes out with each score.
 
     Rows are (id, date, mat_ts, l, u, y). A row's outcome is used only when its timer fires. Rows with a
     null or non-finite field never mature and are dropped.
     """
 
-    def __init__(self, window: int = 250, warmup: int = 20, alpha: float = 0.1):
-        self.window, self.warmup, self.alpha = max(30, window), warmup, alpha
+    def __init__(self, window: int = 250, warmup: int = 20, alpha: float = 0.1, flags: int = 60):
+        self.window, self.warmup, self.alpha, self.kept = max(30, window), warmup, alpha, max(10, flags)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.pending = handle.getListState("pending", "date timestamp, mat long, l double, u double, y double")
         self.scores = handle.getListState("scores", "s double")
+        self.flags = handle.getListState("flags", "f int")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         for frame in rows:
@@ -57,13 +59,15 @@ class RollingCalibrator(StatefulProcessor):
             self.pending.put(rest)
         else:
             self.pending.clear()
-        scores, out = [s[0] for s in self.scores.get()], []
+        scores, flags, out = [s[0] for s in self.scores.get()], [f[0] for f in self.flags.get()], []
         for date, _, low, high, y in due:
             q = sorted(scores)[min(int(len(scores) * (1 - self.alpha)), len(scores) - 1)] if len(scores) >= self.warmup else 0.0
-            out.append((key[0], date, low - q, high + q, y, int(low - q <= y <= high + q), len(scores), q))
+            flags = [*flags, int(low - q <= y <= high + q)][-self.kept :]
+            out.append((key[0], date, low - q, high + q, y, flags[-1], len(scores), q, sum(flags) / len(flags)))
             scores = [*scores, max(low - y, y - high, 0.0)][-self.window :]
         if due:
             self.scores.put([(s,) for s in scores])
+            self.flags.put([(f,) for f in flags])
         yield pd.DataFrame(out, columns=[f.split()[0] for f in SCORED.split(", ")])
 
     def close(self) -> None:
@@ -74,3 +78,23 @@ def score_stream(rows: DataFrame, delay: str = "1 day", **options) -> DataFrame:
     """Calibrated scores of a stream of (id, date, mat_ts, l, u, y), as they mature. Needs the RocksDB state store."""
     keyed = rows.withWatermark("date", delay).groupBy("id")
     return keyed.transformWithStateInPandas(RollingCalibrator(**options), SCORED, "Append", "EventTime")
+
+
+def closing_row(spark: SparkSession, at: str) -> DataFrame:
+    """A row that ends the input of `score_stream`: its date moves event time to `at`, so all that matures before
+    goes out; it matures never itself. What would mature later stays undecided, as it does in a run over tables."""
+    null = F.lit(None)
+    return spark.range(1).select(
+        F.lit("").alias("id"), F.lit(at).cast("timestamp").alias("date"), null.cast("timestamp").alias("mat_ts"), *[null.cast("double").alias(c) for c in ("l", "u", "y")]
+    )
+
+
+def run_to_table(scored: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append what a stream scores to a Parquet table until its present input is used up.
+
+    State, watermark and files read are kept under `checkpoint` (a folder that all executors share), so
+    the next start goes on where this one, or one that was cut short, stopped.
+    """
+    query = scored.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query

@@ -1,7 +1,5 @@
 import datetime
 
-from pyspark.sql import functions as F
-
 from quillon.streaming import events, maturity
 
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double"
@@ -58,4 +56,29 @@ def test_scores_wait_for_their_timers(spark, tmp_path):
     got = _drain(maturity.score_stream(stream, warmup=5), "m1").orderBy("date").collect()
     assert len(got) >= 30 and [r.buffer for r in got[:30]] == list(range(30))
     assert all(r.qhat == 0 for r in got[:5]) and got[29].qhat > 0
-    assert F is not None
+    flags = [r.covered for r in got]
+    assert [r.coverage for r in got] == [sum(flags[: i + 1][-60:]) / len(flags[: i + 1][-60:]) for i in range(len(got))]
+
+
+def test_a_restarted_query_goes_on_and_the_end_drains_it(spark, tmp_path):
+    start = datetime.datetime(2024, 1, 1)
+    schema = "id string, date timestamp, mat_ts timestamp, l double, u double, y double"
+    rows = [(f"s{i % 2}", start + datetime.timedelta(i), start + datetime.timedelta(i + 4), -1.0, 1.0, float(i % 5 - 2)) for i in range(40)]
+    path = str(tmp_path / "in")
+    stream = lambda: maturity.score_stream(spark.readStream.schema(schema).parquet(path), warmup=3)
+    out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
+    spark.createDataFrame(rows[:22], schema).coalesce(1).write.parquet(path)
+    maturity.run_to_table(stream(), out, mark)
+    first = spark.read.schema(maturity.SCORED).parquet(out).count()
+    spark.createDataFrame(rows[22:], schema).coalesce(1).write.mode("append").parquet(path)
+    maturity.run_to_table(stream(), out, mark)
+    maturity.closing_row(spark, "2025-01-01").coalesce(1).write.mode("append").parquet(path)
+    maturity.run_to_table(stream(), out, mark)
+    got = spark.read.parquet(out).orderBy("id", "date").collect()
+    assert first < 22 and len(got) == 40
+    for name in ("s0", "s1"):
+        own, scores = [r for r in got if r.id == name], []
+        for r, (_, date, _, low, high, y) in zip(own, [x for x in rows if x[0] == name], strict=True):
+            q = sorted(scores)[min(int(len(scores) * 0.9), len(scores) - 1)] if len(scores) >= 3 else 0.0
+            assert (r.date, r.y, r.buffer, r.qhat, r.l, r.u) == (date, y, len(scores), q, low - q, high + q)
+            scores.append(max(low - y, y - high, 0.0))
