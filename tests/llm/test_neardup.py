@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from quillon.llm import components, neardup
 from tests.llm.common import documents, lower, odd_texts, words
 
@@ -61,11 +63,38 @@ def test_band_and_sketch_chances():
     assert neardup.BANDS * neardup.BAND_ROWS == 2 * neardup.PERMUTATIONS
 
 
+def test_pairs_just_similar_enough_are_retrieved_and_not_ruled_out():
+    """Sets of similarity 0.80 to 0.83 of all sizes: bands shared, and sketch bits in which they differ."""
+    draw = np.random.default_rng(5)
+    for union in (5, 6, 10, 20, 50, 200, 1000):
+        sets = []
+        for _ in range(200 if union > 200 else 1000):
+            x = draw.integers(0, 1 << 63, union, dtype=np.int64).astype(np.uint64)
+            both = int(np.ceil(0.8 * union))
+            half = both + (union - both) // 2
+            sets += [np.sort(x[:half]), np.sort(np.concatenate([x[:both], x[half:]]))]
+        keys, sketch = neardup.band_keys(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+        shared = (keys[0::2] == keys[1::2]).sum(axis=1)
+        apart = np.bitwise_count(sketch[0::2] ^ sketch[1::2]).sum(axis=1)
+        assert shared.min() > 0 and apart.max() <= neardup.MOST_DIFFERENT
+        # The chances that the docstrings state need these means: 32 * 0.8 ** 4 bands, 128 * 0.1 bits.
+        assert abs(shared.mean() - 13.1) < 0.6 or union == 6
+        assert abs(apart.mean() - 12.8) < 0.6 or union == 6
+
+
+def test_patterns_of_letters_are_no_copies(spark):
+    thue = lambda n, flip: "".join("ab"[(i.bit_count() + flip) % 2] for i in range(n))
+    texts = [f"{thue(n, flip)} {thue(n, flip)}" for n in (64, 1024, 4096) for flip in (0, 1)]
+    assert _found(documents(spark, texts)) == _plain(texts)
+
+
 def test_dropping_and_odd_tables(spark):
     docs = documents(spark, ["a b c d e", "a b c d e", None, None, "z"]).withColumnRenamed("lang", "id").withColumnRenamed("source", "th")
     kept = neardup.drop_near_duplicates(docs.union(docs.limit(1)))
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 5]
     assert neardup.near_duplicate_digest(docs.limit(0)).count() == 0
+    unnamed = spark.createDataFrame([(None, "a b c"), (None, "d e f"), (None, "d e f"), (7, "g h"), (7, "i j")], "doc_id long, text string")
+    assert sorted(r.text for r in neardup.drop_near_duplicates(unnamed).collect()) == ["a b c", "d e f", "g h", "i j"]
     nulls = spark.createDataFrame([(None, "a b c"), (7, "a b c"), (7, None)], "doc_id long, text string")
     assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in neardup.near_duplicate_digest(nulls).collect()) == [("7", "7", True), ("7", "None", False), ("None", "None", True)]
 
