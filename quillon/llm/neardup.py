@@ -39,7 +39,7 @@ MOST_DIFFERENT = 33
 #: Pairs that a bucket leaves from which they are compared in blocks.
 LARGE = 2000
 #: Shingles in a block, and of the members that are compared with one copy of a leader's text (one class may have more).
-BLOCK_SHINGLES, LOAD_SHINGLES = 200_000, 500_000
+BLOCK_SHINGLES, LOAD_SHINGLES = 200_000, 50_000
 #: Keys over which the pairs of a leader with several loads are spread when they are dealt.
 SALTS = 64
 
