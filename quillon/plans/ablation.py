@@ -10,6 +10,7 @@ from quillon.config import Config
 from quillon.operators.aggregates import security_to_index, with_weights
 from quillon.plans.policy import Run, run_policies, variant_runs
 from quillon.plans.stats import compare_variant, paired_differences
+from quillon.sources.intermediate import cut
 
 
 def variant_tag(changes: Mapping) -> str:
@@ -26,7 +27,7 @@ def select_variants(runs: Sequence[Run], wanted: Sequence[str | Mapping] | None)
 def overview(scores: DataFrame, panel: DataFrame, draws: int = 2000) -> tuple[DataFrame, DataFrame]:
     """(overview, differences) of every run in the log against `base`; a log without variants raises ValueError."""
     # A row per run, date and horizon, read by every table below; the runs behind it are not repeated.
-    index = security_to_index(with_weights(scores, panel), ("run", "date", "h")).persist()
+    index = cut(security_to_index(with_weights(scores, panel), ("run", "date", "h")), "index")
     base, variants = index.where("run = 'base'"), index.where("run <> 'base'").withColumnRenamed("run", "variant")
     diffs = paired_differences(base, variants, ["variant"]).select("date", "h", "d_loss_scaled", "variant")
     return compare_variant(base, variants, ["variant"], draws=draws), diffs

@@ -13,6 +13,7 @@ from quillon.config import Config
 from quillon.functions.scalars import nearest_windows
 from quillon.operators.splits import purged_folds
 from quillon.plans.stats import block_bootstrap, newey_west
+from quillon.sources.intermediate import cut
 
 CONTEXT = ("ret_vol20_z", "idx_vol_z", "spread_z", "duration_z", "ret_autocorr_z", "spread_percentile", "vol_percentile", "index_weight")
 
@@ -49,6 +50,7 @@ def policy_baskets(features: DataFrame, choices: DataFrame, cfg: Config = Config
     fixed = dict(zip(("short", "medium", "long"), nearest_windows(cfg.windows), strict=True))
     policies = [F.struct(F.lit("learned_policy").alias("policy"), _pick(F.col("chosen"), momenta, lambda m: f"{m}_z").alias("signal"))]
     policies += [F.struct(F.lit(f"fixed_{n}").alias("policy"), F.col(f"mom_w{w}_z").alias("signal")) for n, w in fixed.items()]
+    rows = rows.where("__target is not null")  # a basket holds rows with both; so no row is multiplied in vain
     long = rows.select("date", "index_weight", "__h", "__target", F.explode(F.array(*policies)).alias("p")).select("date", "index_weight", "__h", "__target", "p.*")
     values = basket_returns(long, F.col("signal"), F.col("__target"), ("policy", "date", "__h"), cfg.top_fraction, cfg.min_selected)
     return values.select("policy", "date", (F.col("value") / (F.col("__h") if per_step else F.lit(1.0))).alias("v"))
@@ -93,16 +95,12 @@ def spread_alignment(features: DataFrame, choices: DataFrame, momentum: str, h:
     return common.crossJoin(F.broadcast(middle)).agg(F.avg("spread").alias("mean_spread"), F.avg(agree).alias("mean_alignment"), F.count(F.lit(1)).alias("n")).withColumn("momentum", F.lit(momentum))
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """`df` for many reads: in the session's checkpoint folder, so that plans of models stay small, or cached if it has none."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-
-
 def crossfit(rows: DataFrame, inputs: Sequence[str], label: str, folds: DataFrame, weight: str | None = None, also: dict[str, Sequence[str]] | None = None, trees: int = 60, depth: int = 6, leaf: int = 20, seed: int = 42) -> DataFrame:
     """`rows` with `oof`: forest predictions by models that saw no row of the row's fold, its purge or embargo.
 
     `also` names further predictions from other input columns by the same models. Folds are few; each
-    fit is distributed. Rows of no fold are left out.
+    fit is distributed. A fold's predictions are written, so that no plan holds more than one model. Rows
+    of no fold are left out.
     """
     out = None
     for (k,) in folds.select("fold").distinct().orderBy("fold").collect():
@@ -115,7 +113,7 @@ def crossfit(rows: DataFrame, inputs: Sequence[str], label: str, folds: DataFram
         done = model.transform(assembler.transform(test)).drop("__x")
         for name, columns in (also or {}).items():
             done = model.copy({model.predictionCol: name}).transform(VectorAssembler(inputCols=list(columns), outputCol="__x").transform(done)).drop("__x")
-        done = done.withColumn("fold", F.lit(k))
+        done = cut(done.withColumn("fold", F.lit(k)), "fold")
         out = done if out is None else out.unionByName(done)
     if out is None:
         raise ValueError("no folds")
@@ -133,7 +131,7 @@ def value_function(features: DataFrame, choices: DataFrame, cfg: Config = Config
     signal = F.round(_pick(F.col("chosen"), momenta, lambda m: f"{m}_z"), 8)
     rows = features.join(acted, "date").withColumn("__s", signal).where("__s is not null")
     chosen = rows.withColumn("__t", day_quantile(F.col("__s"), 1 - cfg.top_fraction)).where("__s >= round(__t, 8)").na.fill(0.0, list(CONTEXT))
-    chosen = keep(chosen.select("date", "id", *CONTEXT, *[f"y_h{h}" for h in cfg.horizons]))
+    chosen = cut(chosen.select("date", "id", *CONTEXT, *[f"y_h{h}" for h in cfg.horizons]), "chosen")
     results = None
     for h in cfg.horizons:
         labelled = chosen.where(f"y_h{h} is not null").select("date", "id", *CONTEXT, (F.col(f"y_h{h}") / h).alias("label"))

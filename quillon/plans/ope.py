@@ -11,7 +11,8 @@ from quillon.config import Config
 from quillon.functions.scalars import horizon_factor, one_hot, propensity
 from quillon.operators.aggregates import effective_size
 from quillon.operators.splits import purged_folds
-from quillon.plans.causal import CONTEXT, crossfit, keep
+from quillon.plans.causal import CONTEXT, crossfit
+from quillon.sources.intermediate import cut
 
 
 def align_actions(behaviour: DataFrame, evaluation: DataFrame) -> DataFrame:
@@ -73,7 +74,7 @@ def evaluate_forest(rows: DataFrame, features: DataFrame, cfg: Config = Config()
     joined = _scaled(rows, cfg).drop("index_weight").join(features.select("date", "id", *CONTEXT), ["date", "id"], "left").na.fill(0.0, list(CONTEXT))
     joined = joined.withColumns({"__b": action("mom_b", "h_b"), "__e": action("mom_e", "h_e")})
     wide = joined.select("*", *[F.col("__b")[i].alias(f"b{i}") for i in range(len(names))], *[F.col("__e")[i].alias(f"e{i}") for i in range(len(names))])
-    wide = keep(wide)
+    wide = cut(wide, "wide")
     folds = purged_folds(wide, cfg.folds, max(cfg.horizons) if cfg.purge is None else cfg.purge, cfg.embargo)
     b, e = [f"b{i}" for i in range(len(names))], [f"e{i}" for i in range(len(names))]
     fitted = crossfit(wide, [*CONTEXT, *b], "y", folds, also={"q_e": [*CONTEXT, *e]}, trees=trees, seed=cfg.seed).withColumnRenamed("oof", "q_b")

@@ -18,6 +18,7 @@ from quillon.plans import ablation, causal, ope, policy, report, stats
 from quillon.plans import features as plan
 from quillon.plans.scoring import arm_scores, fixed_scores, horizon_moments
 from quillon.schema import enforce_schema
+from quillon.sources.intermediate import cut
 from quillon.sources.panel import min_observations, panel_from_raw, sales_panel, table
 from quillon.streaming import events as ev
 
@@ -63,16 +64,21 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
     return plan.add_features(sales_panel(spark, d), CFG)
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    return plan.add_scores(_features(spark, d), CFG)
+def _table(spark: SparkSession, d: str) -> DataFrame:
+    """The features as a written table, for plans that read them more than once."""
+    return cut(_features(spark, d), "features")
+
+
+def _scored(t: DataFrame) -> DataFrame:
+    return plan.add_scores(t, CFG)
 
 
 def _fixed(spark: SparkSession, d: str) -> DataFrame:
-    return fixed_scores(_features(spark, d), CFG)
+    return fixed_scores(_table(spark, d), CFG)
 
 
 def _arms(spark: SparkSession, d: str) -> DataFrame:
-    return arm_scores(_features(spark, d), CFG)
+    return arm_scores(_table(spark, d), CFG)
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
@@ -185,11 +191,12 @@ def _actions(test: DataFrame, a: int = 3, b: int = 5) -> DataFrame:
 
 
 def _test(spark: SparkSession, d: str) -> DataFrame:
-    return plan.test_slice(_features(spark, d), CFG)
+    return cut(plan.test_slice(_features(spark, d), CFG), "test")
 
 
-def _choices(spark: SparkSession, d: str) -> DataFrame:
-    return A.policy_mode(_actions(_test(spark, d)).select("date", "id", "momentum", "h"))
+def _choices(t: DataFrame) -> DataFrame:
+    """The modal arms of each date of the test slice of a feature table."""
+    return A.policy_mode(_actions(plan.test_slice(t, CFG)).select("date", "id", "momentum", "h"))
 
 
 # Panel and features.
@@ -315,13 +322,13 @@ def alive_maturity(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH {SCORED} SELECT date, id, " + ", ".join(f"round({c}_z, 5) + 0 AS {c}_z" for c in _ZCOLS) + " FROM scored")
 def train_zscores(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).select("date", "id", *[_r(f"{c}_z", digits=5) for c in _ZCOLS])
+    return _scored(_table(spark, d)).select("date", "id", *[_r(f"{c}_z", digits=5) for c in _ZCOLS])
 
 
 @_query(f"""WITH {SCORED} SELECT date, id, CAST(1 AS DOUBLE) AS x0, round(ret_vol20_z, 5) + 0 AS x1, round(idx_vol_z, 5) + 0 AS x2, round(spread_z, 5) + 0 AS x3, round(duration_z, 5) + 0 AS x4,
   round(ret_autocorr_z, 5) + 0 AS x5, round(spread_percentile, 5) AS x6, round(vol_percentile, 5) AS x7, round(spread_z * duration_z, 5) + 0 AS x8, round(ret_vol20_z * idx_vol_z, 5) + 0 AS x9 FROM scored""")
 def context_vector(spark: SparkSession, d: str) -> DataFrame:
-    return plan.add_context(_scored(spark, d)).select("date", "id", *[_r(F.col("x")[i], f"x{i}", 5) for i in range(10)])
+    return plan.add_context(_scored(_table(spark, d))).select("date", "id", *[_r(F.col("x")[i], f"x{i}", 5) for i in range(10)])
 
 
 @_query(f"WITH {PANEL}, s AS (SELECT DISTINCT n_name AS sector FROM panel JOIN nation ON sector_id = n_nationkey) SELECT sector, CAST(dense_rank() OVER (ORDER BY sector) - 1 AS INTEGER) AS sector_id FROM s")
@@ -354,7 +361,7 @@ def interval_score(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH {FIXED} SELECT h, round(avg(loss), 6) AS plain, round(avg(loss / h), 6) AS per_h, round(avg(loss / sqrt(h)), 6) AS per_sqrt_h, round(avg(loss / sigma), 5) AS per_sigma FROM fixed GROUP BY h")
 def horizon_scaling(spark: SparkSession, d: str) -> DataFrame:
-    f = _features(spark, d)
+    f = _table(spark, d)
     sigma = {r["h"]: r["sigma"] for r in horizon_moments(f, CFG).collect()}  # a row per horizon
     h, loss = F.col("h"), F.col("loss")
     names = {"plain": "none", "per_h": "per_h", "per_sqrt_h": "per_sqrt_h", "per_sigma": "per_sigma"}
@@ -579,12 +586,12 @@ def loss_quartiles(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH {ACTIONS} SELECT date, momentum, h FROM choices")
 def policy_mode(spark: SparkSession, d: str) -> DataFrame:
-    return _choices(spark, d).select("date", "momentum", "h")
+    return _choices(_table(spark, d)).select("date", "momentum", "h")
 
 
 @_query(f"WITH {ACTIONS} SELECT date, momentum, h, CAST(dense_rank() OVER (ORDER BY momentum, h) - 1 AS INTEGER) AS code FROM choices")
 def policy_evolution(spark: SparkSession, d: str) -> DataFrame:
-    return report.policy_evolution(_choices(spark, d)).select("date", "momentum", "h", "code")
+    return report.policy_evolution(cut(_choices(_table(spark, d)), "choices")).select("date", "momentum", "h", "code")
 
 
 @_query(f"WITH {TEST} SELECT date, round(avg(ret_vol20), 5) AS ctx_retvol20, round(avg(spread), 5) AS ctx_spread, round(avg(duration), 5) AS ctx_duration FROM test_rows GROUP BY date")
@@ -628,7 +635,8 @@ COUNTER = (
 
 @_query(f"WITH {COUNTER} SELECT policy, round(avg(value / ph), 7) + 0 AS mean_return, round(coalesce(stddev_samp(value / ph), 0), 7) AS std_return, count(*) AS n_obs FROM values_ GROUP BY policy")
 def counterfactual_policies(spark: SparkSession, d: str) -> DataFrame:
-    baskets = causal.policy_baskets(_scored(spark, d), _choices(spark, d), CFG)
+    t = _table(spark, d)
+    baskets = causal.policy_baskets(_scored(t), _choices(t), CFG)
     return baskets.groupBy("policy").agg(_r(F.avg("v"), "mean_return", 7), _r(F.coalesce(F.stddev_samp("v"), F.lit(0.0)), "std_return", 7), F.count(F.lit(1)).alias("n_obs"))
 
 
@@ -642,7 +650,8 @@ sp AS (SELECT date, sum(CASE WHEN s >= hi THEN w * y END) / (sum(CASE WHEN s >=
 j AS (SELECT spread, c.h FROM sp JOIN choices c ON sp.date = c.date WHERE spread IS NOT NULL), m AS (SELECT median(h) AS m FROM j)
 SELECT round(avg(spread), 6) + 0 AS mean_spread, round(avg(CASE WHEN sign(round(spread, 12)) = sign(h - m) THEN 1 ELSE 0 END), 6) AS mean_alignment, count(*) AS n, 'mom_w21' AS momentum FROM j, m""")
 def spread_alignment(spark: SparkSession, d: str) -> DataFrame:
-    return causal.spread_alignment(_features(spark, d), _choices(spark, d), "mom_w21", 21).select(_r("mean_spread"), _r("mean_alignment"), "n", "momentum")
+    t = _table(spark, d)
+    return causal.spread_alignment(t, _choices(t), "mom_w21", 21).select(_r("mean_spread"), _r("mean_alignment"), "n", "momentum")
 
 
 def _nw_sql(series: str, by: str, lags: str, width: str) -> str:
@@ -658,12 +667,12 @@ _SERIES = "SELECT h, date, loss_scaled AS v FROM index_series"
 
 @_query(f"WITH {INDEX}, {_nw_sql(_SERIES, 'h', _AUTO, f'({_AUTO} + 1)')} SELECT h, n, round(mean, 7) AS mean, round(nw_se, 7) AS nw_se FROM nw")
 def newey_west_se(spark: SparkSession, d: str) -> DataFrame:
-    return stats.newey_west(_index(spark, d).select("h", "date", F.col("loss_scaled").alias("v")), ["h"]).select("h", "n", _r("mean", digits=7), _r("nw_se", digits=7))
+    return stats.newey_west(cut(_index(spark, d).select("h", "date", F.col("loss_scaled").alias("v")), "series"), ["h"]).select("h", "n", _r("mean", digits=7), _r("nw_se", digits=7))
 
 
 @_query(f"WITH {INDEX}, {_nw_sql(_SERIES, 'h', 'least(10, a.n - 1)', '11')} SELECT h, n, round(mean, 7) AS mean, round(nw_se, 7) AS nw_se FROM nw")
 def newey_west_fixed_lags(spark: SparkSession, d: str) -> DataFrame:
-    return stats.newey_west(_index(spark, d).select("h", "date", F.col("loss_scaled").alias("v")), ["h"], 10).select("h", "n", _r("mean", digits=7), _r("nw_se", digits=7))
+    return stats.newey_west(cut(_index(spark, d).select("h", "date", F.col("loss_scaled").alias("v")), "series"), ["h"], 10).select("h", "n", _r("mean", digits=7), _r("nw_se", digits=7))
 
 
 def _boot_sql(series: str, by: str, block: int, draws: int, alpha: float, seed: int) -> str:
@@ -677,12 +686,12 @@ boot AS (SELECT {by}, any_value(n) AS n, any_value(mean) AS mean, quantile_cont(
 
 @_query(f"WITH {INDEX}, {_boot_sql(_SERIES, 'h', 5, 2000, 0.05, 123)} SELECT h, n, round(mean, 7) AS mean, round(ci_lo, 7) AS ci_lo, round(ci_hi, 7) AS ci_hi FROM boot")
 def block_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    series = _index(spark, d).select("h", "date", F.col("loss_scaled").alias("v"))
+    series = cut(_index(spark, d).select("h", "date", F.col("loss_scaled").alias("v")), "series")
     return stats.block_bootstrap(series, ["h"], 5, 2000).select("h", "n", _r("mean", digits=7), _r("ci_lo", digits=7), _r("ci_hi", digits=7))
 
 
 def _variant_pair(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    arms = A.security_to_index(_arms(spark, d), ("baseline", "momentum", "date", "h"))
+    arms = cut(A.security_to_index(_arms(spark, d), ("baseline", "momentum", "date", "h")), "arms")
     return arms.where("momentum = 'mom_w10'"), arms.where("momentum = 'mom_w63'")
 
 
@@ -708,8 +717,10 @@ def diebold_mariano(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _significance(spark: SparkSession, d: str) -> DataFrame:
-    daily = A.security_to_index(_arms(spark, d), ("baseline", "date", "h")).groupBy("baseline", "date").agg(F.avg("loss_scaled").alias("loss"))
-    mine = _index(spark, d).groupBy("date").agg(F.avg("loss_scaled").alias("loss"))
+    t = _table(spark, d)
+    daily = A.security_to_index(arm_scores(t, CFG), ("baseline", "date", "h")).groupBy("baseline", "date").agg(F.avg("loss_scaled").alias("loss"))
+    mine = A.security_to_index(fixed_scores(t, CFG)).groupBy("date").agg(F.avg("loss_scaled").alias("loss"))
+    daily, mine = cut(daily, "daily"), cut(mine, "daily")
     return stats.significance_table(mine, daily)
 
 
@@ -737,7 +748,7 @@ def significance_statistics(spark: SparkSession, d: str) -> DataFrame:
 @_query(f"""WITH {_BOARD_DAYS}, days AS (SELECT baseline AS model, date, loss * 1000000 AS v FROM arm_days), {_nw_sql('SELECT model, date, v FROM days', 'model', 'least(10, a.n - 1)', '11')}, {_boot_sql('SELECT model, date, v FROM days', 'model', 20, 1000, 0.10, 12345)}
 SELECT model, round(nw.mean / 1000000, 7) AS mean_loss, round(nw_se / 1000000, 7) AS nw_se, round(ci_lo / 1000000, 7) AS ci_lo, round(ci_hi / 1000000, 7) AS ci_hi FROM nw JOIN boot USING (model)""")
 def performance_table(spark: SparkSession, d: str) -> DataFrame:
-    models = A.security_to_index(_arms(spark, d), ("baseline", "date", "h")).withColumnRenamed("baseline", "model")
+    models = cut(A.security_to_index(_arms(spark, d), ("baseline", "date", "h")).withColumnRenamed("baseline", "model"), "models")
     return stats.performance_table(models).select("model", *[_r(c, digits=7) for c in ("mean_loss", "nw_se", "ci_lo", "ci_hi")])
 
 
@@ -774,18 +785,19 @@ o3 AS (SELECT o2.*, b.q AS q_b, coalesce(e.q, q0.q0) AS q_e, CASE WHEN o2.mom_b
 @_query(f"""WITH {OPE} SELECT h_e, round(avg(q_e), 8) + 0 AS "DM", round(avg(iw * yy), 8) + 0 AS "IPS", round(avg(q_e + iw * (yy - q_b)), 8) + 0 AS "DR", round(sum(q_e * index_weight) / (sum(index_weight) + 1e-18), 8) + 0 AS "DM_w",
   round(sum(iw * yy) / (sum(iw) + 1e-12), 8) + 0 AS "IPS_sn", round(pow(sum(iw), 2) / (sum(iw * iw) + 1e-18), 4) AS ess, count(*) AS n FROM o3 GROUP BY ROLLUP (h_e)""", totals=("h_e",))
 def ope_dr_groupmean(spark: SparkSession, d: str) -> DataFrame:
-    out = ope.evaluate_group_mean(_ope_rows(spark, d), CFG)
+    out = ope.evaluate_group_mean(cut(_ope_rows(spark, d), "ope"), CFG)
     return out.select("h_e", *[_r(c, digits=8) for c in ("DM", "IPS", "DR", "DM_w", "IPS_sn")], _r("ess", digits=4), "n")
 
 
 @_query(totals=("h_e",))
 def ope_dr_forest(spark: SparkSession, d: str) -> DataFrame:
-    return ope.evaluate_forest(_ope_rows(spark, d), _scored(spark, d), CFG)[1]
+    return ope.evaluate_forest(_ope_rows(spark, d), _scored(_table(spark, d)), CFG)[1]
 
 
 @_query()
 def value_function_oof(spark: SparkSession, d: str) -> DataFrame:
-    return causal.value_function(_scored(spark, d), _choices(spark, d), CFG)
+    t = _table(spark, d)
+    return causal.value_function(_scored(t), _choices(t), CFG)
 
 
 @_query(f"WITH {ACTIONS} SELECT DISTINCT momentum || '|h=' || h AS arm FROM (SELECT momentum, h FROM actions UNION ALL SELECT momentum, h FROM choices)")
@@ -797,7 +809,7 @@ def union_distinct_actions(spark: SparkSession, d: str) -> DataFrame:
 
 # Policies.
 def _feature_table(spark: SparkSession, d: str) -> DataFrame:
-    return plan.feature_table(sales_panel(spark, d), CFG)
+    return cut(plan.feature_table(sales_panel(spark, d), CFG), "features")
 
 
 @_query()
