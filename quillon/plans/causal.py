@@ -15,6 +15,7 @@ from quillon.operators.splits import purged_folds
 from quillon.plans.stats import block_bootstrap, newey_west
 from quillon.sources.intermediate import cut
 
+# The inputs of outcome models.
 CONTEXT = ("ret_vol20_z", "idx_vol_z", "spread_z", "duration_z", "ret_autocorr_z", "spread_percentile", "vol_percentile", "index_weight")
 
 

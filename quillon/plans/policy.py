@@ -25,16 +25,22 @@ from quillon.operators.splits import sample_rows
 from quillon.plans.features import split_dates, test_slice
 
 DIM = 10
+# How heads start, how far weights may go, how crossed bounds are drawn together.
+HEAD_SEED, HEAD_SPREAD, HEAD_OFFSET, HEAD_CAP, DRAW_TOGETHER = 23, 0.01, 0.001, 1e3, 0.1
+# When a posterior is checked, when it is too ill-conditioned, and what mends it.
+CHECK_EVERY, MOST_CONDITION, RIDGE, STRONG_RIDGE, LEAST_EIGENVALUE = 1000, 1e10, 1e-6, 1e-5, 1e-6
+#: Half the width given to an interval whose adjusted bounds cross.
+HALF_CROSSED = 1e-6
 
 
 class QuantileHead:
     """A linear lower and upper quantile, moved by pinball gradients."""
 
-    def __init__(self, cfg: Config, dim: int = DIM, cap: float = 1e3):
-        draw = np.random.default_rng(23)
-        self.low, self.high = draw.normal(0, 0.01, dim), draw.normal(0, 0.01, dim)
-        self.low[0] -= 0.001
-        self.high[0] += 0.001
+    def __init__(self, cfg: Config, dim: int = DIM, cap: float = HEAD_CAP):
+        draw = np.random.default_rng(HEAD_SEED)
+        self.low, self.high = draw.normal(0, HEAD_SPREAD, dim), draw.normal(0, HEAD_SPREAD, dim)
+        self.low[0] -= HEAD_OFFSET
+        self.high[0] += HEAD_OFFSET
         self.cfg, self.cap = cfg, cap
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,8 +56,8 @@ class QuantileHead:
         a, b = float(self.low @ x), float(self.high @ x)
         if a > b:
             middle = (a + b) / 2
-            self.low = self.low + 0.1 * (middle - was[0]) * x
-            self.high = self.high + 0.1 * (was[1] - middle) * x
+            self.low = self.low + DRAW_TOGETHER * (middle - was[0]) * x
+            self.high = self.high + DRAW_TOGETHER * (was[1] - middle) * x
 
 
 class Calibrator:
@@ -83,29 +89,52 @@ def weighted_quantile(v: np.ndarray, w: np.ndarray, q: float) -> float:
     return float(v[order][min(int(np.searchsorted(total, q * total[-1], side="right")), len(v) - 1)])
 
 
+def _root(a: np.ndarray) -> np.ndarray | None:
+    """The lower Cholesky factor; None for what is not positive definite."""
+    try:
+        return np.linalg.cholesky(a)
+    except np.linalg.LinAlgError:
+        return None
+
+
+def _lifted(a: np.ndarray) -> np.ndarray:
+    """The nearest symmetric matrix without eigenvalues below the least one."""
+    values, vectors = np.linalg.eigh(a)
+    out = (vectors * np.maximum(values, LEAST_EIGENVALUE)) @ vectors.T
+    return (out + out.T) / 2
+
+
 class ThompsonArm:
     """A linear posterior: precision and moment sums, both additive over outcomes."""
 
     def __init__(self, lam: float, noise: float, dim: int = DIM):
-        self.precision, self.moment, self.noise = lam * np.eye(dim), np.zeros(dim), noise
+        self.precision, self.moment, self.noise, self.updates = lam * np.eye(dim), np.zeros(dim), noise, 0
 
-    def draw(self, rng: np.random.Generator) -> np.ndarray:
-        """Parameters from the posterior; an ill-conditioned precision is regularised, an indefinite one repaired."""
+    def _mend(self) -> np.ndarray:
+        """Make the precision finite, symmetric and positive definite by the least change that does; its root."""
         a = np.nan_to_num((self.precision + self.precision.T) / 2, nan=0.0, posinf=0.0, neginf=0.0)
-        if not np.linalg.cond(a) <= 1e10:
-            a = a + 1e-6 * np.eye(len(a))
-        try:
-            root = np.linalg.cholesky(a)
-        except np.linalg.LinAlgError:
-            values, vectors = np.linalg.eigh(a + 1e-5 * np.eye(len(a)))
-            a = vectors @ np.diag(np.maximum(values, 1e-6)) @ vectors.T
-            root = np.linalg.cholesky((a + a.T) / 2)
-        self.precision = a
-        return np.linalg.solve(a, self.moment) + math.sqrt(self.noise) * np.linalg.solve(root.T, rng.normal(size=len(a)))
+        one = np.eye(len(a))
+        if self.updates and self.updates % CHECK_EVERY == 0 and _root(a) is None:
+            a = _lifted(a)
+        if not np.linalg.cond(a) <= MOST_CONDITION:
+            a = a + RIDGE * one
+        # As it is, else with a stronger ridge, else with its eigenvalues lifted.
+        for make in (lambda: a, lambda: a + STRONG_RIDGE * one, lambda: _lifted(a + STRONG_RIDGE * one)):
+            self.precision = make()
+            root = _root(self.precision)
+            if root is not None:
+                return root
+        raise np.linalg.LinAlgError("the precision cannot be mended")
+
+    def draw(self, rng: np.random.Generator) -> np.ndarray:
+        """Parameters from the posterior."""
+        root = self._mend()
+        return np.linalg.solve(self.precision, self.moment) + math.sqrt(self.noise) * np.linalg.solve(root.T, rng.normal(size=len(root)))
 
     def update(self, x: np.ndarray, reward: float) -> None:
         self.precision += np.outer(x, x)
         self.moment += reward * x
+        self.updates += 1
 
 
 @dataclass(frozen=True)
@@ -198,7 +227,7 @@ class Simulation:
                 l_adj, u_adj = float(a - q), float(b + q)
                 if l_adj > u_adj:
                     middle = (l_adj + u_adj) / 2
-                    l_adj, u_adj = middle - 1e-6, middle + 1e-6
+                    l_adj, u_adj = middle - HALF_CROSSED, middle + HALF_CROSSED
                 out.append({"date": date, "id": ids[i], "momentum": arm[0], "h": h, "alpha": alpha, "x": x[i], "l_raw": float(a), "u_raw": float(b), "l": l_adj, "u": u_adj, "qhat": q, "buffer": len(cal.scores), "support": int(support[i]), "matures": maturity[i, horizons.index(h)]})
         out.sort(key=lambda r: r["id"])
         return out

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import fixed_arm, regime
-from quillon.operators.aggregates import histogram_of_range, per_security, percentile
+from quillon.operators.aggregates import by_horizon, coverage_statistics, histogram_of_range, per_security, percentile
 from quillon.operators.windows import lagged_outcome, rolling_mean, rolling_std
+from quillon.plans.stats import binomial_p_value
+from quillon.sources.files import write_text
 
 
 def rolling_coverage(index: DataFrame, n: int = 60) -> DataFrame:
@@ -122,17 +123,31 @@ def markdown_table(df: DataFrame, limit: int = 50) -> str:
     return "\n".join("| " + " | ".join(r) + " |" for r in [df.columns, ["---"] * len(df.columns), *cells])
 
 
-def write_report(path: str, title: str, sections: Mapping[str, DataFrame | str]) -> str:
-    """A Markdown report of text and small tables; returns it."""
+def write_report(path: str, title: str, sections: Mapping[str, DataFrame | str], spark: SparkSession | None = None) -> str:
+    """A Markdown report of text and small tables, on the driver's disk or in a store; returns it."""
     parts = [f"# {title}"]
     for name, body in sections.items():
         parts += [f"## {name}", body if isinstance(body, str) else markdown_table(body)]
     text = "\n\n".join(parts) + "\n"
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(text)
+    if spark is not None:
+        write_text(spark, text, path)
+    else:
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(text)
     return text
 
 
-def manifest(folder: str) -> dict[str, int]:
-    """Files of a results folder and their sizes."""
-    return {os.path.relpath(os.path.join(d, n), folder): os.path.getsize(os.path.join(d, n)) for d, _, names in os.walk(folder) for n in sorted(names)}
+def coverage_document(scores: DataFrame, alpha: float) -> dict:
+    """Coverage overall, by horizon and over dates, and the exact test of the nominal level."""
+    by_h = [r.asDict() for r in coverage_statistics(scores).withColumn("p_value", binomial_p_value("hits", "n", F.lit(1 - alpha))).collect()]  # a row per horizon
+    total = next((r for r in by_h if r["h"] is None), None)
+    if total is None:
+        return {}
+    gap = total["coverage"] - (1 - alpha)
+    return {"overall": total, "nominal": 1 - alpha, "deviation": gap, "deviation_pct": gap / (1 - alpha) * 100, "by_horizon": [r for r in by_h if r["h"] is not None]}
+
+
+def falsification_document(scores: DataFrame, shifts: Sequence[int] = (20,)) -> dict:
+    """Coverage by horizon, and that of outcomes of other dates."""
+    by_h = {str(r["h"]): r["coverage"] for r in by_horizon(scores).select("h", "coverage").collect()}
+    return {"coverage_by_h": by_h, **{f"placebo_cov_k{r['shift']}": r["coverage"] for r in placebo_coverage(scores, shifts).collect()}}

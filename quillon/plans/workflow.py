@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime
-import os
 from collections.abc import Callable
 from dataclasses import asdict
 
@@ -12,17 +11,18 @@ from pyspark.sql import functions as F
 
 from quillon.config import Config
 from quillon.operators import aggregates as A
-from quillon.plans import ablation, causal, ope, report
+from quillon.plans import ablation, causal, ope, report, stats
 from quillon.plans.features import feature_table
 from quillon.plans.policy import Run, baseline_runs, calibrator_audit, daily_choices, run_policies
-from quillon.sources.files import read_json, write_json
+from quillon.sources.files import file_sizes, read_json, read_text, write_json
+from quillon.sources.intermediate import cut
 
 
 class Checkpoint:
     """Which steps are done; an absent or corrupt file means none."""
 
-    def __init__(self, path: str):
-        self.path, self.done = path, dict(read_json(path, {}).get("completed", {}))
+    def __init__(self, path: str, spark: SparkSession | None = None):
+        self.path, self.spark, self.done = path, spark, dict(read_json(path, {}, spark).get("completed", {}))
 
     def run(self, step: str, work: Callable[[], None], force: bool = False) -> bool:
         """Run a step unless it is done; whether it ran."""
@@ -30,20 +30,27 @@ class Checkpoint:
             return False
         work()
         self.done[step] = datetime.datetime.now(datetime.UTC).isoformat()
-        write_json({"completed": self.done}, self.path)
+        write_json({"completed": self.done}, self.path, self.spark)
         return True
 
 
+def report_row(df: DataFrame) -> dict:
+    """The first row of a table as a document."""
+    row = df.first()
+    return row.asDict() if row else {}
+
+
 def run_all(spark: SparkSession, panel: DataFrame, results: str, cfg: Config = Config(), with_ablation: bool = False, force: bool = False, panel_path: str | None = None) -> dict[str, str]:
     """Features, bandit, baselines, counterfactuals, off-policy evaluation, ablation and report under `results`.
 
     Each step reads what earlier ones wrote, so a restart goes on where the last run stopped. The settings
     are saved beside the results, with the panel's path if it is given, for `files.resolve_panel_path`.
     """
-    os.makedirs(results, exist_ok=True)
-    write_json({**asdict(cfg), "alpha_by_h": dict(cfg.alpha_by_h), **({"panel_path": panel_path} if panel_path else {})}, os.path.join(results, "config_resolved.json"))
-    mark = Checkpoint(os.path.join(results, "checkpoint.json"))
-    path = {n: os.path.join(results, f"{n}.parquet") for n in ("features", "policy_scores", "policy_choices", "baseline_scores", "calibrator_audit", "causal_summary", "ope_rows", "ope_summary", "ablation_overview", "ablation_diff", "leaderboard")}
+    results = results.rstrip("/")
+    note = lambda document, name: write_json(document, f"{results}/{name}.json", spark)
+    note({**asdict(cfg), "alpha_by_h": dict(cfg.alpha_by_h), **({"panel_path": panel_path} if panel_path else {})}, "config_resolved")
+    mark = Checkpoint(f"{results}/checkpoint.json", spark)
+    path = {n: f"{results}/{n}.parquet" for n in ("features", "policy_scores", "policy_choices", "baseline_scores", "calibrator_audit", "causal_summary", "ope_rows", "ope_summary", "ablation_overview", "ablation_diff", "leaderboard")}
     read = lambda n: spark.read.parquet(path[n])
     write = lambda df, n: df.write.mode("overwrite").parquet(path[n])
 
@@ -52,7 +59,8 @@ def run_all(spark: SparkSession, panel: DataFrame, results: str, cfg: Config = C
         write(daily_choices(read("policy_scores"), read("features")), "policy_choices")
         overall = A.summary(read("policy_scores")).where("h is null").first().asDict()
         weighted = A.overall_loss(A.with_weights(read("policy_scores"), read("features"), 0.0)).first().asDict()
-        write_json({**overall, **weighted}, os.path.join(results, "analysis.json"))
+        note({**overall, **weighted}, "analysis")
+        note(report.falsification_document(read("policy_scores")), "falsification")
 
     def baselines() -> None:
         write(run_policies(read("features"), baseline_runs(cfg), cfg).withColumn("baseline", F.col("run")), "baseline_scores")
@@ -61,6 +69,7 @@ def run_all(spark: SparkSession, panel: DataFrame, results: str, cfg: Config = C
 
     def counterfactuals() -> None:
         write(causal.policy_metrics(causal.policy_baskets(read("features"), read("policy_choices"), cfg)), "causal_summary")
+        note({"policies": read("causal_summary").count(), "dates": read("policy_choices").count(), "top_fraction": cfg.top_fraction, **report_row(causal.outperformance(read("causal_summary")))}, "causal_meta")
 
     def off_policy() -> None:
         behaviour = read("baseline_scores").where("run = 'random'")
@@ -70,17 +79,41 @@ def run_all(spark: SparkSession, panel: DataFrame, results: str, cfg: Config = C
         scored, total = ope.evaluate_forest(rows, read("features"), cfg)
         write(scored, "ope_rows")
         write(total, "ope_summary")
+        note({"rows": read("ope_rows").count(), "folds": cfg.folds, "scale_mode": cfg.scale_mode, "behaviour": "random"}, "ope_meta")
 
     def ablations() -> None:
         overview, diff = ablation.run_ablation(read("features"), cfg)
         write(overview, "ablation_overview")
         write(diff, "ablation_diff")
+        note({"variants": sorted(r[0] for r in read("ablation_overview").select("variant").distinct().collect()), "rows": read("ablation_diff").count()}, "ablation_meta")
 
     def reporting() -> None:
-        index = A.security_to_index(A.with_weights(read("policy_scores"), read("features")))
-        sections = {"By horizon": A.by_horizon(read("policy_scores")).orderBy("h"), "Calibration": report.calibration_gap(index).orderBy("h"), "Baselines": read("leaderboard").orderBy("mean_loss_scaled"), "Counterfactuals": read("causal_summary").orderBy("policy")}
-        report.write_report(os.path.join(results, "report.md"), "Results", sections)
-        write_json(report.manifest(results), os.path.join(results, "manifest.json"))
+        scores, weighted = read("policy_scores"), A.with_weights(read("policy_scores"), read("features"))
+        index = cut(A.security_to_index(weighted), "index")
+        board, base = read("leaderboard"), A.with_weights(read("baseline_scores"), read("features"))
+        models = cut(A.security_to_index(base, ("baseline", "date", "h")), "models")
+        loss = A.overall_loss(weighted).first()["overall_weighted"]
+        days = lambda df, *by: df.groupBy(*by, "date").agg(F.avg("loss_scaled").alias("loss"))
+        every = models.select(F.col("baseline").alias("model"), "date", "h", "loss_scaled").unionByName(index.select(F.lit("policy").alias("model"), "date", "h", "loss_scaled"))
+        sections = {
+            "Overall": A.summary(scores),
+            "By horizon": A.by_horizon(scores).orderBy("h"),
+            "Calibration": report.calibration_gap(index).orderBy("h"),
+            "Coverage": A.coverage_statistics(scores).orderBy("h"),
+            "Observations": A.observation_counts(scores),
+            "Best and worst securities": A.top_bottom(A.per_security(scores), 10),
+            "Baselines": board.orderBy("mean_loss_scaled"),
+            "Improvement": report.improvements(board, loss),
+            "Significance": stats.significance_table(days(index), days(models, "baseline")).orderBy("baseline"),
+            "Performance": stats.performance_table(every).orderBy("mean_loss"),
+            "Counterfactuals": read("causal_summary").orderBy("policy"),
+            **({"Off-policy evaluation": read("ope_summary").orderBy("h_e")} if "ope" in mark.done and read_text(spark, f"{results}/ope_meta.json") else {}),
+            **({"Ablation": read("ablation_overview").orderBy("variant", "scope")} if "ablation" in mark.done else {}),
+        }
+        note(report.coverage_document(scores, cfg.alpha), "coverage_statistics")
+        note(report_row(A.observation_counts(scores)), "observation_counts")
+        report.write_report(f"{results}/report.md", "Results", sections, spark)
+        note(file_sizes(spark, results), "manifest")
 
     mark.run("features", lambda: write(feature_table(panel, cfg), "features"), force)
     steps = [("bandit", bandit), ("baselines", baselines), ("causal", counterfactuals), ("ope", off_policy), *([("ablation", ablations)] if with_ablation else []), ("report", reporting)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 import os
 import warnings
@@ -9,6 +10,7 @@ import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator, Mapping
 from functools import reduce
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.utils import AnalysisException
 
-from quillon.schema import PANEL, enforce_schema, normalize_quotes, rename_synonyms, require
+from quillon.schema import PANEL, RAW_HEADERS, enforce_schema, normalize_quotes, rename_synonyms, require
 
 
 def scan(spark: SparkSession, path: str, schema: T.StructType | None = None, any_suffix: bool = False) -> DataFrame:
@@ -61,18 +63,42 @@ def universe_pattern(universe: str) -> str:
     return f"*{universe.upper()}*.xlsx"
 
 
+def _parse_workbooks(batches: Iterator) -> Iterator:
+    """For mapInPandas over (path, content): a row per quote with its cells by header, or one with the error."""
+    import pandas as pd
+
+    for batch in batches:
+        for path, content in zip(batch["path"], batch["content"], strict=True):
+            out, error = [], None
+            try:
+                rows = workbook_rows(io.BytesIO(content))
+                head = [h or f"column_{i}" for i, h in enumerate(next(rows, []))]
+                for name in ("date", "debenture_id"):
+                    if not set(RAW_HEADERS[name][0]) & set(head):
+                        raise ValueError(f"no column for {name}")
+                out = [{h: v for h, v in zip(head, row, strict=False) if v is not None} for row in rows]
+            except (ValueError, KeyError, zipfile.BadZipFile, ET.ParseError) as e:
+                out, error = [{}], str(e) or type(e).__name__
+            yield pd.DataFrame({"path": path, "error": error, "cells": out})
+
+
 def scan_folder(spark: SparkSession, folder: str, universe: str) -> DataFrame | None:
-    """All workbooks of a universe, normalised and united; unreadable ones are skipped with a warning."""
-    import fnmatch
+    """All workbooks of a universe, normalised and united; unreadable ones are skipped with a warning.
 
-    names = sorted(n for n in os.listdir(folder) if fnmatch.fnmatch(n.upper(), universe_pattern(universe).upper())) if os.path.isdir(folder) else []
-    frames = []
-    for name in names:
-        try:
-            frames.append(normalize_quotes(read_workbook(spark, os.path.join(folder, name)), universe))
-        except (ValueError, KeyError, zipfile.BadZipFile, ET.ParseError) as e:
-            warnings.warn(f"{name} was skipped: {e}", stacklevel=2)
-    return union_all(frames)
+    The folder may lie in any store that Spark reads; each workbook is parsed by the task that reads it.
+    A folder that is absent or holds none gives None.
+    """
+    try:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", universe_pattern(universe)).load(folder).select("path", "content")
+        if files.select("path").isEmpty():
+            return None
+    except AnalysisException:
+        return None
+    parsed = files.mapInPandas(_parse_workbooks, "path string, error string, cells map<string,string>")
+    for r in parsed.where("error is not null").select("path", "error").collect():  # a row per file
+        warnings.warn(f"{r['path'].rsplit('/', 1)[-1]} was skipped: {r['error']}", stacklevel=2)
+    raw = parsed.where("error is null").select(*[F.col("cells")[h].alias(h) for headers, _ in RAW_HEADERS.values() for h in headers])
+    return normalize_quotes(raw, universe)
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame | None:
@@ -94,7 +120,7 @@ def _column_number(reference: str) -> int:
     return n - 1
 
 
-def workbook_rows(path: str) -> Iterator[list[str | None]]:
+def workbook_rows(path: str | BinaryIO) -> Iterator[list[str | None]]:
     """The first sheet's rows as text, cells in place, read as a stream."""
     with zipfile.ZipFile(path) as book:
         shared: list[str] = []
@@ -167,15 +193,51 @@ def to_json_rows(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
 
 
-def write_json(document: Mapping, path: str) -> None:
-    """A driver-side document."""
+def _in_store(spark: SparkSession, path: str) -> tuple:
+    """The path and its file system, as Spark's writers reach them."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small text file in the store that the path names, beside tables that tasks write there."""
+    target, store = _in_store(spark, path)
+    out = store.create(target, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file of any store; None if it is absent."""
+    target, store = _in_store(spark, path)
+    return spark.read.text(path, wholetext=True).first()[0] if store.exists(target) else None
+
+
+def file_sizes(spark: SparkSession, folder: str) -> dict[str, int]:
+    """Bytes of every file below a folder of any store."""
+    target, store = _in_store(spark, folder)
+    found, files, root = {}, store.listFiles(target, True), store.makeQualified(target).toString().rstrip("/")
+    while files.hasNext():
+        one = files.next()
+        found[one.getPath().toString().removeprefix(root).lstrip("/")] = one.getLen()
+    return dict(sorted(found.items()))
+
+
+def write_json(document: Mapping, path: str, spark: SparkSession | None = None) -> None:
+    """A document, on the driver's disk or, given a session, in the store that the path names."""
+    text = json.dumps(document, indent=2, default=str, ensure_ascii=False)
+    if spark is not None:
+        return write_text(spark, text, path)
     with open(path, "w", encoding="utf-8") as f:
-        json.dump(document, f, indent=2, default=str, ensure_ascii=False)
+        f.write(text)
+    return None
 
 
-def read_json(path: str, default: Mapping | None = None) -> dict:
-    """A driver-side document; absent or corrupt gives the default."""
+def read_json(path: str, default: Mapping | None = None, spark: SparkSession | None = None) -> dict:
+    """A document that `write_json` wrote; absent or corrupt gives the default."""
     try:
+        if spark is not None:
+            return json.loads(read_text(spark, path) or "")
         with open(path, encoding="utf-8") as f:
             return json.load(f)
     except (OSError, ValueError):

@@ -62,6 +62,19 @@ def test_arm_survives_bad_matrices():
     assert np.isfinite(arm.draw(rng)).all()
 
 
+def test_arm_is_checked_every_so_many_updates():
+    arm = P.ThompsonArm(1.0, 0.01)
+    arm.precision = np.diag([1.0] * 9 + [-0.5])
+    arm.updates = P.CHECK_EVERY
+    arm.draw(np.random.default_rng(1))
+    # The check lifts what is indefinite; between checks the stronger ridge is tried first.
+    assert np.linalg.eigvalsh(arm.precision).min() >= P.LEAST_EIGENVALUE * 0.99
+    slightly = P.ThompsonArm(1.0, 0.01)
+    slightly.precision = np.diag([1.0] * 9 + [-1e-6])
+    slightly.draw(np.random.default_rng(1))
+    assert np.allclose(np.diag(slightly.precision)[:9], 1 + P.STRONG_RIDGE, atol=2e-6)
+
+
 def test_head_and_calibrator():
     head = P.QuantileHead(CFG)
     x = np.ones(10)

@@ -48,7 +48,10 @@ def test_scans_and_sinks(spark, tmp_path):
     files.write_json({"panel_path": "q.parquet"}, str(tmp_path / "config_resolved.json"))
     assert files.resolve_panel_path(str(tmp_path)) == "q.parquet"
     text = report.write_report(str(tmp_path / "r.md"), "T", {"A": df.orderBy("a"), "B": "words"})
-    assert "| 1 | x |" in text and "words" in text and "r.md" in report.manifest(str(tmp_path))
+    assert "| 1 | x |" in text and "words" in text
+    files.write_json({"é": [1]}, str(tmp_path / "sub/d.json"), spark)
+    assert files.read_json(str(tmp_path / "sub/d.json"), spark=spark) == {"é": [1]} and files.read_json(str(tmp_path / "no.json"), {"x": 1}, spark) == {"x": 1}
+    assert files.file_sizes(spark, str(tmp_path / "sub"))["d.json"] > 5
 
 
 def test_steps_run_once(tmp_path):
