@@ -8,16 +8,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Stretches of a group's values that running sums are taken over side by side.
+PARTS = 64
+
+
 def weighted_quantile(df: DataFrame, by: Sequence[str], value: str, weight: str, q: float, name: str = "q") -> DataFrame:
     """Per group: the first value in ascending order at which the weight up to it exceeds q of all, else the last.
 
     Weights below 0 count as 0; if all are 0 the last value is taken. Equal values are joined first,
-    so an order among them does not matter. Running sums are per group.
+    so an order among them does not matter. A group's values are cut into stretches at approximate
+    quantiles; each stretch's sums run in a task of its own, from what the stretches before it hold.
     """
     merged = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum(F.greatest(F.col(weight), F.lit(0.0))).alias("w"))
-    within = Window.partitionBy(*by)
-    up_to = within.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    laid = merged.withColumn("cw", F.sum("w").over(up_to)).withColumn("tw", F.sum("w").over(within))
+    shares = F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)])
+    cuts = merged.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.percentile_approx(value, shares, F.lit(10_000)).alias("cuts"))
+    same = lambda c: F.col(c).eqNullSafe(F.col(f"__{c}"))
+    placed = merged.join(cuts, [same(c) for c in by]).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col(value)))).select(*by, value, "w", "part")
+    parts = placed.groupBy(*by, "part").agg(F.sum("w").alias("held"))
+    of_group = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("held").over(of_group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    starts = parts.select(*[F.col(c).alias(f"__{c}") for c in (*by, "part")], before.alias("before"), F.sum("held").over(of_group).alias("tw"))  # PARTS rows a group
+    up_to = Window.partitionBy(*by, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    laid = placed.join(starts, [same(c) for c in (*by, "part")]).withColumn("cw", F.col("before") + F.sum("w").over(up_to))
     chosen = laid.groupBy(*by).agg(F.min(F.when(F.col("cw") > q * F.col("tw"), F.col(value))).alias("a"), F.max(value).alias("b"))
     return chosen.select(*by, F.coalesce("a", "b").alias(name))
 
