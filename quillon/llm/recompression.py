@@ -353,7 +353,13 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _remove(docs: DataFrame, finish, schema: str) -> DataFrame:  # noqa: ANN001
     # Rows that share an id are told apart by their text's hash; rows alike in both share their repeats.
+    # Ids of one text need no hash: a 0 in its place takes no room in the exchanges.
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("th"), F.col("text"))
+    shared = base.groupBy("id").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b").select("id", F.lit(True).alias("shared"))
+    if shared.isEmpty():
+        base = base.withColumn("th", F.lit(0).cast("long"))
+    else:
+        base = base.join(shared, "id", "left").select("id", F.when(F.col("shared"), F.col("th")).otherwise(F.lit(0)).alias("th"), "text")
     bits, run = F.shiftright("x", _PLACE_BITS), F.col("x").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
     place = F.struct("id", "run")
 
