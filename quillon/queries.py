@@ -752,9 +752,12 @@ def performance_table(spark: SparkSession, d: str) -> DataFrame:
     return stats.performance_table(models).select("model", *[_r(c, digits=7) for c in ("mean_loss", "nw_se", "ci_lo", "ci_hi")])
 
 
-@_query(totals=("h",))
+@_query(f"""WITH {FIXED}, every AS (SELECT h, sum(covered) AS k, count(*) AS n FROM fixed GROUP BY ROLLUP (h)), p AS (SELECT CAST(1 AS DOUBLE) - CAST({CFG.alpha} AS DOUBLE) AS p),
+mass AS (SELECT h, k, n, i, exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p) + (n - i) * ln(1 - p)) AS m FROM every, p, LATERAL (SELECT unnest(range(n + 1)) AS i)),
+here AS (SELECT h, m AS limit_ FROM mass WHERE i = k)
+SELECT mass.h AS h, CAST(any_value(k) AS BIGINT) AS hits, any_value(n) AS n, round(least(sum(CASE WHEN m <= limit_ * (1 + 1e-7) THEN m ELSE 0 END), 1), 6) AS p_value FROM mass JOIN here ON mass.h IS NOT DISTINCT FROM here.h GROUP BY mass.h""", totals=("h",))
 def binomial_test(spark: SparkSession, d: str) -> DataFrame:
-    return A.coverage_statistics(_fixed(spark, d)).select("h", "hits", "n", stats.binomial_p_value("hits", "n", F.lit(1 - CFG.alpha)).alias("p_value"))
+    return A.coverage_statistics(_fixed(spark, d)).select("h", "hits", "n", _r(stats.binomial_p_value("hits", "n", F.lit(1 - CFG.alpha)), "p_value"))
 
 
 # Off-policy evaluation, actions, sets.

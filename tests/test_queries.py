@@ -41,7 +41,7 @@ def test_same_as_sql(spark, duck, name):
     assert not different, different[:3]
 
 
-@pytest.mark.parametrize("name", ["significance_table", "binomial_test", "bandit_run"])
+@pytest.mark.parametrize("name", ["significance_table", "bandit_run"])
 def test_runs(spark, name):
     assert queries()[name](spark, SF).count() > 0
 
