@@ -2,33 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.sources.intermediate import shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the test data, by a path that only Spark's readers need to understand."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`.
-
-    It is set to a temporary folder only if the session names none, as in tests on one machine.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
-    return context.getCheckpointDir().rstrip("/")
-
-
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new path for a written intermediate in the shared folder."""
     return f"{shared_dir(spark)}/quillon/{label}-{uuid.uuid4().hex}"
