@@ -187,16 +187,18 @@ class Names(Slots):
     def __init__(self) -> None:
         super().__init__((np.uint64, np.uint64, np.int64, bool))
 
-    def told(self, name: np.ndarray, around: np.ndarray, more: np.ndarray) -> np.ndarray:
-        """Which rows bear a name that the task has given in two surroundings already (no two of the rows share a name)."""
+    def told(self, name: np.ndarray, around: np.ndarray, more: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Which rows bear a name that the task has given as one to check already: in two surroundings, or marked so.
+
+        No two of the rows share a name; `check` says which are marked themselves.
+        """
         slot, held = self.look(name)
         same = self.filled[slot] & (held[0] == name)
-        other = same & ((held[1] != around) | (held[2] != more))
-        out = other & held[3]
-        self.put(slot, (name, around, more, np.zeros(len(name), dtype=bool)), same, np.zeros(len(name), dtype=bool))
+        other = same & (check | (held[1] != around) | (held[2] != more))
+        self.put(slot, (name, around, more, check), same, np.zeros(len(name), dtype=bool))
         mine = other & (self.columns[0][slot] == name)  # a slot may have gone to another of the rows
         self.columns[3][slot[mine]] = True
-        return out
+        return other & held[3]
 
 
 def _own(names: np.ndarray, *place: np.ndarray) -> np.ndarray:
@@ -254,8 +256,8 @@ def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             alone = np.flatnonzero(~same_name & (known == _OPEN))
             after = bearers.later(*(z[alone] for z in (names, around, more, own, start)))
             known[alone[after]] = _LATER
-            apart = alone[~after]
-            apart = apart[given.told(names[apart], around[apart], more[apart])]
+            apart = np.flatnonzero(~same_name & (known != _LATER))
+            apart = apart[given.told(names[apart], around[apart], more[apart], known[apart] == _CHECK)]
             known[apart] = _CHECK
             own_name = same_name
             own_name[alone[after]] = own_name[apart] = True

@@ -54,6 +54,8 @@ def test_a_passage_in_every_block(spark, monkeypatch):
     for bits in (4, 18):
         monkeypatch.setattr(recompression.Slots, "BITS", bits)
         given = pa.Table.from_batches(recompression._symbols(batch.slice(i, 1) for i in range(90)))
+        wide = pa.Table.from_batches(recompression._symbols(batch.slice(i, 6) for i in range(0, 90, 6)))
+        assert np.unique(wide.column("name").to_numpy(), return_counts=True)[1].max() <= (15 if bits == 4 else 8)
         hot.append(np.unique(given.column("name").to_numpy(), return_counts=True)[1].max())
         assert _found(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == _plain(rows)
     assert hot[1] <= 8 and hot[1] <= hot[0]
