@@ -68,7 +68,7 @@ def test_registered_over_the_whole_job(monkeypatch):
     monkeypatch.setattr(q.ope, "evaluate_forest", lambda *a, **k: (None, seen.setdefault("ope", (a[2], k)) and _Frame()))
     monkeypatch.setattr(q.causal, "value_function", lambda *a, **k: seen.setdefault("value", (a[2], k)) and _Frame())
     monkeypatch.setattr(q.ablation, "run_ablation", lambda *a, **k: (seen.setdefault("ablation", (a[1:], k)) and _Frame(), None))
-    for name in ("_ope_rows", "_scored", "_choices", "_feature_table"):
+    for name in ("_ope_rows", "_scored", "_choices", "_feature_table", "_table"):
         monkeypatch.setattr(q, name, lambda *_: None)
     monkeypatch.setattr(q, "_as_text", lambda df, totals=(): df)
     for name in ("ope_dr_forest", "value_function_oof", "ablation_overview"):
