@@ -69,6 +69,24 @@ def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.whitening import whitening_digest
+
+    return whitening_digest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_louds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.tries import trie_digest
+
+    return trie_digest(table(spark, sf_dir, "conversations"))
+
+
+def op13_harmonic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.packing import packing_digest
+
+    return packing_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query, in the order of the operators."""
     named = [f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()]
@@ -153,7 +171,41 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM docs LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 """
 
+# CRC-32 is taken bit by bit, from the polynomial 0xEDB88320.
+OP12_SQL = r"""
+WITH ranked AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS k, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list(md5(concat(strlen(role), ':', role, text)) ORDER BY k) AS t,
+    list(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) ORDER BY k) AS w FROM ranked GROUP BY conv_id
+), heads AS (
+  SELECT conv_id, t, w, xor(list_reduce(list_prepend(4294967295, list_transform(str_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda s, b: list_reduce(list_prepend(xor(s, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)), 4294967295) % 4 AS h
+  FROM own
+), rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.t[1 : c.h], []), c.t[c.h + 1 :]) AS t, list_concat(coalesce(b.w[1 : c.h], []), c.w[c.h + 1 :]) AS w
+  FROM heads c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20
+), steps AS (
+  SELECT conv_id, d, md5(array_to_string(t[1 : d], ',')) AS node, CASE WHEN d > 0 THEN md5(array_to_string(t[1 : d - 1], ',')) END AS up,
+    CASE WHEN d > 0 THEN w[d] ELSE 0 END AS words, d = len(t) AS ends
+  FROM rebuilt, LATERAL (SELECT unnest(generate_series(0, len(t))) AS d)
+), nodes AS (
+  SELECT d, node, any_value(up) AS up, any_value(words) AS words, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM steps GROUP BY d, node
+), kids AS (SELECT d - 1 AS d, up AS node, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY d, up),
+told AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids USING (d, node)),
+below AS (
+  SELECT s.d, s.node, sum(CASE WHEN n.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved_tokens
+  FROM told n JOIN steps s ON s.conv_id = n.conv_id AND s.d <= n.d GROUP BY s.d, s.node
+)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs, CAST(n.n_children AS BIGINT) AS n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM told n JOIN below USING (d, node) LEFT JOIN nodes p ON p.d = n.d - 1 AND p.node = n.up
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Name -> DuckDB SQL with the same result."""
-    return {"op2_warc_revisits": OP2_SQL, "op6_recompression": OP6_SQL, "op7_min_max_hash": OP7_SQL, "op10_wu_manber": OP10_SQL}
+    return {"op2_warc_revisits": OP2_SQL, "op6_recompression": OP6_SQL, "op7_min_max_hash": OP7_SQL, "op10_wu_manber": OP10_SQL, "op12_louds": OP12_SQL}
