@@ -15,9 +15,11 @@ is given to the tokenizer once, as far as a worker remembers it.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,8 @@ _CLASS_OF = np.full(256, _MARK, dtype=np.uint8)
 _CLASS_OF[~NOT_BLANK] = _BLANK
 _CLASS_OF[0x41:0x5B], _CLASS_OF[0x61:0x7B] = _LETTER, _LETTER
 _CLASS_OF[0x27], _CLASS_OF[0x80:] = _GLUE, _GLUE
+#: Whether a word begins at a byte, by the classes of the byte before (times 4) and its own.
+_BEGINS = np.array([b != _BLANK and (a == _BLANK or {a, b} == {_LETTER, _MARK}) for a in range(4) for b in range(4)])
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -60,6 +64,7 @@ class Encoder:
     def __init__(self, name: str, remembered: int = REMEMBERED) -> None:
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker per core
         self._tokenizer = Tokenizer.from_file(tokenizer_path(name))
         self._special = [t.content.encode() for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._known: dict[str, bytes] = {}
@@ -70,13 +75,15 @@ class Encoder:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def _of_words(self, words: list[str]) -> list[bytes]:
-        new = [w for w in words if w not in self._known]
+        out = [*map(self._known.get, words)]
+        new = [i for i, ids in enumerate(out) if ids is None]
         if new:
             if len(self._known) + len(new) > self._remembered:
-                self._known, new = {}, words
-            for w, e in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self._known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [self._known[w] for w in words]
+                self._known = {}
+            for i, e in zip(new, self._tokenizer.encode_batch_fast([words[i] for i in new], add_special_tokens=False), strict=True):
+                ids = e.ids
+                out[i] = self._known[words[i]] = pack(f"<{len(ids)}I", *ids)
+        return out
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (unsigned 32 bits) of the texts that lie one after the other in `data`, and where each begins."""
@@ -88,19 +95,19 @@ class Encoder:
         inside = kind != _BLANK
         begins = inside.copy()
         if len(data):
-            begins[1:] &= ~inside[:-1] | (kind[1:] + kind[:-1] == _LETTER + _MARK) & (kind[1:] != kind[:-1]) & (kind[1:] != _GLUE) & (kind[:-1] != _GLUE)
+            begins[1:] = _BEGINS[kind[:-1] * np.uint8(4) + kind[1:]]
             heads = offsets[:-1][offsets[:-1] < len(data)]
             begins[heads] = inside[heads]
         starts = np.flatnonzero(begins)
         first = np.searchsorted(starts, offsets)
         if not len(starts):
             return np.zeros(0, dtype="<u4"), np.zeros(len(offsets), dtype=np.int64)
-        packed, word = data[inside], np.cumsum(begins[inside]) - 1
-        plain = np.ones(len(starts), dtype=bool)
-        plain[word[packed >= 0x80]] = False
-        packed = np.where(plain[word], LOWER[packed], packed)  # the tokenizer folds case; composing comes first, so only where nothing composes
-        ends = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(starts)))]).astype(np.int64)
-        words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(packed.tobytes())).dictionary_encode()
+        packed = data[inside]
+        ends = np.append(np.flatnonzero(begins[inside]), len(packed))
+        # The tokenizer folds case; as it composes letters before, words are folded here only where nothing composes.
+        plain = np.maximum.reduceat(packed, ends[:-1]) < 0x80
+        packed = np.where(np.repeat(plain, np.diff(ends)), LOWER[packed], packed)
+        words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(packed)).dictionary_encode()
         found = self._of_words(words.dictionary.to_pylist())
         length = np.array([len(b) // 4 for b in found], dtype=np.int64)
         begin = np.cumsum(length) - length
