@@ -7,8 +7,9 @@ whole rounds of its blocks are taken first, and a seeded permutation picks the r
 share is the words it has in the blocks taken. Every count is an integer and every rerun agrees.
 
 Sources are rows of a table, however many there are: they are numbered, capped and given their seats by
-aggregations over it, of which the driver sees sums only. Texts are read once to count their words, into
-a narrow table by place in the input; the mix itself reads them again and joins by that place.
+aggregations over it, of which the driver sees sums only. Rows are numbered once, as they are written
+with the words they have, and known by that number from there on: a second read of the input could cut it
+otherwise. The shares are computed from the written table's narrow columns and joined to its rows by number.
 """
 
 from __future__ import annotations
@@ -208,10 +209,16 @@ def _taken(seed: int):  # noqa: ANN202
     return taken
 
 
-def _laid(docs: DataFrame, block_words: int, rows_per_shard: int, seed: int) -> DataFrame:
-    """(place, doc_id, size, source_size, target, taken, number, shard, order) of every row of (doc_id, source, text)."""
+def _numbered_rows(docs: DataFrame, seed: int, columns: Sequence[str] = ()) -> DataFrame:
+    """(place, doc_id, source, order, size, c_...) of every row, written: its number, what the mix needs, and the `columns` asked for."""
     order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("order")
-    sized = cut(docs.select(F.monotonically_increasing_id().alias("place"), "doc_id", "source", order, word_count(F.col("text")).alias("size")), "sizes")
+    own = [F.col(f"`{c}`").alias(f"c_{c}") for c in columns]
+    return cut(docs.select(F.monotonically_increasing_id().alias("place"), "doc_id", "source", order, word_count(F.col("text")).alias("size"), *own), "sizes")
+
+
+def _laid(numbered: DataFrame, block_words: int, rows_per_shard: int, seed: int) -> DataFrame:
+    """(place, doc_id, size, source_size, target, taken, number, shard, order) of every row of `_numbered_rows`."""
+    sized = numbered.select("place", "doc_id", "source", "order", "size")
     sources = _numbered(sized)
     rows = sources.agg(F.sum("n")).first()[0] or 0
     share = _share(sources)
@@ -242,23 +249,19 @@ def _laid(docs: DataFrame, block_words: int, rows_per_shard: int, seed: int) ->
     return laid.withColumn("taken", _taken(seed)("number", "shard", "start", "size", "held", "blocks", "quota"))
 
 
-def _placed(docs: DataFrame) -> DataFrame:
-    """`docs`, its columns as c_..., with the row's place, by which `_laid` knows it."""
-    return docs.select(*[F.col(f"`{c}`").alias(f"c_{c}") for c in docs.columns], F.monotonically_increasing_id().alias("place"))
-
-
 def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, rows_per_shard: int = ROWS_PER_SHARD, seed: int = SEED) -> DataFrame:
     """`docs` with size, source_size, target, taken: the words the mix takes of each row, repeats counted.
 
     Null text has no words and is never taken. Null source is a source of its own, the last one. Rows
     that repeat count each for themselves; their shares are dealt in a fixed order. An empty table
-    gives an empty one. Columns of the input named as the new ones are replaced. `docs` must come from
-    files or another source that is read alike each time.
+    gives an empty one. Columns of the input named as the new ones are replaced. `docs` is read once.
     """
     new = ["size", "source_size", "target", "taken"]
-    laid = _laid(docs, block_words, rows_per_shard, seed)
-    kept = [F.col(f"`c_{c}`").alias(c) for c in docs.columns if c not in new]
-    return _placed(docs).join(laid.select("place", *new), "place").select(*kept, *new)
+    kept = [c for c in docs.columns if c not in new]
+    numbered = _numbered_rows(docs, seed, kept)
+    laid = _laid(numbered, block_words, rows_per_shard, seed)
+    wide = numbered.select("place", *[F.col(f"`c_{c}`") for c in kept])
+    return wide.join(laid.select("place", *new), "place").select(*[F.col(f"`c_{c}`").alias(c) for c in kept], *new)
 
 
 def mixed_copies(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -268,17 +271,19 @@ def mixed_copies(docs: DataFrame, seed: int = SEED) -> DataFrame:
     size, the parts add up to whole rows: a shard's words end within one of its documents of its quota.
     Rows without words are not taken. Nulls, repeated rows and empty tables are as in `mix_sources`.
     """
-    laid = _laid(docs, BLOCK_WORDS, ROWS_PER_SHARD, seed).where("size > 0")
+    numbered = _numbered_rows(docs, seed, docs.columns)
+    laid = _laid(numbered, BLOCK_WORDS, ROWS_PER_SHARD, seed).where("size > 0")
     part = F.floor((F.col("taken") % F.col("size")) * F.lit(_ONE) / F.col("size")).cast("long")
     upto = Window.partitionBy("number", "shard").orderBy("size", "order", "place").rowsBetween(Window.unboundedPreceding, 0)
     from_ = F.pmod(F.xxhash64(F.lit(seed + 2), "number", "shard"), F.lit(_ONE))
     summed = laid.withColumn("part", part).withColumn("sum", F.sum("part").over(upto) + from_)
     extra = F.floor(F.col("sum") / _ONE) - F.floor((F.col("sum") - F.col("part")) / _ONE)
     times = summed.select("place", (F.floor(F.col("taken") / F.col("size")) + extra).cast("int").alias("times")).where("times > 0")
-    repeated = _placed(docs).join(times, "place").withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("times"))))
+    wide = numbered.select("place", *[F.col(f"`c_{c}`") for c in docs.columns])
+    repeated = wide.join(times, "place").withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("times"))))
     return repeated.select(*[F.col(f"`c_{c}`").alias(c) for c in docs.columns])
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
     """The contract's columns for every document; nulls, repeated rows and empty tables as in `mix_sources`."""
-    return _laid(docs, BLOCK_WORDS, ROWS_PER_SHARD, SEED).select("doc_id", "size", "source_size", "target", "taken")
+    return _laid(_numbered_rows(docs, SEED), BLOCK_WORDS, ROWS_PER_SHARD, SEED).select("doc_id", "size", "source_size", "target", "taken")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.storage import cut, drop_cut
+from quillon.llm.storage import cut
 
 #: How far a shard's boundary may lie from its exact place, as a share of a shard.
 TOLERANCE = 0.004
@@ -170,13 +170,12 @@ def histogram_sort(rows: DataFrame, major: str, minor: str, size: str, n_shards:
 
     `major`, `minor` and `size` name long columns without nulls. Shards are near equal in the sum of
     `size`. Rows with both keys equal are told apart by their place in the input (partition and row), so
-    they are cut like others; `rows` must therefore come from files or another source that is read alike
-    each time. An empty table gives an empty one. Other columns pass through.
+    they are cut like others. `rows` is read once and written with its places, as a second read could cut
+    the input otherwise; rounds read the keys of what was written. An empty table gives an empty one. Other
+    columns pass through.
     """
-    placed = rows.withColumn("__t", F.xxhash64(F.monotonically_increasing_id()))
-    keys = cut(placed.select(F.col(major).alias("h"), F.col(minor).alias("l"), F.col("__t").alias("t"), F.col(size).alias("n")), "shard-keys")
-    splitters = find_splitters(keys, n_shards, tolerance, ranges_per_shard)
-    drop_cut(keys)
+    placed = cut(rows.withColumn("__t", F.xxhash64(F.monotonically_increasing_id())), "shard-rows")
+    splitters = find_splitters(placed.select(major, minor, "__t", size), n_shards, tolerance, ranges_per_shard)
     spark = rows.sparkSession
     shard_of, below = np.array(splitters.shard_of), np.array(splitters.rows_below, dtype=np.int64)
     first_of_shard = np.array([below[np.searchsorted(shard_of, s, side="left")] for s in shard_of], dtype=np.int64)

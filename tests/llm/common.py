@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from contextlib import contextmanager
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
@@ -46,3 +47,17 @@ def random_texts(seed: int, n: int, vocabulary: int = 12, longest: int = 90) ->
                 text += [draw.choice(letters) for _ in range(draw.randint(1, 25))]
         out.append(draw.choice([" ", "  ", "\n", "\t"]).join(text))
     return out
+
+
+@contextmanager
+def parallelism(spark, n):
+    """How files are cut while `n` cores are alive: small files together or apart."""
+    names = {"spark.sql.leafNodeDefaultParallelism": str(n), "spark.sql.files.openCostInBytes": "1024"}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

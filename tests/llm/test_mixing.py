@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillon.llm import mixing
-from tests.llm.common import documents, odd_texts, words
+from tests.llm.common import documents, odd_texts, parallelism, words
 
 
 def _naive(weights, seats, limits):
@@ -47,7 +47,7 @@ def test_shares_come_near_targets(spark):
 
 
 def test_the_whole_query_against_a_plain_version(spark):
-    """Sizes and targets by capped_targets; the words taken by block and shard, with plain quotients."""
+    """Sizes and targets by capped_targets; quotas by plain quotients; taken word by word, for every document."""
     draw = random.Random(6)
     rows = [(i, " ".join("w" * draw.randint(1, 5) for _ in range(draw.randint(0, 400))), draw.choice(["z", "é", "a", None, "b"] if i % 50 else [f"rare{i}"])) for i in range(700)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -59,6 +59,35 @@ def test_the_whole_query_against_a_plain_version(spark):
         own = found[found["source"].isna()] if name is None else found[found["source"] == name]
         assert (own["source_size"] == n).all() and (own["target"] - target).abs().max() < 1e-6
         assert abs(own["taken"].sum() - target) <= mixing.BLOCK_WORDS
+    # Every source's shards, every shard's words one by one: its block, and how often the block is taken.
+    hashed = docs.select("doc_id", F.shiftrightunsigned(F.xxhash64(F.lit(mixing.SEED), "doc_id", "text"), 20).alias("at"), F.xxhash64(F.lit(mixing.SEED), "doc_id", "text").alias("order"))
+    order = {r.doc_id: (r.at, r.order) for r in hashed.collect()}
+    lists = {}
+    for i, text, name in rows:
+        shards = -(-sum(r[2] == name for r in rows) // mixing.ROWS_PER_SHARD)
+        lists.setdefault((names.index(name), order[i][0] % shards), []).append((order[i][1], i, len(words(text))))
+    held = {k: sum(n for *_, n in v) for k, v in lists.items()}
+    blocks = {k: max(1, int(n / mixing.BLOCK_WORDS + 0.5)) for k, n in held.items() if n}
+    per_source = {s: sum(b for k, b in blocks.items() if k[0] == s) for s in {k[0] for k in blocks}}
+    weights = {s: targets[s] / size[s] * b for s, b in per_source.items()}
+    numbers = sorted(weights)
+    seats = dict(zip(numbers, _naive([weights[s] for s in numbers], round(sum(weights.values())), [3 * per_source[s] for s in numbers]), strict=True))
+    taken = {i: 0 for i, *_ in rows}
+    for s in numbers:
+        cells = sorted(k for k in blocks if k[0] == s)
+        for key, quota in zip(cells, _naive([held[k] for k in cells], seats[s], [3 * blocks[k] for k in cells]), strict=True):
+            b, c = blocks[key], held[key]
+            salt = mixing.mix(mixing.mix(np.array([s], dtype=np.uint64), mixing.SEED) ^ np.array([key[1]], dtype=np.uint64))
+            put = mixing.permuted(np.arange(b), np.full(b, b), np.repeat(salt, b))
+            times = [quota // b + (put[j] < quota % b) for j in range(b)]
+            at, block = 0, 0
+            for _, i, n in sorted(lists[key]):
+                for word in range(at, at + n):
+                    while word >= (block + 1) * c // b:
+                        block += 1
+                    taken[i] += int(times[block])
+                at += n
+    assert found.set_index("doc_id")["taken"].to_dict() == taken
     assert (found["size"] == found["text"].map(lambda t: len(words(t)))).all() and (found["taken"] <= 3 * found["size"]).all()
 
 
@@ -98,3 +127,21 @@ def test_odd_rows(spark):
     assert set(mixing.mixed_copies(docs).columns) == set(docs.columns)
     one = spark.createDataFrame([(1, "a b", None), (1, "a b", None), (None, None, None)], "doc_id long, text string, source string")
     assert mixing.mix_digest(one).agg(F.sum("taken")).first()[0] == 4
+
+
+def test_the_input_may_be_cut_otherwise_while_it_is_read(spark, tmp_path):
+    """No row is lost, doubled or given another's share when files are cut anew between two reads."""
+    draw = random.Random(13)
+    rows = [(i, " ".join("w" * draw.randint(1, 5) for _ in range(draw.randint(1, 200))), draw.choice("abc"), f"own{i}") for i in range(1000)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, other string").repartition(9).write.parquet(str(tmp_path / "t"))
+    with parallelism(spark, 4):
+        docs = spark.read.parquet(str(tmp_path / "t"))
+        mixed, copies, plain = mixing.mix_sources(docs), mixing.mixed_copies(docs), mixing.mix_digest(docs)
+    with parallelism(spark, 2):
+        found, taken = mixed.toPandas(), {r.doc_id: r.taken for r in plain.collect()}
+        got = copies.toPandas()
+    assert sorted(found.doc_id) == list(range(1000)) and (found.other == "own" + found.doc_id.astype(str)).all()
+    assert (found["size"] == found.text.map(lambda t: len(t.split()))).all() and dict(zip(found.doc_id, found.taken, strict=True)) == taken
+    assert (got.other == "own" + got.doc_id.astype(str)).all()
+    for source, g in found.groupby("source"):
+        assert abs(got[got.source == source].text.map(lambda t: len(t.split())).sum() - g.taken.sum()) <= 200

@@ -3,7 +3,7 @@ import zlib
 import pandas as pd
 
 from quillon.llm import sharding
-from tests.llm.common import documents, odd_texts
+from tests.llm.common import documents, odd_texts, parallelism
 
 
 def _laws(found: pd.DataFrame, slack: float) -> None:
@@ -60,3 +60,14 @@ def test_odd_rows_and_names(spark):
     assert sharding.shard_digest(docs.limit(0), 8).count() == 0
     nulls = spark.createDataFrame([(None, None), (None, "a"), (5, None)], "doc_id long, text string")
     assert sharding.shard_digest(nulls, 2).count() == 3
+
+
+def test_the_input_may_be_cut_otherwise_while_it_is_read(spark, tmp_path):
+    """Slots stay gapless when a lost executor changes how files are cut between two reads."""
+    spark.range(20_000).selectExpr("cast(null as long) as doc_id", "'one row many times over' as text").repartition(9).write.parquet(str(tmp_path / "t"))
+    with parallelism(spark, 4):
+        placed = sharding.shard_digest(spark.read.parquet(str(tmp_path / "t")), 8)
+    with parallelism(spark, 2):
+        found = placed.toPandas()
+    assert len(found) == 20_000
+    _laws(found, 0.01 * found["size"].sum() / 8 + 30)
