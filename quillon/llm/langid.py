@@ -29,9 +29,9 @@ from quillon.llm.storage import cut, drop_cut
 from quillon.llm.words import LOWER, blocks, hashes, mix, ranges, split
 
 #: Documents to fit on, dealt evenly to the languages, and how many each language may have at least.
-MAX_TRAINING_DOCS, LEAST_PER_LANGUAGE = 1600, 40
-#: Pieces of a longer text that are learned from (a shorter one is learned whole), and the words in a piece.
-PIECES, PIECE_WORDS = 8, (6, 60)
+MAX_TRAINING_DOCS, LEAST_PER_LANGUAGE = 800, 40
+#: Words in a piece: texts are learned whole, their pieces shuffled, so that words of two languages meet.
+PIECE_WORDS = (6, 60)
 #: Words in a training sequence, and in a stretch of a text that is run side by side.
 STRETCH = 64
 STEPS, RATE, RIDGE = 45, 0.15, 1e-5
@@ -285,22 +285,22 @@ def classify(tagger: Tagger | None, data: np.ndarray, offsets: np.ndarray) -> tu
 
 
 def _cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, lang, pieces): a text's pieces to learn from, drawn by a seed from its hash."""
+    """(h, lang, pieces): each different text, all of it, in pieces whose lengths are drawn by a seed from its hash."""
     low, high = PIECE_WORDS
+    met: set[int] = set()  # of the drawn texts, which are bounded in number
     for batch in batches:
-        for part, data, offsets in blocks(batch):
+        fresh = []
+        for h in batch.column(0).to_pylist():
+            fresh.append(h not in met)
+            met.add(h)
+        for part, data, offsets in blocks(batch.filter(pa.array(fresh, pa.bool_()))):
             starts, ends, first = split(data, offsets, _LETTERS)
             raw, out = data.tobytes(), []
             for i, h in enumerate(part.column(0).to_pylist()):
                 a, z = int(first[i]), int(first[i + 1])
-                draw = np.random.default_rng(h % (1 << 64))
-                if z - a <= PIECES * (low + high) // 2:
-                    size = draw.integers(low, high + 1, z - a)
-                    begin = a + np.concatenate(([0], np.cumsum(size)))
-                    begin = begin[begin < z]
-                else:
-                    size = draw.integers(low, high + 1, PIECES)
-                    begin = a + draw.integers(0, z - a - high, PIECES)
+                size = np.random.default_rng(h % (1 << 64)).integers(low, high + 1, (z - a) // low + 1)
+                begin = a + np.concatenate(([0], np.cumsum(size)))
+                begin = begin[begin < z]
                 out.append([raw[starts[j] : ends[min(j + int(m), z) - 1]].decode(errors="replace") for j, m in zip(begin.tolist(), size, strict=False)])
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.list_(pa.string()))], names=["h", "lang", "pieces"])
 

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.components import components
@@ -189,8 +189,19 @@ def _fits(one: str, other: str) -> str:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(id, th, text): a null id counts as the smallest long; th tells apart texts under one id."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("th"), F.col("text"))
+    """(id, th, text): a null id counts as the smallest long; th tells apart texts under one id, and that long from null."""
+    return docs.select(*_key(), F.col("text"))
+
+
+def _key() -> tuple[Column, Column]:
+    """id and th of a row; the last bit of th is set for null ids, so that the smallest long may be an id as well."""
+    th = F.xxhash64("text").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("doc_id").isNull().cast("long"))
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), th.alias("th")
+
+
+def _unkeyed(id_: str, th: str) -> Column:
+    """The id that a key stands for."""
+    return F.when((F.col(id_) != _NO_ID) | (F.col(th).bitwiseAND(F.lit(1)) == 0), F.col(id_))
 
 
 def _told(pairs: DataFrame, classes: DataFrame, ends: tuple[str, str] = ("leader", "member")) -> DataFrame:
@@ -316,14 +327,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def near_duplicate_digest(docs: DataFrame) -> DataFrame:
     """The contract's columns for every document; nulls and repeated rows as in `near_duplicates`."""
-    none = F.lit(_NO_ID)
-    found = near_duplicates(docs)
-    return found.select(
-        F.nullif(F.col("id"), none).alias("doc_id"),
-        F.col("n").alias("n_shingles"),
-        F.nullif(F.col("component.id"), none).alias("component_id"),
-        (F.col("id") == F.col("component.id")).alias("kept"),
-    )
+    mine, component = _unkeyed("id", "th"), _unkeyed("component.id", "component.th")
+    return near_duplicates(docs).select(mine.alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), mine.eqNullSafe(component).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -332,8 +337,11 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Texts without words are linked with nothing and stay; of rows alike in id and text one stays. Texts
     under a null id or one that repeats count each for itself.
     """
-    chosen = near_duplicates(docs).where(F.struct("id", "th") == F.col("component")).select("id", "th").distinct()
-    names = [F.col(f"`{c}`").alias(f"c_{c}") for c in docs.columns]
-    rows = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("th"))
-    kept = rows.join(chosen, ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
-    return kept.select(*[F.col(f"`c_{c}`").alias(c) for c in docs.columns])
+    # Which rows stay is known from keys alone; whole rows are compared only where several are alike in id and text.
+    own = near_duplicates(docs).where(F.struct("id", "th") == F.col("component"))
+    chosen = cut(own.groupBy("id", "th").agg(F.count(F.lit(1)).alias("alike")), "chosen")
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c_{c}") for c in docs.columns], *_key())
+    once = rows.join(chosen.where("alike = 1").select("id", "th"), ["id", "th"], "left_semi")
+    if not chosen.where("alike > 1").isEmpty():
+        once = once.unionByName(rows.join(chosen.where("alike > 1").select("id", "th"), ["id", "th"], "left_semi").dropDuplicates(["id", "th"]))
+    return once.select(*[F.col(f"`c_{c}`").alias(c) for c in docs.columns])

@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import numpy as np
 
@@ -73,3 +74,39 @@ def test_long_texts_and_rare_languages_are_learned_from(spark):
     assert all(found[1000 + i] == "bb" for i in range(12)) and all(found[i] == "aa" for i in range(400))
     # Of one text's labels the one that most rows have counts.
     assert found[2000] == "aa"
+
+
+def test_the_whole_query_against_a_plain_forward_backward(spark):
+    """Every document's language and score, word by word in 64-bit logarithms over its whole text."""
+    docs = _table(spark, 5).union(documents(spark, [*odd_texts(), "bobi krokri ñeño " * 90, "Ba1bo-KRO"], 500))
+    tagger = langid.train(docs)
+    k, known = len(tagger.labels), {int(h): i for i, h in enumerate(tagger.lexicon)}
+
+    def potential(word):
+        data = np.frombuffer(word, dtype=np.uint8)
+        starts, ends = np.array([0]), np.array([len(data)])
+        name = langid.hashes(data, starts, ends)
+        features, _ = langid._features(data, starts, ends, tagger.lexicon, name)
+        assert features[-1] == (4 << langid.GRAM_BITS) + known.get(int(name[0]), len(known))
+        return tagger.weights[features].astype(np.float64).sum(axis=0)
+
+    t, texts = tagger.transitions.astype(np.float64), {r.doc_id: r.text for r in docs.collect()}
+    for row in langid.language_digest(docs).collect():
+        text = texts[row.doc_id]
+        low = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
+        found = re.findall(rb"[A-Za-z\x80-\xff]+", low)
+        if not any(c.isalpha() for c in text or ""):
+            assert (row.lang_pred, row.score) == ("und", 0.0)
+            continue
+        if len(found) > 2000:
+            continue  # the long ones repeat one word; their marginals are checked in stretches above
+        p = np.array([potential(w) for w in found])
+        ahead, back = np.zeros((len(p), k)), np.zeros((len(p), k))
+        ahead[0] = np.logaddexp.reduce(t, axis=0) + p[0]
+        for i in range(1, len(p)):
+            ahead[i] = np.logaddexp.reduce(ahead[i - 1][:, None] + t, axis=0) + p[i]
+        for i in range(len(p) - 2, -1, -1):
+            back[i] = np.logaddexp.reduce(t + (p[i + 1] + back[i + 1])[None], axis=1)
+        joint = ahead + back
+        mean = np.exp(joint - np.logaddexp.reduce(joint, axis=1)[:, None]).mean(axis=0)
+        assert abs(row.score - mean.max()) < 1e-3 and (tagger.labels[int(mean.argmax())] == row.lang_pred or np.sort(mean)[-1] - np.sort(mean)[-2] < 2e-3)

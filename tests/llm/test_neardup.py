@@ -104,3 +104,12 @@ def test_components_of_long_chains(spark):
     found = {r.node: r.component for r in components.components(links).collect()}
     assert found == {**{i: 0 for i in range(41)}, 99: 99, 100: 99}
     assert components.components(links.limit(0)).count() == 0
+
+
+def test_the_smallest_long_is_an_id_and_null_is_none(spark):
+    rows = [(-(1 << 63), "a b c d"), (None, "e f g h"), (None, "e f g h"), (3, "x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((tuple(r) for r in neardup.near_duplicate_digest(docs).collect()), key=str)
+    assert found == sorted([(-(1 << 63), 3, -(1 << 63), True), (None, 3, None, True), (None, 3, None, True), (3, 2, 3, True)], key=str)
+    kept = sorted((tuple(r) for r in neardup.drop_near_duplicates(docs).collect()), key=str)
+    assert kept == sorted([rows[0], rows[1], rows[3]], key=str)

@@ -55,3 +55,35 @@ def test_scores_against_a_plain_vote_and_in_any_batch(spark):
         weights = [(max(round(row[j] * 65536), 0) / 65536) ** 8 for j in near]
         want = sum(w * voters.labels[j] for w, j in zip(weights, near, strict=True)) / sum(weights) if counts[i].sum() else voters.prior
         assert abs(got[i] - want) < 2e-3
+
+
+def test_the_whole_query_against_a_plain_vote_in_full_space(spark):
+    """With fewer labelled texts than latent dimensions the latent space is all they span: cosines are those of plain vectors."""
+    docs, labels = _tables(spark)
+    few = labels.where("doc_id <= 50")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+
+    def vector(text):
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        return quality.term_counts(data, np.array([0, len(data)]))[0].astype(np.float64)
+
+    fold = {r.doc_id: r.f for r in docs.select("doc_id", quality.fold_of(docs.doc_id).alias("f")).collect()}
+    learned = [(vector(texts[r.doc_id]), r.quality) for r in few.collect() if fold[r.doc_id] != quality.HELD_OUT]
+    assert len(learned) < quality.DIMENSIONS
+    rarity = np.log((1 + len(learned)) / (1 + sum((c > 0).astype(float) for c, _ in learned))) + 0.3
+
+    def weigh(c):
+        x = np.log1p(200 * c / max(c.sum(), 1)) * rarity
+        return x / np.linalg.norm(x)
+
+    rows = np.array([weigh(c) for c, _ in learned])
+    basis = np.linalg.qr(rows.T)[0]
+    unit = lambda x: x / np.linalg.norm(x)
+    held = [(unit(basis.T @ r), q) for r, (_, q) in zip(rows, learned, strict=True)]
+    for row in quality.quality_digest(docs, few).collect():
+        x = unit(basis.T @ weigh(vector(texts[row.doc_id])))
+        near = sorted(((float(x @ v), q) for v, q in held), reverse=True)
+        best, edge = near[: quality.NEIGHBOURS], near[quality.NEIGHBOURS - 1][0] - near[quality.NEIGHBOURS][0]
+        want = sum(max(c, 0) ** 8 * q for c, q in best) / sum(max(c, 0) ** 8 for c, _ in best)
+        assert row.held_out == (fold[row.doc_id] == 2) and row.predicted == int(row.score >= 0.7)
+        assert abs(row.score - want) < 2e-4 or edge < 1e-4
