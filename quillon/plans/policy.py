@@ -1,28 +1,41 @@
 """Policies that choose an arm (momentum, horizon) per security and date, and learn when outcomes mature.
 
-The core is NumPy on one date at a time: state and a day's rows in, decisions out. State changes only
-between a date's decisions, so a date is one batch: each arm draws its parameters once per date, from
-a stream keyed by (seed, date, arm). Outcomes are applied in order of maturity, decision date and id.
-Many runs (policies, variants) go side by side, one task each, as a run's state is shared by all ids;
-rows stream through it by date, so a task holds one date's rows and what has not matured yet.
+Time goes in blocks of dates, as many as the shortest horizon has rows. What matures in a block was decided
+before it, so at its start everything that its dates learn is known, and a block is a few Spark jobs over
+all runs (policies, variants) at once:
+
+* Outcomes that mature in the block are summed per run, arm and date: outer products and moments of the
+  posteriors are additive, so Spark adds them up in parts. Quantile heads move row by row, which is one
+  stream per run and arm, arms side by side; calibrators take each date's last scores.
+* The driver holds each run's parameters, none of which grows with the rows, steps them from date to date
+  and draws a posterior's parameters once per arm and date, from a stream keyed by (seed, date, arm).
+* The block's rows, however many tasks they lie in, are decided with the parameters of their date and
+  written under the block in which they mature.
+
+Outcomes apply in order of maturity, decision date and id; nothing that decides reads one.
 """
 
 from __future__ import annotations
 
-import itertools
+import copy
+import hashlib
 import math
+import pickle
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.config import Config
 from quillon.operators.splits import sample_rows
 from quillon.plans.features import split_dates, test_slice
+from quillon.sources.intermediate import cut, fresh_path
 
 DIM = 10
 # How heads start, how far weights may go, how crossed bounds are drawn together.
@@ -155,183 +168,312 @@ class Run:
         return self.kind != "bandit"
 
 
-def _clamp(run: Run, low: np.ndarray, high: np.ndarray, sigma: float, cold: bool) -> tuple[np.ndarray, np.ndarray]:
-    c = run.cfg
-    if run.kind == "bandit":
-        if not cold:
-            return low, high
-        middle, half = (low + high) / 2, np.clip(high - low, c.min_width, c.max_width) / 2
-        return middle - half, middle + half
-    if not cold:
-        return low, high
-    bound = c.bound_cap * sigma
-    return np.clip(low, -bound, bound), np.clip(high, -bound, bound)
-
-
-def _interval_score(y: float, low: float, high: float, alpha: float) -> float:
-    return max(high - low, 0.0) + 2 / alpha * max(low - y, 0.0) + 2 / alpha * max(y - high, 0.0)
-
-
-class Simulation:
-    """A run's state, stepped by date. Nothing in `decide` reads an outcome."""
+class State:
+    """A run's parameters: heads and posteriors by arm, calibrators by horizon. Their size doesn't depend on the rows."""
 
     def __init__(self, run: Run, sigma: dict[int, float]):
         c = run.cfg
         self.run, self.sigma = run, sigma
         self.arms = [(f"mom_w{w}", h) for w in c.windows for h in c.horizons]
-        self.heads = {a: QuantileHead(c) for a in self.arms}
-        self.posterior = {a: ThompsonArm(c.lam_bandit, c.noise) for a in self.arms}
+        self.heads = [QuantileHead(c) for _ in self.arms]
+        self.posterior = [ThompsonArm(c.lam_bandit, c.noise) for _ in self.arms]
         self.calibrators = {h: Calibrator(c.conf_window, c.warmup, c.lambda_recency) for h in c.horizons}
-        self.pending: dict[Any, list[dict]] = {}
 
     def pretrain(self, rows: list[tuple[np.ndarray, dict[int, float]]]) -> None:
         """Each row trains a drawn arm's head, then its horizon's calibrator."""
         draw = np.random.default_rng(self.run.cfg.seed)
         for x, targets in rows:
-            arm = self.arms[int(draw.integers(0, len(self.arms)))]
-            y = targets.get(arm[1])
-            if y is None or not math.isfinite(y):
-                continue
-            self.heads[arm].update(x, y)
-            low, high = (float(v) for v in self.heads[arm].predict(x))
-            bound = self.run.cfg.bound_cap * self.sigma.get(arm[1], 1.0)
-            self.calibrators[arm[1]].update(y, max(low, -bound), min(high, bound))
-
-    def decide(self, day: int, date: Any, ids: Sequence[str], x: np.ndarray, alive: np.ndarray, maturity: np.ndarray) -> list[dict]:
-        """Decisions for a date's rows; alive and maturity have a column per horizon. Rows without a live horizon get none."""
-        c, run = self.run.cfg, self.run
-        horizons = list(c.horizons)
-        n, n_arms = len(ids), len(self.arms)
-        valid = np.stack([alive[:, horizons.index(h)] for _, h in self.arms], axis=1).astype(bool)
-        if run.kind == "bandit":
-            theta = np.stack([self.posterior[a].draw(np.random.Generator(np.random.Philox(key=[c.seed, day * n_arms + k]))) for k, a in enumerate(self.arms)])
-            choice = np.where(valid, x @ theta.T, -np.inf).argmax(axis=1)
-        elif run.kind == "random":
-            u = np.random.Generator(np.random.Philox(key=[c.seed, day])).random(n)
-            rank = np.minimum((u * valid.sum(axis=1)).astype(int), valid.sum(axis=1) - 1)
-            choice = np.argmax(np.cumsum(valid, axis=1) == (rank + 1)[:, None], axis=1)
-        else:
-            wanted = self.arms.index(run.arm)
-            first = np.argmax(alive, axis=1)
-            moved = np.array([self.arms.index((run.arm[0], horizons[j])) for j in first])
-            choice = np.where(valid[:, wanted], wanted, moved)
-        support, out = valid.sum(axis=1), []
-        for k in np.unique(choice[support > 0]):
-            arm, rows = self.arms[k], np.flatnonzero((choice == k) & (support > 0))
-            h = arm[1]
-            low, high = self.heads[arm].predict(x[rows])
-            cal = self.calibrators[h]
-            low, high = _clamp(run, low, high, self.sigma.get(h, 1.0), len(cal.scores) < cal.warmup)
-            alpha, q = c.alpha_for(h), cal.widening(c.alpha_for(h))
-            for i, a, b in zip(rows, low, high, strict=True):
-                l_adj, u_adj = float(a - q), float(b + q)
-                if l_adj > u_adj:
-                    middle = (l_adj + u_adj) / 2
-                    l_adj, u_adj = middle - HALF_CROSSED, middle + HALF_CROSSED
-                out.append({"date": date, "id": ids[i], "momentum": arm[0], "h": h, "alpha": alpha, "x": x[i], "l_raw": float(a), "u_raw": float(b), "l": l_adj, "u": u_adj, "qhat": q, "buffer": len(cal.scores), "support": int(support[i]), "matures": maturity[i, horizons.index(h)]})
-        out.sort(key=lambda r: r["id"])
-        return out
-
-    def enqueue(self, decisions: list[dict], outcomes: dict) -> None:
-        """Keep decisions until they mature; `outcomes` are opened only then."""
-        for r in decisions:
-            self.pending.setdefault(r["matures"], []).append({**r, "y": outcomes.get((r["id"], r["h"]))})
-
-    def learn(self, date: Any) -> list[dict]:
-        """Score what matures on a date and learn from it."""
-        out = []
-        for r in sorted(self.pending.pop(date, []), key=lambda r: (r["date"], r["id"])):
-            y = r["y"]
+            k = int(draw.integers(0, len(self.arms)))
+            h = self.arms[k][1]
+            y = targets.get(h)
             if y is None or not math.isfinite(y):
                 continue
-            c, arm = self.run.cfg, (r["momentum"], r["h"])
-            covered, width = int(r["l"] <= y <= r["u"]), r["u"] - r["l"]
-            loss = _interval_score(y, r["l"], r["u"], r["alpha"])
-            self.heads[arm].update(r["x"], y)
-            self.calibrators[r["h"]].update(y, r["l_raw"], r["u_raw"])
-            self.posterior[arm].update(r["x"], -loss + c.lambda_cov * (covered - 0.9 if covered else -0.1) - c.lambda_width * 0.1 * width)
-            out.append({**{k: r[k] for k in ("date", "id", "momentum", "h", "alpha", "l", "u", "qhat", "buffer", "support")}, "y": y, "covered": covered, "width": width, "loss": loss})
-        return out
+            self.heads[k].update(x, y)
+            low, high = (float(v) for v in self.heads[k].predict(x))
+            bound = self.run.cfg.bound_cap * self.sigma.get(h, 1.0)
+            self.calibrators[h].update(y, max(low, -bound), min(high, bound))
+
+    def known(self, day: int) -> Known:
+        """What the run decides with on a date."""
+        c = self.run.cfg
+        theta = None
+        if self.run.kind == "bandit":
+            theta = np.stack([p.draw(np.random.Generator(np.random.Philox(key=[c.seed, day * len(self.arms) + k]))) for k, p in enumerate(self.posterior)])
+        cals = [self.calibrators[h] for h in c.horizons]
+        return Known(
+            np.stack([h.low for h in self.heads]),
+            np.stack([h.high for h in self.heads]),
+            theta,
+            np.array([cal.widening(c.alpha_for(h)) for h, cal in zip(c.horizons, cals, strict=True)]),
+            np.array([len(cal.scores) for cal in cals]),
+        )
+
+    def absorb(self, learned: Learned, day: int) -> None:
+        """Take over what matured on a date."""
+        name = self.run.name
+        for k in range(len(self.arms)):
+            head = learned.heads.get((name, k, day))
+            if head is not None:
+                self.heads[k].low, self.heads[k].high = head
+            sums = learned.sums.get((name, k, day))
+            if sums is not None:
+                n, products, moments = sums
+                self.posterior[k].precision += products
+                self.posterior[k].moment += moments
+                self.posterior[k].updates += n
+        for h, cal in self.calibrators.items():
+            cal.scores = (cal.scores + learned.scores.get((name, h, day), []))[-cal.size :]
+
+
+@dataclass(frozen=True)
+class Known:
+    """A date's parameters of a run: heads and drawn parameters by arm, widenings and scores held by horizon."""
 
+    low: np.ndarray
+    high: np.ndarray
+    theta: np.ndarray | None
+    widening: np.ndarray
+    held: np.ndarray
+
+
+@dataclass(frozen=True)
+class Learned:
+    """What matures in a block, by run, arm (or horizon) and date: heads after it, sums, the last scores in order."""
+
+    heads: dict
+    sums: dict
+    scores: dict
+
+
+def luck(seed: int, day: int, ids: Sequence[str]) -> np.ndarray:
+    """A number from 0 to 1 for each id on a date, the same wherever the row lies."""
+    return np.array([int.from_bytes(hashlib.blake2b(f"{seed}:{day}:{i}".encode(), digest_size=7).digest(), "big") for i in ids]) / 2.0**56
+
+
+def choose(run: Run, known: Known, day: int, ids: Sequence[str], x: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    """The arm of each row; `valid` tells by arm whether its horizon is alive."""
+    arms = [(f"mom_w{w}", h) for w in run.cfg.windows for h in run.cfg.horizons]
+    if run.kind == "bandit":
+        return np.where(valid, x @ known.theta.T, -np.inf).argmax(axis=1)
+    if run.kind == "random":
+        n = valid.sum(axis=1)
+        rank = np.minimum((luck(run.cfg.seed, day, ids) * n).astype(int), n - 1)
+        return np.argmax(np.cumsum(valid, axis=1) == (rank + 1)[:, None], axis=1)
+    wanted = arms.index(run.arm)
+    first = np.argmax(valid[:, : len(run.cfg.horizons)], axis=1)
+    moved = np.array([arms.index((run.arm[0], h)) for h in run.cfg.horizons])[first]
+    return np.where(valid[:, wanted], wanted, moved)
+
+
+def bounds(run: Run, known: Known, sigma: dict[int, float], x: np.ndarray, choice: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Clamped bounds of the chosen heads, and the same adjusted by the calibrators."""
+    c = run.cfg
+    at = choice % len(c.horizons)
+    one, other = (x * known.low[choice]).sum(axis=1), (x * known.high[choice]).sum(axis=1)
+    low, high = np.minimum(one, other), np.maximum(one, other)
+    cold = known.held[at] < c.warmup
+    if run.kind == "bandit":
+        middle, half = (low + high) / 2, np.clip(high - low, c.min_width, c.max_width) / 2
+        low, high = np.where(cold, middle - half, low), np.where(cold, middle + half, high)
+    else:
+        bound = c.bound_cap * np.array([sigma.get(h, 1.0) for h in c.horizons])[at]
+        low, high = np.where(cold, np.clip(low, -bound, bound), low), np.where(cold, np.clip(high, -bound, bound), high)
+    l_adj, u_adj = low - known.widening[at], high + known.widening[at]
+    middle, crossed = (l_adj + u_adj) / 2, l_adj > u_adj
+    return low, high, np.where(crossed, middle - HALF_CROSSED, l_adj), np.where(crossed, middle + HALF_CROSSED, u_adj)
 
+
+_DECISION = "run string, k int, date date, id string, momentum string, h int, alpha double, x array<double>, y double, l_raw double, u_raw double, l double, u double, qhat double, buffer int, support int, due int, block int"
 LOG = "run string, date date, id string, momentum string, h int, alpha double, y double, l double, u double, covered int, width double, loss double, width_scaled double, loss_scaled double, qhat double, buffer int, support int"
 
 
+def _decider(shared, horizons: Sequence[int], size: int):  # noqa: ANN001, ANN202
+    """For mapInArrow over a block's rows: the decisions of all runs, with the block in which each matures."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, sigma, known, day_of, last = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = lambda name: batch.column(batch.schema.get_field_index(name))
+            ids, days = column("id").to_pylist(), np.array([day_of[d] for d in column("date").to_pylist()])
+            x = column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+            per_h = lambda p, f: np.stack([np.array(f(column(f"{p}_h{h}").to_pylist())) for h in horizons], axis=1)
+            alive = per_h("alive", lambda v: [bool(a) for a in v])
+            due = per_h("mat_date", lambda v: [-1 if d is None else day_of[d] for d in v])
+            y = per_h("y", lambda v: [math.nan if a is None else float(a) for a in v])
+            for day in np.unique(days).tolist():
+                rows = np.flatnonzero((days == day) & alive.any(axis=1))
+                for run in runs:
+                    if day > last[run.name] or not len(rows):
+                        continue
+                    c, now = run.cfg, known[run.name, day]
+                    valid = np.tile(alive[rows], len(c.windows))
+                    choice = choose(run, now, day, [ids[i] for i in rows], x[rows], valid)
+                    at = choice % len(horizons)
+                    low, high, l_adj, u_adj = bounds(run, now, sigma, x[rows], choice)
+                    h = np.array(horizons)[at]
+                    when = due[rows, at]
+                    if (when // size <= day // size).any():
+                        raise ValueError("an outcome matures in the block of its decision: an id has several rows on a date")
+                    target, n = y[rows, at], len(rows)
+                    arrays = [
+                        pa.array([run.name] * n),
+                        pa.array(choice, pa.int32()),
+                        column("date").take(pa.array(rows)),
+                        column("id").take(pa.array(rows)),
+                        pa.array([f"mom_w{c.windows[k // len(horizons)]}" for k in choice]),
+                        pa.array(h, pa.int32()),
+                        pa.array([c.alpha_for(int(v)) for v in h], pa.float64()),
+                        pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * x.shape[1]), pa.array(x[rows].reshape(-1))),
+                        pa.array(target, pa.float64(), mask=~np.isfinite(target)),
+                        *[pa.array(v, pa.float64()) for v in (low, high, l_adj, u_adj, now.widening[at])],
+                        *[pa.array(v, pa.int32()) for v in (now.held[at], valid.sum(axis=1), when, when // size)],
+                    ]
+                    yield pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in _DECISION.split(", ")])
+
+    return work
+
+
+def _head_mover(shared):  # noqa: ANN001, ANN202
+    """For mapInArrow over outcomes sorted by run, arm, maturity, date and id: (run, k, due, low, high), each arm's head after a date."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads = shared.value
+        names = ("run", "k", "due", "low", "high")
+
+        def told(key: tuple, head: QuantileHead) -> pa.RecordBatch:
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*key, head.low.tolist(), head.high.tolist()), kinds, strict=True)], names=names)
+
+        key, head = None, None
+        for batch in batches:
+            run, k, due, y = (batch.column(i).to_pylist() for i in range(4))
+            x = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            for i, own in enumerate(zip(run, k, due, strict=True)):
+                if own != key:
+                    if key is not None:
+                        yield told(key, head)
+                    if key is None or own[:2] != key[:2]:
+                        head = copy.copy(heads[own[0], own[1]])
+                    key = own
+                head.update(x[i], y[i])
+        if key is not None:
+            yield told(key, head)
+
+    return work
+
+
+def _scored(decisions: DataFrame) -> DataFrame:
+    """Decisions with an outcome, and covered, width and loss."""
+    y, low, high = F.col("y"), F.col("l"), F.col("u")
+    zero, price = F.lit(0.0), F.lit(2.0) / F.col("alpha")
+    loss = F.greatest(high - low, zero) + price * F.greatest(low - y, zero) + price * F.greatest(y - high, zero)
+    return decisions.where("y is not null").withColumns({"covered": y.between(low, high).cast("int"), "width": high - low, "loss": loss})
+
+
+def _learn(matured: DataFrame, states: dict[str, State]) -> Learned:
+    """Heads, posterior sums and last scores by date, from the outcomes that mature in a block."""
+    spark = matured.sparkSession
+    heads = spark.sparkContext.broadcast({(n, k): head for n, s in states.items() for k, head in enumerate(s.heads)})  # two weights vectors a run and arm
+    narrow = matured.select("run", "k", "due", "y", "x", "date", "id").repartition("run", "k").sortWithinPartitions("run", "k", "due", "date", "id")
+    jobs = {"moved": narrow.mapInArrow(_head_mover(heads), "run string, k int, due int, low array<double>, high array<double>")}
+
+    bandits = [s.run for s in states.values() if s.run.kind == "bandit"]
+    if bandits:
+        of_run = lambda f: F.element_at(F.create_map(*[F.lit(v) for r in bandits for v in (r.name, float(f(r.cfg)))]), F.col("run"))
+        bonus = F.when(F.col("covered") == 1, F.col("covered") - 0.9).otherwise(-0.1)
+        reward = -F.col("loss") + of_run(lambda c: c.lambda_cov) * bonus - of_run(lambda c: c.lambda_width) * 0.1 * F.col("width")
+        rows = matured.where(F.col("run").isin([r.name for r in bandits])).select("run", "k", "due", "x", reward.alias("reward"))
+        entry = lambda i: F.col("x")[i]
+        products = [F.sum(entry(i) * entry(j)).alias(f"p{i}_{j}") for i in range(DIM) for j in range(i, DIM)]
+        jobs["sums"] = rows.groupBy("run", "k", "due").agg(F.count(F.lit(1)).alias("n"), *products, *[F.sum(entry(i) * F.col("reward")).alias(f"m{i}") for i in range(DIM)])
+
+    size = max(cal.size for s in states.values() for cal in s.calibrators.values())
+    score = F.greatest(F.col("l_raw") - F.col("y"), F.col("y") - F.col("u_raw"), F.lit(0.0))
+    late = F.row_number().over(Window.partitionBy("run", "h", "due").orderBy(F.desc("date"), F.desc("id")))
+    last = matured.select("run", "h", "due", "date", "id", score.alias("score")).withColumn("late", late).where(F.col("late") <= size)
+    jobs["held"] = last.groupBy("run", "h", "due").agg(F.sort_array(F.collect_list(F.struct(-F.col("late"), "score"))).alias("s"))
+    with ThreadPoolExecutor(len(jobs)) as pool:  # three small jobs over one table, side by side
+        found = dict(zip(jobs, pool.map(lambda df: df.collect(), jobs.values()), strict=True))
+
+    upper = np.triu_indices(DIM)
+
+    def matrix(r) -> np.ndarray:  # noqa: ANN001
+        out = np.zeros((DIM, DIM))
+        out[upper] = [r[f"p{i}_{j}"] for i, j in zip(*upper, strict=True)]
+        return out + np.triu(out, 1).T
+
+    return Learned(
+        {(r["run"], r["k"], r["due"]): (np.array(r["low"]), np.array(r["high"])) for r in found["moved"]},
+        {(r["run"], r["k"], r["due"]): (r["n"], matrix(r), np.array([r[f"m{i}"] for i in range(DIM)])) for r in found.get("sums", [])},
+        {(r["run"], r["h"], r["due"]): [v["score"] for v in r["s"]] for r in found["held"]},
+    )
+
+
 def last_decision(run: Run, dates: Sequence) -> Any:
     """The last of the ascending test dates on which a run decides; runs that learn first leave out the longest horizon."""
     n = max(run.cfg.horizons)
     return dates[-n - 1 if run.learns_first and len(dates) > n else -1] if len(dates) else None
 
 
-def steps(run: Run, sigma: dict[int, float], train: pd.DataFrame | None, days: Iterator[tuple[Any, pd.DataFrame]], last: Any) -> Iterator[list[dict]]:
-    """A whole run over (date, rows sorted by id) in order of date: the scores that mature at each step."""
-    c = run.cfg
-    sim = Simulation(run, sigma)
-    if train is not None:
-        sim.pretrain([(np.asarray(x, dtype=float), {h: y for h, y in zip(c.horizons, targets, strict=True)}) for x, *targets in zip(train["x"], *(train[f"y_h{h}"] for h in c.horizons), strict=True)])
-    factor = {h: {"none": 1.0, "per_h": 1 / h, "per_sqrt_h": h**-0.5, "per_sigma": 1 / sigma.get(h, 1.0)}[c.scale_mode] for h in c.horizons}
-
-    def finish(rows: list[dict]) -> list[dict]:
-        return [{"run": run.name, **r, "width_scaled": r["width"] * factor[r["h"]], "loss_scaled": r["loss"] * factor[r["h"]]} for r in rows]
-
-    for day, (date, g) in enumerate(days):
-        if date > last:
-            continue
-        if run.learns_first:
-            yield finish(sim.learn(date))
-        alive = g[[f"alive_h{h}" for h in c.horizons]].to_numpy(dtype=bool)
-        maturity = g[[f"mat_date_h{h}" for h in c.horizons]].to_numpy(dtype=object)
-        decisions = sim.decide(day, date, g["id"].tolist(), np.stack(g["x"].to_numpy()).astype(float), alive, maturity)
-        sim.enqueue(decisions, {(i, h): y for h in c.horizons for i, y in zip(g["id"], g[f"y_h{h}"], strict=True)})
-        if not run.learns_first:
-            yield finish(sim.learn(date))
-    if run.learns_first:
-        for date in sorted(sim.pending):
-            yield finish(sim.learn(date))
-
-
-def simulate(run: Run, train: pd.DataFrame, test: pd.DataFrame, sigma: dict[int, float]) -> Iterator[dict]:
-    """A whole run over a test slice sorted by (date, id): its matured scores."""
-    days = iter(test.groupby("date", sort=True))
-    for scored in steps(run, sigma, train, days, last_decision(run, sorted(test["date"].unique()))):
-        yield from scored
-
-
-def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """((run, test, date), rows) of neighbouring rows that are alike in these, over the bounds of batches."""
-    key, held = None, []
-    for batch in batches:
-        for k, rows in batch.groupby(["run", "test", "date"], sort=False):
-            if k != key and held:
-                yield key, pd.concat(held)
-                held = []
-            key = k
-            held.append(rows)
-    if held:
-        yield key, pd.concat(held)
-
-
-def _simulate_all(by_name: dict[str, Run], sigma: dict[int, float], last: dict[str, Any]):  # noqa: ANN202
-    """For mapInPandas over rows sorted by run, training rows first, date and id."""
-    names = [f.split()[0] for f in LOG.split(", ")]
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for name, own in itertools.groupby(_stretches(batches), key=lambda s: s[0][0]):
-            sample: list[pd.DataFrame] = []
-            first = None
-            for (_, test, date), rows in own:
-                if test:
-                    first = (date, rows)
-                    break
-                sample.append(rows)
-            if first is None:
-                continue
-            days = itertools.chain([first], ((date, rows) for (_, _, date), rows in own))
-            for scored in steps(by_name[name], sigma, pd.concat(sample) if sample else None, days, last[name]):
-                if scored:
-                    yield pd.DataFrame(scored, columns=names)
+def _started(spark: SparkSession, runs: Sequence[Run], sigma: dict[int, float], sample: list[tuple[np.ndarray, dict[int, float]]]) -> dict[str, State]:
+    """Each run's state after its training rows, a task a run; the sample is bounded by `pretrain_rows`."""
+    shared = spark.sparkContext.broadcast((list(runs), sigma, sample))
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every, spread, rows = shared.value
+        for frame in frames:
+            for i in frame["number"]:
+                state = State(every[i], spread)
+                state.pretrain(rows)
+                yield pd.DataFrame({"number": [i], "state": [pickle.dumps(state)]})
+
+    numbered = spark.range(len(runs), numPartitions=len(runs)).select(F.col("id").alias("number"))
+    return {(s := pickle.loads(r["state"])).run.name: s for r in sorted(numbered.mapInPandas(work, "number long, state binary").collect(), key=lambda r: r["number"])}
 
-    return work
+
+def run_slice(rows: DataFrame, sample: list[tuple[np.ndarray, dict[int, float]]], runs: Sequence[Run], sigma: dict[int, float]) -> DataFrame:
+    """Score logs of all runs over a test slice: date, id, x, and y_h, alive_h, mat_date_h by horizon, a row per id and date.
+
+    The slice is written once, in order of date. `sample` has the training rows, `sigma` the targets' deviations;
+    runs share their horizons. Rows without a live horizon are not decided, outcomes that are null or not finite
+    teach nothing and are not scored, and an empty slice gives an empty log. The driver lists the dates.
+    """
+    spark, horizons = rows.sparkSession, list(runs[0].cfg.horizons)
+    rows = cut(rows.repartitionByRange("date", "id").sortWithinPartitions("date", "id"), "slice")
+    dates = [r["date"] for r in rows.select("date").distinct().orderBy("date").collect()]
+    if not dates:
+        return spark.createDataFrame([], LOG)
+    size = min(horizons)
+    day_of = {d: i for i, d in enumerate(dates)}
+    last = {r.name: day_of[last_decision(r, dates)] for r in runs}
+    states = _started(spark, runs, sigma, sample)
+    path = fresh_path(spark, "decisions")
+    for first in range(0, len(dates), size):
+        days = range(first, min(first + size, len(dates)))
+        learned = Learned({}, {}, {})
+        if first:
+            matured = cut(_scored(spark.read.schema(_DECISION).parquet(path).where(F.col("block") == first // size)), "matured")
+            learned = _learn(matured, states)
+        known = {}
+        for day in days:
+            for state in states.values():
+                if state.run.learns_first:
+                    state.absorb(learned, day)
+                if day <= last[state.run.name]:
+                    known[state.run.name, day] = state.known(day)
+                if not state.run.learns_first:
+                    state.absorb(learned, day)
+        shared = spark.sparkContext.broadcast((list(runs), sigma, known, day_of, last))  # parameters by run and date of the block
+        own = rows.where(F.col("date").between(F.lit(dates[days[0]]), F.lit(dates[days[-1]])))
+        own.mapInArrow(_decider(shared, horizons, size), _DECISION).write.partitionBy("block").mode("append").parquet(path)
+
+    scales = [(r.name, h, {"none": 1.0, "per_h": 1 / h, "per_sqrt_h": h**-0.5, "per_sigma": 1 / sigma.get(h, 1.0)}[r.cfg.scale_mode]) for r in runs for h in horizons]
+    factors = F.broadcast(spark.createDataFrame(scales, "run string, h int, factor double"))  # a row per run and horizon
+    scored = _scored(spark.read.schema(_DECISION).parquet(path)).join(factors, ["run", "h"])
+    scaled = scored.withColumns({"width_scaled": F.col("width") * F.col("factor"), "loss_scaled": F.col("loss") * F.col("factor")})
+    return scaled.select(*[f.split()[0] for f in LOG.split(", ")])
 
 
 def baseline_runs(cfg: Config) -> list[Run]:
@@ -354,26 +496,15 @@ def variant_runs(cfg: Config) -> list[Run]:
 
 
 def run_policies(features: DataFrame, runs: Sequence[Run], cfg: Config = Config()) -> DataFrame:
-    """Score logs of all runs, from the feature table. Each run is one task, to which its rows stream by date.
-
-    The slice is prepared and packed once; each run reads it by its number. No test rows give no scores.
-    """
-    slice_ = test_slice(features, cfg)
+    """Score logs of all runs, from the feature table: its test slice, and a sample of its training rows."""
     columns = ["date", "id", "x", *(f"{p}_h{h}" for p in ("y", "alive", "mat_date") for h in cfg.horizons)]
-    train, test = split_dates(features, cfg)
+    train, _ = split_dates(features, cfg)
     spread = train.agg(*[F.stddev_samp(f"y_h{h}").alias(str(h)) for h in cfg.horizons]).first()
     sigma = {h: float(spread[str(h)] or 1.0) or 1.0 for h in cfg.horizons}
-    # The last dates only: as many as the longest horizon of any run has.
-    most = max(max(r.cfg.horizons) for r in runs) + 1
-    dates = [r["date"] for r in reversed(test.select("date").distinct().orderBy(F.desc("date")).limit(most).collect())]
-    blank = [F.lit(None).cast(slice_.schema[c].dataType).alias(c) for c in columns if c.startswith(("alive", "mat_date"))]
-    sample = sample_rows(train.where(" or ".join(f"y_h{h} is not null" for h in cfg.horizons)), cfg.pretrain_rows, cfg.seed)
-    rows = slice_.select(*columns, F.lit(True).alias("test")).unionByName(sample.select("date", "id", "x", *[f"y_h{h}" for h in cfg.horizons], *blank, F.lit(False).alias("test")))
-    by_name = {r.name: r for r in runs}
-    numbered = features.sparkSession.createDataFrame(list(enumerate(by_name)), "number int, run string")
-    keyed = rows.crossJoin(F.broadcast(numbered)).repartitionById(len(by_name), F.col("number")).drop("number")  # a few runs
-    ordered = keyed.sortWithinPartitions("run", "test", "date", "id")
-    return ordered.mapInPandas(_simulate_all(by_name, sigma, {n: last_decision(r, dates) for n, r in by_name.items()}), LOG)
+    drawn = sample_rows(train.where(" or ".join(f"y_h{h} is not null" for h in cfg.horizons)), cfg.pretrain_rows, cfg.seed)
+    rows = drawn.select("date", "id", "x", *[f"y_h{h}" for h in cfg.horizons]).orderBy("date", "id").collect()  # pretrain_rows at most
+    sample = [(np.array(r["x"], dtype=float), {h: r[f"y_h{h}"] for h in cfg.horizons}) for r in rows]
+    return run_slice(test_slice(features, cfg).select(*columns), sample, list({r.name: r for r in runs}.values()), sigma)
 
 
 def daily_choices(scores: DataFrame, features: DataFrame) -> DataFrame:

@@ -4,11 +4,12 @@ from dataclasses import replace
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.config import Config
 from quillon.plans import policy as P
 
-CFG = Config(windows=(10, 21), horizons=(1, 2), warmup=3, pretrain_rows=20, conf_window=30)
+CFG = Config(windows=(10, 21), horizons=(3, 6), warmup=3, pretrain_rows=20, conf_window=30)
 DAYS = [datetime.date(2020, 1, 1) + datetime.timedelta(i) for i in range(30)]
 
 
@@ -24,31 +25,64 @@ def _slice(seed=0, ids=4):
     return pd.DataFrame(rows)
 
 
-def _run(kind, frame, arm=None):
-    return list(P.simulate(P.Run("r", kind, CFG, arm), frame.head(12), frame, {1: 0.02, 2: 0.02}))
+def _all(spark, frame, runs, sigma=None, train=12):
+    """The logs of runs over a slice, by name, each as rows of plain values."""
+    rows = frame.assign(x=frame["x"].map(lambda x: [float(v) for v in x]))
+    kinds = "".join(f", y_h{h} double, alive_h{h} int, mat_date_h{h} date" for h in CFG.horizons)
+    names = ["date", "id", "x", *[f"{p}_h{h}" for h in CFG.horizons for p in ("y", "alive", "mat_date")]]
+    table = spark.createDataFrame(list(rows[names].itertuples(index=False, name=None)), "date date, id string, x array<double>" + kinds).repartition(3)
+    sample = [(np.asarray(r["x"], dtype=float), {h: r[f"y_h{h}"] for h in CFG.horizons}) for r in frame.head(train).to_dict("records")]
+    out = {r.name: [] for r in runs}
+    for r in P.run_slice(table, sample, runs, sigma or {3: 0.02, 6: 0.02}).collect():
+        out[r["run"]].append(r.asDict())
+    return out
 
 
-@pytest.mark.parametrize("kind,arm", [("bandit", None), ("random", None), ("fixed", ("mom_w10", 2))])
-def test_runs_repeat_and_respect_what_is_alive(kind, arm):
-    a = _run(kind, _slice(), arm)
-    assert a == _run(kind, _slice(), arm) and a
-    assert all(r["l"] <= r["u"] and r["date"] < DAYS[-r["h"]] for r in a)
-    assert all(r["qhat"] == 0 for r in a if r["buffer"] < CFG.warmup)
-    assert len({(r["date"], r["id"]) for r in a}) == len(a)
+RUNS = [P.Run("bandit", "bandit", CFG), P.Run("random", "random", CFG), P.Run("mom_w10 h6", "fixed", CFG, ("mom_w10", 6)), P.Run("mom_w21 h3", "fixed", CFG, ("mom_w21", 3))]
 
 
-@pytest.mark.parametrize("kind,arm", [("bandit", None), ("random", None), ("fixed", ("mom_w21", 1))])
-def test_outcomes_change_nothing_before_they_mature(kind, arm):
-    base, moved = _slice(), _slice()
-    for h in CFG.horizons:
-        moved.loc[moved["date"] >= DAYS[15], f"y_h{h}"] = 9.0
-    early = lambda log: [(r["date"], r["id"], r["momentum"], r["h"], r["l"], r["u"]) for r in log if r["date"] <= DAYS[15]]
-    assert sorted(early(_run(kind, base, arm))) == sorted(early(_run(kind, moved, arm)))
+@pytest.fixture(scope="module")
+def logs(spark):
+    return _all(spark, _slice(), RUNS)
+
 
+def test_runs_respect_what_is_alive(logs):
+    for a in logs.values():
+        assert a and all(r["l"] <= r["u"] and r["date"] < DAYS[-r["h"]] for r in a)
+        assert all(r["qhat"] == 0 for r in a if r["buffer"] < CFG.warmup)
+        assert len({(r["date"], r["id"]) for r in a}) == len(a)
+    fixed = logs["mom_w10 h6"]
+    assert {r["momentum"] for r in fixed} == {"mom_w10"} and 6 in {r["h"] for r in fixed}
 
-def test_fixed_falls_back_to_a_live_horizon():
-    log = [r for r in _run("fixed", _slice(), ("mom_w10", 2))]
-    assert {r["momentum"] for r in log} == {"mom_w10"} and 2 in {r["h"] for r in log}
+
+def test_outcomes_change_nothing_before_they_mature(spark, logs):
+    moved = _slice()
+    for h in CFG.horizons:
+        moved.loc[moved["date"] >= DAYS[15], f"y_h{h}"] = 9.0
+    early = lambda log: sorted((r["date"], r["id"], r["momentum"], r["h"], r["l"], r["u"]) for r in log if r["date"] <= DAYS[15])
+    changed = _all(spark, moved, RUNS)
+    assert all(early(log) == early(changed[name]) for name, log in logs.items())
+
+
+def test_a_run_is_several_tasks_and_needs_one_row_per_id_and_date(spark):
+    from quillon.sources import intermediate
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        _all(spark, _slice(5, 12), RUNS[:1])
+        written = [p for p in intermediate._written[spark.sparkContext.applicationId] if "/slice-" in p][-1]
+        assert spark.read.parquet(written).where("date = date'2020-01-05'").select(F.input_file_name()).distinct().count() >= 1
+        assert spark.read.parquet(written).select(F.input_file_name()).distinct().count() > 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    twice = _slice()
+    twice.loc[twice["date"] == DAYS[4], "mat_date_h3"] = DAYS[4]
+    with pytest.raises(Exception, match="several rows on a date"):
+        _all(spark, twice, RUNS[3:])
+
+
+def test_an_empty_slice_gives_an_empty_log(spark):
+    assert _all(spark, _slice().head(0), RUNS, train=0) == {r.name: [] for r in RUNS}
 
 
 def test_arm_survives_bad_matrices():

@@ -7,9 +7,9 @@ import numpy as np
 import pytest
 
 from quillon.plans import policy as P
-from tests.test_policy import CFG, _slice
+from tests.test_policy import CFG, _all, _slice
 
-SIGMA = {1: 0.02, 2: 0.03}
+SIGMA = {3: 0.02, 6: 0.03}
 
 
 def _dot(a, b):
@@ -103,7 +103,7 @@ def _plain(run, train, test, sigma):
                     a = a + 1e-6 * np.eye(10)
                 z = np.random.Generator(np.random.Philox(key=[cfg.seed, day * len(arms) + k])).normal(size=10)
                 theta.append(np.linalg.inv(a) @ b_of[arm] + math.sqrt(cfg.noise) * np.linalg.inv(np.linalg.cholesky(a).T) @ z)
-        luck = np.random.Generator(np.random.Philox(key=[cfg.seed, day])).random(len(rows)) if run.kind == "random" else None
+        luck = P.luck(cfg.seed, day, [row["id"] for row in rows]) if run.kind == "random" else None
         for i, row in enumerate(rows):
             live = [a for a in arms if row[f"alive_h{a[1]}"]]
             if not live:
@@ -141,13 +141,27 @@ VARIANTS = {
 }
 
 
+POLICIES = [("bandit", None), ("random", None), ("fixed", ("mom_w10", 3)), ("fixed", ("mom_w21", 6))]
+RUNS = {(v, k, arm): P.Run(f"{v} {k} {arm}", k, cfg, arm) for v, cfg in VARIANTS.items() for k, arm in POLICIES}
+
+
+def _frame():
+    frame = _slice(3, 5)
+    frame.loc[frame.index % 17 == 0, "y_h6"] = float("nan")
+    return frame
+
+
+@pytest.fixture(scope="module")
+def logs(spark):
+    return _all(spark, _frame(), list(RUNS.values()), SIGMA, 40)
+
+
 @pytest.mark.parametrize("variant", VARIANTS)
-@pytest.mark.parametrize("kind,arm", [("bandit", None), ("random", None), ("fixed", ("mom_w10", 1)), ("fixed", ("mom_w21", 2))])
-def test_every_column_of_a_run(kind, arm, variant):
-    run, frame = P.Run("r", kind, VARIANTS[variant], arm), _slice(3, 5)
-    frame.loc[frame.index % 17 == 0, "y_h2"] = float("nan")
+@pytest.mark.parametrize("kind,arm", POLICIES)
+def test_every_column_of_a_run(logs, kind, arm, variant):
+    run, frame = RUNS[variant, kind, arm], _frame()
     key = lambda r: (r["date"], r["id"])
-    got = sorted(P.simulate(run, frame.head(40), frame, SIGMA), key=key)
+    got = sorted(logs[run.name], key=key)
     want = sorted(_plain(run, frame.head(40), frame, SIGMA), key=key)
     assert len(got) == len(want) > 50
     for a, b in zip(got, want, strict=True):
