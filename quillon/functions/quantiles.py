@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,16 +48,6 @@ def index_quantile(values: Column, q: float) -> Column:
     return F.when(n > 0, F.element_at(F.array_sort(values), F.least(F.floor(n * q).cast("int") + 1, n)))
 
 
-def rolling_adjustment(score: Column, by: Sequence[str], order: Sequence[str], window: int, q: float, warmup: int) -> Column:
-    """The quantile of the scores of the rows before, at most `window` of them; 0 until there are `warmup`.
-
-    The frame is bounded by the window, so its array is too.
-    """
-    frame = Window.partitionBy(*by).orderBy(*order).rowsBetween(-max(30, window), -1)
-    values = F.collect_list(score).over(frame)
-    return F.when(F.size(values) >= warmup, index_quantile(values, q)).otherwise(F.lit(0.0))
-
-
 def kth_smallest(df: DataFrame, ranks: dict[str, int], bins: int = 1024, few: int = 10_000) -> dict[str, float]:
     """Column -> its value of that rank (from 1), exactly, without ordering rows.
 
@@ -81,7 +72,8 @@ def kth_smallest(df: DataFrame, ranks: dict[str, int], bins: int = 1024, few: in
                         done[c] = r["low"]
                     elif r["n"] <= few:
                         values = df.where(F.col(c).between(r["low"], r["high"])).groupBy(c).count().orderBy(c).collect()
-                        done[c] = next(v[c] for i, v in enumerate(values) if sum(x["count"] for x in values[: i + 1]) >= left)
+                        upto = accumulate(v["count"] for v in values)
+                        done[c] = next(v[c] for v, n in zip(values, upto, strict=True) if n >= left)
                     break
                 left -= r["n"]
     return done

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.ranges import percentiles
 from quillon.operators.windows import normalized_weight
 
 SCORE_COLUMNS = ("y", "l", "u", "width_scaled", "loss_scaled", "covered")
@@ -37,28 +38,22 @@ def overall_loss(scores: DataFrame) -> DataFrame:
     return daily.agg(F.avg("loss").alias("overall_weighted"), F.count(F.lit(1)).alias("n"))
 
 
-def percentile(c: str, q: float | Sequence[float], accuracy: int | None = None) -> Column:
-    """A percentile, or an array of them: interpolated and exact, which keeps each different value of a group in one
-    task, or with `accuracy` a value whose rank is off by at most rows / accuracy, in bounded memory."""
-    wanted = F.lit(q) if isinstance(q, float) else F.array(*[F.lit(x) for x in q])
-    return F.percentile_approx(c, wanted, F.lit(accuracy)) if accuracy else F.percentile(c, wanted)
-
-
-def summary(scores: DataFrame, accuracy: int | None = None) -> DataFrame:
+def summary(scores: DataFrame) -> DataFrame:
     """Overall and by horizon (h null: all): a rollup of mean, median and 99th percentile of losses, and more.
 
-    `accuracy` is that of `percentile`; give it for logs of many rows.
+    Percentiles are exact and come from counts of values by range, so no horizon's losses have to fit in one task.
     """
-    return scores.rollup("h").agg(
+    plain = scores.rollup("h").agg(
         F.avg("loss_scaled").alias("mean_loss"),
-        percentile("loss_scaled", 0.5, accuracy).alias("median_loss"),
-        percentile("loss_scaled", 0.99, accuracy).alias("p99_loss"),
         F.avg("covered").alias("coverage"),
         F.avg("width_scaled").alias("mean_width"),
         F.count_distinct("id").alias("n_ids"),
         F.count_distinct("date").alias("n_dates"),
         F.count(F.lit(1)).alias("n"),
     )
+    ranked = percentiles(scores, ["h"], "loss_scaled", (0.5, 0.99), ("median_loss", "p99_loss"), rollup=True).withColumnRenamed("h", "__h")
+    both = plain.join(ranked, F.col("h").eqNullSafe(F.col("__h")), "left")
+    return both.select("h", "mean_loss", "median_loss", "p99_loss", "coverage", "mean_width", "n_ids", "n_dates", "n")
 
 
 def by_horizon(scores: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from quillon.operators.ranges import trailing
+
 #: Least standard deviation in momentum, what is added to it, and rows that rolling sums need.
 VOL_FLOOR, VOL_EPS, MIN_ROWS = 0.01, 1e-8, 5
 
@@ -108,6 +110,10 @@ def running_number() -> Column:
     return F.row_number().over(by_id()) - 1
 
 
-def last_flags_mean(c: str, n: int = 60, by: Sequence[str] = ("run",), order: Sequence[str] = ("date", "id")) -> Column:
-    """Share of set flags among the last n (10 at least) rows of a run, the present one included, however few there are."""
-    return F.avg(F.col(c).cast("double")).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(-(max(10, n) - 1), 0))
+def last_flags_mean(df: DataFrame, c: str, n: int = 60, by: Sequence[str] = ("run",), order: Sequence[str] = ("date", "id"), name: str = "share") -> DataFrame:
+    """`df` with the share of set flags among the last n (10 at least) rows of a run, the present one included, however few there are.
+
+    A run's rows are many and runs are few, so its ranges go side by side.
+    """
+    frame = max(10, n) - 1
+    return trailing(df, by, order, frame, {name: lambda spec: F.avg(F.col(c).cast("double")).over(spec.rowsBetween(-frame, 0))})

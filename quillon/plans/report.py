@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import fixed_arm, regime
-from quillon.operators.aggregates import by_horizon, coverage_statistics, histogram_of_range, per_security, percentile
+from quillon.operators.aggregates import by_horizon, coverage_statistics, histogram_of_range, per_security
+from quillon.operators.ranges import percentiles
 from quillon.operators.windows import lagged_outcome, rolling_mean, rolling_std
 from quillon.plans.stats import binomial_p_value
 from quillon.sources.files import write_text
@@ -74,9 +75,9 @@ def coverage_heatmap(index: DataFrame, horizons: Sequence[int]) -> DataFrame:
     return index.groupBy("date").pivot("h", list(horizons)).agg(F.first("covered"))
 
 
-def loss_quartiles(scores: DataFrame, accuracy: int | None = None) -> DataFrame:
-    """(h, q25, q50, q75): the boxes of losses by horizon; `accuracy` is that of `aggregates.percentile`."""
-    return scores.groupBy("h").agg(percentile("loss_scaled", (0.25, 0.5, 0.75), accuracy).alias("q")).select("h", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"))
+def loss_quartiles(scores: DataFrame) -> DataFrame:
+    """(h, q25, q50, q75): the boxes of losses by horizon, exact, from counts of values by range."""
+    return percentiles(scores, ["h"], "loss_scaled", (0.25, 0.5, 0.75), ("q25", "q50", "q75"))
 
 
 def policy_evolution(choices: DataFrame) -> DataFrame:

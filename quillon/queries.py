@@ -13,7 +13,7 @@ from quillon.config import Config
 from quillon.functions import quantiles as Q
 from quillon.functions import scalars as S
 from quillon.operators import aggregates as A
-from quillon.operators import splits, windows
+from quillon.operators import ranges, splits, windows
 from quillon.plans import ablation, causal, ope, policy, report, stats
 from quillon.plans import features as plan
 from quillon.plans.scoring import arm_scores, fixed_scores, horizon_moments
@@ -64,9 +64,13 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
     return plan.add_features(sales_panel(spark, d), CFG)
 
 
-def _table(spark: SparkSession, d: str) -> DataFrame:
-    """The features as a written table, for plans that read them more than once."""
-    return cut(_features(spark, d), "features")
+def _table(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The features as a written table, for plans that read them more than once: only the columns that they read are computed."""
+    features = _features(spark, d)
+    return cut(features.select("date", "id", *columns) if columns else features, "features")
+
+
+_TARGETS = ("index_weight", "spread", "ret_vol20", *(f"y_h{h}" for h in CFG.horizons))
 
 
 def _scored(t: DataFrame) -> DataFrame:
@@ -74,11 +78,11 @@ def _scored(t: DataFrame) -> DataFrame:
 
 
 def _fixed(spark: SparkSession, d: str) -> DataFrame:
-    return fixed_scores(_table(spark, d), CFG)
+    return fixed_scores(_table(spark, d, *_TARGETS), CFG)
 
 
 def _arms(spark: SparkSession, d: str) -> DataFrame:
-    return arm_scores(_table(spark, d), CFG)
+    return arm_scores(_table(spark, d, *_TARGETS, *(f"mom_w{w}" for w in CFG.windows)), CFG)
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
@@ -306,7 +310,8 @@ def ret_autocorr21(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH {FEATURES} SELECT date, id, round(spread_percentile, 6) AS spread_percentile, round(vol_percentile, 6) AS vol_percentile FROM feat")
 def percentile_ranks(spark: SparkSession, d: str) -> DataFrame:
-    return _features(spark, d).select("date", "id", _r("spread_percentile"), _r("vol_percentile"))
+    p = sales_panel(spark, d).withColumn("ret_vol20", windows.rolling_std(F.col("ret"), 20, 5)).select("date", "id", "spread", "ret_vol20")
+    return ranges.percentile_ranks(p, {"spread_percentile": "spread", "vol_percentile": "ret_vol20"}).select("date", "id", _r("spread_percentile"), _r("vol_percentile"))
 
 
 @_query(f"WITH {FEATURES} SELECT date, id, " + ", ".join(f"round(y_h{h}, 6) + 0 AS y_h{h}" for h in H) + " FROM feat")
@@ -322,7 +327,7 @@ def alive_maturity(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH {SCORED} SELECT date, id, " + ", ".join(f"round({c}_z, 5) + 0 AS {c}_z" for c in _ZCOLS) + " FROM scored")
 def train_zscores(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(_table(spark, d)).select("date", "id", *[_r(f"{c}_z", digits=5) for c in _ZCOLS])
+    return _scored(_table(spark, d, *_ZCOLS)).select("date", "id", *[_r(f"{c}_z", digits=5) for c in _ZCOLS])
 
 
 @_query(f"""WITH {SCORED} SELECT date, id, CAST(1 AS DOUBLE) AS x0, round(ret_vol20_z, 5) + 0 AS x1, round(idx_vol_z, 5) + 0 AS x2, round(spread_z, 5) + 0 AS x3, round(duration_z, 5) + 0 AS x4,
@@ -410,7 +415,7 @@ def finite_sample_quantile(spark: SparkSession, d: str) -> DataFrame:
 SELECT date, id, h, round(CASE WHEN len(v) >= 20 THEN list_sort(v)[least(CAST(floor(len(v) * CAST(0.9 AS DOUBLE)) AS INTEGER) + 1, len(v))] ELSE 0 END, 6) AS qhat FROM s""")
 def rolling_qhat(spark: SparkSession, d: str) -> DataFrame:
     score = S.nonconformity(*[F.col(x) for x in ("y", "l", "u")])[2]
-    return _fixed(spark, d).select("date", "id", "h", _r(Q.rolling_adjustment(score, ["id", "h"], ["date"], 50, 0.9, 20), "qhat"))
+    return ranges.trailing_quantile(_fixed(spark, d), ["id", "h"], ["date"], score, 50, 0.9, 20, "qhat").select("date", "id", "h", _r("qhat"))
 
 
 @_query(f"""WITH {FIXED}, s AS (SELECT greatest(l - y, 0) AS a, greatest(y - u, 0) AS b FROM fixed), l AS (SELECT list_sort(list(a)) AS a, list_sort(list(b)) AS b, count(*) AS n FROM s)
@@ -536,7 +541,7 @@ def running_number(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH {FIXED} SELECT date, id, h, round(avg(covered) OVER (PARTITION BY h ORDER BY date, id ROWS 59 PRECEDING), 6) AS share FROM fixed")
 def last_flags_mean(spark: SparkSession, d: str) -> DataFrame:
-    return _fixed(spark, d).select("date", "id", "h", _r(windows.last_flags_mean("covered", 60, ("h",)), "share"))
+    return windows.last_flags_mean(_fixed(spark, d), "covered", 60, ("h",), name="share").select("date", "id", "h", _r("share"))
 
 
 @_query(f"WITH {BOARD} SELECT CAST(row_number() OVER (ORDER BY round(mean_loss_scaled, 6), baseline) AS INTEGER) AS place, baseline AS name, round(mean_loss_scaled, 6) AS value FROM board")
@@ -555,7 +560,7 @@ SELECT date, id, h, round(CASE WHEN len(v) >= 20 THEN list_sort(v)[least(CAST(fl
 def calibrator_by_horizon(spark: SparkSession, d: str) -> DataFrame:
     """A horizon's calibrator over all ids: the quantile of its last 250 scores before each row."""
     score = S.nonconformity(*[F.col(x) for x in ("y", "l", "u")])[2]
-    return _fixed(spark, d).select("date", "id", "h", _r(Q.rolling_adjustment(score, ["h"], ["date", "id"], 250, 0.9, 20), "qhat"))
+    return ranges.trailing_quantile(_fixed(spark, d), ["h"], ["date", "id"], score, 250, 0.9, 20, "qhat").select("date", "id", "h", _r("qhat"))
 
 
 @_query(f"WITH {INDEX} SELECT h, round(avg(covered), 6) AS coverage, round(1 - min(alpha), 6) AS nominal, round(avg(covered) - (1 - min(alpha)), 6) AS gap FROM index_series GROUP BY h")
@@ -586,12 +591,12 @@ def loss_quartiles(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH {ACTIONS} SELECT date, momentum, h FROM choices")
 def policy_mode(spark: SparkSession, d: str) -> DataFrame:
-    return _choices(_table(spark, d)).select("date", "momentum", "h")
+    return _choices(_table(spark, d, *_TARGETS)).select("date", "momentum", "h")
 
 
 @_query(f"WITH {ACTIONS} SELECT date, momentum, h, CAST(dense_rank() OVER (ORDER BY momentum, h) - 1 AS INTEGER) AS code FROM choices")
 def policy_evolution(spark: SparkSession, d: str) -> DataFrame:
-    return report.policy_evolution(cut(_choices(_table(spark, d)), "choices")).select("date", "momentum", "h", "code")
+    return report.policy_evolution(cut(_choices(_table(spark, d, *_TARGETS)), "choices")).select("date", "momentum", "h", "code")
 
 
 @_query(f"WITH {TEST} SELECT date, round(avg(ret_vol20), 5) AS ctx_retvol20, round(avg(spread), 5) AS ctx_spread, round(avg(duration), 5) AS ctx_duration FROM test_rows GROUP BY date")

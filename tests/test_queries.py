@@ -14,15 +14,21 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables
 
 
 def _rows(frame: pd.DataFrame) -> list[tuple]:
-    """Rows in order of their keys, then of their numbers to four digits."""
+    """Rows in order of their keys, then of their numbers."""
     plain = lambda v: None if v is None or v is pd.NA or v is pd.NaT or v != v else float(v) if isinstance(v, float) else str(v)
     rows = [tuple(plain(v) for v in r) for r in frame[sorted(frame.columns)].itertuples(index=False, name=None)]
-    return sorted(rows, key=lambda r: ([str(v) for v in r if not isinstance(v, float)], [round(v, 4) + 0.0 for v in r if isinstance(v, float)]))
+    return sorted(rows, key=lambda r: ([str(v) for v in r if not isinstance(v, float)], [round(v, 7) + 0.0 for v in r if isinstance(v, float)]))
 
 
-def _alike(a: object, b: object) -> bool:
-    """Numbers may differ by one unit of their last digit, where a tie went to either side."""
-    return abs(a - b) <= 1.1e-5 * max(1.0, abs(a)) if isinstance(a, float) and isinstance(b, float) else a == b
+def _units(frame: pd.DataFrame) -> list[float]:
+    """One unit of the last digit that a column of numbers is rounded to, by column in order of name; 0 for other columns."""
+    digits = lambda v: len(f"{v:.10f}".rstrip("0").split(".")[1])
+    return [10.0 ** -max([digits(v) for v in frame[c].dropna()], default=0) if pd.api.types.is_float_dtype(frame[c]) else 0.0 for c in sorted(frame.columns)]
+
+
+def _alike(a: object, b: object, unit: float) -> bool:
+    """Numbers may differ by one unit of their column's last digit, where a tie went to either side."""
+    return abs(a - b) <= 1.01 * unit + 1e-12 * abs(a) if isinstance(a, float) and isinstance(b, float) else a == b
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +43,8 @@ def duck():
 def test_same_as_sql(spark, duck, name):
     mine, want = queries()[name](spark, SF).toPandas(), duck.execute(oracle_sql()[name]).fetch_df()
     assert sorted(mine.columns) == sorted(want.columns) and len(mine) == len(want)
-    different = [(a, b) for a, b in zip(_rows(mine), _rows(want), strict=True) if not all(map(_alike, a, b))]
+    units = _units(want)
+    different = [(a, b) for a, b in zip(_rows(mine), _rows(want), strict=True) if not all(map(_alike, a, b, units))]
     assert not different, different[:3]
 
 
