@@ -81,7 +81,10 @@ class Config:
 
     @staticmethod
     def from_mapping(values: Mapping) -> Config:
-        """From keys as a settings file names them; unknown keys are left out."""
+        """From keys as a settings file names them, or as a run saves them; unknown keys are left out.
+
+        Horizons may be text, as JSON has them; `alpha_<h>` beside `alpha_by_h` goes before it.
+        """
         names = {"momentum_windows": "windows", "horizon_scale_mode": "scale_mode", "calib_warmup_min": "warmup", "raw_min_width": "min_width", "raw_max_width": "max_width", "raw_bound_cap_k": "bound_cap", "eta_q": "eta", "n_splits_value": "folds", "max_purge_steps": "purge"}
         flat = {**values, **(values.get("crl") or {})}
         taken: dict[str, Any] = {}
@@ -92,14 +95,25 @@ class Config:
                 continue
             if key.startswith("alpha_") and key[6:].isdigit():
                 per_h[int(key[6:])] = float(value)
+            elif name == "alpha_by_h":
+                per_h = {**{int(h): float(a) for h, a in value.items()}, **per_h}
             elif name in Config.__dataclass_fields__:
                 taken[name] = tuple(value) if isinstance(value, list) else value
-        return Config(**taken, alpha_by_h={**taken.pop("alpha_by_h", {}), **per_h})
+        return Config(**taken, alpha_by_h=per_h)
 
 
-def load_yaml(path: str) -> dict:
-    """A settings file as a mapping."""
+def parse_yaml(text: str) -> dict:
+    """Settings as a mapping; a text that holds none gives an empty one."""
     import yaml
 
+    try:
+        found = yaml.safe_load(text)
+    except yaml.YAMLError:
+        return {}
+    return found if isinstance(found, dict) else {}
+
+
+def load_yaml(path: str) -> dict:
+    """A settings file on this machine as a mapping."""
     with open(path, encoding="utf-8") as f:
-        return yaml.safe_load(f) or {}
+        return parse_yaml(f.read())

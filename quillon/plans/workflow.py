@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import datetime
-from collections.abc import Callable
+import hashlib
+import json
+import uuid
+from collections.abc import Callable, Mapping
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,26 +17,66 @@ from quillon.operators import aggregates as A
 from quillon.plans import ablation, causal, ope, report, stats
 from quillon.plans.features import feature_table
 from quillon.plans.policy import Run, baseline_runs, calibrator_audit, daily_choices, run_policies
-from quillon.sources.files import file_sizes, read_json, read_text, write_json
-from quillon.sources.intermediate import cut
+from quillon.sources.files import exists, file_sizes, read_json, remove, rename, write_json
+from quillon.sources.intermediate import cut, released
 
 
 class Checkpoint:
-    """Which steps are done; an absent or corrupt file means none."""
+    """Which steps are done, and with what: a step is done only by its entry in the manifest.
 
-    def __init__(self, path: str, spark: SparkSession | None = None):
-        self.path, self.spark, self.done = path, spark, dict(read_json(path, {}, spark).get("completed", {}))
+    A step's tables are written under fresh names, put in place when all of them are whole, and noted last,
+    by a manifest that replaces the old one in one step. Whatever stops a run before that, the step is run
+    again. An entry holds the fingerprint of settings and input; another fingerprint, like an absent, empty
+    or corrupt manifest, means that the step isn't done. Steps after one that ran are run again as well.
+    """
+
+    def __init__(self, path: str, spark: SparkSession, fingerprint: str = ""):
+        self.path, self.spark, self.fingerprint = path, spark, fingerprint
+        self.folder = path.rpartition("/")[0]
+        self.done = {k: v for k, v in dict(read_json(path, {}, spark).get("completed") or {}).items() if isinstance(v, dict)}
+        self.fresh: dict[str, str] = {}
+        self._ran = False
+
+    def is_done(self, step: str) -> bool:
+        return self.done.get(step, {}).get("fingerprint") == self.fingerprint
+
+    def place(self, table: str) -> str:
+        """Where a table is to be read now: as the step at work wrote it, else in its place."""
+        return self.fresh.get(table, f"{self.folder}/{table}.parquet")
+
+    def write(self, df: DataFrame, table: str) -> None:
+        """A table of the step at work."""
+        path = f"{self.folder}/_fresh/{table}-{uuid.uuid4().hex}.parquet"
+        df.write.parquet(path)
+        self.fresh[table] = path
+
+    def _save(self) -> None:
+        write_json({"completed": self.done}, self.path, self.spark)
 
     def run(self, step: str, work: Callable[[], None], force: bool = False) -> bool:
         """Run a step unless it is done; whether it ran."""
-        if step in self.done and not force:
+        if self.is_done(step) and not force and not self._ran:
             return False
+        if self.done.pop(step, None) is not None:
+            self._save()  # from here on its tables may be a mixture
+        self._ran, self.fresh = True, {}
         work()
-        self.done[step] = datetime.datetime.now(datetime.UTC).isoformat()
-        write_json({"completed": self.done}, self.path, self.spark)
+        for table, path in self.fresh.items():
+            rename(self.spark, path, f"{self.folder}/{table}.parquet")
+        tables, self.fresh = sorted(self.fresh), {}
+        self.done[step] = {"at": datetime.datetime.now(datetime.UTC).isoformat(), "fingerprint": self.fingerprint, "tables": tables}
+        self._save()
         return True
 
 
+def fingerprint(settings: Mapping, panel: DataFrame) -> str:
+    """One text for settings and input: it changes with any setting, column, row or value, not with the rows' order."""
+    own = panel.select(F.xxhash64(*sorted(panel.columns)).alias("h"))
+    told = own.agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("x"), F.sum(F.pmod("h", F.lit(1 << 31))).alias("s")).first()
+    document = json.dumps([settings, sorted(panel.dtypes), list(told)], sort_keys=True, default=str)
+    return hashlib.sha256(document.encode()).hexdigest()
+
+
 def report_row(df: DataFrame) -> dict:
     """The first row of a table as a document."""
     row = df.first()
@@ -43,16 +86,18 @@ def report_row(df: DataFrame) -> dict:
 def run_all(spark: SparkSession, panel: DataFrame, results: str, cfg: Config = Config(), with_ablation: bool = False, force: bool = False, panel_path: str | None = None) -> dict[str, str]:
     """Features, bandit, baselines, counterfactuals, off-policy evaluation, ablation and report under `results`.
 
-    Each step reads what earlier ones wrote, so a restart goes on where the last run stopped. The settings
-    are saved beside the results, with the panel's path if it is given, for `files.resolve_panel_path`.
+    Each step reads what earlier ones wrote, so a restart goes on where the last run stopped; other settings or
+    another panel start anew (see `Checkpoint`). The settings are saved beside the results, with the panel's path
+    if it is given, for `files.load_settings` and `files.resolve_panel_path`.
     """
     results = results.rstrip("/")
     note = lambda document, name: write_json(document, f"{results}/{name}.json", spark)
-    note({**asdict(cfg), "alpha_by_h": dict(cfg.alpha_by_h), **({"panel_path": panel_path} if panel_path else {})}, "config_resolved")
-    mark = Checkpoint(f"{results}/checkpoint.json", spark)
+    settings = {**asdict(cfg), "alpha_by_h": dict(cfg.alpha_by_h)}
+    note({**settings, **({"panel_path": panel_path} if panel_path else {})}, "config_resolved")
+    mark = Checkpoint(f"{results}/checkpoint.json", spark, fingerprint(settings, panel))
     path = {n: f"{results}/{n}.parquet" for n in ("features", "policy_scores", "policy_choices", "baseline_scores", "calibrator_audit", "causal_summary", "ope_rows", "ope_summary", "ablation_overview", "ablation_diff", "leaderboard")}
-    read = lambda n: spark.read.parquet(path[n])
-    write = lambda df, n: df.write.mode("overwrite").parquet(path[n])
+    read = lambda n: spark.read.parquet(mark.place(n))
+    write = mark.write
 
     def bandit() -> None:
         write(run_policies(read("features"), [Run("crl", "bandit", cfg)], cfg), "policy_scores")
@@ -74,12 +119,13 @@ def run_all(spark: SparkSession, panel: DataFrame, results: str, cfg: Config = C
     def off_policy() -> None:
         behaviour = read("baseline_scores").where("run = 'random'")
         if behaviour.isEmpty():
-            return
+            return remove(spark, f"{results}/ope_meta.json")
         rows = ope.align_actions(behaviour, read("policy_scores"))
         scored, total = ope.evaluate_forest(rows, read("features"), cfg)
         write(scored, "ope_rows")
         write(total, "ope_summary")
         note({"rows": read("ope_rows").count(), "folds": cfg.folds, "scale_mode": cfg.scale_mode, "behaviour": "random"}, "ope_meta")
+        return None
 
     def ablations() -> None:
         overview, diff = ablation.run_ablation(read("features"), cfg)
@@ -107,8 +153,8 @@ def run_all(spark: SparkSession, panel: DataFrame, results: str, cfg: Config = C
             "Significance": stats.significance_table(days(index), days(models, "baseline")).orderBy("baseline"),
             "Performance": stats.performance_table(every).orderBy("mean_loss"),
             "Counterfactuals": read("causal_summary").orderBy("policy"),
-            **({"Off-policy evaluation": read("ope_summary").orderBy("h_e")} if "ope" in mark.done and read_text(spark, f"{results}/ope_meta.json") else {}),
-            **({"Ablation": read("ablation_overview").orderBy("variant", "scope")} if "ablation" in mark.done else {}),
+            **({"Off-policy evaluation": read("ope_summary").orderBy("h_e")} if mark.is_done("ope") and exists(spark, f"{results}/ope_meta.json") else {}),
+            **({"Ablation": read("ablation_overview").orderBy("variant", "scope")} if mark.is_done("ablation") else {}),
         }
         note(report.coverage_document(scores, cfg.alpha), "coverage_statistics")
         note(report_row(A.observation_counts(scores)), "observation_counts")
@@ -118,5 +164,7 @@ def run_all(spark: SparkSession, panel: DataFrame, results: str, cfg: Config = C
     mark.run("features", lambda: write(feature_table(panel, cfg), "features"), force)
     steps = [("bandit", bandit), ("baselines", baselines), ("causal", counterfactuals), ("ope", off_policy), *([("ablation", ablations)] if with_ablation else []), ("report", reporting)]
     for name, work in steps:
-        mark.run(name, work, force)
+        with released(spark):  # what a step writes for itself is gone with it
+            mark.run(name, work, force)
+    remove(spark, f"{results}/_fresh")
     return path

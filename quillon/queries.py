@@ -825,6 +825,26 @@ def bandit_run(spark: SparkSession, d: str) -> DataFrame:
     return policy.run_policies(_feature_table(spark, d), [policy.Run("crl", "bandit", CFG)], CFG)
 
 
+# What fixed policies choose: the arm, or its momentum at the first horizon alive; runs that learn first leave out the last dates.
+_LIVE = " + ".join(f"alive_h{h}" for h in H)
+_FIRST = "CASE " + " ".join(f"WHEN alive_h{h} = 1 THEN {h}" for h in H) + " END"
+_OWN_H = "CASE a.h " + " ".join(f"WHEN {h} THEN alive_h{h}" for h in H) + " END"
+_FIXED_ARMS = " UNION ALL ".join(f"SELECT 'mom_w{w}' AS momentum, {h} AS h" for w in W for h in H)
+
+
+@_query(f"""WITH {TEST}, test_dates AS (SELECT date, row_number() OVER (ORDER BY date) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM test_rows)),
+kept AS (SELECT t.* FROM test_rows t JOIN test_dates d USING (date) WHERE k <= CASE WHEN n > {max(H)} THEN n - {max(H)} ELSE n END),
+fixed_arms AS ({_FIXED_ARMS}), chosen AS (
+  SELECT 'fixed_' || a.momentum || '_h' || a.h AS run, date, id, a.momentum, CASE WHEN {_OWN_H} = 1 THEN a.h ELSE {_FIRST} END AS h, CAST(({_LIVE}) * {len(W)} AS INTEGER) AS support, t.* EXCLUDE (date, id)
+  FROM kept t CROSS JOIN fixed_arms a WHERE {_LIVE} > 0
+), matured AS (SELECT run, date, id, momentum, CAST(h AS INTEGER) AS h, support, CASE h {" ".join(f"WHEN {h} THEN y_h{h}" for h in H)} END AS outcome FROM chosen)
+SELECT run, date, id, momentum, h, support, round(outcome, 6) AS y FROM matured WHERE outcome IS NOT NULL""")
+def fixed_policy_choices(spark: SparkSession, d: str) -> DataFrame:
+    """The choices, supports and matured outcomes of whole runs of all fixed policies."""
+    runs = [r for r in policy.baseline_runs(CFG) if r.kind == "fixed"]
+    return policy.run_policies(_feature_table(spark, d), runs, CFG).select("run", "date", "id", "momentum", "h", "support", _r("y"))
+
+
 @_query()
 def baseline_runs(spark: SparkSession, d: str) -> DataFrame:
     scores = policy.run_policies(_feature_table(spark, d), policy.baseline_runs(CFG), CFG).withColumn("baseline", F.col("run"))

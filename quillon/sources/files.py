@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import json
-import os
+import uuid
 import warnings
 import xml.etree.ElementTree as ET
 import zipfile
@@ -199,18 +199,49 @@ def _in_store(spark: SparkSession, path: str) -> tuple:
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def write_text(spark: SparkSession, text: str, path: str) -> None:
-    """A small text file in the store that the path names, beside tables that tasks write there."""
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    """Put a file or folder in the place of another, in one step where the store has such a step."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    (old, store), (new, _) = _in_store(spark, source), _in_store(spark, target)
+    if store.exists(new) and store.getFileStatus(new).isDirectory():
+        store.delete(new, True)  # no store replaces a folder that is not empty
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(store.makeQualified(old).toUri(), conf).rename(store.makeQualified(old), store.makeQualified(new), overwrite)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any store, if it is there."""
     target, store = _in_store(spark, path)
+    store.delete(target, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder of any store is there."""
+    target, store = _in_store(spark, path)
+    return store.exists(target)
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small text file in the store that the path names, beside tables that tasks write there.
+
+    It is written under another name first, so a reader finds the old text or the new one, never a part.
+    """
+    folder, _, name = path.rpartition("/")
+    part = f"{folder}/_{name}-{uuid.uuid4().hex}" if folder else f"_{name}-{uuid.uuid4().hex}"
+    target, store = _in_store(spark, part)
     out = store.create(target, True)
     out.write(bytearray(text.encode()))
     out.close()
+    rename(spark, part, path)
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
-    """A small text file of any store; None if it is absent."""
-    target, store = _in_store(spark, path)
-    return spark.read.text(path, wholetext=True).first()[0] if store.exists(target) else None
+    """A small text file of any store; None if it is absent, empty text if it is empty."""
+    if not exists(spark, path):
+        return None
+    row = spark.read.text(path, wholetext=True).first()
+    return row[0] if row else ""
 
 
 def file_sizes(spark: SparkSession, folder: str) -> dict[str, int]:
@@ -234,24 +265,39 @@ def write_json(document: Mapping, path: str, spark: SparkSession | None = None)
 
 
 def read_json(path: str, default: Mapping | None = None, spark: SparkSession | None = None) -> dict:
-    """A document that `write_json` wrote; absent or corrupt gives the default."""
+    """A document that `write_json` wrote; one that is absent, empty, cut short or no mapping gives the default."""
     try:
         if spark is not None:
-            return json.loads(read_text(spark, path) or "")
-        with open(path, encoding="utf-8") as f:
-            return json.load(f)
+            found = json.loads(read_text(spark, path) or "")
+        else:
+            with open(path, encoding="utf-8") as f:
+                found = json.load(f)
     except (OSError, ValueError):
         return dict(default or {})
+    return found if isinstance(found, dict) else dict(default or {})
 
 
-def resolve_panel_path(results: str, default: str = "panel.parquet") -> str:
-    """The panel's path from the settings saved beside results (JSON as a run writes them, or YAML), nested or flat, else the default."""
-    from quillon.config import load_yaml, lookup
+def resolve_panel_path(results: str, default: str = "panel.parquet", spark: SparkSession | None = None) -> str:
+    """The panel's path from the settings saved beside results (JSON as a run writes them, or YAML), nested or flat, else the default.
 
-    saved = read_json(os.path.join(results, "config_resolved.json"))
-    if not saved:
+    With a session `results` may lie in any store; without one, on this machine.
+    """
+    from quillon.config import load_yaml, lookup, parse_yaml
+
+    results = results.rstrip("/")
+    saved = read_json(f"{results}/config_resolved.json", spark=spark)
+    if not saved and spark is not None:
+        saved = parse_yaml(read_text(spark, f"{results}/config_resolved.yaml") or "")
+    elif not saved:
         try:
-            saved = load_yaml(os.path.join(results, "config_resolved.yaml"))
+            saved = load_yaml(f"{results}/config_resolved.yaml")
         except OSError:
             return default
     return lookup(saved, ("panel_path", "data.panel_path"), default)
+
+
+def load_settings(results: str, spark: SparkSession | None = None):  # noqa: ANN201
+    """The Config that a run saved beside its results; the default one if there is none."""
+    from quillon.config import Config
+
+    return Config.from_mapping(read_json(f"{results.rstrip('/')}/config_resolved.json", spark=spark))

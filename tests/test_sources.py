@@ -54,12 +54,12 @@ def test_scans_and_sinks(spark, tmp_path):
     assert files.file_sizes(spark, str(tmp_path / "sub"))["d.json"] > 5
 
 
-def test_steps_run_once(tmp_path):
+def test_steps_run_once(spark, tmp_path):
     ran, path = [], str(tmp_path / "c.json")
-    assert Checkpoint(path).run("a", lambda: ran.append(1)) and not Checkpoint(path).run("a", lambda: ran.append(2))
+    assert Checkpoint(path, spark).run("a", lambda: ran.append(1)) and not Checkpoint(path, spark).run("a", lambda: ran.append(2))
     with pytest.raises(RuntimeError):
-        Checkpoint(path).run("b", lambda: (_ for _ in ()).throw(RuntimeError()))
-    assert Checkpoint(path).run("b", lambda: None) and Checkpoint(path).run("a", lambda: None, force=True) and ran == [1]
+        Checkpoint(path, spark).run("b", lambda: (_ for _ in ()).throw(RuntimeError()))
+    assert Checkpoint(path, spark).run("b", lambda: None) and Checkpoint(path, spark).run("a", lambda: None, force=True) and ran == [1]
 
 
 def test_variants():

@@ -54,6 +54,9 @@ def test_scores_wait_for_their_timers(spark, tmp_path):
     spark.createDataFrame(make(range(200, 201)), schema).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     got = _drain(maturity.score_stream(stream, warmup=5), "m1").orderBy("date").collect()
+    # A decision whose outcome is none leaves without a score.
+    assert [r.covered for r in got if r.y is None] == [None]
+    got = [r for r in got if r.y is not None]
     assert len(got) >= 30 and [r.buffer for r in got[:30]] == list(range(30))
     assert all(r.qhat == 0 for r in got[:5]) and got[29].qhat > 0
     flags = [r.covered for r in got]
@@ -82,3 +85,54 @@ def test_a_restarted_query_goes_on_and_the_end_drains_it(spark, tmp_path):
             q = sorted(scores)[min(int(len(scores) * 0.9), len(scores) - 1)] if len(scores) >= 3 else 0.0
             assert (r.date, r.y, r.buffer, r.qhat, r.l, r.u) == (date, y, len(scores), q, low - q, high + q)
             scores.append(max(low - y, y - high, 0.0))
+
+
+def test_a_decision_without_outcome_leaves_as_such(spark, tmp_path):
+    start = datetime.datetime(2024, 1, 1)
+    made = [(f"s{i % 3}", start + datetime.timedelta(i), start + datetime.timedelta(i + 5), -1.0, 1.0) for i in range(20)]
+    told = [(r[0], r[2], 0.5) for i, r in enumerate(made) if i % 4]
+    far = start + datetime.timedelta(400)
+    d = spark.createDataFrame(made, "id string, date timestamp, mat_ts timestamp, l double, u double")
+    o = spark.createDataFrame(told, "id string, mat_ts timestamp, y double")
+    for name, df, last in (("d", d, [("end", far, far, 0.0, 0.0)]), ("o", o, [("end", far, 0.0)])):
+        df.coalesce(1).write.parquet(str(tmp_path / name))
+        spark.createDataFrame(last, df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    source = lambda name, df: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+    got = _drain(maturity.pair_outcomes(source("d", d), source("o", o), "30 days"), "never").where("id <> 'end'").collect()
+    assert sorted((r.id, r.date, r.y) for r in got if r.y is not None) == sorted((r[0], r[1], 0.5) for i, r in enumerate(made) if i % 4)
+    assert sorted((r.id, r.date) for r in got if r.y is None) == sorted((r[0], r[1]) for i, r in enumerate(made) if i % 4 == 0)
+
+
+def test_a_wait_that_ends_leaves_no_state(spark, tmp_path):
+    start, path = datetime.datetime(2024, 1, 1), str(tmp_path / "in")
+    schema = "id string, date timestamp, mat_ts timestamp, l double, u double, y double"
+    rows = [("a", start + datetime.timedelta(i), start + datetime.timedelta(i + (2 if i % 3 else 5000)), -1.0, 1.0, 3.0) for i in range(12)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path)
+    maturity.closing_row(spark, "2025-01-01").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
+    maturity.run_to_table(maturity.score_stream(stream, wait="20 days"), out, mark)
+    got = spark.read.parquet(out).orderBy("date").collect()
+    assert [r.y for r in got] == [3.0 if i % 3 else None for i in range(12)] and [r.covered for r in got] == [0 if i % 3 else None for i in range(12)]
+    left = spark.read.format("statestore").option("path", mark).option("stateVarName", "pending").load()
+    assert left.count() == 0
+
+
+def test_a_horizons_calibrator_over_all_ids_is_that_of_a_table(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quillon.operators.ranges import trailing_quantile
+
+    start, path = datetime.datetime(2024, 1, 1), str(tmp_path / "in")
+    rows = [(f"s{k}", start + datetime.timedelta(i), start + datetime.timedelta(i + h), -1.0, 1.0, float((i * 7 + k * 3 + h) % 9 - 4), h) for i in range(30) for k in range(4) for h in (2, 5)]
+    schema = "id string, date timestamp, mat_ts timestamp, l double, u double, y double, h int"
+    table = spark.createDataFrame(rows, schema)
+    table.repartition(1).write.parquet(path)
+    maturity.closing_row(spark, "2025-01-01").withColumn("h", F.lit(0)).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
+    maturity.run_to_table(maturity.score_stream(stream, by="h", window=40, warmup=5), out, mark)
+    score = F.greatest(F.col("l") - F.col("y"), F.col("y") - F.col("u"), F.lit(0.0))
+    want = {(str(r.h), r.id, r.date): r.q for r in trailing_quantile(table, ["h"], ["date", "id"], score, 40, 0.9, 5, "q").collect()}
+    got = {(r.key, r.id, r.date): r.qhat for r in spark.read.parquet(out).collect()}
+    assert got == want and len(got) == len(rows)
