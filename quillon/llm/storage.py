@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.sources.intermediate import shared_dir
+from quillon.sources.intermediate import fresh_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,15 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path for a written intermediate in the shared folder."""
-    return f"{shared_dir(spark)}/quillon/{label}-{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it again, so that its lineage ends there.
 
-    Lost executors then cost a read of the table and no recomputation.
+    Lost executors then cost a read of the table and no recomputation. `quillon.sources.intermediate.released`
+    deletes what was written, `drop_cut` what nothing reads any more.
     """
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
