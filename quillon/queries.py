@@ -19,7 +19,7 @@ from quillon.plans import features as plan
 from quillon.plans.scoring import arm_scores, fixed_scores, horizon_moments
 from quillon.schema import enforce_schema
 from quillon.sources.intermediate import cut
-from quillon.sources.panel import min_observations, panel_from_raw, sales_panel, table
+from quillon.sources.panel import min_observations, panel_from_raw, quality_filters, sales_panel, table
 from quillon.streaming import events as ev
 
 CFG = Config()
@@ -815,6 +815,101 @@ def union_distinct_actions(spark: SparkSession, d: str) -> DataFrame:
     return both.select(S.action_key(F.col("momentum"), F.col("h")).alias("arm")).distinct()
 
 
+# Metrics, settings and filters over whole tables.
+_BASKET_SERIES = "SELECT policy, date, value / ph AS v FROM values_"
+
+
+@_query(f"""WITH {COUNTER}, spreads AS (SELECT policy, coalesce(stddev_samp(value / ph), 0) AS sd FROM values_ GROUP BY policy), {_nw_sql(_BASKET_SERIES, 'policy', _AUTO, f'({_AUTO} + 1)')}, {_boot_sql(_BASKET_SERIES, 'policy', 5, 2000, 0.05, 123)}
+SELECT policy, nw.n AS n_obs, round(nw.mean, 7) + 0 AS mean_return, round(sd, 7) AS std_return, round(nw_se, 7) AS nw_se, round(ci_lo, 7) + 0 AS mbb_ci_lo, round(ci_hi, 7) + 0 AS mbb_ci_hi, round(nw.mean / (sd + 1e-18) * sqrt(252), 5) + 0 AS sharpe
+FROM nw JOIN boot USING (policy) JOIN spreads USING (policy)""")
+def policy_metrics(spark: SparkSession, d: str) -> DataFrame:
+    t = _table(spark, d)
+    baskets = cut(causal.policy_baskets(_scored(t), _choices(t), CFG), "baskets")
+    out = causal.policy_metrics(baskets)
+    return out.select("policy", "n_obs", *[_r(c, digits=7) for c in ("mean_return", "std_return", "nw_se", "mbb_ci_lo", "mbb_ci_hi")], _r("sharpe", digits=5))
+
+
+@_query(f"""WITH {COUNTER}, means AS (SELECT policy, avg(value / ph) AS m FROM values_ GROUP BY policy), two AS (SELECT max(CASE WHEN policy = 'learned_policy' THEN m END) AS learned, max(CASE WHEN policy LIKE 'fixed%' THEN m END) AS best_fixed FROM means)
+SELECT round(learned, 7) + 0 AS learned, round(best_fixed, 7) + 0 AS best_fixed, round(learned - best_fixed, 7) + 0 AS outperformance FROM two""")
+def outperformance(spark: SparkSession, d: str) -> DataFrame:
+    t = _table(spark, d)
+    metrics = causal.policy_baskets(_scored(t), _choices(t), CFG).groupBy("policy").agg(F.avg("v").alias("mean_return"))
+    return causal.outperformance(metrics).select(_r("learned", digits=7), _r("best_fixed", digits=7), _r("outperformance", digits=7))
+
+
+_PINNED = replace(CFG, alpha_by_h={21: 0.05, 63: 0.2})
+_PINNED_SQL = "CASE h WHEN 21 THEN CAST(0.05 AS DOUBLE) WHEN 63 THEN CAST(0.2 AS DOUBLE) ELSE CAST(0.1 AS DOUBLE) END"
+
+
+@_query(f"""WITH {FIXED} SELECT date, id, h, {_PINNED_SQL} AS alpha, round((width + 2 / {_PINNED_SQL} * greatest(l - y, 0) + 2 / {_PINNED_SQL} * greatest(y - u, 0)) / h, 6) AS loss_scaled FROM fixed""")
+def pinned_alphas(spark: SparkSession, d: str) -> DataFrame:
+    """Scores under miss rates that two horizons have of their own."""
+    return fixed_scores(_table(spark, d, *_TARGETS), _PINNED).select("date", "id", "h", "alpha", _r("loss_scaled"))
+
+
+_N_ARMS = len(W) * len(H)
+
+
+@_query(f"""WITH {ACTIONS}, placed AS (SELECT date, id, CASE momentum {" ".join(f"WHEN 'mom_w{w}' THEN {i * len(H)}" for i, w in enumerate(W))} END + CASE h {" ".join(f"WHEN {h} THEN {i}" for i, h in enumerate(H))} END AS arm FROM actions)
+SELECT date, id, CAST(arm AS INTEGER) AS arm, {", ".join(f"CAST(CASE WHEN arm = {i} THEN 1 ELSE 0 END AS DOUBLE) AS a{i}" for i in range(_N_ARMS))} FROM placed""")
+def one_hot_actions(spark: SparkSession, d: str) -> DataFrame:
+    acts = _actions(_test(spark, d))
+    keys = F.array(*[F.lit(f"mom_w{w}|h={h}") for w in W for h in H])
+    arm = (F.array_position(keys, S.action_key(F.col("momentum"), F.col("h"))) - 1).cast("int")
+    hot = acts.select("date", "id", arm.alias("arm"), S.one_hot(arm, _N_ARMS).alias("x"))
+    return hot.select("date", "id", "arm", *[F.col("x")[i].alias(f"a{i}") for i in range(_N_ARMS)])
+
+
+@_query(f"""WITH {PANEL}, holes AS (SELECT date, id, CASE WHEN CAST(id AS BIGINT) % 5 = 0 AND date_diff('day', DATE '1995-01-02', date) // 7 % 2 = 0 THEN NULL ELSE ret END AS ret, spread FROM panel),
+capped AS (SELECT date, id, greatest(least(ret, CAST(0.01 AS DOUBLE)), CAST(-0.01 AS DOUBLE)) AS ret, least(spread, CAST(0.045 AS DOUBLE)) AS spread FROM holes),
+poor AS (SELECT id FROM capped GROUP BY id HAVING avg(CASE WHEN ret IS NULL THEN 1 ELSE 0 END) > 0.3)
+SELECT date, id, CASE WHEN ret IS NULL THEN CAST(0 AS DOUBLE) ELSE round(ret, 6) END AS ret, ret IS NULL AS missing, round(spread, 6) AS spread FROM capped ANTI JOIN poor USING (id)""")
+def quality_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """Caps on returns and spreads, ids with more than 30 % of their returns missing left out."""
+    week = F.floor(F.datediff("date", F.lit("1995-01-02").cast("date")) / 7)
+    hole = (F.col("id").cast("long") % 5 == 0) & (week % 2 == 0)
+    holes = sales_panel(spark, d).withColumn("ret", F.when(~hole, F.col("ret")))
+    kept = quality_filters(holes, 0.01, 0.045, 0.3)
+    return kept.select("date", "id", _r(F.coalesce("ret", F.lit(0.0)), "ret"), F.col("ret").isNull().alias("missing"), _r("spread"))
+
+
+@_query(f"""WITH {FIXED}, held AS (SELECT date, id, index_weight FROM panel WHERE CAST(id AS BIGINT) % 3 > 0)
+SELECT date, id, f.h AS h, round(coalesce(s.index_weight, CAST(0.5 AS DOUBLE)), 8) AS index_weight FROM fixed f LEFT JOIN held s USING (date, id)""")
+def default_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Weights of a panel that lacks a third of the ids: rows without one get the default."""
+    some = sales_panel(spark, d).where(F.col("id").cast("long") % 3 > 0)
+    return A.with_weights(_fixed(spark, d), some, 0.5).select("date", "id", "h", _r("index_weight", digits=8))
+
+
+@_query(f"""WITH {VARIANT}, cells AS ({_DIFFS}), means AS (SELECT scope, avg(v) AS m FROM cells GROUP BY scope)
+SELECT 'mom_w63' AS variant, {", ".join(f"round(max(CASE WHEN scope = 'h={h}' THEN m END), 4) + 0 AS h{h}" for h in H)}, round(max(CASE WHEN scope = 'all' THEN m END), 4) + 0 AS overall FROM means""")
+def ablation_heatmap(spark: SparkSession, d: str) -> DataFrame:
+    """Differences to the base: a row per variant, a column per horizon, and all of them."""
+    base, variant = _variant_pair(spark, d)
+    overview = stats.compare_variant(base, variant.withColumn("variant", F.lit("mom_w63")), ["variant"], draws=50)
+    wide = report.ablation_heatmap(overview, [*(f"h={h}" for h in H), "all"])
+    return wide.select("variant", *[_r(F.col(f"`h={h}`") * 1_000_000, f"h{h}", 4) for h in H], _r(F.col("all") * 1_000_000, "overall", 4))
+
+
+@_query(f"""WITH {_BOARD_DAYS}, days AS (SELECT baseline AS model, date, loss * 1000000 AS v FROM arm_days), {_nw_sql('SELECT model, date, v FROM days', 'model', 'least(10, a.n - 1)', '11')}
+SELECT model, round(mean / 1000000, 7) AS mean_loss, round(nw_se / 1000000, 7) AS error FROM nw""")
+def bars_with_error(spark: SparkSession, d: str) -> DataFrame:
+    models = cut(A.security_to_index(_arms(spark, d), ("baseline", "date", "h")).withColumnRenamed("baseline", "model"), "models")
+    return report.bars_with_error(stats.performance_table(models), "model", "mean_loss").select("model", _r("mean_loss", digits=7), _r("error", digits=7))
+
+
+@_query(f"""WITH {ACTIONS}, told AS (SELECT a.date, a.id, a.momentum, a.h, CASE a.h {" ".join(f"WHEN {h} THEN y_h{h}" for h in H)} END AS outcome FROM actions a JOIN test_rows t ON a.date = t.date AND a.id = t.id)
+SELECT date, id, t.momentum AS mom_b, CAST(t.h AS INTEGER) AS h_b, c.momentum AS mom_e, CAST(c.h AS INTEGER) AS h_e, round(outcome, 6) + 0 AS y FROM told t JOIN choices c USING (date) WHERE outcome IS NOT NULL AND CAST(id AS BIGINT) % 4 > 0""")
+def aligned_actions(spark: SparkSession, d: str) -> DataFrame:
+    """Rows on which the logged policy and the one to evaluate both acted: the latter skips a fourth of the ids."""
+    t = _test(spark, d)
+    acts = _actions(t)
+    y = F.coalesce(*[F.when(F.col("h") == h, F.col(f"y_h{h}")) for h in H])
+    modal = A.policy_mode(acts.select("date", "id", "momentum", "h"))
+    evaluated = t.where(F.col("id").cast("long") % 4 > 0).select("date", "id").join(modal, "date")
+    return ope.align_actions(acts.withColumn("y", y), evaluated).select("date", "id", "mom_b", "h_b", "mom_e", "h_e", _r("y"))
+
+
 # Policies.
 def _feature_table(spark: SparkSession, d: str) -> DataFrame:
     return cut(plan.feature_table(sales_panel(spark, d), CFG), "features")
@@ -826,7 +921,6 @@ def bandit_run(spark: SparkSession, d: str) -> DataFrame:
 
 
 # What fixed policies choose: the arm, or its momentum at the first horizon alive; runs that learn first leave out the last dates.
-_LIVE = " + ".join(f"alive_h{h}" for h in H)
 _FIRST = "CASE " + " ".join(f"WHEN alive_h{h} = 1 THEN {h}" for h in H) + " END"
 _OWN_H = "CASE a.h " + " ".join(f"WHEN {h} THEN alive_h{h}" for h in H) + " END"
 _FIXED_ARMS = " UNION ALL ".join(f"SELECT 'mom_w{w}' AS momentum, {h} AS h" for w in W for h in H)
