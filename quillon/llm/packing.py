@@ -123,11 +123,6 @@ def _encoder(name: str) -> Encoder:
     return Encoder(name)
 
 
-def per_sequence(length: int, capacity: int = CAPACITY) -> int:
-    """How many pieces of a length make a sequence."""
-    return capacity // length
-
-
 def piece_lengths(tokens: int, capacity: int = CAPACITY) -> list[int]:
     """The lengths that so many tokens are cut into: at each step the longest reciprocal share that fits."""
     out = [capacity] * (tokens // capacity)

@@ -49,8 +49,6 @@ def encoder():
 
 
 def test_words_once_are_texts_whole(encoder):
-    from quillon.llm.words import BLOCK_BYTES  # noqa: F401
-
     texts = [*TRICKY, *[t or "" for t in odd_texts()], *random_texts(3, 40)]
     for group in (texts[:6], texts[7:], texts):
         raw = [t.encode() for t in group]
