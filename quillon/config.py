@@ -62,6 +62,13 @@ class Config:
     noise: float = 0.01
     pretrain_rows: int = 10_000
     folds: int = 3
+    value_trees: int = 400
+    value_depth: int = 12
+    value_leaf: int = 10
+    ope_folds: int = 5
+    ope_trees: int = 600
+    ope_depth: int = 14
+    ope_leaf: int = 8
     purge: int = 4
     embargo: int = 4
     top_fraction: float = 0.2
@@ -85,7 +92,7 @@ class Config:
 
         Horizons may be text, as JSON has them; `alpha_<h>` beside `alpha_by_h` goes before it.
         """
-        names = {"momentum_windows": "windows", "horizon_scale_mode": "scale_mode", "calib_warmup_min": "warmup", "raw_min_width": "min_width", "raw_max_width": "max_width", "raw_bound_cap_k": "bound_cap", "eta_q": "eta", "n_splits_value": "folds", "max_purge_steps": "purge"}
+        names = {"momentum_windows": "windows", "horizon_scale_mode": "scale_mode", "calib_warmup_min": "warmup", "raw_min_width": "min_width", "raw_max_width": "max_width", "raw_bound_cap_k": "bound_cap", "eta_q": "eta", "n_splits_value": "folds", "n_splits_ope": "ope_folds", "q_n_trees": "ope_trees", "q_max_depth": "ope_depth", "q_min_leaf": "ope_leaf", "max_purge_steps": "purge"}
         flat = {**values, **(values.get("crl") or {})}
         taken: dict[str, Any] = {}
         per_h = {}

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.config import Config
 from quillon.functions.scalars import nearest_windows
+from quillon.operators.forest import Growth, crossfit
 from quillon.operators.splits import purged_folds
 from quillon.plans.stats import block_bootstrap, newey_west
 from quillon.sources.intermediate import cut
@@ -96,52 +95,40 @@ def spread_alignment(features: DataFrame, choices: DataFrame, momentum: str, h:
     return common.crossJoin(F.broadcast(middle)).agg(F.avg("spread").alias("mean_spread"), F.avg(agree).alias("mean_alignment"), F.count(F.lit(1)).alias("n")).withColumn("momentum", F.lit(momentum))
 
 
-def crossfit(rows: DataFrame, inputs: Sequence[str], label: str, folds: DataFrame, weight: str | None = None, also: dict[str, Sequence[str]] | None = None, trees: int = 60, depth: int = 6, leaf: int = 20, seed: int = 42) -> DataFrame:
-    """`rows` with `oof`: forest predictions by models that saw no row of the row's fold, its purge or embargo.
+def value_rows(features: DataFrame, choices: DataFrame, cfg: Config = Config(), pointwise: bool = True) -> DataFrame:
+    """(h, date, [id], CONTEXT..., weight, label): the top fraction by the policy's momentum each day, with the return per step.
 
-    `also` names further predictions from other input columns by the same models. Folds are few; each
-    fit is distributed. A fold's predictions are written, so that no plan holds more than one model. Rows
-    of no fold are left out.
-    """
-    out = None
-    for (k,) in folds.select("fold").distinct().orderBy("fold").collect():
-        part = folds.where(F.col("fold") == k)
-        assembler = VectorAssembler(inputCols=list(inputs), outputCol="__x")
-        train = assembler.transform(rows.join(F.broadcast(part.where("role = 'train'").select("date")), "date", "left_semi"))
-        forest = RandomForestRegressor(featuresCol="__x", labelCol=label, predictionCol="oof", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed, **({"weightCol": weight} if weight else {}))
-        model = forest.fit(train)
-        test = rows.join(F.broadcast(part.where("role = 'test'").select("date")), "date", "left_semi")
-        done = model.transform(assembler.transform(test)).drop("__x")
-        for name, columns in (also or {}).items():
-            done = model.copy({model.predictionCol: name}).transform(VectorAssembler(inputCols=list(columns), outputCol="__x").transform(done)).drop("__x")
-        done = cut(done.withColumn("fold", F.lit(k)), "fold")
-        out = done if out is None else out.unionByName(done)
-    if out is None:
-        raise ValueError("no folds")
-    return out
-
-
-def value_function(features: DataFrame, choices: DataFrame, cfg: Config = Config(), pointwise: bool = True, trees: int = 40) -> DataFrame:
-    """Per horizon: mean label, mean and correlation of out-of-fold predictions, rows.
-
-    Rows are the top fraction by the policy's momentum each day, labelled with the return per step. The
-    per-date form averages inputs and labels by weight first.
+    `weight` sums to 1 over an h and date. The per-date form has plain means of inputs and the weighted mean of labels,
+    with weight 1; dates without a mean of every input are left out. Rows without label or index weight do not count;
+    other absent inputs are 0 in the row form.
     """
     momenta = [f"mom_w{w}" for w in cfg.windows]
     acted = choices.select("date", F.col("momentum").alias("chosen")).distinct()
     signal = F.round(_pick(F.col("chosen"), momenta, lambda m: f"{m}_z"), 8)
     rows = features.join(acted, "date").withColumn("__s", signal).where("__s is not null")
-    chosen = rows.withColumn("__t", day_quantile(F.col("__s"), 1 - cfg.top_fraction)).where("__s >= round(__t, 8)").na.fill(0.0, list(CONTEXT))
-    chosen = cut(chosen.select("date", "id", *CONTEXT, *[f"y_h{h}" for h in cfg.horizons]), "chosen")
-    results = None
-    for h in cfg.horizons:
-        labelled = chosen.where(f"y_h{h} is not null").select("date", "id", *CONTEXT, (F.col(f"y_h{h}") / h).alias("label"))
-        if not pointwise:
-            w = F.col("index_weight")
-            labelled = labelled.groupBy("date").agg(*[(F.sum(F.col(c) * w) / (F.sum(w) + 1e-12)).alias(c) for c in (*CONTEXT[:-1], "label")], F.sum(w).alias("index_weight"))
-        # Labels of long horizons end early, so each horizon's own dates make its folds.
-        folds = purged_folds(labelled, cfg.folds, cfg.purge, cfg.embargo)
-        fitted = crossfit(labelled.withColumn("__w", F.greatest("index_weight", F.lit(1e-12))), CONTEXT, "label", folds, "__w", trees=trees, seed=cfg.seed)
-        one = fitted.agg(F.lit(h).alias("h"), F.avg("label").alias("mean_y"), F.avg("oof").alias("mean_oof"), F.when(F.count(F.lit(1)) > 2, F.try_divide(F.covar_samp("label", "oof"), F.stddev_samp("label") * F.stddev_samp("oof"))).alias("corr"), F.count(F.lit(1)).alias("n"), F.count_distinct("fold").alias("folds"))
-        results = one if results is None else results.unionByName(one)
-    return results
+    chosen = rows.withColumn("__t", day_quantile(F.col("__s"), 1 - cfg.top_fraction)).where("__s >= round(__t, 8) and index_weight is not null")
+    labels = F.explode(F.array(*[F.struct(F.lit(h).alias("h"), (F.col(f"y_h{h}") / h).alias("label")) for h in cfg.horizons]))
+    long = chosen.select("date", "id", *CONTEXT, labels.alias("l")).select("l.h", "date", "id", *CONTEXT, "l.label").where("label is not null")
+    if pointwise:
+        return long.na.fill(0.0, list(CONTEXT)).withColumn("weight", F.col("index_weight") / (F.sum("index_weight").over(Window.partitionBy("h", "date")) + 1e-12))
+    w = F.col("index_weight")
+    means = long.groupBy("h", "date").agg(*[F.avg(c).alias(c) for c in CONTEXT], (F.sum(F.col("label") * w) / (F.sum(w) + 1e-12)).alias("label"))
+    return means.na.drop(subset=[*CONTEXT, "label"]).withColumn("weight", F.lit(1.0))
+
+
+def value_function(features: DataFrame, choices: DataFrame, cfg: Config = Config(), pointwise: bool = True, trees: int | None = None) -> DataFrame:
+    """Per horizon: mean label, mean and correlation of out-of-fold predictions, rows, folds.
+
+    Labels of long horizons end early, so each horizon's own dates make its folds; the forests of all horizons
+    and folds are grown in one job.
+    """
+    rows = cut(value_rows(features, choices, cfg, pointwise), "labelled")
+    folds = None
+    for i, h in enumerate(cfg.horizons):
+        one = purged_folds(rows.where(F.col("h") == h).select("date"), cfg.folds, cfg.purge, cfg.embargo).withColumns({"h": F.lit(h), "model": F.lit(i * cfg.folds).cast("int") + F.col("fold").cast("int")})
+        folds = one if folds is None else folds.unionByName(one)
+    placed = rows.join(F.broadcast(cut(folds, "folds")), ["h", "date"])  # a row per horizon, date and fold
+    growth = Growth(trees or cfg.value_trees, cfg.value_depth, cfg.value_leaf, seed=cfg.seed)
+    fitted = crossfit(placed, CONTEXT, "label", ["date", "id"] if pointwise else ["date"], "weight", g=growth)
+    corr = F.when(F.count("oof") > 2, F.try_divide(F.covar_samp("label", "oof"), F.stddev_samp("label") * F.stddev_samp("oof")))
+    return fitted.groupBy("h").agg(F.avg("label").alias("mean_y"), F.avg("oof").alias("mean_oof"), corr.alias("corr"), F.count("oof").alias("n"), F.count_distinct("fold").alias("folds"))

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from quillon.config import Config
 from quillon.functions.scalars import horizon_factor, one_hot, propensity
 from quillon.operators.aggregates import effective_size
+from quillon.operators.forest import Growth, crossfit
 from quillon.operators.splits import purged_folds
-from quillon.plans.causal import CONTEXT, crossfit
+from quillon.plans.causal import CONTEXT
 from quillon.sources.intermediate import cut
 
 
@@ -63,20 +64,28 @@ def evaluate_group_mean(rows: DataFrame, cfg: Config = Config()) -> DataFrame:
     return summarize(estimators(joined.withColumn("q_e", F.coalesce("q_e0", "q0"))))
 
 
-def evaluate_forest(rows: DataFrame, features: DataFrame, cfg: Config = Config(), trees: int = 40) -> tuple[DataFrame, DataFrame]:
-    """(rows, summary) with a cross-fitted forest over context and one-hot action as the model."""
+def training_table(rows: DataFrame, features: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """Aligned rows with scaled outcome and context; context that is absent, or whose row is, is 0."""
+    context = [c for c in CONTEXT if c != "index_weight"]
+    joined = _scaled(rows, cfg).drop(*CONTEXT).join(features.select("date", "id", *context, "index_weight"), ["date", "id"], "left")
+    return joined.na.fill(0.0, list(CONTEXT))
+
+
+def evaluate_forest(rows: DataFrame, features: DataFrame, cfg: Config = Config(), trees: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, summary) with cross-fitted forests over context and one-hot action as the model, all folds grown in one job."""
     arms: Sequence[tuple[str, int]] = [(f"mom_w{w}", h) for w in cfg.windows for h in cfg.horizons]
     names = [f"{m}|h={h}" for m, h in arms]
 
     def action(m: str, h: str):  # noqa: ANN202
         return one_hot(F.coalesce(F.array_position(F.array(*[F.lit(n) for n in names]), F.concat(F.col(m), F.lit("|h="), F.col(h).cast("string"))), F.lit(0)) - 1, len(names))
 
-    joined = _scaled(rows, cfg).drop("index_weight").join(features.select("date", "id", *CONTEXT), ["date", "id"], "left").na.fill(0.0, list(CONTEXT))
-    joined = joined.withColumns({"__b": action("mom_b", "h_b"), "__e": action("mom_e", "h_e")})
+    joined = training_table(rows, features, cfg).withColumns({"__b": action("mom_b", "h_b"), "__e": action("mom_e", "h_e")})
     wide = joined.select("*", *[F.col("__b")[i].alias(f"b{i}") for i in range(len(names))], *[F.col("__e")[i].alias(f"e{i}") for i in range(len(names))])
     wide = cut(wide, "wide")
-    folds = purged_folds(wide, cfg.folds, max(cfg.horizons) if cfg.purge is None else cfg.purge, cfg.embargo)
+    folds = purged_folds(wide, cfg.ope_folds, max(cfg.horizons) if cfg.purge is None else cfg.purge, cfg.embargo)
     b, e = [f"b{i}" for i in range(len(names))], [f"e{i}" for i in range(len(names))]
-    fitted = crossfit(wide, [*CONTEXT, *b], "y", folds, also={"q_e": [*CONTEXT, *e]}, trees=trees, seed=cfg.seed).withColumnRenamed("oof", "q_b")
-    scored = estimators(fitted.drop(*b, *e, "__b", "__e"))
+    placed = wide.join(F.broadcast(cut(folds.withColumn("model", F.col("fold").cast("int")), "folds")), "date")
+    growth = Growth(trees or cfg.ope_trees, cfg.ope_depth, cfg.ope_leaf, seed=cfg.seed)
+    fitted = crossfit(placed, [*CONTEXT, *b], "y", ["date", "id"], also={"q_e": [*CONTEXT, *e]}, g=growth).withColumnRenamed("oof", "q_b")
+    scored = estimators(fitted.drop(*b, *e, "__b", "__e", "model"))
     return scored, summarize(scored)

@@ -124,7 +124,7 @@ def run_all(spark: SparkSession, panel: DataFrame, results: str, cfg: Config = C
         scored, total = ope.evaluate_forest(rows, read("features"), cfg)
         write(scored, "ope_rows")
         write(total, "ope_summary")
-        note({"rows": read("ope_rows").count(), "folds": cfg.folds, "scale_mode": cfg.scale_mode, "behaviour": "random"}, "ope_meta")
+        note({"rows": read("ope_rows").count(), "folds": cfg.ope_folds, "scale_mode": cfg.scale_mode, "behaviour": "random"}, "ope_meta")
         return None
 
     def ablations() -> None:

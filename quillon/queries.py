@@ -808,6 +808,37 @@ def value_function_oof(spark: SparkSession, d: str) -> DataFrame:
     return causal.value_function(_scored(t), _choices(t), CFG)
 
 
+_MEANS = causal.CONTEXT
+_BY_DATE = (
+    COUNTER.split(", src AS (")[0]
+    + f""", src AS (SELECT f.*, round({_POLICIES['learned_policy']}, 8) AS s FROM scored f JOIN choices c ON f.date = c.date),
+top AS (SELECT * FROM (SELECT *, round(quantile_cont(s, 0.8) OVER (PARTITION BY date), 8) AS cutoff FROM src WHERE s IS NOT NULL) WHERE s >= cutoff AND index_weight IS NOT NULL),
+told AS ({" UNION ALL ".join(f"SELECT {h} AS h, *, y_h{h} / {h} AS label FROM top WHERE y_h{h} IS NOT NULL" for h in H)}),
+means AS (SELECT h, date, {", ".join(f"avg({c}) AS {c}" for c in _MEANS)}, sum(label * index_weight) / (sum(index_weight) + 1e-12) AS label FROM told GROUP BY h, date)"""
+)
+
+
+@_query(f"WITH {_BY_DATE} SELECT CAST(h AS INTEGER) AS h, date, {', '.join(f'round({c}, 6) + 0 AS {c}' for c in (*_MEANS, 'label'))} FROM means WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _MEANS)}")
+def value_rows_by_date(spark: SparkSession, d: str) -> DataFrame:
+    """What the value function by date is fitted on."""
+    t = _table(spark, d)
+    return causal.value_rows(_scored(t), _choices(t), CFG, pointwise=False).select("h", "date", *[_r(c) for c in (*_MEANS, "label")])
+
+
+@_query()
+def value_function_by_date(spark: SparkSession, d: str) -> DataFrame:
+    t = _table(spark, d)
+    return causal.value_function(_scored(t), _choices(t), CFG, pointwise=False)
+
+
+@_query(f"""WITH {OPE}, {SCORED[len(FEATURES) + 2 :]}, known AS (SELECT * FROM scored WHERE CAST(id AS BIGINT) % 5 > 0)
+SELECT date, id, round(o2.yy, 6) + 0 AS y, {', '.join(f'round(coalesce(known.{c}, 0), 5) + 0 AS {c}' for c in _MEANS)} FROM o2 LEFT JOIN known USING (date, id)""")
+def training_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What the outcome forest is fitted on, with a feature table that lacks a fifth of the ids."""
+    features = _scored(_table(spark, d)).where(F.col("id").cast("long") % 5 > 0)
+    return ope.training_table(_ope_rows(spark, d), features, CFG).select("date", "id", _r("y"), *[_r(c, digits=5) for c in _MEANS])
+
+
 @_query(f"WITH {ACTIONS} SELECT DISTINCT momentum || '|h=' || h AS arm FROM (SELECT momentum, h FROM actions UNION ALL SELECT momentum, h FROM choices)")
 def union_distinct_actions(spark: SparkSession, d: str) -> DataFrame:
     acts = _actions(_test(spark, d)).select("date", "id", "momentum", "h")
