@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import uuid
 import warnings
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
+from fnmatch import fnmatchcase
 from functools import reduce
+from itertools import islice
 from typing import BinaryIO
 
+import pyarrow
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +27,12 @@ from pyspark.sql.utils import AnalysisException
 from quillon.schema import PANEL, RAW_HEADERS, enforce_schema, normalize_quotes, rename_synonyms, require
 
 
+#: Rows of a workbook that are held at a time.
+BATCH = 10_000
+#: What a file that is no readable workbook raises.
+UNREADABLE = (ValueError, KeyError, zipfile.BadZipFile, ET.ParseError)
+
+
 def scan(spark: SparkSession, path: str, schema: T.StructType | None = None, any_suffix: bool = False) -> DataFrame:
     """A Parquet or CSV table by suffix; other suffixes raise ValueError unless `any_suffix` reads them as CSV."""
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
@@ -64,22 +76,23 @@ def universe_pattern(universe: str) -> str:
 
 
 def _parse_workbooks(batches: Iterator) -> Iterator:
-    """For mapInPandas over (path, content): a row per quote with its cells by header, or one with the error."""
+    """For mapInPandas over (path, content): a row per quote with its cells by header, in batches, and one with the error, if any."""
     import pandas as pd
 
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"], strict=True):
-            out, error = [], None
             try:
                 rows = workbook_rows(io.BytesIO(content))
-                head = [h or f"column_{i}" for i, h in enumerate(next(rows, []))]
+                head = header_names(next(rows, []))
                 for name in ("date", "debenture_id"):
                     if not set(RAW_HEADERS[name][0]) & set(head):
                         raise ValueError(f"no column for {name}")
-                out = [{h: v for h, v in zip(head, row, strict=False) if v is not None} for row in rows]
-            except (ValueError, KeyError, zipfile.BadZipFile, ET.ParseError) as e:
-                out, error = [{}], str(e) or type(e).__name__
-            yield pd.DataFrame({"path": path, "error": error, "cells": out})
+                for _ in workbook_rows(io.BytesIO(content)):
+                    pass  # a workbook that breaks off gives no row
+                while part := list(islice(rows, BATCH)):
+                    yield pd.DataFrame({"path": path, "error": None, "cells": [{h: v for h, v in zip(head, row, strict=False) if v is not None} for row in part]})
+            except UNREADABLE as e:
+                yield pd.DataFrame({"path": path, "error": str(e) or type(e).__name__, "cells": [{}]})
 
 
 def scan_folder(spark: SparkSession, folder: str, universe: str) -> DataFrame | None:
@@ -142,40 +155,107 @@ def workbook_rows(path: str | BinaryIO) -> Iterator[list[str | None]]:
                 row.clear()
 
 
+def header_names(row: list[str | None]) -> list[str]:
+    """Column names of a first row: an empty one by its place, a repeated one with its number."""
+    out: list[str] = []
+    for i, h in enumerate(row):
+        name, n = h or f"column_{i}", 1
+        while (name if n == 1 else f"{name}.{n - 1}") in out:
+            n += 1
+        out.append(name if n == 1 else f"{name}.{n - 1}")
+    return out
+
+
+@dataclass
+class _OneFile(InputPartition):
+    path: str
+
+
 class _WorkbookReader(DataSourceReader):
-    def __init__(self, path: str, width: int):
-        self.path, self.width = path, width
+    def __init__(self, store: pyarrow.fs.FileSystem, paths: list[str], names: list[str], mode: str):
+        self.store, self.paths, self.names, self.mode = store, paths, names, mode
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]
+        return [_OneFile(p) for p in self.paths]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        rows = workbook_rows(self.path)
-        next(rows, None)
-        for row in rows:
-            yield tuple((row + [None] * self.width)[: self.width])
+    def read(self, partition: InputPartition) -> Iterator[pyarrow.RecordBatch]:
+        if not isinstance(partition, _OneFile):
+            return  # no file, no partition
+
+        def batch(columns: dict, n: int) -> pyarrow.RecordBatch:
+            columns = {"_file": [partition.path] * n, **columns}
+            return pyarrow.record_batch({c: pyarrow.array(columns.get(c, [None] * n), pyarrow.string()) for c in self.names}) if self.names else pyarrow.RecordBatch.from_struct_array(pyarrow.array([{}] * n, pyarrow.struct([])))
+
+        with self.store.open_input_file(partition.path) as stream:
+            try:
+                if self.mode != "FAILFAST":
+                    for _ in workbook_rows(stream):
+                        pass  # so that a workbook that breaks off gives no row
+                    stream.seek(0)
+                rows = workbook_rows(stream)
+                head = header_names(next(rows, []))
+                places = {c: head.index(c) for c in self.names if c in head}
+                while part := list(islice(rows, BATCH)):
+                    yield batch({c: [r[i] if i < len(r) else None for r in part] for c, i in places.items()}, len(part))
+            except UNREADABLE as e:
+                if self.mode == "FAILFAST":
+                    raise
+                if self.mode == "PERMISSIVE":
+                    yield batch({"_error": [str(e) or type(e).__name__]}, 1)
 
 
 class WorkbookSource(DataSource):
-    """`spark.read.format('workbook').load(path)`: the first sheet, all columns as text."""
+    """`spark.read.format('workbook').load(path)`: the first sheets of a file, or of all in a folder, as text.
+
+    A partition per file, read in batches of rows; the path may lie in any store that pyarrow opens by address. Columns
+    are matched by header, absent ones are null. Without a schema they are all headers of all files, which are read
+    first; a schema saves that and reads only its columns. Options: `pathGlobFilter` (file names, `*.xlsx`), and `mode` for
+    unreadable files: FAILFAST raises (the default), DROPMALFORMED skips them, PERMISSIVE gives one row with the reason in
+    `_error`, if the schema has that column. `_file` in a schema is the file's path.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "workbook"
 
-    def _header(self) -> list[str]:
-        return [h or f"column_{i}" for i, h in enumerate(next(workbook_rows(self.options["path"]), []))]
+    def _files(self) -> tuple[pyarrow.fs.FileSystem, list[str]]:
+        path = self.options["path"]
+        path = path.replace("file:", "", 1) if path.startswith("file:/") and not path.startswith("file://") else path
+        store, root = pyarrow.fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+        kind = store.get_file_info(root).type
+        if kind == pyarrow.fs.FileType.NotFound:
+            raise FileNotFoundError(path)
+        if kind == pyarrow.fs.FileType.File:
+            return store, [root]
+        found = store.get_file_info(pyarrow.fs.FileSelector(root, recursive=True))
+        return store, sorted(f.path for f in found if f.is_file and fnmatchcase(f.base_name, self.options.get("pathGlobFilter", "*.xlsx")))
+
+    def _mode(self) -> str:
+        mode = self.options.get("mode", "FAILFAST").upper()
+        if mode not in ("FAILFAST", "DROPMALFORMED", "PERMISSIVE"):
+            raise ValueError(f"unknown mode: {mode}")
+        return mode
 
     def schema(self) -> T.StructType:
-        return T.StructType([T.StructField(h, T.StringType()) for h in self._header()])
+        store, paths = self._files()
+        names: dict[str, None] = {}
+        for path in paths:
+            try:
+                with store.open_input_file(path) as stream:
+                    names |= dict.fromkeys(header_names(next(workbook_rows(stream), [])))
+            except UNREADABLE:
+                if self._mode() == "FAILFAST":
+                    raise
+        return T.StructType([T.StructField(h, T.StringType()) for h in names])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _WorkbookReader(self.options["path"], len(schema.fields))
+        if any(not isinstance(f.dataType, T.StringType) for f in schema.fields):
+            raise ValueError("columns of workbooks are text")
+        return _WorkbookReader(*self._files(), schema.fieldNames(), self._mode())
 
 
 def read_workbook(spark: SparkSession, path: str) -> DataFrame:
-    """The first sheet of a workbook."""
-    workbook_rows(path).__next__()
+    """The first sheet of a workbook, or those of all workbooks of a folder."""
     spark.dataSource.register(WorkbookSource)
     return spark.read.format("workbook").load(path)
 

@@ -30,6 +30,45 @@ def test_workbooks_of_a_folder(spark, tmp_path):
     assert files.scan_folder(spark, str(tmp_path / "none"), "ida") is None
 
 
+def test_workbooks_as_a_source(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    _workbook(tmp_path / "a.xlsx", [["k", "v", "v", None, "z"], ["1", "x", "y", "w", None], ["2"]])
+    _workbook(tmp_path / "b.xlsx", [["w", "k"], *[[f"{i}", f"{i % 7}"] for i in range(23_000)]])
+    _workbook(tmp_path / "deep/c.xlsx", [["k"]])
+    (tmp_path / "notes.txt").write_text("no workbook")
+    for path in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}"):
+        rows = files.read_workbook(spark, path)
+        assert rows.columns == ["k", "v", "v.1", "column_3", "z", "w"] and rows.rdd.getNumPartitions() == 3 and rows.count() == 23_002
+    assert [tuple(r) for r in rows.where("w is null").orderBy("k").collect()] == [("1", "x", "y", "w", None, None), ("2", None, None, None, None, None)]
+    assert rows.groupBy("k").count().where("k = '3'").first()[1] == len(range(3, 23_000, 7))
+    named = spark.read.format("workbook").schema("w string, absent string, _file string").option("pathGlobFilter", "b*").load(str(tmp_path))
+    assert named.rdd.getNumPartitions() == 1 and named.where("absent is null and _file like '%b.xlsx'").selectExpr("max(cast(w as int))").first()[0] == 22_999
+    assert files.read_workbook(spark, str(tmp_path / "a.xlsx")).count() == 2
+    with pytest.raises(Exception, match="absent"):
+        files.read_workbook(spark, str(tmp_path / "absent.xlsx")).count()
+
+
+def test_unreadable_workbooks_by_mode(spark, tmp_path):
+    _workbook(tmp_path / "a.xlsx", [["k"], ["1"], ["2"]])
+    (tmp_path / "b.xlsx").write_text("no zip")
+    with zipfile.ZipFile(tmp_path / "c.xlsx", "w") as z:  # breaks off in the middle
+        z.writestr("xl/worksheets/sheet1.xml", '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row r="1"><c r="A1"><v>k</v></c></row><row r="2"><c r="A2"><v>9</v></c></row>')
+    files.read_workbook(spark, str(tmp_path / "a.xlsx"))
+    source = lambda mode: spark.read.format("workbook").schema("k string, _error string, _file string").option("mode", mode).load(str(tmp_path))
+    assert sorted(r.k for r in source("DROPMALFORMED").collect()) == ["1", "2"]
+    told = source("permissive").collect()
+    assert sorted(r.k for r in told if r._error is None) == ["1", "2"] and sorted(r._file[-6:] for r in told if r._error) == ["b.xlsx", "c.xlsx"]
+    with pytest.raises(Exception, match="zip|no element"):
+        source("FAILFAST").collect()
+    with pytest.raises(Exception, match="mode"):
+        source("other").collect()
+    with pytest.raises(Exception, match="text"):
+        spark.read.format("workbook").schema("k int").load(str(tmp_path / "a.xlsx")).collect()
+    assert spark.read.format("workbook").option("mode", "DROPMALFORMED").load(str(tmp_path)).columns == ["k"]
+    (tmp_path / "none").mkdir()
+    assert spark.read.format("workbook").schema("k string").load(str(tmp_path / "none")).count() == 0
+
+
 def test_scans_and_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "x"), (2, None)], "a int, b string")
     for name in ("t.parquet", "t.csv"):
