@@ -61,11 +61,19 @@ def bag(keys: np.ndarray, tree: int, seed: int) -> np.ndarray:
 
 def histograms(place: np.ndarray, nodes: int, bins: np.ndarray, offsets: np.ndarray, w: np.ndarray, y: np.ndarray) -> np.ndarray:
     """(3, nodes, cells): rows, weight and weighted label by node and by input's bin."""
-    cells = int(offsets[-1])
-    flat = (place[:, None] * cells + offsets[:-1] + bins).ravel()
-    each = bins.shape[1]
-    sums = [np.bincount(flat, weights=v if v is None else np.repeat(v, each), minlength=nodes * cells) for v in (None, w, w * y)]
-    return np.stack(sums).reshape(3, nodes, cells).astype(float)
+    sums, kinds = np.empty((3, nodes, int(offsets[-1]))), (None, w, w * y)
+    whole = [np.bincount(place, v, nodes) for v in kinds]
+    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        if b - a == 2:  # an input with two values, as one-hot ones are: only rows of the second are added up
+            on = np.flatnonzero(bins[:, i])
+            for kind, v in enumerate(kinds):
+                sums[kind, :, a + 1] = np.bincount(place[on], v if v is None else v[on], nodes)
+                sums[kind, :, a] = whole[kind] - sums[kind, :, a + 1]
+            continue
+        flat = place * (b - a) + bins[:, i]
+        for kind, v in enumerate(kinds):
+            sums[kind, :, a:b] = np.bincount(flat, v, nodes * (b - a)).reshape(nodes, b - a)
+    return sums
 
 
 def best_cuts(sums: np.ndarray, offsets: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,23 +102,32 @@ def best_cuts(sums: np.ndarray, offsets: np.ndarray, leaf: int) -> tuple[np.ndar
 
 
 def grow(bins: np.ndarray, y: np.ndarray, w: np.ndarray, offsets: np.ndarray, g: Growth, root: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The subtree below a node as (node, input or -1, bin, mean); a node's children are 2 n and 2 n + 1."""
+    """The subtree below a node as (node, input or -1, bin, mean); a node's children are 2 n and 2 n + 1.
+
+    Histograms are made of nodes that can still be cut: above the last level, with rows for two leaves.
+    """
     out: list[tuple] = []
-    node = np.full(len(y), root, np.int64)
-    while len(node):
-        ids, place = np.unique(node, return_inverse=True)
-        chosen, last, mean = (np.empty(len(ids), t) for t in (np.int16, np.int16, float))
+    ids, place = np.array([root], np.int64)[: len(y)], np.zeros(len(y), np.int64)
+    while len(ids):
+        chosen, last = np.full(len(ids), -1, np.int16), np.zeros(len(ids), np.int16)
+        mean = np.bincount(place, w * y, len(ids)) / np.maximum(np.bincount(place, w, len(ids)), 1e-300)
+        open_ = np.flatnonzero((np.bincount(place, minlength=len(ids)) >= 2 * g.leaf) & (ids < 1 << g.depth))
+        rank = np.full(len(ids), -1, np.int64)
+        rank[open_] = np.arange(len(open_))
+        at = rank[place]
         step = max(1, CELLS // int(offsets[-1]))
-        for a in range(0, len(ids), step):
-            here = (place >= a) & (place < a + step)
-            size = min(step, len(ids) - a)
-            chosen[a : a + size], last[a : a + size], mean[a : a + size] = best_cuts(histograms(place[here] - a, size, bins[here], offsets, w[here], y[here]), offsets, g.leaf)
-        if ids[0] >= 1 << g.depth:
-            chosen[:] = -1
+        for a in range(0, len(open_), step):
+            here, nodes = np.flatnonzero((at >= a) & (at < a + step)), open_[a : a + step]
+            chosen[nodes], last[nodes], mean[nodes] = best_cuts(histograms(at[here] - a, len(nodes), bins[here], offsets, w[here], y[here]), offsets, g.leaf)
         out.append((ids, chosen, last, mean))
-        on = chosen[place] >= 0
-        node, place, bins, y, w = node[on], place[on], bins[on], y[on], w[on]
-        node = 2 * node + (bins[np.arange(len(node)), chosen[place]] > last[place])
+        # Children in order of number: those of the k-th node that is cut are 2 k and 2 k + 1, and both have rows.
+        cut_ = np.flatnonzero(chosen >= 0)
+        rank = np.full(len(ids), -1, np.int64)
+        rank[cut_] = np.arange(len(cut_))
+        on = np.flatnonzero(rank[place] >= 0)
+        place, bins, y, w = place[on], bins[on], y[on], w[on]
+        right = bins[np.arange(len(on)), chosen[place]] > last[place]
+        ids, place = (2 * ids[cut_][:, None] + np.arange(2)).ravel(), 2 * rank[place] + right
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 4
 
 
