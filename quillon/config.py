@@ -69,8 +69,11 @@ class Config:
     ope_trees: int = 600
     ope_depth: int = 14
     ope_leaf: int = 8
-    purge: int = 4
-    embargo: int = 4
+    purge: int | None = 4
+    embargo: int | None = 4
+    purge_horizon: bool = False
+    value_least: int = 1
+    ope_least: int = 1
     top_fraction: float = 0.2
     min_selected: int = 5
     placebo_shifts: tuple[int, ...] = (20,)
@@ -82,6 +85,15 @@ class Config:
         """The miss rate of a horizon, or the general one."""
         return float(self.alpha_by_h.get(h, self.alpha))
 
+    def fold_steps(self, h: int) -> tuple[int, int]:
+        """Dates purged before and embargoed after a test fold of a horizon's labels; none given means the horizon.
+
+        With `purge_horizon` neither is less than the horizon, so no training label reaches into the test.
+        """
+        purge = h if self.purge is None else self.purge
+        embargo = purge if self.embargo is None else self.embargo
+        return (max(purge, h), max(embargo, h)) if self.purge_horizon else (purge, embargo)
+
     def with_alpha(self, alpha: float) -> Config:
         """The same with one miss rate for all horizons, pinned ones included."""
         return replace(self, alpha=alpha, alpha_by_h={})
@@ -90,7 +102,9 @@ class Config:
     def from_mapping(values: Mapping) -> Config:
         """From keys as a settings file names them, or as a run saves them; unknown keys are left out.
 
-        Horizons may be text, as JSON has them; `alpha_<h>` beside `alpha_by_h` goes before it.
+        Horizons may be text, as JSON has them; `alpha_<h>` beside `alpha_by_h` goes before it. `max_purge_steps`
+        is the least purge and embargo of any horizon, with folds of too few rows left out, unless the settings
+        name those fields themselves.
         """
         names = {"momentum_windows": "windows", "horizon_scale_mode": "scale_mode", "calib_warmup_min": "warmup", "raw_min_width": "min_width", "raw_max_width": "max_width", "raw_bound_cap_k": "bound_cap", "eta_q": "eta", "n_splits_value": "folds", "n_splits_ope": "ope_folds", "q_n_trees": "ope_trees", "q_max_depth": "ope_depth", "q_min_leaf": "ope_leaf", "max_purge_steps": "purge"}
         flat = {**values, **(values.get("crl") or {})}
@@ -98,7 +112,7 @@ class Config:
         per_h = {}
         for key, value in flat.items():
             name = names.get(key, key)
-            if value is None:
+            if value is None and key not in ("purge", "embargo"):
                 continue
             if key.startswith("alpha_") and key[6:].isdigit():
                 per_h[int(key[6:])] = float(value)
@@ -106,6 +120,9 @@ class Config:
                 per_h = {**{int(h): float(a) for h, a in value.items()}, **per_h}
             elif name in Config.__dataclass_fields__:
                 taken[name] = tuple(value) if isinstance(value, list) else value
+        if flat.get("max_purge_steps") is not None:
+            # The least training rows of a fold, for the value function and for off-policy evaluation.
+            taken = {"embargo": None, "purge_horizon": True, "value_least": 100, "ope_least": 200} | taken
         return Config(**taken, alpha_by_h=per_h)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillon.config import Config
 from quillon.functions.scalars import nearest_windows
 from quillon.operators.forest import Growth, crossfit
-from quillon.operators.splits import purged_folds
+from quillon.operators.splits import fold_roles
 from quillon.plans.stats import block_bootstrap, newey_west
 from quillon.sources.intermediate import cut
 
@@ -117,18 +117,19 @@ def value_rows(features: DataFrame, choices: DataFrame, cfg: Config = Config(),
 
 
 def value_function(features: DataFrame, choices: DataFrame, cfg: Config = Config(), pointwise: bool = True, trees: int | None = None) -> DataFrame:
-    """Per horizon: mean label, mean and correlation of out-of-fold predictions, rows, folds.
+    """Per horizon: mean of the dates' mean label and of their mean prediction, their correlation, dates, rows, folds, and whether no fold could be fitted.
 
-    Labels of long horizons end early, so each horizon's own dates make its folds; the forests of all horizons
-    and folds are grown in one job.
+    Means of a date are weighted. Predictions are out of fold; a horizon without a fold of `value_least` training rows
+    is predicted by a forest of all its rows (`fallback`). Labels of long horizons end early, so each horizon's own
+    dates make its folds; the forests of all horizons and folds are grown in one job.
     """
     rows = cut(value_rows(features, choices, cfg, pointwise), "labelled")
-    folds = None
-    for i, h in enumerate(cfg.horizons):
-        one = purged_folds(rows.where(F.col("h") == h).select("date"), cfg.folds, cfg.purge, cfg.embargo).withColumns({"h": F.lit(h), "model": F.lit(i * cfg.folds).cast("int") + F.col("fold").cast("int")})
-        folds = one if folds is None else folds.unionByName(one)
-    placed = rows.join(F.broadcast(cut(folds, "folds")), ["h", "date"])  # a row per horizon, date and fold
+    roles = fold_roles(rows, "h", {h: cfg.fold_steps(h) for h in cfg.horizons}, cfg.folds, cfg.value_least)
+    placed = rows.join(F.broadcast(roles), ["h", "date"])  # a row per horizon, date and fold
     growth = Growth(trees or cfg.value_trees, cfg.value_depth, cfg.value_leaf, seed=cfg.seed)
     fitted = crossfit(placed, CONTEXT, "label", ["date", "id"] if pointwise else ["date"], "weight", g=growth)
-    corr = F.when(F.count("oof") > 2, F.try_divide(F.covar_samp("label", "oof"), F.stddev_samp("label") * F.stddev_samp("oof")))
-    return fitted.groupBy("h").agg(F.avg("label").alias("mean_y"), F.avg("oof").alias("mean_oof"), corr.alias("corr"), F.count("oof").alias("n"), F.count_distinct("fold").alias("folds"))
+    mean = {to: F.try_divide(F.sum(F.col(c) * F.col("weight")), F.sum("weight")) for c, to in (("label", "y"), ("oof", "p"))}
+    daily = fitted.groupBy("h", "date").agg(*[v.alias(k) for k, v in mean.items()], F.count("oof").alias("n"), F.max("fold").alias("fold")).where("y is not null and p is not null")
+    corr = F.when(F.count("p") > 2, F.try_divide(F.covar_samp("y", "p"), F.stddev_samp("y") * F.stddev_samp("p")))
+    told = daily.groupBy("h").agg(F.avg("y").alias("mean_y"), F.avg("p").alias("mean_oof"), corr.alias("corr"), F.count("p").alias("n_dates"), F.sum("n").alias("n"), F.count_distinct("fold").alias("folds"))
+    return told.withColumn("fallback", F.col("folds") == 0)

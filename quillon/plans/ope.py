@@ -11,7 +11,7 @@ from quillon.config import Config
 from quillon.functions.scalars import horizon_factor, one_hot, propensity
 from quillon.operators.aggregates import effective_size
 from quillon.operators.forest import Growth, crossfit
-from quillon.operators.splits import purged_folds
+from quillon.operators.splits import fold_roles
 from quillon.plans.causal import CONTEXT
 from quillon.sources.intermediate import cut
 
@@ -72,7 +72,10 @@ def training_table(rows: DataFrame, features: DataFrame, cfg: Config = Config())
 
 
 def evaluate_forest(rows: DataFrame, features: DataFrame, cfg: Config = Config(), trees: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, summary) with cross-fitted forests over context and one-hot action as the model, all folds grown in one job."""
+    """(rows, summary) with cross-fitted forests over context and one-hot action as the model, all folds grown in one job.
+
+    Rows whose fold has fewer than `ope_least` rows to train on are predicted by a forest of all rows (`fold` null).
+    """
     arms: Sequence[tuple[str, int]] = [(f"mom_w{w}", h) for w in cfg.windows for h in cfg.horizons]
     names = [f"{m}|h={h}" for m, h in arms]
 
@@ -81,10 +84,11 @@ def evaluate_forest(rows: DataFrame, features: DataFrame, cfg: Config = Config()
 
     joined = training_table(rows, features, cfg).withColumns({"__b": action("mom_b", "h_b"), "__e": action("mom_e", "h_e")})
     wide = joined.select("*", *[F.col("__b")[i].alias(f"b{i}") for i in range(len(names))], *[F.col("__e")[i].alias(f"e{i}") for i in range(len(names))])
-    wide = cut(wide, "wide")
-    folds = purged_folds(wide, cfg.ope_folds, max(cfg.horizons) if cfg.purge is None else cfg.purge, cfg.embargo)
+    wide = cut(wide.withColumn("series", F.lit(0)), "wide")
+    steps = max(cfg.horizons) if cfg.purge is None else cfg.purge
+    roles = fold_roles(wide, "series", {0: (steps, steps if cfg.embargo is None else cfg.embargo)}, cfg.ope_folds, cfg.ope_least, partly=True)
     b, e = [f"b{i}" for i in range(len(names))], [f"e{i}" for i in range(len(names))]
-    placed = wide.join(F.broadcast(cut(folds.withColumn("model", F.col("fold").cast("int")), "folds")), "date")
+    placed = wide.join(F.broadcast(roles), ["series", "date"]).drop("series")  # a row per date and fold
     growth = Growth(trees or cfg.ope_trees, cfg.ope_depth, cfg.ope_leaf, seed=cfg.seed)
     fitted = crossfit(placed, [*CONTEXT, *b], "y", ["date", "id"], also={"q_e": [*CONTEXT, *e]}, g=growth).withColumnRenamed("oof", "q_b")
     scored = estimators(fitted.drop(*b, *e, "__b", "__e", "model"))

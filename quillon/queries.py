@@ -808,6 +808,13 @@ def value_function_oof(spark: SparkSession, d: str) -> DataFrame:
     return causal.value_function(_scored(t), _choices(t), CFG)
 
 
+@_query()
+def value_function_purged(spark: SparkSession, d: str) -> DataFrame:
+    """The value function with folds purged and embargoed by 21 dates, or by the horizon where that is longer."""
+    t = _table(spark, d)
+    return causal.value_function(_scored(t), _choices(t), Config.from_mapping({"max_purge_steps": 21}))
+
+
 _MEANS = causal.CONTEXT
 _BY_DATE = (
     COUNTER.split(", src AS (")[0]
