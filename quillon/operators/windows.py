@@ -63,9 +63,10 @@ def percentile_rank(c: Column, by: Sequence[str] = ("date",), least: int = 10, d
     """Mean rank over the number of values of a cross-section; 0.5 for nulls and small ones."""
     key = F.round(c, digits)
     n = F.count(key).over(Window.partitionBy(*by))
-    rank = F.rank().over(Window.partitionBy(*by).orderBy(key.asc_nulls_last()))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, key))
-    return F.when((n < least) | key.isNull(), F.lit(0.5)).otherwise((rank + (ties - 1) / 2) / n)
+    ordered = Window.partitionBy(*by).orderBy(key.asc_nulls_last())
+    # A value's first and last place, so that ties need no exchange of their own.
+    first, last = F.rank().over(ordered), F.count(key).over(ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return F.when((n < least) | key.isNull(), F.lit(0.5)).otherwise(((first + last) / 2) / n)
 
 
 def forward_fill(c: str) -> Column:

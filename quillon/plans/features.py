@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quillon.config import Config
 from quillon.functions.scalars import context_vector, standardize
-from quillon.operators.windows import alive_and_maturity, autocorrelation, forward_return, momentum, percentile_rank, rolling_std, weighted_mean_by
+from quillon.operators.series import own_features
+from quillon.operators.windows import alive_and_maturity, percentile_rank, weighted_mean_by
 
 BASE = ("spread", "duration", "ret_vol20", "idx_vol", "ret_autocorr")
 
@@ -17,15 +18,10 @@ BASE = ("spread", "duration", "ret_vol20", "idx_vol", "ret_autocorr")
 def add_features(panel: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Momentum, volatility, autocorrelation and targets by id, then market volatility and ranks by date.
 
-    Inactive rows are dropped first, as horizons count active rows. All windows by id share one
-    exchange and sort, all by date another.
+    Inactive rows are dropped first, as horizons count active rows. What ids tell comes of one exchange and sort,
+    what dates tell of another.
     """
-    active = panel.where("active > 0")
-    ret = F.col("ret")
-    own = {f"mom_w{w}": momentum(ret, w) for w in cfg.windows}
-    own |= {"ret_vol20": rolling_std(ret, 20, 5), "ret_autocorr": autocorrelation(ret)}
-    own |= {f"y_h{h}": forward_return(ret, h) for h in cfg.horizons}
-    by_security = active.withColumns(own)
+    by_security = own_features(panel.where("active > 0"), cfg.windows, cfg.horizons)
     return by_security.withColumns(
         {
             "idx_vol": weighted_mean_by(F.col("ret_vol20"), F.col("index_weight"), ["date"]),
