@@ -73,6 +73,46 @@ class QuantileHead:
             self.high = self.high + DRAW_TOGETHER * (was[1] - middle) * x
 
 
+def move_head(head: QuantileHead, x: np.ndarray, y: np.ndarray) -> None:
+    """`head.update` over rows in order, on plain numbers: a row costs a few microseconds, as no array is made for it.
+
+    Weights are clipped only once they may have reached the cap, which no step does that stays below it in sum.
+    """
+    if not len(x):
+        return
+    c, cap = head.cfg, head.cap
+    shrink, under_low, over_low = 1 - c.eta * c.lam_head, c.eta * (1 - c.tau_low), -c.eta * c.tau_low
+    under_high, over_high = c.eta * (1 - c.tau_high), -c.eta * c.tau_high
+    l0, l1, l2, l3, l4, l5, l6, l7, l8, l9 = head.low.tolist()
+    u0, u1, u2, u3, u4, u5, u6, u7, u8, u9 = head.high.tolist()
+    largest = lambda: max(map(abs, (l0, l1, l2, l3, l4, l5, l6, l7, l8, l9, u0, u1, u2, u3, u4, u5, u6, u7, u8, u9)))
+    clip = lambda v: min(max(v, -cap), cap)
+    reach = largest()
+    for (x0, x1, x2, x3, x4, x5, x6, x7, x8, x9), far, target in zip(x.tolist(), np.abs(x).max(axis=1).tolist(), y.tolist(), strict=True):
+        was_low = l0 * x0 + l1 * x1 + l2 * x2 + l3 * x3 + l4 * x4 + l5 * x5 + l6 * x6 + l7 * x7 + l8 * x8 + l9 * x9
+        was_high = u0 * x0 + u1 * x1 + u2 * x2 + u3 * x3 + u4 * x4 + u5 * x5 + u6 * x6 + u7 * x7 + u8 * x8 + u9 * x9
+        d, e = under_low if target < was_low else over_low, under_high if target < was_high else over_high
+        l0, l1, l2, l3, l4 = shrink * l0 - d * x0, shrink * l1 - d * x1, shrink * l2 - d * x2, shrink * l3 - d * x3, shrink * l4 - d * x4
+        l5, l6, l7, l8, l9 = shrink * l5 - d * x5, shrink * l6 - d * x6, shrink * l7 - d * x7, shrink * l8 - d * x8, shrink * l9 - d * x9
+        u0, u1, u2, u3, u4 = shrink * u0 - e * x0, shrink * u1 - e * x1, shrink * u2 - e * x2, shrink * u3 - e * x3, shrink * u4 - e * x4
+        u5, u6, u7, u8, u9 = shrink * u5 - e * x5, shrink * u6 - e * x6, shrink * u7 - e * x7, shrink * u8 - e * x8, shrink * u9 - e * x9
+        reach += far * c.eta
+        if not reach < cap:
+            l0, l1, l2, l3, l4, l5, l6, l7, l8, l9 = map(clip, (l0, l1, l2, l3, l4, l5, l6, l7, l8, l9))
+            u0, u1, u2, u3, u4, u5, u6, u7, u8, u9 = map(clip, (u0, u1, u2, u3, u4, u5, u6, u7, u8, u9))
+            reach = largest()
+        a = l0 * x0 + l1 * x1 + l2 * x2 + l3 * x3 + l4 * x4 + l5 * x5 + l6 * x6 + l7 * x7 + l8 * x8 + l9 * x9
+        b = u0 * x0 + u1 * x1 + u2 * x2 + u3 * x3 + u4 * x4 + u5 * x5 + u6 * x6 + u7 * x7 + u8 * x8 + u9 * x9
+        if a > b:
+            d, e = DRAW_TOGETHER * ((a + b) / 2 - was_low), DRAW_TOGETHER * (was_high - (a + b) / 2)
+            l0, l1, l2, l3, l4 = l0 + d * x0, l1 + d * x1, l2 + d * x2, l3 + d * x3, l4 + d * x4
+            l5, l6, l7, l8, l9 = l5 + d * x5, l6 + d * x6, l7 + d * x7, l8 + d * x8, l9 + d * x9
+            u0, u1, u2, u3, u4 = u0 + e * x0, u1 + e * x1, u2 + e * x2, u3 + e * x3, u4 + e * x4
+            u5, u6, u7, u8, u9 = u5 + e * x5, u6 + e * x6, u7 + e * x7, u8 + e * x8, u9 + e * x9
+            reach += far * max(abs(d), abs(e))
+    head.low, head.high = np.array([l0, l1, l2, l3, l4, l5, l6, l7, l8, l9]), np.array([u0, u1, u2, u3, u4, u5, u6, u7, u8, u9])
+
+
 class Calibrator:
     """The last scores of a horizon, and how far they say that an interval must be widened."""
 
@@ -292,16 +332,27 @@ def _decider(shared, horizons: Sequence[int], size: int):  # noqa: ANN001, ANN20
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs, sigma, known, day_of, last = shared.value
+        every = np.array(sorted(day_of), "datetime64[D]")
+        number = np.array([day_of[d] for d in sorted(day_of)])
+
+        def at_day(v: pa.Array) -> np.ndarray:
+            """The numbers of dates; -1 for none."""
+            found = v.to_numpy(zero_copy_only=False).astype("datetime64[D]")
+            place = np.minimum(np.searchsorted(every, found), len(every) - 1)
+            if (~np.isnat(found) & (every[place] != found)).any():
+                raise ValueError("a row is due on a date that is not in the slice")
+            return np.where(np.isnat(found), -1, number[place])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             column = lambda name: batch.column(batch.schema.get_field_index(name))
-            ids, days = column("id").to_pylist(), np.array([day_of[d] for d in column("date").to_pylist()])
+            ids, days = column("id").to_pylist(), at_day(column("date"))
             x = column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
-            per_h = lambda p, f: np.stack([np.array(f(column(f"{p}_h{h}").to_pylist())) for h in horizons], axis=1)
-            alive = per_h("alive", lambda v: [bool(a) for a in v])
-            due = per_h("mat_date", lambda v: [-1 if d is None else day_of[d] for d in v])
-            y = per_h("y", lambda v: [math.nan if a is None else float(a) for a in v])
+            per_h = lambda p, f: np.stack([f(column(f"{p}_h{h}")) for h in horizons], axis=1)
+            alive = per_h("alive", lambda v: v.fill_null(0).to_numpy(zero_copy_only=False) != 0)
+            due = per_h("mat_date", at_day)
+            y = per_h("y", lambda v: v.cast(pa.float64()).fill_null(math.nan).to_numpy(zero_copy_only=False))
             for day in np.unique(days).tolist():
                 rows = np.flatnonzero((days == day) & alive.any(axis=1))
                 for run in runs:
@@ -318,13 +369,13 @@ def _decider(shared, horizons: Sequence[int], size: int):  # noqa: ANN001, ANN20
                         raise ValueError("an outcome matures in the block of its decision: an id has several rows on a date")
                     target, n = y[rows, at], len(rows)
                     arrays = [
-                        pa.array([run.name] * n),
+                        pa.repeat(pa.scalar(run.name), n),
                         pa.array(choice, pa.int32()),
                         column("date").take(pa.array(rows)),
                         column("id").take(pa.array(rows)),
-                        pa.array([f"mom_w{c.windows[k // len(horizons)]}" for k in choice]),
+                        pa.array([f"mom_w{w}" for w in c.windows]).take(pa.array(choice // len(horizons))),
                         pa.array(h, pa.int32()),
-                        pa.array([c.alpha_for(int(v)) for v in h], pa.float64()),
+                        pa.array(np.array([c.alpha_for(v) for v in horizons])[at], pa.float64()),
                         pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * x.shape[1]), pa.array(x[rows].reshape(-1))),
                         pa.array(target, pa.float64(), mask=~np.isfinite(target)),
                         *[pa.array(v, pa.float64()) for v in (low, high, l_adj, u_adj, now.widening[at])],
@@ -348,16 +399,22 @@ def _head_mover(shared):  # noqa: ANN001, ANN202
 
         key, head = None, None
         for batch in batches:
-            run, k, due, y = (batch.column(i).to_pylist() for i in range(4))
+            if not batch.num_rows:
+                continue
+            run, k, due = (batch.column(i).to_pylist() for i in range(3))
+            y = batch.column(3).to_numpy(zero_copy_only=False)
             x = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            for i, own in enumerate(zip(run, k, due, strict=True)):
+            keys = list(zip(run, k, due, strict=True))
+            starts = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
+            for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
+                own = keys[a]
                 if own != key:
                     if key is not None:
                         yield told(key, head)
                     if key is None or own[:2] != key[:2]:
                         head = copy.copy(heads[own[0], own[1]])
                     key = own
-                head.update(x[i], y[i])
+                move_head(head, x[a:b], y[a:b])
         if key is not None:
             yield told(key, head)
 
@@ -450,22 +507,25 @@ def run_slice(rows: DataFrame, sample: list[tuple[np.ndarray, dict[int, float]]]
     last = {r.name: day_of[last_decision(r, dates)] for r in runs}
     states = _started(spark, runs, sigma, sample)
     path = fresh_path(spark, "decisions")
-    for first in range(0, len(dates), size):
-        days = range(first, min(first + size, len(dates)))
+    # What matures after a run's last decision teaches it nothing that it could use.
+    for first in range(0, max(last.values()) + 1, size):
+        days = range(first, min(first + size, max(last.values()) + 1))
+        acting = {n: s for n, s in states.items() if last[n] >= first}
         learned = Learned({}, {}, {})
         if first:
-            matured = cut(_scored(spark.read.schema(_DECISION).parquet(path).where(F.col("block") == first // size)), "matured")
-            learned = _learn(matured, states)
+            known_by_now = F.col("due") <= days[-1]
+            matured = cut(_scored(spark.read.schema(_DECISION).parquet(path).where((F.col("block") == first // size) & known_by_now & F.col("run").isin(list(acting)))), "matured")
+            learned = _learn(matured, acting)
         known = {}
         for day in days:
-            for state in states.values():
+            for state in acting.values():
                 if state.run.learns_first:
                     state.absorb(learned, day)
                 if day <= last[state.run.name]:
                     known[state.run.name, day] = state.known(day)
                 if not state.run.learns_first:
                     state.absorb(learned, day)
-        shared = spark.sparkContext.broadcast((list(runs), sigma, known, day_of, last))  # parameters by run and date of the block
+        shared = spark.sparkContext.broadcast(([s.run for s in acting.values()], sigma, known, day_of, last))  # parameters by run and date of the block
         own = rows.where(F.col("date").between(F.lit(dates[days[0]]), F.lit(dates[days[-1]])))
         own.mapInArrow(_decider(shared, horizons, size), _DECISION).write.partitionBy("block").mode("append").parquet(path)
 

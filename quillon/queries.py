@@ -950,7 +950,8 @@ def aligned_actions(spark: SparkSession, d: str) -> DataFrame:
 
 # Policies.
 def _feature_table(spark: SparkSession, d: str) -> DataFrame:
-    return cut(plan.feature_table(sales_panel(spark, d), CFG), "features")
+    """Scores and context are computed as the written features are read, so the features are made once."""
+    return plan.add_context(_scored(_table(spark, d)))
 
 
 @_query()

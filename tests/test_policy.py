@@ -138,3 +138,26 @@ def test_runs_side_by_side(spark):
     again = P.run_policies(features.repartition(7), [P.Run("crl", "bandit", cfg)], cfg).toPandas()
     key = ["date", "id"]
     assert log[log["run"] == "crl"].sort_values(key).reset_index(drop=True).equals(again.sort_values(key).reset_index(drop=True))
+
+
+def test_heads_move_as_row_by_row():
+    rng = np.random.default_rng(4)
+    for cap, scale in ((1e3, 1.0), (0.05, 1.0), (1e3, 300.0)):
+        one, many = P.QuantileHead(CFG, cap=cap), P.QuantileHead(CFG, cap=cap)
+        x, y = rng.normal(size=(500, 10)) * scale, rng.normal(size=500)
+        for a, b in zip(x, y, strict=True):
+            one.update(a, b)
+        for a in range(0, 500, 130):
+            P.move_head(many, x[a : a + 130], y[a : a + 130])
+        assert np.allclose(one.low, many.low, rtol=1e-7, atol=1e-12) and np.allclose(one.high, many.high, rtol=1e-7, atol=1e-12)
+
+
+def test_nothing_is_learned_after_the_last_decision(spark):
+    # Runs that learn first decide on 24 of 30 dates, in 8 blocks of 3: 7 of them have something to learn.
+    from quillon.sources import intermediate
+
+    written = lambda: sum("/matured-" in p for p in intermediate._written[spark.sparkContext.applicationId])
+    _all(spark, _slice().head(0), RUNS[2:3], train=0)
+    before = written()
+    _all(spark, _slice(), RUNS[2:3])
+    assert written() - before == 7
