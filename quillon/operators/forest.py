@@ -9,14 +9,16 @@ A row belongs to a model (a number) as training or test row. All trees of all mo
   (model, tree, node) over input and bin, one task a node picks the best cut. Only such nodes' cuts pass the
   driver, in blocks of trees whose cuts stay below `cut_bytes`.
 * A node of at most `local_rows` rows goes to one task, which grows the rest of its subtree from the same
-  histograms. Trees of a model that has no larger node share one copy of its rows per group of trees.
+  histograms. Trees of a model that has no larger node share one copy of its rows per group of trees; groups are
+  as large as leaves every core some, so the copies are few and no row travels once per tree.
 
 Both ways choose the same cuts: `local_rows` changes where work is done, not its result (but for the last bits
-of sums). Trees stay in a table; rows to predict meet them by (model, group of trees).
+of sums). Trees stay in a table; rows to predict travel once and meet all trees of their model.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -27,8 +29,10 @@ from pyspark.sql import functions as F
 
 from quillon.sources.intermediate import cut
 
-#: Trees that share one copy of a model's rows, and one task.
-GROUP = 25
+#: Trees that at least share one copy of a model's rows, and one task; rows up to which no more do.
+GROUP, FEW = 25, 200_000
+#: Tasks a core over which trees are dealt, and rows that one task predicts.
+DEALT, TOLD = 4, 1 << 22
 #: Cells (node, input, bin) whose sums a task holds at a time.
 CELLS = 1 << 21
 #: Bytes of histograms that a task holds before it passes them on.
@@ -44,7 +48,7 @@ class Growth:
     leaf: int = 10
     bins: int = 64
     seed: int = 42
-    local_rows: int = 200_000
+    local_rows: int = 1 << 24
     cut_bytes: int = 64 << 20
 
 
@@ -63,6 +67,7 @@ def histograms(place: np.ndarray, nodes: int, bins: np.ndarray, offsets: np.ndar
     """(3, nodes, cells): rows, weight and weighted label by node and by input's bin."""
     sums, kinds = np.empty((3, nodes, int(offsets[-1]))), (None, w, w * y)
     whole = [np.bincount(place, v, nodes) for v in kinds]
+    first: dict[int, np.ndarray] = {}
     for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
         if b - a == 2:  # an input with two values, as one-hot ones are: only rows of the second are added up
             on = np.flatnonzero(bins[:, i])
@@ -70,7 +75,9 @@ def histograms(place: np.ndarray, nodes: int, bins: np.ndarray, offsets: np.ndar
                 sums[kind, :, a + 1] = np.bincount(place[on], v if v is None else v[on], nodes)
                 sums[kind, :, a] = whole[kind] - sums[kind, :, a + 1]
             continue
-        flat = place * (b - a) + bins[:, i]
+        if b - a not in first:
+            first[b - a] = place * (b - a)
+        flat = first[b - a] + bins[:, i]
         for kind, v in enumerate(kinds):
             sums[kind, :, a:b] = np.bincount(flat, v, nodes * (b - a)).reshape(nodes, b - a)
     return sums
@@ -104,29 +111,55 @@ def best_cuts(sums: np.ndarray, offsets: np.ndarray, leaf: int) -> tuple[np.ndar
 def grow(bins: np.ndarray, y: np.ndarray, w: np.ndarray, offsets: np.ndarray, g: Growth, root: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The subtree below a node as (node, input or -1, bin, mean); a node's children are 2 n and 2 n + 1.
 
-    Histograms are made of nodes that can still be cut: above the last level, with rows for two leaves.
+    Histograms are made of nodes that can still be cut: above the last level, with rows for two leaves. Where the
+    parents' are held, only the smaller child's rows are added up and the larger one's are the difference.
     """
     out: list[tuple] = []
+    columns, cells = np.ascontiguousarray(bins.T), int(offsets[-1])
     ids, place = np.array([root], np.int64)[: len(y)], np.zeros(len(y), np.int64)
+    above: np.ndarray | None = None  # sums of the parents, whose children are 2 k and 2 k + 1
     while len(ids):
         chosen, last = np.full(len(ids), -1, np.int16), np.zeros(len(ids), np.int16)
+        size = np.bincount(place, minlength=len(ids))
         mean = np.bincount(place, w * y, len(ids)) / np.maximum(np.bincount(place, w, len(ids)), 1e-300)
-        open_ = np.flatnonzero((np.bincount(place, minlength=len(ids)) >= 2 * g.leaf) & (ids < 1 << g.depth))
-        rank = np.full(len(ids), -1, np.int64)
-        rank[open_] = np.arange(len(open_))
-        at = rank[place]
-        step = max(1, CELLS // int(offsets[-1]))
+        wanted = (size >= 2 * g.leaf) & (ids < 1 << g.depth)
+        held = np.empty((3, len(ids), cells)) if len(ids) * cells <= CELLS else None
+
+        def direct(nodes: np.ndarray) -> np.ndarray:
+            rank = np.full(len(ids), -1, np.int64)  # noqa: B023
+            rank[nodes] = np.arange(len(nodes))
+            at = rank[place]  # noqa: B023
+            here = np.flatnonzero(at >= 0)
+            return histograms(at[here], len(nodes), columns[:, here].T, offsets, w[here], y[here])  # noqa: B023
+
+        if held is not None and above is not None:
+            pairs = np.flatnonzero(wanted.reshape(-1, 2).any(axis=1))
+            small = 2 * pairs + (size[2 * pairs + 1] < size[2 * pairs])
+            if len(pairs):
+                held[:, small] = direct(small)
+                rest = above[:, pairs] - held[:, small]
+                rest[:, rest[0] == 0] = 0.0  # what is left of equal sums would break ties of empty bins
+                held[:, small ^ 1] = rest
+        open_ = np.flatnonzero(wanted)
+        step = max(1, CELLS // cells)
         for a in range(0, len(open_), step):
-            here, nodes = np.flatnonzero((at >= a) & (at < a + step)), open_[a : a + step]
-            chosen[nodes], last[nodes], mean[nodes] = best_cuts(histograms(at[here] - a, len(nodes), bins[here], offsets, w[here], y[here]), offsets, g.leaf)
+            nodes = open_[a : a + step]
+            if held is None:
+                sums = direct(nodes)
+            elif above is None:
+                sums = held[:, nodes] = direct(nodes)
+            else:
+                sums = held[:, nodes]
+            chosen[nodes], last[nodes], mean[nodes] = best_cuts(sums, offsets, g.leaf)
         out.append((ids, chosen, last, mean))
         # Children in order of number: those of the k-th node that is cut are 2 k and 2 k + 1, and both have rows.
         cut_ = np.flatnonzero(chosen >= 0)
+        above = held[:, cut_] if held is not None else None
         rank = np.full(len(ids), -1, np.int64)
         rank[cut_] = np.arange(len(cut_))
         on = np.flatnonzero(rank[place] >= 0)
-        place, bins, y, w = place[on], bins[on], y[on], w[on]
-        right = bins[np.arange(len(on)), chosen[place]] > last[place]
+        place, columns, y, w = place[on], columns[:, on], y[on], w[on]
+        right = columns[chosen[place], np.arange(len(on))] > last[place]
         ids, place = (2 * ids[cut_][:, None] + np.arange(2)).ravel(), 2 * rank[place] + right
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 4
 
@@ -247,8 +280,8 @@ def _tree_row(model: int, tree: int, nodes: Sequence[np.ndarray]) -> tuple:
     return (model, tree // GROUP, tree, *[np.asarray(v).astype(k).tobytes() for v, k in zip(nodes, kinds, strict=True)])
 
 
-def _rest(training: DataFrame, small: set[int], trees: range, cuts: _Cuts, offsets: dict[int, np.ndarray], g: Growth) -> DataFrame:
-    """Subtrees of all nodes that one task takes, in `_TREES`; a model in `small` sends its rows once per group of trees."""
+def _rest(training: DataFrame, small: dict[int, int], trees: range, cuts: _Cuts, offsets: dict[int, np.ndarray], g: Growth) -> DataFrame:
+    """Subtrees of all nodes that one task takes, in `_TREES`; a model in `small` sends its rows once per group of as many trees as it says there."""
     shared = training.sparkSession.sparkContext.broadcast(cuts)
 
     def pack(part: pd.DataFrame) -> list[bytes]:
@@ -260,7 +293,7 @@ def _rest(training: DataFrame, small: set[int], trees: range, cuts: _Cuts, offse
             for model, part in batch.groupby("model", sort=False):
                 if model in small:
                     packed = pack(part)
-                    yield pd.DataFrame([(model, low, 1, *packed) for low in trees[::GROUP]], columns=names)
+                    yield pd.DataFrame([(model, low, 1, *packed) for low in trees[:: small[model]]], columns=names)
                     continue
                 bins, keys = _matrix(part["bins"]), part["key"].to_numpy()
                 for tree in trees:
@@ -274,7 +307,7 @@ def _rest(training: DataFrame, small: set[int], trees: range, cuts: _Cuts, offse
         order = np.lexsort((w, y, keys))
         keys, y, w, bins = keys[order], y[order], w[order], bins[order]
         out = []
-        for tree in range(low, min(low + GROUP, trees.stop)) if model in small else [low]:
+        for tree in range(low, min(low + small[model], trees.stop)) if model in small else [low]:
             times = bag(keys, tree, g.seed)
             times = times if times.any() else np.ones(len(keys), np.int64)
             on = times > 0
@@ -290,7 +323,11 @@ def fit(training: DataFrame, edges: dict[int, list[np.ndarray]], g: Growth = Gro
     spark, offsets = training.sparkSession, {m: _offsets(e) for m, e in edges.items()}
     rows = {r["model"]: r["count"] for r in training.groupBy("model").count().collect()}
     # A bag of n Poisson counts holds at most n rows.
-    small = {m for m, n in rows.items() if n <= g.local_rows}
+    small = {m: GROUP for m, n in rows.items() if n <= g.local_rows}
+    # Trees of wide models are dealt so that each core has some tasks; every group is a copy of the model's rows.
+    wide = [m for m in small if rows[m] > FEW]
+    share = math.ceil(len(wide) * g.trees / (DEALT * spark.sparkContext.defaultParallelism))
+    small |= {m: max(GROUP, math.ceil(g.trees / math.ceil(g.trees / max(1, share)))) for m in wide}
     large = {m: n for m, n in rows.items() if m not in small}
     done = []
     if small:
@@ -311,7 +348,7 @@ def fit(training: DataFrame, edges: dict[int, list[np.ndarray]], g: Growth = Gro
                             if n > g.local_rows:
                                 active.setdefault((r.model, r.tree), set()).add(child)
             upper = [_tree_row(m, t, list(zip(*[(n, *v) for n, v in nodes.items()], strict=True))) for (m, t), nodes in cuts.of.items()]
-            done += [spark.createDataFrame(upper, _TREES), cut(_rest(part, set(), trees, cuts, offsets, g), "subtrees")]
+            done += [spark.createDataFrame(upper, _TREES), cut(_rest(part, {}, trees, cuts, offsets, g), "subtrees")]
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -320,39 +357,44 @@ def fit(training: DataFrame, edges: dict[int, list[np.ndarray]], g: Growth = Gro
 
 def predict(rows: DataFrame, forest: DataFrame, g: Growth = Growth()) -> DataFrame:
     """(n, set, value): the mean of a model's trees. `rows`: (model, n, set, bins); (n, set) names a row once."""
-    parts = (g.trees + GROUP - 1) // GROUP
+    counts = {r["model"]: r["count"] for r in rows.groupBy("model").count().collect()}  # a row per model
+    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    pieces = {m: max(math.ceil(n / TOLD), min(math.ceil(n / 10_000), math.ceil(tasks / len(counts)))) for m, n in counts.items()}
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([(m, s, p["n"].to_numpy().tobytes(), b"".join(p["bins"])) for (m, s), p in batch.groupby(["model", "set"], sort=False)], columns=["model", "set", "n", "bins"])
+            piece = batch["n"].to_numpy() % batch["model"].map(pieces).to_numpy()
+            yield pd.DataFrame([(m, k, s, p["n"].to_numpy().tobytes(), b"".join(p["bins"])) for (m, k, s), p in batch.groupby(["model", piece, "set"], sort=False)], columns=["model", "piece", "set", "n", "bins"])
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size = 2 << g.depth
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                n = np.frombuffer(r.n, np.int64)
-                bins = np.frombuffer(r.bins, np.uint8).reshape(len(n), -1)
-                total = np.zeros(len(n))
-                trees: dict[int, list] = {}
-                for t in sorted(r.trees, key=lambda t: (t["tree"], t["node"])):
-                    trees.setdefault(t["tree"], []).append(t)
-                for pieces in trees.values():
-                    chosen, last, mean = np.full(size, -1, np.int16), np.zeros(size, np.int16), np.zeros(size)
-                    for t in pieces:
-                        at = np.frombuffer(t["node"], np.int32)
-                        chosen[at], last[at], mean[at] = np.frombuffer(t["chosen"], np.int16), np.frombuffer(t["last"], np.int16), np.frombuffer(t["mean"])
-                    node, on = np.ones(len(n), np.int64), np.arange(len(n))
-                    while len(on):
-                        on = on[chosen[node[on]] >= 0]
-                        at = node[on]
-                        node[on] = 2 * at + (bins[on, chosen[at]] > last[at])
-                    total += mean[node]
-                yield pd.DataFrame({"n": n, "set": r.set, "total": total})
-
-    packed = rows.mapInPandas(pack, "model int, set string, n binary, bins binary").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    grouped = forest.groupBy("model", "part").agg(F.collect_list(F.struct("tree", "node", "chosen", "last", "mean")).alias("trees"))  # GROUP trees of bounded depth
-    sums = _spread(packed, "model", "part").join(grouped, ["model", "part"]).mapInPandas(walk, "n long, set string, total double")
-    return sums.groupBy("n", "set").agg((F.sum("total") / g.trees).alias("value"))
+            for piece in range(max(pieces.values(), default=0)):
+                yield batch[batch["model"].map(pieces).fillna(0) > piece].assign(piece=piece)
+
+    def walk(key: tuple, packed: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+        if packed.empty:
+            return pd.DataFrame({"n": [], "set": [], "value": []})
+        n = np.frombuffer(b"".join(packed["n"]), np.int64)
+        sets = np.repeat(packed["set"].to_numpy(), packed["n"].map(len).to_numpy() // 8)
+        bins, total, size = np.frombuffer(b"".join(packed["bins"]), np.uint8).reshape(len(n), -1), np.zeros(len(n)), 2 << g.depth
+        for _, one in trees.sort_values("tree").groupby("tree"):
+            chosen, last, mean = np.full(size, -1, np.int16), np.zeros(size, np.int16), np.zeros(size)
+            for t in one.itertuples(index=False):
+                at = np.frombuffer(t.node, np.int32)
+                chosen[at], last[at], mean[at] = np.frombuffer(t.chosen, np.int16), np.frombuffer(t.last, np.int16), np.frombuffer(t.mean)
+            for a in range(0, len(n), 1 << 16):
+                own = bins[a : a + (1 << 16)]
+                node, on = np.ones(len(own), np.int64), np.arange(len(own))
+                while len(on):
+                    on = on[chosen[node[on]] >= 0]
+                    at = node[on]
+                    node[on] = 2 * at + (own[on, chosen[at]] > last[at])
+                total[a : a + (1 << 16)] += mean[node]
+        return pd.DataFrame({"n": n, "set": sets, "value": total / g.trees})
+
+    packed = _spread(rows.mapInPandas(pack, "model int, piece int, set string, n binary, bins binary"), "model", "piece")
+    dealt = _spread(forest.mapInPandas(deal, f"{_TREES}, piece int"), "model", "piece")
+    return packed.groupBy("model", "piece").cogroup(dealt.groupBy("model", "piece")).applyInPandas(walk, "n long, set string, value double")
 
 
 def crossfit(placed: DataFrame, inputs: Sequence[str], label: str, keys: Sequence[str], weight: str | None = None, also: dict[str, Sequence[str]] | None = None, g: Growth = Growth()) -> DataFrame:
@@ -372,7 +414,7 @@ def crossfit(placed: DataFrame, inputs: Sequence[str], label: str, keys: Sequenc
 
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     train = placed.where("role = 'train'").select(F.col("model").cast("int").alias("model"), F.xxhash64(*keys).alias("key"), vector(inputs, False).alias("x"), F.col(label).cast("double").alias("y"), w.alias("w"))
-    train = cut(train.where("w > 0 and y is not null and not exists(x, v -> v is null)"), "training")
+    train = train.where("w > 0 and y is not null and not exists(x, v -> v is null)")
     edges = _edges(train, len(inputs), g.bins)
     test = cut(placed.where("role = 'test'").withColumn("__n", F.monotonically_increasing_id()), "held")
     if not edges:
@@ -381,5 +423,6 @@ def crossfit(placed: DataFrame, inputs: Sequence[str], label: str, keys: Sequenc
     forest = fit(coded, edges, g)
     wanted = test.where(F.col("model").isin(sorted(edges))).select(F.col("model").cast("int").alias("model"), F.col("__n").alias("n"), F.explode(F.array(*[F.struct(F.lit(k).alias("set"), vector(c).alias("x")) for k, c in sets.items()])).alias("s")).select("model", "n", "s.*")
     told = predict(wanted.mapInPandas(_binned(edges), "model int, n long, set string, bins binary"), forest, g)
+    told = cut(told, "predicted")
     wide = told.groupBy(F.col("n").alias("__n")).agg(*[F.max(F.when(F.col("set") == k, F.col("value"))).alias(k) for k in sets])
-    return cut(test.join(wide, "__n", "left").drop("__n", "role"), "predicted")
+    return test.join(wide, "__n", "left").drop("__n", "role")

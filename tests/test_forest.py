@@ -124,3 +124,27 @@ def test_means_beat_the_overall_mean_out_of_fold(spark):
     with released(spark):
         out = crossfit(_rows(spark, 900, 1), NAMES, "y", ["id"], "w", g=Growth(trees=40, depth=6, leaf=5)).select("y", "oof").toPandas()
         assert ((out.y - out.oof) ** 2).mean() < 0.2 * out.y.var()
+
+
+def test_wide_models_travel_once_per_group_of_trees(spark, monkeypatch):
+    # Models of more than 200,000 rows used to send each node's rows once per tree.
+    from quillon.operators import forest
+
+    monkeypatch.setattr(forest, "_level", None)
+    with released(spark):
+        rows = spark.range(200_200).selectExpr("0 as model", "case when id < 200 then 'test' else 'train' end as role", "id", "cast(id % 50 as double) as a", "cast(id % 7 as double) as b", "0.0 as c", "cast(id % 50 as double) as y")
+        rows = rows.unionByName(rows.where("role = 'train'").limit(400).withColumn("id", F.col("id") + 1_000_000))
+        out = crossfit(rows, NAMES, "y", ["id"], g=Growth(trees=3, depth=8, leaf=5)).select("y", "oof").toPandas()
+        assert len(out) == 200 and (out.y - out.oof).abs().max() < 1e-9
+
+
+def test_larger_child_is_the_difference(monkeypatch):
+    from quillon.operators import forest
+
+    rng = np.random.default_rng(2)
+    bins, y, w = rng.integers(0, 9, (900, 3)).astype(np.uint8), rng.normal(size=900), rng.integers(1, 4, 900) * 0.1
+    offsets, g = np.array([0, 9, 18, 27]), Growth(depth=7, leaf=4)
+    want = forest.grow(bins, y, w, offsets, Growth(depth=7, leaf=4), 1)
+    monkeypatch.setattr(forest, "CELLS", 1)  # no parents' sums are held: every node is added up
+    plain = forest.grow(bins, y, w, offsets, g, 1)
+    assert all((a == b).all() for a, b in zip(want[:3], plain[:3], strict=True)) and np.allclose(want[3], plain[3])
