@@ -123,7 +123,8 @@ def grow(bins: np.ndarray, y: np.ndarray, w: np.ndarray, offsets: np.ndarray, g:
         size = np.bincount(place, minlength=len(ids))
         mean = np.bincount(place, w * y, len(ids)) / np.maximum(np.bincount(place, w, len(ids)), 1e-300)
         wanted = (size >= 2 * g.leaf) & (ids < 1 << g.depth)
-        held = np.empty((3, len(ids), cells)) if len(ids) * cells <= CELLS else None
+        # Sums are held where nodes have so many rows that a difference costs less than adding up.
+        held = np.empty((3, len(ids), cells)) if len(ids) * cells <= min(CELLS, len(place) * len(columns) // 4) else None
 
         def direct(nodes: np.ndarray) -> np.ndarray:
             rank = np.full(len(ids), -1, np.int64)  # noqa: B023
