@@ -13,7 +13,8 @@ A row belongs to a model (a number) as training or test row. All trees of all mo
   as large as leaves every core some, so the copies are few and no row travels once per tree.
 
 Both ways choose the same cuts: `local_rows` changes where work is done, not its result (but for the last bits
-of sums). Trees stay in a table; rows to predict travel once and meet all trees of their model.
+of sums). Trees stay in a table; rows to predict travel once and meet all trees of their model. Rows alike in all
+bins are one row to every cut: a task adds them up once a bag, and predicts them once.
 """
 
 from __future__ import annotations
@@ -35,6 +36,10 @@ GROUP, FEW = 25, 200_000
 DEALT, TOLD = 4, 1 << 22
 #: Cells (node, input, bin) whose sums a task holds at a time.
 CELLS = 1 << 21
+#: Rows that meet a tree at a time.
+BLOCK = 1 << 14
+#: Rows of a node from which its sums are made of joint codes; what rows and whole weights stay below to be added up as one.
+JOINED, PACKED = 1 << 13, 1 << 26
 #: Bytes of histograms that a task holds before it passes them on.
 HELD = 64 << 20
 
@@ -59,8 +64,29 @@ def bag(keys: np.ndarray, tree: int, seed: int) -> np.ndarray:
     mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     share = ((mixed ^ (mixed >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
-    mass = np.exp(-1.0) / np.cumprod(np.maximum(np.arange(17), 1.0))
-    return np.searchsorted(np.cumsum(mass), share, side="right")
+    upto = np.cumsum(np.exp(-1.0) / np.cumprod(np.maximum(np.arange(17), 1.0)))
+    # Most of 4,096 stretches of shares have one count; only shares in the others are searched for.
+    low, high = (np.searchsorted(upto, (np.arange(4096) + k) / 4096.0, side="right") for k in (0, 1))
+    stretch = (share * 4096.0).astype(np.int64)
+    times = low[stretch]
+    open_ = np.flatnonzero((low != high)[stretch])
+    times[open_] = np.searchsorted(upto, share[open_], side="right")
+    return times
+
+
+def alike(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """(first row of each group of equal rows, group of each row); None if groups are more than half the rows.
+
+    Rows are told apart by a hash, and each is compared with the first of its group.
+    """
+    mixed = np.zeros(len(rows), np.uint64)
+    for i in range(rows.shape[1]):
+        mixed = (mixed ^ rows[:, i]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    _, first, group = np.unique(mixed, return_index=True, return_inverse=True)
+    if 2 * len(first) > len(rows) or not (rows[first[group]] == rows).all():
+        return None
+    return first, group
 
 
 def histograms(place: np.ndarray, nodes: int, bins: np.ndarray, offsets: np.ndarray, w: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -83,86 +109,213 @@ def histograms(place: np.ndarray, nodes: int, bins: np.ndarray, offsets: np.ndar
     return sums
 
 
-def best_cuts(sums: np.ndarray, offsets: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per node the input (-1: none) and the last bin of its left side that lower squared error most, and the node's mean.
+def best_cuts(sums: np.ndarray, offsets: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per node the input (-1: none) and the last bin of its left side that lower squared error most, the node's mean, and rows of the left side.
 
-    Both sides keep `leaf` rows; equal gains go to the first input and bin.
+    Both sides keep `leaf` rows; equal gains (to nine digits, so that no order of sums tells) go to the first input and bin.
     """
     nodes = sums.shape[1]
     first = sums[:, :, : offsets[1]]
     total = first.sum(axis=2)
     mean = total[2] / np.maximum(total[1], 1e-300)
-    most, chosen, last = np.zeros(nodes), np.full(nodes, -1, np.int16), np.zeros(nodes, np.int16)
-    scale = 1e-12 * np.abs(total[2] * mean)
+    most, chosen, last, size = np.zeros(nodes), np.full(nodes, -1, np.int16), np.zeros(nodes, np.int16), np.zeros(nodes, np.int64)
+    whole = total[2] * mean
+    scale, every = 1e-12 * np.abs(whole), np.arange(nodes)
     for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
         if b - a < 2:
             continue
         left = np.cumsum(sums[:, :, a : b - 1], axis=2)
         right = total[:, :, None] - left
         fits = (left[0] >= leaf) & (right[0] >= leaf) & (left[1] > 0) & (right[1] > 0)
-        gain = np.where(fits, left[2] ** 2 / np.where(fits, left[1], 1) + right[2] ** 2 / np.where(fits, right[1], 1) - (total[2] * mean)[:, None], 0.0)
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            gain = left[2] * left[2]
+            gain /= left[1]
+            other = right[2] * right[2]
+            other /= right[1]
+            gain += other
+            gain -= whole[:, None]
+        gain[~fits] = 0.0
         at = gain.argmax(axis=1)
-        found = gain[np.arange(nodes), at]
-        better = found > most + scale
-        most, chosen, last = np.where(better, found, most), np.where(better, i, chosen).astype(np.int16), np.where(better, at, last).astype(np.int16)
-    return chosen, last, mean
+        found = gain[every, at]
+        better = np.flatnonzero(found > most * (1 + 1e-9) + scale)
+        most[better], chosen[better], last[better], size[better] = found[better], i, at[better], left[0][better, at[better]]
+    return chosen, last, mean, size
 
 
-def grow(bins: np.ndarray, y: np.ndarray, w: np.ndarray, offsets: np.ndarray, g: Growth, root: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The subtree below a node as (node, input or -1, bin, mean); a node's children are 2 n and 2 n + 1.
+class Prepared:
+    """A model's rows by columns, made once for all trees that a task grows of them.
 
-    Histograms are made of nodes that can still be cut: above the last level, with rows for two leaves. Where the
-    parents' are held, only the smaller child's rows are added up and the larger one's are the difference.
+    Two-valued inputs that no row has together (one-hot ones) share a column: its code says which of them a row
+    has, 0 none. Inputs of one bin have no column. Neighbouring columns have a joint code as well, of which large
+    nodes' sums are made: half as many are added up, and each input's are the margins. Rows alike in all bins, which
+    no cut tells apart, are added up once a bag and go on as one, where that leaves at most half of them.
     """
-    out: list[tuple] = []
-    columns, cells = np.ascontiguousarray(bins.T), int(offsets[-1])
-    ids, place = np.array([root], np.int64)[: len(y)], np.zeros(len(y), np.int64)
-    above: np.ndarray | None = None  # sums of the parents, whose children are 2 k and 2 k + 1
-    while len(ids):
-        chosen, last = np.full(len(ids), -1, np.int16), np.zeros(len(ids), np.int16)
-        size = np.bincount(place, minlength=len(ids))
-        mean = np.bincount(place, w * y, len(ids)) / np.maximum(np.bincount(place, w, len(ids)), 1e-300)
-        wanted = (size >= 2 * g.leaf) & (ids < 1 << g.depth)
-        # Sums are held where nodes have so many rows that a difference costs less than adding up.
-        held = np.empty((3, len(ids), cells)) if len(ids) * cells <= min(CELLS, len(place) * len(columns) // 4) else None
-
-        def direct(nodes: np.ndarray) -> np.ndarray:
-            rank = np.full(len(ids), -1, np.int64)  # noqa: B023
-            rank[nodes] = np.arange(len(nodes))
-            at = rank[place]  # noqa: B023
-            here = np.flatnonzero(at >= 0)
-            return histograms(at[here], len(nodes), columns[:, here].T, offsets, w[here], y[here])  # noqa: B023
-
-        if held is not None and above is not None:
-            pairs = np.flatnonzero(wanted.reshape(-1, 2).any(axis=1))
-            small = 2 * pairs + (size[2 * pairs + 1] < size[2 * pairs])
-            if len(pairs):
-                held[:, small] = direct(small)
-                rest = above[:, pairs] - held[:, small]
-                rest[:, rest[0] == 0] = 0.0  # what is left of equal sums would break ties of empty bins
-                held[:, small ^ 1] = rest
-        open_ = np.flatnonzero(wanted)
-        step = max(1, CELLS // cells)
-        for a in range(0, len(open_), step):
-            nodes = open_[a : a + step]
-            if held is None:
-                sums = direct(nodes)
-            elif above is None:
-                sums = held[:, nodes] = direct(nodes)
-            else:
-                sums = held[:, nodes]
-            chosen[nodes], last[nodes], mean[nodes] = best_cuts(sums, offsets, g.leaf)
-        out.append((ids, chosen, last, mean))
-        # Children in order of number: those of the k-th node that is cut are 2 k and 2 k + 1, and both have rows.
-        cut_ = np.flatnonzero(chosen >= 0)
-        above = held[:, cut_] if held is not None else None
-        rank = np.full(len(ids), -1, np.int64)
-        rank[cut_] = np.arange(len(cut_))
-        on = np.flatnonzero(rank[place] >= 0)
-        place, columns, y, w = place[on], columns[:, on], y[on], w[on]
-        right = columns[chosen[place], np.arange(len(on))] > last[place]
-        ids, place = (2 * ids[cut_][:, None] + np.arange(2)).ravel(), 2 * rank[place] + right
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 4
+
+    def __init__(self, bins: np.ndarray, y: np.ndarray, w: np.ndarray, offsets: np.ndarray):
+        self.y, self.w, self.offsets, self.group = y, w, offsets, None
+        # Whole weights and rows are added up as one number, which holds both exactly.
+        self.whole = bool((w == np.floor(w)).all())
+        same = alike(bins) if len(y) >= JOINED else None
+        if same is not None:
+            bins, self.group = bins[same[0]], same[1]
+        plain, shared = [], []
+        for i, width in enumerate(np.diff(offsets).tolist()):
+            if width > 2:
+                plain.append((np.ascontiguousarray(bins[:, i]), [i]))
+            elif width == 2:
+                own = np.array(bins[:, i])
+                for code, inputs in shared:
+                    if len(inputs) < 255 and not (own.astype(bool) & (code > 0)).any():
+                        inputs.append(i)
+                        code += own * np.uint8(len(inputs))
+                        break
+                else:
+                    shared.append((own, [i]))
+        both = plain + shared
+        self.inputs = [inputs for _, inputs in both]
+        self.columns = np.stack([c for c, _ in both]) if both else np.empty((0, len(bins)), np.uint8)
+        self.width = [int(offsets[i[0] + 1] - offsets[i[0]]) if k < len(plain) else len(i) + 1 for k, i in enumerate(self.inputs)]
+        # Where a row with each input stands: its column, and the codes (low, high] that go right after a cut at bin 0.
+        self.column, self.code = np.zeros(len(offsets), np.int64), np.full(len(offsets), -1)
+        for k, inputs in enumerate(self.inputs):
+            self.column[inputs] = k
+            if k >= len(plain):
+                self.code[inputs] = np.arange(len(inputs))
+        self.joint = [(k, self.columns[k].astype(np.uint16) * np.uint16(self.width[k + 1]) + self.columns[k + 1]) for k in range(0, len(both) - 1, 2)] if len(bins) >= JOINED else []
+
+    def add(self, at: np.ndarray, nodes: int, columns: Sequence[np.ndarray], joint: Sequence[np.ndarray], kinds: Sequence[np.ndarray]) -> np.ndarray:
+        """(3, nodes, cells): rows, weight and weighted label by node and by input's bin. `kinds`: packed and label, or all three."""
+        sums = np.empty((3, nodes, int(self.offsets[-1])))
+        into = sums[3 - len(kinds) :]
+        first: dict[int, np.ndarray] = {}
+
+        def count(code: np.ndarray, width: int) -> list[np.ndarray]:
+            if width not in first:
+                first[width] = at * width
+            flat = first[width] + code
+            return [np.bincount(flat, v, nodes * width) for v in kinds]
+
+        found: list[list[np.ndarray]] = []
+        for (k, _), code in zip(self.joint, joint, strict=False):
+            a, b = self.width[k : k + 2]
+            both = [v.reshape(nodes, a, b) for v in count(code, a * b)]
+            found += [[v.sum(axis=2) for v in both], [v.sum(axis=1) for v in both]]
+        for k in range(len(found), len(self.inputs)):
+            found.append([v.reshape(nodes, -1) for v in count(columns[k], self.width[k])])
+        for inputs, of_kinds, code in zip(self.inputs, found, [self.code[i[0]] for i in self.inputs], strict=True):
+            for kind, v in enumerate(of_kinds):
+                if code < 0:
+                    into[kind, :, self.offsets[inputs[0]] : self.offsets[inputs[0] + 1]] = v
+                    continue
+                low = self.offsets[inputs]
+                into[kind][:, low + 1] = v[:, 1:]
+                into[kind][:, low] = v.sum(axis=1, keepdims=True) - v[:, 1:]
+        none = np.flatnonzero(np.diff(self.offsets) == 1)
+        if len(none):
+            for kind, v in enumerate(kinds):
+                into[kind][:, self.offsets[none]] = np.bincount(at, v, nodes)[:, None]
+        if len(kinds) == 2:
+            np.floor(sums[1] / PACKED, out=sums[0])
+            sums[1] -= sums[0] * PACKED
+        return sums
+
+    def grow(self, times: np.ndarray, g: Growth, root: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The subtree below a node as (node, input or -1, bin, mean) from a bag; a node's children are 2 n and 2 n + 1.
+
+        Histograms are made of nodes that can still be cut: above the last level, with rows for two leaves. Where the
+        parents' are held, only the smaller child's rows are added up and the larger one's are the difference. Rows
+        in leaves stand in a place past all nodes until they are a fifth of all.
+        """
+        times = np.asarray(times)
+        rows, w = (times > 0).astype(float), self.w * times
+        wy = w * self.y
+        if self.group is not None:
+            rows, w, wy = (np.bincount(self.group, v) for v in (rows, w, wy))
+        on = np.flatnonzero(rows)
+        if not len(on):
+            return (np.empty(0, np.int64),) * 4
+        rows, w, wy = rows[on], w[on], wy[on]
+        cells, leaf, n_rows = int(self.offsets[-1]), 2 * g.leaf, rows.sum()
+        kinds = [rows * PACKED + w, wy] if self.whole and max(w.sum(), n_rows) < PACKED else [rows, w, wy]
+        columns, joint = self.columns.take(on, axis=1), [c[on] for _, c in self.joint]
+        every = np.arange(len(on))
+        out: list[tuple] = []
+        ids, place, size = np.array([root], np.int64), np.zeros(len(on), np.int64), np.array([n_rows], np.int64)
+        above: np.ndarray | None = None  # sums of the parents, whose children are 2 k and 2 k + 1
+        while len(ids):
+            n = len(ids)
+            chosen, last, mean, left = np.full(n, -1, np.int16), np.zeros(n, np.int16), np.zeros(n), np.zeros(n, np.int64)
+            wanted = (size >= leaf) & (ids < 1 << g.depth)
+            # Sums are held where nodes have so many rows that a difference costs less than adding up.
+            held = np.empty((3, n, cells)) if n * cells <= min(CELLS, len(place) * len(columns) // 2) else None
+
+            def direct(nodes: np.ndarray) -> np.ndarray:
+                if len(nodes) == n == 1:  # noqa: B023
+                    return self.add(place, 1, columns, joint, kinds)  # noqa: B023
+                rank = np.full(n + 1, -1, np.int64)  # noqa: B023
+                rank[nodes] = np.arange(len(nodes))
+                at = rank.take(place)  # noqa: B023
+                here = np.flatnonzero(at >= 0)
+                wide = joint if len(here) >= JOINED * len(nodes) else []  # noqa: B023
+                return self.add(at.take(here), len(nodes), [c if k < 2 * len(wide) else c.take(here) for k, c in enumerate(columns)], [c.take(here) for c in wide], [v.take(here) for v in kinds])  # noqa: B023
+
+            if held is not None and above is not None:
+                pairs = np.flatnonzero(wanted.reshape(-1, 2).any(axis=1))
+                small = 2 * pairs + (size[2 * pairs + 1] < size[2 * pairs])
+                if len(pairs):
+                    held[:, small] = direct(small)
+                    rest = above[:, pairs] - held[:, small]
+                    rest[:, rest[0] == 0] = 0.0  # what is left of equal sums would break ties of empty bins
+                    held[:, small ^ 1] = rest
+            open_ = np.flatnonzero(wanted)
+            step = max(1, CELLS // cells)
+            for a in range(0, len(open_), step):
+                nodes = open_[a : a + step]
+                if held is None:
+                    sums = direct(nodes)
+                elif above is None:
+                    sums = held[:, nodes] = direct(nodes)
+                else:
+                    sums = held[:, nodes]
+                chosen[nodes], last[nodes], mean[nodes], left[nodes] = best_cuts(sums, self.offsets, g.leaf)
+            cut_ = np.flatnonzero(chosen >= 0)
+            # Rows whose node is a leaf are added up as they are.
+            leaves = chosen < 0
+            if leaves.any():
+                ends = np.flatnonzero(np.append(leaves, False).take(place))
+                stands = place.take(ends)
+                mean[leaves] = (np.bincount(stands, kinds[-1].take(ends), n) / np.maximum(np.bincount(stands, w.take(ends), n), 1e-300))[leaves]
+            out.append((ids, chosen, last, mean))
+            # Children in order of number: those of the k-th node that is cut are 2 k and 2 k + 1, and both have rows.
+            above = held[:, cut_] if held is not None else None
+            onto, low, high = np.full(n + 1, 2 * len(cut_), np.int64), np.full(n + 1, 255, np.uint8), np.full(n + 1, 255, np.uint8)
+            by = np.zeros(n + 1, np.int64)
+            of = chosen[cut_]
+            onto[cut_], by[cut_] = 2 * np.arange(len(cut_)), self.column[of] * len(place)
+            low[cut_] = np.where(self.code[of] < 0, last[cut_], self.code[of])  # a code is right of its input alone
+            high[cut_] = np.where(self.code[of] < 0, 255, self.code[of] + 1)
+            if not len(cut_):
+                break
+            code = by.take(place)
+            code += every
+            code = columns.ravel().take(code)
+            right = code > low.take(place)
+            if (high < 255).any():
+                right &= code <= high.take(place)
+            place = onto.take(place)
+            place += right
+            size = np.stack([left[cut_], size[cut_] - left[cut_]], axis=1).ravel()
+            ids = (2 * ids[cut_][:, None] + np.arange(2)).ravel()
+            if size.sum() < 0.8 * n_rows:
+                n_rows, live = size.sum(), np.flatnonzero(place < len(ids))
+                place, columns, w, joint = place[live], columns.take(live, axis=1), w[live], [c[live] for c in joint]
+                kinds, every = [v[live] for v in kinds], every[: len(live)]
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def grow(bins: np.ndarray, y: np.ndarray, w: np.ndarray, offsets: np.ndarray, g: Growth, root: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The subtree below a node from rows that are all in the bag; see `Prepared.grow`."""
+    return Prepared(bins, y, w, offsets).grow(np.ones(len(y), np.int64), g, root)
 
 
 class _Cuts:
@@ -256,7 +409,7 @@ def _level(training: DataFrame, active: dict[tuple[int, int], set[int]], cuts: _
         model, tree, node = map(int, key)
         at = offsets[model]
         sums = sum(np.frombuffer(b).reshape(3, 1, int(at[-1])) for b in parts["sums"])
-        chosen, last, mean = (v[0] for v in best_cuts(sums, at, g.leaf))
+        chosen, last, mean = (v[0] for v in best_cuts(sums, at, g.leaf)[:3])
         chosen = -1 if node >= 1 << g.depth else int(chosen)
         here = sums[0, 0, at[max(chosen, 0)] : at[max(chosen, 0) + 1]]
         left = here[: last + 1].sum()
@@ -307,12 +460,11 @@ def _rest(training: DataFrame, small: dict[int, int], trees: range, cuts: _Cuts,
         bins = np.frombuffer(b"".join(parts["bins"]), np.uint8).reshape(len(y), -1)
         order = np.lexsort((w, y, keys))
         keys, y, w, bins = keys[order], y[order], w[order], bins[order]
-        out = []
+        out, rows = [], Prepared(bins, y, w, offsets[model])
         for tree in range(low, min(low + small[model], trees.stop)) if model in small else [low]:
             times = bag(keys, tree, g.seed)
             times = times if times.any() else np.ones(len(keys), np.int64)
-            on = times > 0
-            out.append(_tree_row(model, tree, grow(bins[on], y[on], (w * times)[on], offsets[model], g, root)))
+            out.append(_tree_row(model, tree, rows.grow(times, g, root)))
         return pd.DataFrame(out, columns=[c.split()[0] for c in _TREES.split(", ")])
 
     sent = training.mapInPandas(send, "model int, low int, node long, bins binary, key binary, y binary, w binary")
@@ -377,20 +529,29 @@ def predict(rows: DataFrame, forest: DataFrame, g: Growth = Growth()) -> DataFra
             return pd.DataFrame({"n": [], "set": [], "value": []})
         n = np.frombuffer(b"".join(packed["n"]), np.int64)
         sets = np.repeat(packed["set"].to_numpy(), packed["n"].map(len).to_numpy() // 8)
-        bins, total, size = np.frombuffer(b"".join(packed["bins"]), np.uint8).reshape(len(n), -1), np.zeros(len(n)), 2 << g.depth
+        bins, size = np.frombuffer(b"".join(packed["bins"]), np.uint8).reshape(len(n), -1), 2 << g.depth
+        same = alike(bins)  # rows that all trees predict alike go as one
+        bins = bins if same is None else bins[same[0]]
+        total, flat, wide = np.zeros(len(bins)), bins.ravel(), bins.shape[1]
         for _, one in trees.sort_values("tree").groupby("tree"):
-            chosen, last, mean = np.full(size, -1, np.int16), np.zeros(size, np.int16), np.zeros(size)
+            # A leaf is its own left child, and nothing stands right of its cut.
+            onto, chosen, last, mean = np.arange(size), np.zeros(size, np.int64), np.full(size, 255, np.uint8), np.zeros(size)
+            deep = 1
             for t in one.itertuples(index=False):
-                at = np.frombuffer(t.node, np.int32)
-                chosen[at], last[at], mean[at] = np.frombuffer(t.chosen, np.int16), np.frombuffer(t.last, np.int16), np.frombuffer(t.mean)
-            for a in range(0, len(n), 1 << 16):
-                own = bins[a : a + (1 << 16)]
-                node, on = np.ones(len(own), np.int64), np.arange(len(own))
-                while len(on):
-                    on = on[chosen[node[on]] >= 0]
-                    at = node[on]
-                    node[on] = 2 * at + (own[on, chosen[at]] > last[at])
-                total[a : a + (1 << 16)] += mean[node]
+                at, by = np.frombuffer(t.node, np.int32), np.frombuffer(t.chosen, np.int16)
+                mean[at] = np.frombuffer(t.mean)
+                at, bin_, by = at[by >= 0], np.frombuffer(t.last, np.int16)[by >= 0], by[by >= 0]
+                onto[at], chosen[at], last[at] = 2 * at, by, bin_
+                deep = max(deep, int(at.max(initial=1)))
+            for a in range(0, len(bins), BLOCK):
+                row = np.arange(a, min(a + BLOCK, len(bins))) * wide
+                node = np.ones(len(row), np.int64)
+                for _ in range(deep.bit_length()):
+                    right = flat.take(row + chosen.take(node)) > last.take(node)
+                    node = onto.take(node)
+                    node += right
+                total[a : a + BLOCK] += mean.take(node)
+        total = total if same is None else total[same[1]]
         return pd.DataFrame({"n": n, "set": sets, "value": total / g.trees})
 
     packed = _spread(rows.mapInPandas(pack, "model int, piece int, set string, n binary, bins binary"), "model", "piece")

@@ -774,8 +774,8 @@ def ope_propensity(spark: SparkSession, d: str) -> DataFrame:
     return ope.reconstruct_support(_test(spark, d), CFG).select("date", "id", F.col("support").cast("int").alias("support"), _r(S.propensity(F.col("support")), "pi_b", 8))
 
 
-def _ope_rows(spark: SparkSession, d: str) -> DataFrame:
-    test = _test(spark, d)
+def _ope_rows(spark: SparkSession, d: str, features: DataFrame | None = None) -> DataFrame:
+    test = _test(spark, d) if features is None else cut(plan.test_slice(features.select("date", "id", "index_weight", *(f"y_h{h}" for h in H)), CFG), "test")
     y = F.coalesce(*[F.when(F.col("h") == h, F.when(F.col(f"alive_h{h}") == 1, F.col(f"y_h{h}"))) for h in H])
     behaviour = _actions(test, 3, 5).select("date", "id", "momentum", "h", y.alias("y"))
     evaluation = _actions(test, 7, 5).select("date", "id", "momentum", "h")
@@ -799,7 +799,8 @@ def ope_dr_groupmean(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(totals=("h_e",))
 def ope_dr_forest(spark: SparkSession, d: str) -> DataFrame:
-    return ope.evaluate_forest(_ope_rows(spark, d), _scored(_table(spark, d)), CFG)[1]
+    t = _table(spark, d)
+    return ope.evaluate_forest(_ope_rows(spark, d, t), _scored(t), CFG)[1]
 
 
 @_query()

@@ -148,3 +148,44 @@ def test_larger_child_is_the_difference(monkeypatch):
     monkeypatch.setattr(forest, "CELLS", 1)  # no parents' sums are held: every node is added up
     plain = forest.grow(bins, y, w, offsets, g, 1)
     assert all((a == b).all() for a, b in zip(want[:3], plain[:3], strict=True)) and np.allclose(want[3], plain[3])
+
+
+def test_rows_alike_and_one_hot_inputs_are_added_up_once(monkeypatch):
+    # Every row and every one-hot input used to be added up by itself, for every tree and level.
+    from quillon.operators import forest
+
+    rng = np.random.default_rng(8)
+    kinds, arm = rng.integers(0, 6, (300, 3)).astype(np.uint8), rng.integers(0, 5, 300)
+    some = np.concatenate([kinds, (arm[:, None] == np.arange(1, 5)).astype(np.uint8), np.zeros((300, 1), np.uint8)], axis=1)
+    bins = np.concatenate([some] * 12)[rng.permutation(3600)]
+    offsets, g = np.array([0, 6, 12, 18, 20, 22, 24, 26, 27]), Growth(depth=9, leaf=3)
+    for y, w in ((rng.integers(-9, 9, 3600).astype(float), np.ones(3600)), (rng.normal(size=3600), rng.integers(1, 9, 3600) * 0.125)):
+        times = bag(np.arange(3600), 5, 42)
+        monkeypatch.setattr(forest, "JOINED", 1 << 40)
+        plain = forest.Prepared(bins, y, w, offsets)
+        assert plain.columns.shape == (4, 3600) and not plain.joint
+        want = plain.grow(times, g)
+        monkeypatch.setattr(forest, "JOINED", 1)
+        rows = forest.Prepared(bins, y, w, offsets)
+        assert rows.columns.shape == (4, len(np.unique(some, axis=0))) and len(rows.joint) == 2
+        got = rows.grow(times, g)
+        assert len(want[0]) > 100 and all((a == b).all() for a, b in zip(want[:3], got[:3], strict=True)) and np.allclose(want[3], got[3])
+        # Each leaf has the mean of its rows in the bag, and no fewer than it must keep.
+        node = np.ones(3600, np.int64)
+        cuts = {n: (c, b) for n, c, b in zip(*[v.tolist() for v in got[:3]], strict=True)}
+        for _ in range(g.depth):
+            node = np.array([2 * n + (r[cuts[n][0]] > cuts[n][1]) if cuts[n][0] >= 0 else n for n, r in zip(node.tolist(), bins, strict=True)])
+        for n, mean in zip(got[0].tolist(), got[3].tolist(), strict=True):
+            on = (node == n) & (times > 0)
+            if on.any():
+                assert cuts[n][0] < 0 and on.sum() >= 3 and np.isclose(mean, np.average(y[on], weights=(w * times)[on]))
+    assert forest.alike(bins[:1]) is None and forest.alike(rng.integers(0, 255, (50, 8)).astype(np.uint8)) is None
+
+
+def test_bags_are_those_of_the_search():
+    keys = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 300_000)
+    mixed = keys.astype(np.uint64) ^ np.uint64((43 * 0x9E3779B97F4A7C15 + 8 * 0xD1B54A32D192ED03) % 2**64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+    share = ((mixed ^ (mixed >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+    assert (bag(keys, 7, 42) == np.searchsorted(np.cumsum([math.exp(-1) / math.factorial(k) for k in range(17)]), share, side="right")).all()
