@@ -13,8 +13,10 @@ from quillon.operators.windows import normalized_weight
 SCORE_COLUMNS = ("y", "l", "u", "width_scaled", "loss_scaled", "covered")
 
 
-def with_weights(scores: DataFrame, panel: DataFrame, default: float = 1.0) -> DataFrame:
-    """`scores` with the index weight of its (date, id); rows without one get `default`."""
+def with_weights(scores: DataFrame, panel: DataFrame | None, default: float = 1.0) -> DataFrame:
+    """`scores` with the index weight of its (date, id), or its own where no panel is given; rows without one get `default`."""
+    if panel is None:
+        return scores.withColumn("index_weight", F.coalesce("index_weight", F.lit(default)))
     weights = panel.select("date", "id", "index_weight").dropDuplicates(["date", "id"])
     plain = scores.drop("index_weight")
     return plain.join(weights, ["date", "id"], "left").withColumn("index_weight", F.coalesce("index_weight", F.lit(default)))
@@ -27,9 +29,9 @@ def index_mean(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("date
 
 
 def security_to_index(scores: DataFrame, by: Sequence[str] = ("date", "h"), columns: Sequence[str] = SCORE_COLUMNS) -> DataFrame:
-    """Score log to an index series: weighted means and the alpha of each group."""
-    shared = scores.withColumn("w", normalized_weight(F.col("index_weight"), by))
-    return shared.groupBy(*by).agg(*[(F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(c) for c in columns], F.min("alpha").alias("alpha"))
+    """Score log to an index series: weighted means and the alpha of each group, in one pass."""
+    w = F.col("index_weight")
+    return scores.groupBy(*by).agg(*[(F.sum(F.col(c) * w) / F.sum(w)).alias(c) for c in columns], F.min("alpha").alias("alpha"))
 
 
 def overall_loss(scores: DataFrame) -> DataFrame:
@@ -74,10 +76,10 @@ def top_bottom(table: DataFrame, k: int = 30, column: str = "mean_loss", key: st
 
 
 def leaderboard(scores: DataFrame) -> DataFrame:
-    """Per baseline: weighted loss (mean over its dates and horizons), plain loss, coverage, width, rows."""
-    keys = ["baseline", "date", "h"]
-    shared = scores.withColumn("w", normalized_weight(F.col("index_weight"), keys))
-    daily = shared.groupBy(*keys).agg(F.sum(F.col("w") * F.col("loss_scaled")).alias("wl"), F.sum("loss_scaled").alias("sl"), F.sum("covered").alias("sc"), F.sum("width_scaled").alias("sw"), F.count(F.lit(1)).alias("n"))
+    """Per baseline: weighted loss (mean over its dates and horizons), plain loss, coverage, width, rows; in one pass over the log."""
+    w = F.col("index_weight")
+    weighted = F.sum(w * F.col("loss_scaled")) / (F.sum(w) + 1e-12)  # the rows' shares of their group's weight times loss
+    daily = scores.groupBy("baseline", "date", "h").agg(weighted.alias("wl"), F.sum("loss_scaled").alias("sl"), F.sum("covered").alias("sc"), F.sum("width_scaled").alias("sw"), F.count(F.lit(1)).alias("n"))
     total = F.sum("n")
     return daily.groupBy("baseline").agg(
         F.avg("wl").alias("mean_loss_scaled"),

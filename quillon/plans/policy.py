@@ -6,11 +6,12 @@ all runs (policies, variants) at once:
 
 * Outcomes that mature in the block are summed per run, arm and date: outer products and moments of the
   posteriors are additive, so Spark adds them up in parts. Quantile heads move row by row, which is one
-  stream per run and arm, arms side by side; calibrators take each date's last scores.
+  stream per horizon, whose rows all runs share; calibrators take each date's last scores from it.
 * The driver holds each run's parameters, none of which grows with the rows, steps them from date to date
   and draws a posterior's parameters once per arm and date, from a stream keyed by (seed, date, arm).
 * The block's rows, however many tasks they lie in, are decided with the parameters of their date and
-  written under the block in which they mature.
+  written under the block in which they mature: a row per horizon that any run chose, with its inputs once
+  and each such run's arm and bounds. What else a log says follows from run, date and horizon.
 
 Outcomes apply in order of maturity, decision date and id; nothing that decides reads one.
 """
@@ -29,7 +30,8 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.config import Config
@@ -323,17 +325,21 @@ def bounds(run: Run, known: Known, sigma: dict[int, float], x: np.ndarray, choic
     return low, high, np.where(crossed, middle - HALF_CROSSED, l_adj), np.where(crossed, middle + HALF_CROSSED, u_adj)
 
 
-_DECISION = "run string, k int, date date, id string, momentum string, h int, alpha double, x array<double>, y double, l_raw double, u_raw double, l double, u double, qhat double, buffer int, support int, due int, block int"
+_DECISION = "date date, id string, x array<double>, h int, y double, support int, due int, made array<struct<run: int, k: int, l_raw: double, u_raw: double>>, block int"
+#: What a run knew of a horizon on a date; runs go by number.
+_FACT = "run int, date date, h int, alpha double, qhat double, buffer int, factor double"
+_MOVED = "run int, h int, k int, due int, low array<double>, high array<double>, scores array<double>"
 LOG = "run string, date date, id string, momentum string, h int, alpha double, y double, l double, u double, covered int, width double, loss double, width_scaled double, loss_scaled double, qhat double, buffer int, support int"
 
 
-def _decider(shared, horizons: Sequence[int], size: int):  # noqa: ANN001, ANN202
-    """For mapInArrow over a block's rows: the decisions of all runs, with the block in which each matures."""
+def _decider(shared, horizons: Sequence[int], size: int, keep: Sequence[str] = ()):  # noqa: ANN001, ANN202
+    """For mapInArrow over a block's rows: a row per horizon that any run chose, with the runs that did and the block in which it matures."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs, sigma, known, day_of, last = shared.value
         every = np.array(sorted(day_of), "datetime64[D]")
         number = np.array([day_of[d] for d in sorted(day_of)])
+        named = any(run.kind == "random" for _, run in runs)
 
         def at_day(v: pa.Array) -> np.ndarray:
             """The numbers of dates; -1 for none."""
@@ -347,7 +353,7 @@ def _decider(shared, horizons: Sequence[int], size: int):  # noqa: ANN001, ANN20
             if not batch.num_rows:
                 continue
             column = lambda name: batch.column(batch.schema.get_field_index(name))
-            ids, days = column("id").to_pylist(), at_day(column("date"))
+            ids, days = column("id").to_pylist() if named else [""] * batch.num_rows, at_day(column("date"))
             x = column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
             per_h = lambda p, f: np.stack([f(column(f"{p}_h{h}")) for h in horizons], axis=1)
             alive = per_h("alive", lambda v: v.fill_null(0).to_numpy(zero_copy_only=False) != 0)
@@ -355,104 +361,137 @@ def _decider(shared, horizons: Sequence[int], size: int):  # noqa: ANN001, ANN20
             y = per_h("y", lambda v: v.cast(pa.float64()).fill_null(math.nan).to_numpy(zero_copy_only=False))
             for day in np.unique(days).tolist():
                 rows = np.flatnonzero((days == day) & alive.any(axis=1))
-                for run in runs:
-                    if day > last[run.name] or not len(rows):
-                        continue
-                    c, now = run.cfg, known[run.name, day]
-                    valid = np.tile(alive[rows], len(c.windows))
-                    choice = choose(run, now, day, [ids[i] for i in rows], x[rows], valid)
-                    at = choice % len(horizons)
-                    low, high, l_adj, u_adj = bounds(run, now, sigma, x[rows], choice)
-                    h = np.array(horizons)[at]
-                    when = due[rows, at]
-                    if (when // size <= day // size).any():
+                acting = [(i, run) for i, run in runs if day <= last[run.name]]
+                if not acting or not len(rows):
+                    continue
+                own, live = x[rows], alive[rows]
+                choice, low, high = (np.empty((len(rows), len(acting)), t) for t in (np.int32, float, float))
+                for c, (_, run) in enumerate(acting):
+                    now = known[run.name, day]
+                    choice[:, c] = choose(run, now, day, [ids[i] for i in rows] if run.kind == "random" else (), own, np.tile(live, len(run.cfg.windows)))
+                    low[:, c], high[:, c] = bounds(run, now, sigma, own, choice[:, c])[:2]
+                at, who = choice % len(horizons), np.broadcast_to(np.array([i for i, _ in acting], np.int32), choice.shape)
+                for j, h in enumerate(horizons):
+                    when, target = due[rows, j], y[rows, j]
+                    chosen = at == j
+                    if (chosen.any(axis=1) & (when // size <= day // size)).any():
                         raise ValueError("an outcome matures in the block of its decision: an id has several rows on a date")
-                    target, n = y[rows, at], len(rows)
-                    arrays = [
-                        pa.repeat(pa.scalar(run.name), n),
-                        pa.array(choice, pa.int32()),
-                        column("date").take(pa.array(rows)),
-                        column("id").take(pa.array(rows)),
-                        pa.array([f"mom_w{w}" for w in c.windows]).take(pa.array(choice // len(horizons))),
-                        pa.array(h, pa.int32()),
-                        pa.array(np.array([c.alpha_for(v) for v in horizons])[at], pa.float64()),
-                        pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * x.shape[1]), pa.array(x[rows].reshape(-1))),
-                        pa.array(target, pa.float64(), mask=~np.isfinite(target)),
-                        *[pa.array(v, pa.float64()) for v in (low, high, l_adj, u_adj, now.widening[at])],
-                        *[pa.array(v, pa.int32()) for v in (now.held[at], valid.sum(axis=1), when, when // size)],
-                    ]
-                    yield pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in _DECISION.split(", ")])
+                    # Outcomes that are absent or not finite are neither learned from nor scored.
+                    on = np.flatnonzero(chosen.any(axis=1) & np.isfinite(target))
+                    if not len(on):
+                        continue
+                    chosen, n, taken = chosen[on], len(on), pa.array(rows[on])
+                    made = pa.StructArray.from_arrays([pa.array(v[on][chosen]) for v in (who, choice, low, high)], names=["run", "k", "l_raw", "u_raw"])
+                    arrays = {
+                        "date": column("date").take(taken),
+                        "id": column("id").take(taken),
+                        "x": pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * x.shape[1]), pa.array(own[on].reshape(-1))),
+                        "h": pa.array(np.full(n, h), pa.int32()),
+                        "y": pa.array(target[on], pa.float64()),
+                        "support": pa.array(live[on].sum(axis=1) * len(acting[0][1].cfg.windows), pa.int32()),
+                        "due": pa.array(when[on], pa.int32()),
+                        "made": pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(chosen.sum(axis=1))], pa.int32()), made),
+                        "block": pa.array(when[on] // size, pa.int32()),
+                        **{c: column(c).take(taken) for c in keep},
+                    }
+                    yield pa.RecordBatch.from_arrays(list(arrays.values()), names=list(arrays))
 
     return work
 
 
-def _head_mover(shared):  # noqa: ANN001, ANN202
-    """For mapInArrow over outcomes sorted by run, arm, maturity, date and id: (run, k, due, low, high), each arm's head after a date."""
+def _mover(shared, arms: int, size: int):  # noqa: ANN001, ANN202
+    """For mapInArrow over (h, due, x, y, run, k, score), a row per outcome and lists of the runs that chose it, sorted by h, due, date and id.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads = shared.value
-        names = ("run", "k", "due", "low", "high")
+    Gives `_MOVED`: an arm's head after each date on which it moved, and (k null) a run's last scores of a horizon and date.
+    """
 
-        def told(key: tuple, head: QuantileHead) -> pa.RecordBatch:
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()))
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*key, head.low.tolist(), head.high.tolist()), kinds, strict=True)], names=names)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads = {key: copy.copy(head) for key, head in shared.value.items()}
+        acting = np.array(sorted({run for run, _ in heads}), np.int64)
+        now: tuple[int, int] | None = None
+        moved: set[tuple[int, int]] = set()
+        scores: dict[int, np.ndarray] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            h, due = now  # noqa: B023
+            rows = [(run, h, k, due, heads[run, k].low.tolist(), heads[run, k].high.tolist(), None) for run, k in sorted(moved)]
+            rows += [(run, h, None, due, None, None, v.tolist()) for run, v in sorted(scores.items())]
+            kinds = (*[pa.int32()] * 4, *[pa.list_(pa.float64())] * 3)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in _MOVED.split(", ")])
+            moved.clear()
+            scores.clear()
 
-        key, head = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            run, k, due = (batch.column(i).to_pylist() for i in range(3))
-            y = batch.column(3).to_numpy(zero_copy_only=False)
-            x = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            keys = list(zip(run, k, due, strict=True))
-            starts = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
-            for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
-                own = keys[a]
-                if own != key:
-                    if key is not None:
-                        yield told(key, head)
-                    if key is None or own[:2] != key[:2]:
-                        head = copy.copy(heads[own[0], own[1]])
-                    key = own
-                move_head(head, x[a:b], y[a:b])
-        if key is not None:
-            yield told(key, head)
+            h, due, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
+            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            run, k, score = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (4, 5, 6))
+            of = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(batch.column(4)).to_numpy(zero_copy_only=False))
+            edges = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (due[1:] != due[:-1]), True])
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if now != (int(h[a]), int(due[a])):
+                    if now is not None:
+                        yield from told()
+                    now = int(h[a]), int(due[a])
+                part = slice(*np.searchsorted(of, [a, b]))
+                some = np.flatnonzero(np.isin(run[part], acting)) + part.start
+                some = some[np.argsort(run[some].astype(np.int64) * arms + k[some], kind="stable")]
+                key = run[some].astype(np.int64) * arms + k[some]
+                ends = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]) if len(key) else np.zeros(1, np.int64)
+                for c, d in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    mine, which = of[some[c:d]], divmod(int(key[c]), arms)
+                    move_head(heads[which], x[mine], y[mine])
+                    moved.add(which)
+                # A run's scores of all its arms, in order of its rows.
+                some = np.sort(some)
+                some = some[np.argsort(run[some], kind="stable")]
+                ends = np.flatnonzero(np.r_[True, run[some][1:] != run[some][:-1], True]) if len(some) else np.zeros(1, np.int64)
+                for c, d in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    who = int(run[some[c]])
+                    scores[who] = np.concatenate([scores.get(who, score[:0]), score[some[c:d]][-size:]])[-size:]
+        if now is not None:
+            yield from told()
 
     return work
 
 
-def _scored(decisions: DataFrame) -> DataFrame:
-    """Decisions with an outcome, and covered, width and loss."""
+def _scored(decisions: DataFrame, facts: DataFrame, runs: Sequence[Run]) -> DataFrame:
+    """A row per run and decision, with what the run knew, its adjusted bounds, and covered, width and loss."""
+    others = [c for c in decisions.columns if c != "made"]
+    one = decisions.select(*others, F.inline("made")).join(F.broadcast(facts), ["run", "date", "h"])  # facts: a row per run, date and horizon
+    name = F.element_at(F.array(*[F.array(*[F.lit(f"mom_w{w}") for w in r.cfg.windows]) for r in runs]), F.col("run") + 1)
+    arm = F.element_at(name, F.floor(F.col("k") / len(runs[0].cfg.horizons)).cast("int") + 1)
+    one = one.withColumns({"momentum": arm, "l": F.col("l_raw") - F.col("qhat"), "u": F.col("u_raw") + F.col("qhat")})
+    middle, crossed = (F.col("l") + F.col("u")) / 2, F.col("l") > F.col("u")
+    one = one.withColumns({"l": F.when(crossed, middle - HALF_CROSSED).otherwise(F.col("l")), "u": F.when(crossed, middle + HALF_CROSSED).otherwise(F.col("u"))})
     y, low, high = F.col("y"), F.col("l"), F.col("u")
     zero, price = F.lit(0.0), F.lit(2.0) / F.col("alpha")
     loss = F.greatest(high - low, zero) + price * F.greatest(low - y, zero) + price * F.greatest(y - high, zero)
-    return decisions.where("y is not null").withColumns({"covered": y.between(low, high).cast("int"), "width": high - low, "loss": loss})
+    return one.withColumns({"covered": y.between(low, high).cast("int"), "width": high - low, "loss": loss})
 
 
-def _learn(matured: DataFrame, states: dict[str, State]) -> Learned:
+def _learn(matured: DataFrame, facts: DataFrame, runs: Sequence[Run], states: dict[str, State]) -> Learned:
     """Heads, posterior sums and last scores by date, from the outcomes that mature in a block."""
-    spark = matured.sparkSession
-    heads = spark.sparkContext.broadcast({(n, k): head for n, s in states.items() for k, head in enumerate(s.heads)})  # two weights vectors a run and arm
-    narrow = matured.select("run", "k", "due", "y", "x", "date", "id").repartition("run", "k").sortWithinPartitions("run", "k", "due", "date", "id")
-    jobs = {"moved": narrow.mapInArrow(_head_mover(heads), "run string, k int, due int, low array<double>, high array<double>")}
+    spark, of = matured.sparkSession, {r.name: i for i, r in enumerate(runs)}
+    heads = spark.sparkContext.broadcast({(of[n], k): head for n, s in states.items() for k, head in enumerate(s.heads)})  # two weights vectors a run and arm
+    size = max(cal.size for s in states.values() for cal in s.calibrators.values())
+    score = F.transform("made", lambda m: F.greatest(m["l_raw"] - F.col("y"), F.col("y") - m["u_raw"], F.lit(0.0)))
+    narrow = matured.select("h", "due", "x", "y", F.col("made.run"), F.col("made.k"), score.alias("score"), "date", "id").repartition("h").sortWithinPartitions("h", "due", "date", "id")
+    jobs = {"moved": lambda: cut(narrow.mapInArrow(_mover(heads, max(len(s.arms) for s in states.values()), size), _MOVED), "matured").collect()}
 
     bandits = [s.run for s in states.values() if s.run.kind == "bandit"]
     if bandits:
-        of_run = lambda f: F.element_at(F.create_map(*[F.lit(v) for r in bandits for v in (r.name, float(f(r.cfg)))]), F.col("run"))
+        of_run = lambda f: F.element_at(F.create_map(*[F.lit(v) for r in bandits for v in (of[r.name], float(f(r.cfg)))]), F.col("run"))
         bonus = F.when(F.col("covered") == 1, F.col("covered") - 0.9).otherwise(-0.1)
         reward = -F.col("loss") + of_run(lambda c: c.lambda_cov) * bonus - of_run(lambda c: c.lambda_width) * 0.1 * F.col("width")
-        rows = matured.where(F.col("run").isin([r.name for r in bandits])).select("run", "k", "due", "x", reward.alias("reward"))
+        rows = _scored(matured, facts, runs).where(F.col("run").isin([of[r.name] for r in bandits])).select("run", "k", "due", "x", reward.alias("reward"))
         entry = lambda i: F.col("x")[i]
         products = [F.sum(entry(i) * entry(j)).alias(f"p{i}_{j}") for i in range(DIM) for j in range(i, DIM)]
-        jobs["sums"] = rows.groupBy("run", "k", "due").agg(F.count(F.lit(1)).alias("n"), *products, *[F.sum(entry(i) * F.col("reward")).alias(f"m{i}") for i in range(DIM)])
-
-    size = max(cal.size for s in states.values() for cal in s.calibrators.values())
-    score = F.greatest(F.col("l_raw") - F.col("y"), F.col("y") - F.col("u_raw"), F.lit(0.0))
-    late = F.row_number().over(Window.partitionBy("run", "h", "due").orderBy(F.desc("date"), F.desc("id")))
-    last = matured.select("run", "h", "due", "date", "id", score.alias("score")).withColumn("late", late).where(F.col("late") <= size)
-    jobs["held"] = last.groupBy("run", "h", "due").agg(F.sort_array(F.collect_list(F.struct(-F.col("late"), "score"))).alias("s"))
-    with ThreadPoolExecutor(len(jobs)) as pool:  # three small jobs over one table, side by side
-        found = dict(zip(jobs, pool.map(lambda df: df.collect(), jobs.values()), strict=True))
+        jobs["sums"] = rows.groupBy("run", "k", "due").agg(F.count(F.lit(1)).alias("n"), *products, *[F.sum(entry(i) * F.col("reward")).alias(f"m{i}") for i in range(DIM)]).collect
+    with ThreadPoolExecutor(len(jobs)) as pool:  # two small jobs over one table, side by side
+        found = dict(zip(jobs, pool.map(lambda job: job(), jobs.values()), strict=True))
 
     upper = np.triu_indices(DIM)
 
@@ -462,9 +501,9 @@ def _learn(matured: DataFrame, states: dict[str, State]) -> Learned:
         return out + np.triu(out, 1).T
 
     return Learned(
-        {(r["run"], r["k"], r["due"]): (np.array(r["low"]), np.array(r["high"])) for r in found["moved"]},
-        {(r["run"], r["k"], r["due"]): (r["n"], matrix(r), np.array([r[f"m{i}"] for i in range(DIM)])) for r in found.get("sums", [])},
-        {(r["run"], r["h"], r["due"]): [v["score"] for v in r["s"]] for r in found["held"]},
+        {(runs[r["run"]].name, r["k"], r["due"]): (np.array(r["low"]), np.array(r["high"])) for r in found["moved"] if r["k"] is not None},
+        {(runs[r["run"]].name, r["k"], r["due"]): (r["n"], matrix(r), np.array([r[f"m{i}"] for i in range(DIM)])) for r in found.get("sums", [])},
+        {(runs[r["run"]].name, r["h"], r["due"]): r["scores"] for r in found["moved"] if r["k"] is None},
     )
 
 
@@ -494,46 +533,53 @@ def run_slice(rows: DataFrame, sample: list[tuple[np.ndarray, dict[int, float]]]
     """Score logs of all runs over a test slice: date, id, x, and y_h, alive_h, mat_date_h by horizon, a row per id and date.
 
     The slice is written once, in order of date. `sample` has the training rows, `sigma` the targets' deviations;
-    runs share their horizons. Rows without a live horizon are not decided, outcomes that are null or not finite
-    teach nothing and are not scored, and an empty slice gives an empty log. The driver lists the dates.
+    runs share their horizons and the number of their windows. Rows without a live horizon are not decided, outcomes that
+    are null or not finite teach nothing and are not scored, and an empty slice gives an empty log. A slice with
+    `index_weight` has it in the log. The driver lists the dates, and what runs know of a horizon on each.
     """
     spark, horizons = rows.sparkSession, list(runs[0].cfg.horizons)
-    rows = cut(rows.repartitionByRange("date", "id").sortWithinPartitions("date", "id"), "slice")
+    if len({len(r.cfg.windows) for r in runs}) > 1:
+        raise ValueError("runs need as many windows each")
+    keep = [c for c in ("index_weight",) if c in rows.columns]
+    decision = ", ".join([_DECISION, *(f"{c} double" for c in keep)])
+    rows = cut(rows.withColumns({c: F.col(c).cast("double") for c in keep}).repartitionByRange("date", "id").sortWithinPartitions("date", "id"), "slice")
     dates = [r["date"] for r in rows.select("date").distinct().orderBy("date").collect()]
     if not dates:
-        return spark.createDataFrame([], LOG)
+        return spark.createDataFrame([], ", ".join([LOG, *(f"{c} double" for c in keep)]))
     size = min(horizons)
     day_of = {d: i for i, d in enumerate(dates)}
     last = {r.name: day_of[last_decision(r, dates)] for r in runs}
     states = _started(spark, runs, sigma, sample)
-    path = fresh_path(spark, "decisions")
+    number = {r.name: i for i, r in enumerate(runs)}
+    scales = {(r.name, h): {"none": 1.0, "per_h": 1 / h, "per_sqrt_h": h**-0.5, "per_sigma": 1 / sigma.get(h, 1.0)}[r.cfg.scale_mode] for r in runs for h in horizons}
+    path, facts = fresh_path(spark, "decisions"), []
+    told = lambda: spark.createDataFrame(facts, _FACT)
     # What matures after a run's last decision teaches it nothing that it could use.
     for first in range(0, max(last.values()) + 1, size):
         days = range(first, min(first + size, max(last.values()) + 1))
         acting = {n: s for n, s in states.items() if last[n] >= first}
         learned = Learned({}, {}, {})
         if first:
-            known_by_now = F.col("due") <= days[-1]
-            matured = cut(_scored(spark.read.schema(_DECISION).parquet(path).where((F.col("block") == first // size) & known_by_now & F.col("run").isin(list(acting)))), "matured")
-            learned = _learn(matured, acting)
+            matured = spark.read.schema(decision).parquet(path).where((F.col("block") == first // size) & (F.col("due") <= days[-1]))
+            learned = _learn(matured, told(), runs, acting)
         known = {}
         for day in days:
-            for state in acting.values():
+            for name, state in acting.items():
                 if state.run.learns_first:
                     state.absorb(learned, day)
-                if day <= last[state.run.name]:
-                    known[state.run.name, day] = state.known(day)
+                if day <= last[name]:
+                    now = known[name, day] = state.known(day)
+                    facts += [(number[name], dates[day], h, state.run.cfg.alpha_for(h), float(now.widening[j]), int(now.held[j]), scales[name, h]) for j, h in enumerate(horizons)]
                 if not state.run.learns_first:
                     state.absorb(learned, day)
-        shared = spark.sparkContext.broadcast(([s.run for s in acting.values()], sigma, known, day_of, last))  # parameters by run and date of the block
+        shared = spark.sparkContext.broadcast(([(number[n], s.run) for n, s in acting.items()], sigma, known, day_of, last))  # parameters by run and date of the block
         own = rows.where(F.col("date").between(F.lit(dates[days[0]]), F.lit(dates[days[-1]])))
-        own.mapInArrow(_decider(shared, horizons, size), _DECISION).write.partitionBy("block").mode("append").parquet(path)
+        own.mapInArrow(_decider(shared, horizons, size, keep), decision).write.partitionBy("block").mode("append").parquet(path)
 
-    scales = [(r.name, h, {"none": 1.0, "per_h": 1 / h, "per_sqrt_h": h**-0.5, "per_sigma": 1 / sigma.get(h, 1.0)}[r.cfg.scale_mode]) for r in runs for h in horizons]
-    factors = F.broadcast(spark.createDataFrame(scales, "run string, h int, factor double"))  # a row per run and horizon
-    scored = _scored(spark.read.schema(_DECISION).parquet(path)).join(factors, ["run", "h"])
-    scaled = scored.withColumns({"width_scaled": F.col("width") * F.col("factor"), "loss_scaled": F.col("loss") * F.col("factor")})
-    return scaled.select(*[f.split()[0] for f in LOG.split(", ")])
+    scored = _scored(spark.read.schema(decision).parquet(path), told(), runs)
+    names = F.element_at(F.array(*[F.lit(r.name) for r in runs]), F.col("run") + 1)
+    scaled = scored.withColumns({"run": names, "width_scaled": F.col("width") * F.col("factor"), "loss_scaled": F.col("loss") * F.col("factor")})
+    return scaled.select(*[f.split()[0] for f in LOG.split(", ")], *keep)
 
 
 def baseline_runs(cfg: Config) -> list[Run]:
@@ -555,9 +601,9 @@ def variant_runs(cfg: Config) -> list[Run]:
     return [Run("base", "bandit", cfg), *(Run(name, "bandit", c) for name, c in changes.items())]
 
 
-def run_policies(features: DataFrame, runs: Sequence[Run], cfg: Config = Config()) -> DataFrame:
-    """Score logs of all runs, from the feature table: its test slice, and a sample of its training rows."""
-    columns = ["date", "id", "x", *(f"{p}_h{h}" for p in ("y", "alive", "mat_date") for h in cfg.horizons)]
+def run_policies(features: DataFrame, runs: Sequence[Run], cfg: Config = Config(), weights: bool = False) -> DataFrame:
+    """Score logs of all runs, from the feature table: its test slice, and a sample of its training rows. With `weights`, logs have its index weight."""
+    columns = ["date", "id", "x", *(["index_weight"] if weights else []), *(f"{p}_h{h}" for p in ("y", "alive", "mat_date") for h in cfg.horizons)]
     train, _ = split_dates(features, cfg)
     spread = train.agg(*[F.stddev_samp(f"y_h{h}").alias(str(h)) for h in cfg.horizons]).first()
     sigma = {h: float(spread[str(h)] or 1.0) or 1.0 for h in cfg.horizons}

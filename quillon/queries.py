@@ -951,8 +951,9 @@ def aligned_actions(spark: SparkSession, d: str) -> DataFrame:
 
 # Policies.
 def _feature_table(spark: SparkSession, d: str) -> DataFrame:
-    """Scores and context are computed as the written features are read, so the features are made once."""
-    return plan.add_context(_scored(_table(spark, d)))
+    """Scores and context are computed as the written features are read, so the features are made once. Policies read no momentum."""
+    percentiles = ("spread_percentile", "vol_percentile")
+    return plan.add_context(plan.add_scores(_table(spark, d, *dict.fromkeys(("index_weight", *plan.BASE, *percentiles, *_TARGETS))), CFG, plan.BASE))
 
 
 @_query()
@@ -981,8 +982,8 @@ def fixed_policy_choices(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def baseline_runs(spark: SparkSession, d: str) -> DataFrame:
-    scores = policy.run_policies(_feature_table(spark, d), policy.baseline_runs(CFG), CFG).withColumn("baseline", F.col("run"))
-    return A.leaderboard(A.with_weights(scores, sales_panel(spark, d), 0.0))
+    scores = policy.run_policies(_feature_table(spark, d), policy.baseline_runs(CFG), CFG, weights=True).withColumn("baseline", F.col("run"))
+    return A.leaderboard(A.with_weights(scores, None, 0.0))
 
 
 @_query()
