@@ -24,8 +24,11 @@ def select_variants(runs: Sequence[Run], wanted: Sequence[str | Mapping] | None)
     return [r for r in runs if not names or r.name == "base" or r.name in names]
 
 
-def overview(scores: DataFrame, panel: DataFrame, draws: int = 2000) -> tuple[DataFrame, DataFrame]:
-    """(overview, differences) of every run in the log against `base`; a log without variants raises ValueError."""
+def overview(scores: DataFrame, panel: DataFrame | None, draws: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """(overview, differences) of every run in the log against `base`; a log without variants raises ValueError.
+
+    Weights are the panel's, or the log's own where none is given.
+    """
     # A row per run, date and horizon, read by every table below; the runs behind it are not repeated.
     index = cut(security_to_index(with_weights(scores, panel), ("run", "date", "h")), "index")
     base, variants = index.where("run = 'base'"), index.where("run <> 'base'").withColumnRenamed("run", "variant")
@@ -35,5 +38,5 @@ def overview(scores: DataFrame, panel: DataFrame, draws: int = 2000) -> tuple[Da
 
 def run_ablation(features: DataFrame, cfg: Config = Config(), wanted: Sequence[str | Mapping] | None = None, draws: int = 2000) -> tuple[DataFrame, DataFrame]:
     """Run base and variants side by side and compare them."""
-    scores = run_policies(features, select_variants(variant_runs(cfg), wanted), cfg)
-    return overview(scores, features, draws)
+    scores = run_policies(features, select_variants(variant_runs(cfg), wanted), cfg, weights=True)
+    return overview(scores, None, draws)
